@@ -68,6 +68,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def append(self, df: DataFrame, label: str) -> DataFrame:
+        """Adds rows to one table and reads all of it back, as one scan however often it grew."""
+        path = f"{self.root}/{label}"
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = getattr(t, "_scratch_path", None)
