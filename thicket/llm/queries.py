@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import conversations, pii
-from thicket.session import table
+from thicket.llm import conversations, mixing, neighbours, packing, pii, reading, tokens
+from thicket.session import Scratch, table
 
 #: The key of the pseudonyms; a deployment passes its own.
 PII_KEY = b"thicket-demo-key"
+#: Lists probed for pairs of at least 0.95, and for the ten nearest at any similarity.
+NEAR_PROBES, PROBES = 4, 64
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
@@ -57,7 +59,88 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("conversations"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_transcripts, p2_reasons)}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs among each other's ten nearest with a cosine of at least 0.95.
+
+    The bound is pushed into the search: whether a pair above it is among the ten nearest depends only
+    on other pairs above it.
+    """
+    near = neighbours.neighbours(
+        table(spark, sf_dir, "memory_nodes"), "id", "embedding", "ingest_seq", k=10, probes=NEAR_PROBES, min_cosine=0.95
+    )
+    return neighbours.mutual(near, 0.95)
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar of all nodes, for the stated query set (row numbers divisible by 20)."""
+    return neighbours.neighbours(
+        table(spark, sf_dir, "memory_nodes"), "id", "embedding", "ingest_seq", k=10, probes=PROBES, queries=F.col("ingest_seq") % 20 == 0
+    )
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return docs.select("doc_id", "source", tokens.count_tokens(F.col("text")).alias("tokens"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every document, or piece of one, for every capacity."""
+    return packing.pack(_sized(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and room left unused for every capacity."""
+    profiles = table(spark, sf_dir, "pack_sizes")
+    return packing.report(packing.pack(_sized(spark, sf_dir), profiles), profiles)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document in the largest mixture that meets the target shares."""
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by that mixture."""
+    docs, targets = Scratch(spark, "sized").save(_sized(spark, sf_dir)), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(docs, targets), docs, targets)
+
+
+def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights that plain temperature gives the sources at the entropy of the targets."""
+    _, sources = mixing.measured(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    schema = "source string, target_share double, own_share double, exponent double, weight double"
+    if not sources:
+        return spark.createDataFrame([], schema)
+    own = [s.tokens / sum(x.tokens for x in sources) for s in sources]
+    goal = [s.target / sum(x.target for x in sources) for s in sources]
+    a = mixing.entropy_exponent(own, mixing.entropy(goal))
+    weights = [p**a for p in own]
+    rows = [(s.source, g, p, a, w / sum(weights)) for s, g, p, w in zip(sources, goal, own, weights)]
+    return spark.createDataFrame(rows, schema)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of demanding prose."""
+    return p10_levels(spark, sf_dir).where("level >= 3.5").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level, band and the measures behind it of every document."""
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and words per language and band."""
+    return p10_levels(spark, sf_dir).groupBy("lang", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_redacted, p2_found, p2_transcripts, p2_reasons, p3_found, p3_neighbours, p8_containers, p8_report,
+        p9_mixture, p9_shares, p9_temperature, p10_found, p10_levels, p10_profile,
+    )
+}
 
 _ROLE = r"lower(regexp_replace(role, '^\s+|\s+$', '', 'g'))"
 _ANY = lambda s: ", ".join(f"'{n}'" for n in conversations.SPEAKERS[s])
