@@ -1,10 +1,10 @@
 """The most similar vectors of every vector.
 
 An inverted file of coarse centroids with product-quantised residuals. Each vector belongs to
-the list of its nearest centroid and is stored there with an 8-byte code: its residual cut into 8
+the list of its nearest centroid and is stored there with an 16-byte code: its residual cut into 16
 parts, each replaced by the nearest of 256 codewords. A query builds, for every part, a table of the
 inner products with all codewords; the approximate similarity to a stored vector is the similarity to
-its centroid plus eight table entries (asymmetric distance: the query itself is never quantised).
+its centroid plus sixteen table entries (asymmetric distance: the query itself is never quantised).
 The best candidates of the approximate order are reranked with the exact vectors, which lie in the
 same list, so nothing has to be fetched.
 
@@ -43,11 +43,11 @@ LIST_ROWS = 400
 MAX_LISTS = 4096
 #: Vectors a block should hold at most.
 BLOCK_ROWS = 60_000
-PARTS, WORDS = 8, 256
+PARTS, WORDS = 16, 256
 #: What the approximate similarity may be too low by without a candidate being lost.
-SLACK = 0.25
+SLACK = 0.3
 #: Candidates reranked for each wanted neighbour.
-RERANK = 4
+RERANK = 20
 
 
 def usable(vec: Column, dim: int) -> Column:
@@ -85,15 +85,16 @@ def _nearest(x: np.ndarray, c: np.ndarray, spherical: bool) -> np.ndarray:
 class Model:
     """Centroids, the group of each list, and the codewords of each part."""
 
-    def __init__(self, sample: np.ndarray, lists: int, groups: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, lists: int, groups: int, parts: int = PARTS, seed: int = 7):
         rng = np.random.default_rng(seed)
         lists = max(1, min(lists, len(sample)))
         self.centroids = _kmeans(sample, lists, 8, rng, True)
         at = _nearest(sample, self.centroids, True)
         rest = sample - self.centroids[at]
-        d = sample.shape[1] // PARTS
-        k = min(WORDS, len(sample))
-        self.words = np.stack([_kmeans(np.ascontiguousarray(rest[:30_000, p * d : (p + 1) * d]), min(k, len(rest[:30_000])), 6, rng, False) for p in range(PARTS)])
+        self.parts = parts
+        d = sample.shape[1] // parts
+        part = rest[:30_000]
+        self.words = np.stack([_kmeans(np.ascontiguousarray(part[:, p * d : (p + 1) * d]), min(WORDS, len(part)), 6, rng, False) for p in range(parts)])
         # near lists share a group; groups get about the same number of sampled vectors
         seeds = _kmeans(self.centroids, max(1, min(groups, lists)), 8, rng, True)
         load = np.bincount(at, minlength=lists).astype(float)
@@ -107,13 +108,13 @@ class Model:
 
     def codes(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         rest = x - self.centroids[at]
-        d = x.shape[1] // PARTS
-        return np.stack([_nearest(np.ascontiguousarray(rest[:, p * d : (p + 1) * d]), self.words[p], False) for p in range(PARTS)], axis=1).astype(np.uint8)
+        d = x.shape[1] // self.parts
+        return np.stack([_nearest(np.ascontiguousarray(rest[:, p * d : (p + 1) * d]), self.words[p], False) for p in range(self.parts)], axis=1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(query, part, codeword): inner products of the query's parts with the codewords."""
-        d = q.shape[1] // PARTS
-        return np.stack([q[:, p * d : (p + 1) * d] @ self.words[p].T for p in range(PARTS)], axis=1)
+        d = q.shape[1] // self.parts
+        return np.stack([q[:, p * d : (p + 1) * d] @ self.words[p].T for p in range(self.parts)], axis=1)
 
 
 def _route(model: Model, probes: int, blocks: np.ndarray):
@@ -156,7 +157,7 @@ def _route(model: Model, probes: int, blocks: np.ndarray):
     return f
 
 
-def _search(model: Model, k: int, min_cosine: float | None):
+def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack: float):
     """Neighbours within one block: (q, id, cosine), at most k for each query."""
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +182,7 @@ def _search(model: Model, k: int, min_cosine: float | None):
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], who[order]
         lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
-        keep = RERANK * k
+        keep = rerank * k
         found_q, found_x, found_s = [], [], []
         for li, c in enumerate(own):
             mine = who[lo[li] : hi[li]]
@@ -190,10 +191,10 @@ def _search(model: Model, k: int, min_cosine: float | None):
                 sub = mine[a : a + 1024]
                 table = model.tables(q[sub])
                 score = np.repeat((q[sub] @ model.centroids[c])[:, None], len(part), axis=1)
-                for p in range(PARTS):
+                for p in range(model.parts):
                     score += np.take(table[:, p], part[:, p], axis=1)
                 if min_cosine is not None:
-                    r, s = np.nonzero(score >= min_cosine - SLACK)
+                    r, s = np.nonzero(score >= min_cosine - slack)
                 elif score.shape[1] > keep:
                     s = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
                     r = np.repeat(np.arange(len(sub)), keep)
@@ -234,6 +235,10 @@ def neighbours(
     min_cosine: float | None = None,
     queries: Column | None = None,
     sample: int = SAMPLE,
+    parts: int = PARTS,
+    rerank: int = RERANK,
+    slack: float = SLACK,
+    list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """(q, id, cosine, place): for every query its k most similar other vectors, place 1 the nearest.
 
@@ -244,19 +249,19 @@ def neighbours(
     rows = nodes.where(key(id_col).isNotNull()).select(key(id_col).alias("id"), F.col(seq_col).cast("long").alias("seq"), ask.alias("asked"), F.col(vec_col).alias("vec"))
     good = rows.where(usable(F.col("vec"), dim))
     count = good.count()
-    lists = int(min(MAX_LISTS, max(1, 2 ** round(np.log2(max(1, count / LIST_ROWS))))))
+    lists = int(min(MAX_LISTS, max(1, 2 ** round(np.log2(max(1, count / list_rows))))))
     groups = max(1, -(-count // BLOCK_ROWS))
     share = min(1.0, 1.2 * sample / max(1, count))
     taken = good.where(F.pmod(F.xxhash64("id", "seq"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id", "vec").limit(sample)
     chosen = taken.toPandas().sort_values("id", kind="stable")
     if not len(chosen):
         return spark.createDataFrame([], "q string, id string, cosine double, place int")
-    model = Model(_unit(chosen["vec"]), lists, groups)
+    model = Model(_unit(chosen["vec"]), lists, groups, parts)
     load = np.bincount(model.group[_nearest(_unit(chosen["vec"]), model.centroids, True)], minlength=int(model.group.max()) + 1)
     blocks = np.maximum(1, np.ceil(load / load.sum() * count / (1.5 * BLOCK_ROWS)).astype(int))
     schema = "block int, id string, seq long, list int, stored boolean, asked boolean, vec binary, probe binary"
     routed = good.mapInPandas(_route(model, probes, blocks), schema)
-    near = routed.groupBy("block").applyInPandas(_search(model, k, min_cosine), "q string, id string, cosine double")
+    near = routed.groupBy("block").applyInPandas(_search(model, k, min_cosine, rerank, slack), "q string, id string, cosine double")
     # the lists of a query from all blocks, cut to k; a query has at most k rows from each block it visits
     items = F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "id")))
     best = near.groupBy("q").agg(F.slice(items, 1, k).alias("best"))
