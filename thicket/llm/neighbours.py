@@ -16,7 +16,8 @@ a query are thus bounded whatever the number of vectors.
 
 ``probes`` lists are probed for a query. With ``min_cosine`` only pairs at least that similar are kept,
 which changes nothing about the k nearest above it, and few probes suffice, since so near a vector lies
-in the same or an adjacent list. The share of misses is measured in the tests against brute force.
+in the same or an adjacent list; a pair found from one side counts for both. A vector that a large share of
+the rows have exactly (a bounded number of such vectors exists) is searched once for all of them. The share of misses is measured in the tests against brute force.
 
 Vectors that are null, of another length, with a null or non-finite number, or all zero take no part. Several rows
 with one id (blanks around it and letter case ignored, and so returned) are one vector, the lowest sequence. Ties in similarity are broken by id. Equal vectors of
@@ -30,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.keys import key
+from thicket.operators.skew import heavy_keys
 from thicket.session import Scratch
 
 #: Vectors that centroids and codewords are fitted on at most.
@@ -42,10 +44,14 @@ SAMPLE = 60_000
 LIST_ROWS = 400
 MAX_LISTS = 4096
 #: Vectors a block should hold at most.
-BLOCK_ROWS = 60_000
+BLOCK_ROWS = 10_000
 PARTS, WORDS = 16, 256
 #: What the approximate similarity may be too low by without a candidate being lost.
 SLACK = 0.3
+#: Approximate similarities held in memory at once.
+CELLS = 1 << 21
+#: A vector that more than this share of the rows have is searched once for all of them.
+HOT_SHARE = 0.005
 #: Candidates reranked for each wanted neighbour.
 RERANK = 20
 
@@ -157,7 +163,7 @@ def _route(model: Model, probes: int, blocks: np.ndarray):
     return f
 
 
-def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack: float):
+def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack: float, both_ways: bool):
     """Neighbours within one block: (q, id, cosine), at most k for each query."""
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,14 +193,20 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
         for li, c in enumerate(own):
             mine = who[lo[li] : hi[li]]
             part = codes[start[li] : end[li]]
-            for a in range(0, len(mine), 1024):
-                sub = mine[a : a + 1024]
+            chunk = max(1, min(2048, CELLS // len(part)))
+            for a in range(0, len(mine), chunk):
+                sub = mine[a : a + chunk]
                 table = model.tables(q[sub])
                 score = np.repeat((q[sub] @ model.centroids[c])[:, None], len(part), axis=1)
                 for p in range(model.parts):
                     score += np.take(table[:, p], part[:, p], axis=1)
                 if min_cosine is not None:
-                    r, s = np.nonzero(score >= min_cosine - slack)
+                    close = score >= min_cosine - slack
+                    # more than enough: the best, equal ones in the order of their ids
+                    for row in np.flatnonzero(close.sum(axis=1) > keep):
+                        close[row] = False
+                        close[row, np.argsort(-score[row], kind="stable")[:keep]] = True
+                    r, s = np.nonzero(close)
                 elif score.shape[1] > keep:
                     s = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
                     r = np.repeat(np.arange(len(sub)), keep)
@@ -217,13 +229,30 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
         if min_cosine is not None:
             ok = cos >= min_cosine
             fq, fx, cos = fq[ok], fx[ok], cos[ok]
-        out = pd.DataFrame({"q": qids[fq], "id": ids[fx], "cosine": cos, "n": fq})
-        out = out.sort_values(["n", "cosine", "id"], ascending=[True, False, True], kind="stable")
-        return out[out.groupby("n").cumcount() < k][["q", "id", "cosine"]]
+        out = pd.DataFrame({"q": qids[fq], "id": ids[fx], "cosine": cos})
+        out = out.sort_values(["q", "cosine", "id"], ascending=[True, False, True], kind="stable")
+        out = out[out.groupby("q").cumcount() < k]
+        if both_ways:
+            out = pd.concat([out, out.rename(columns={"q": "id", "id": "q"})[["q", "id", "cosine"]]])
+            out = out.drop_duplicates(["q", "id"]).sort_values(["q", "cosine", "id"], ascending=[True, False, True], kind="stable")
+            out = out[out.groupby("q").cumcount() < k]
+        return out
 
     return f
 
 
+def _hot_vectors(good: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(vh, ids, seqs): of every vector that a large share of the rows have, the first k + 1 ids in
+    order and the first row of each. Fewer than 1 / HOT_SHARE rows."""
+    hot = scratch.save(heavy_keys(good.select("vh"), "vh", HOT_SHARE).where(F.col("load") > 2 * (k + 1)), "counts")
+    own = good.join(F.broadcast(hot.select(F.col("key").alias("vh"))), "vh", "left_semi")
+    first = own.groupBy("vh", "id").agg(F.min("seq").alias("seq"))
+    order = Window.partitionBy("vh").orderBy("id")
+    first = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    items = F.array_sort(F.collect_list(F.struct("id", "seq")))
+    return first.groupBy("vh").agg(items.alias("m")).select("vh", F.col("m.id").alias("ids"), F.col("m.seq").alias("seqs"))
+
+
 def neighbours(
     nodes: DataFrame,
     id_col: str,
@@ -239,6 +268,7 @@ def neighbours(
     rerank: int = RERANK,
     slack: float = SLACK,
     list_rows: int = LIST_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(q, id, cosine, place): for every query its k most similar other vectors, place 1 the nearest.
 
@@ -247,10 +277,17 @@ def neighbours(
     spark = nodes.sparkSession
     ask = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     rows = nodes.where(key(id_col).isNotNull()).select(key(id_col).alias("id"), F.col(seq_col).cast("long").alias("seq"), ask.alias("asked"), F.col(vec_col).alias("vec"))
-    good = rows.where(usable(F.col("vec"), dim))
+    good = rows.where(usable(F.col("vec"), dim)).withColumn("vh", F.xxhash64("vec"))
+    scratch = Scratch(spark, "neighbours")
+    shared = scratch.save(_hot_vectors(good, k, scratch), "hot")
+    marked = good.join(F.broadcast(shared), "vh", "left")
+    # copies beyond the first k + 1 of a hot vector have those as neighbours and need no search
+    easy = marked.where(F.col("ids").isNotNull() & F.col("asked") & ~F.coalesce(F.array_contains("ids", F.col("id")), F.lit(False)))
+    easy = easy.select(F.col("id").alias("q"), F.explode(F.slice("ids", 1, k)).alias("id"), F.lit(1.0).alias("cosine")).distinct()
+    good = marked.where(F.col("ids").isNull() | F.array_contains("seqs", F.col("seq"))).drop("ids", "seqs", "vh")
     count = good.count()
     lists = int(min(MAX_LISTS, max(1, 2 ** round(np.log2(max(1, count / list_rows))))))
-    groups = max(1, -(-count // BLOCK_ROWS))
+    groups = max(1, -(-count // block_rows))
     share = min(1.0, 1.2 * sample / max(1, count))
     taken = good.where(F.pmod(F.xxhash64("id", "seq"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id", "vec").limit(sample)
     chosen = taken.toPandas().sort_values("id", kind="stable")
@@ -258,12 +295,13 @@ def neighbours(
         return spark.createDataFrame([], "q string, id string, cosine double, place int")
     model = Model(_unit(chosen["vec"]), lists, groups, parts)
     load = np.bincount(model.group[_nearest(_unit(chosen["vec"]), model.centroids, True)], minlength=int(model.group.max()) + 1)
-    blocks = np.maximum(1, np.ceil(load / load.sum() * count / (1.5 * BLOCK_ROWS)).astype(int))
+    blocks = np.maximum(1, np.ceil(load / load.sum() * count / (1.5 * block_rows)).astype(int))
     schema = "block int, id string, seq long, list int, stored boolean, asked boolean, vec binary, probe binary"
     routed = good.mapInPandas(_route(model, probes, blocks), schema)
-    near = routed.groupBy("block").applyInPandas(_search(model, k, min_cosine, rerank, slack), "q string, id string, cosine double")
+    near = routed.groupBy("block").applyInPandas(_search(model, k, min_cosine, rerank, slack, min_cosine is not None and queries is None), "q string, id string, cosine double")
     # the lists of a query from all blocks, cut to k; a query has at most k rows from each block it visits
-    items = F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "id")))
+    near = near.unionByName(easy)
+    items = F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("d"), "id")))
     best = near.groupBy("q").agg(F.slice(items, 1, k).alias("best"))
     out = best.select("q", F.posexplode("best").alias("place", "b"))
     return out.select("q", F.col("b.id").alias("id"), (-F.col("b.d")).alias("cosine"), (F.col("place") + 1).alias("place"))

@@ -11,7 +11,7 @@ from thicket.session import Scratch, table
 #: The key of the pseudonyms; a deployment passes its own.
 PII_KEY = b"thicket-demo-key"
 #: Lists probed for pairs of at least 0.95, and for the ten nearest at any similarity.
-NEAR_PROBES, PROBES = 4, 96
+NEAR_PROBES, PROBES = 2, 96
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
@@ -74,7 +74,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar of all nodes, for the stated query set (row numbers divisible by 20)."""
     return neighbours.neighbours(
-        table(spark, sf_dir, "memory_nodes"), "id", "embedding", "ingest_seq", k=10, probes=PROBES, list_rows=1000,
+        table(spark, sf_dir, "memory_nodes"), "id", "embedding", "ingest_seq", k=10, probes=PROBES, list_rows=1000, block_rows=60_000,
         queries=F.col("ingest_seq") % 20 == 0,
     )
 
