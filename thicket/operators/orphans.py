@@ -44,14 +44,14 @@ def direct(refs: DataFrame, records: DataFrame) -> DataFrame:
     target names the kind of record; both sides are compared by one text column.
     """
     joint = lambda df: F.concat_ws(":", df["target"], df["key"])
-    refs = refs.where("key IS NOT NULL").withColumn("ref", joint(refs))
-    counted = refs.groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
-    known = records.select(joint(records).alias("ref"))
-    missing = Scratch(refs.sparkSession, "orphans").save(counted.join(known, "ref", "left_anti"), "missing")
+    refs = refs.where("key IS NOT NULL").withColumn("_ref", joint(refs))
+    counted = refs.groupBy("_ref").agg(F.count(F.lit(1)).alias("n"))
+    known = records.select(joint(records).alias("_ref"))
+    missing = Scratch(refs.sparkSession, "orphans").save(counted.join(known, "_ref", "left_anti"), "missing")
     total = missing.agg(F.sum("n").alias("t"))
     heavy = missing.join(F.broadcast(total)).where(F.col("n") > F.greatest(F.lit(1000), F.col("t") / 200))
-    out = skew_join(refs, missing.select("ref"), "ref", "left_semi", heavy.select(F.col("ref").alias("key")))
-    return out.select([c for c in refs.columns if c != "ref"])
+    out = skew_join(refs, missing.select("_ref"), "_ref", "left_semi", heavy.select(F.col("_ref").alias("key")))
+    return out.select([c for c in refs.columns if c != "_ref"])
 
 
 def cascade(records: DataFrame, orphaned: DataFrame, parent: str = "parent", key_name: str = "key") -> DataFrame:

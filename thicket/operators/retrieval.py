@@ -33,7 +33,7 @@ def score(branches: DataFrame, query: list[float], mode: str = "balanced", histo
 def recency(ts: Column, now: float, half_life_days: float) -> Column:
     """2 ^ (-age / half life); 0 for an unknown time."""
     age = F.greatest(F.lit(now) - ts, F.lit(0.0)) / 86400.0
-    return F.coalesce(F.pow(F.lit(2.0), -age / max(half_life_days, 0.01)), F.lit(0.0))
+    return F.when(ts.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(2.0), -age / max(half_life_days, 0.01)))
 
 
 def blend(rows: DataFrame, score_col: str, ts_col: str, boost: float, now: float, half_life_days: float = 14.0) -> DataFrame:

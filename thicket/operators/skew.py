@@ -104,7 +104,7 @@ def plan_tasks(df: DataFrame, key: str, tasks: int | None = None, largest_share:
         slots.append((k, int(piece), labels[t]))
         heapq.heappush(bins, (filled + load, t))
     heavy_df = spark.createDataFrame(heavy, "key string, load long, shards int")
-    slots_df = spark.createDataFrame(slots, "slot_key string, piece int, task int")
+    slots_df = spark.createDataFrame(slots, "_sk string, piece int, task int")
     return TaskPlan(tasks, n_buckets, total, per, heavy_df, slots_df)
 
 
@@ -124,8 +124,8 @@ def spread(df: DataFrame, key: str, plan: TaskPlan, replicate: bool, row_hash: C
             "_piece", F.when(F.col("_hk").isNull(), light).otherwise(F.pmod(row_hash, F.col("_shards").cast("long")).cast("int"))
         )
     slots = F.broadcast(plan.slots.withColumnRenamed("piece", "_p").withColumnRenamed("task", "_task"))
-    return out.join(slots, F.col("_hk").eqNullSafe(F.col("slot_key")) & (F.col("_piece") == F.col("_p")), "left").drop(
-        "_hk", "_shards", "slot_key", "_p"
+    return out.join(slots, F.col("_hk").eqNullSafe(F.col("_sk")) & (F.col("_piece") == F.col("_p")), "left").drop(
+        "_hk", "_shards", "_sk", "_p"
     )
 
 

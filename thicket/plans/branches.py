@@ -208,7 +208,7 @@ QUERIES = {
 _B = Q.k("branch_id")
 _rank_sql = lambda mode: f"WITH {Q.scored(mode)} SELECT branch_id, round(sem, 6) AS sem, round(trust, 6) AS trust, round(react, 6) AS react, round(total, 6) AS total FROM tot WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY tot.total DESC, branch_id LIMIT 128"
 _CHEAP = "0.45 * reactivation_score + 0.35 * coherence + 0.12 * usefulness + 0.05 * (1 - compression_loss) + 0.03 * ln(1 + node_count)"
-_AGE = f"pow(2, -greatest({AS_OF} - last_update_ts, 0) / 86400.0 / 14)"
+_AGE = f"CASE WHEN last_update_ts IS NULL THEN 0 ELSE pow(2, -greatest({AS_OF} - last_update_ts, 0) / 86400.0 / 14) END"
 _count = lambda c, vs, p: ", ".join(f"count(*) FILTER ({c} = '{v}') AS {p}_{v}" for v in vs)
 
 ORACLE = {
@@ -222,7 +222,7 @@ FROM geo g JOIN (SELECT * REPLACE ({_B} AS branch_id) FROM branch_states) s ON g
     "prefilter_cascade": f"""WITH {Q.scored('balanced')}, short AS (SELECT *, {_CHEAP} AS cheap FROM tot WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY cheap DESC, branch_id LIMIT 64)
 SELECT branch_id, round(cheap, 6) AS cheap, round(total, 6) AS total FROM short ORDER BY short.total DESC, branch_id LIMIT 32""",
     "rank_with_recency": f"""WITH {Q.scored('balanced')}, ok AS (SELECT *, min(total) OVER () AS lo, max(total) OVER () AS hi FROM tot WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING')),
-b AS (SELECT branch_id, CASE WHEN hi - lo <= 1e-12 THEN 1.0 ELSE (total - lo) / (hi - lo) END AS relevance, coalesce({_AGE}, 0) AS recency FROM ok)
+b AS (SELECT branch_id, CASE WHEN hi - lo <= 1e-12 THEN 1.0 ELSE (total - lo) / (hi - lo) END AS relevance, {_AGE} AS recency FROM ok)
 SELECT branch_id, round(relevance, 6) AS relevance, round(recency, 6) AS recency, round(0.7 * relevance + 0.3 * recency, 6) AS final FROM b""",
     "allocation_candidates": f"""WITH {Q.scored('balanced')}, new AS (SELECT * FROM tot WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY last_update_ts DESC NULLS LAST, branch_id LIMIT 128),
 s AS (SELECT branch_id, 0.45 * usefulness + 0.25 * coherence + 0.10 * ln(1 + node_count) + 0.20 / (1 + greatest({AS_OF} - coalesce(last_update_ts, 0), 0) / 86400.0) + 0.55 * sem AS score FROM new)
