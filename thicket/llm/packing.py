@@ -62,13 +62,11 @@ def plan(histogram: list[tuple[int, int, int]], capacity: int) -> tuple[list[tup
         if not left[i]:
             i += 1
             continue
-        free, used = capacity, []
-        for j in range(i, len(classes)):
-            size = classes[j][1]
-            if left[j] and size <= free:
-                m = min(left[j], free // size)
-                used.append((j, m))
-                free -= m * size
+        most = min(left[i], capacity // classes[i][1])
+        # as many of the largest class as fit, unless beginning with fewer leaves clearly less room:
+        # small items are worth more where they are needed
+        tries = [_fill(classes, left, i, m, capacity) for m in sorted({*range(max(1, most - 2), most + 1), 1}, reverse=True)]
+        used = min(enumerate(tries), key=lambda t: t[1][0] + (t[0] > 0) * capacity / 20)[1][1]
         times = min(left[j] // m for j, m in used)
         for j, m in used:
             out.append((classes[j][0], at[j], at[j] + m * times, m, containers))
@@ -78,6 +76,20 @@ def plan(histogram: list[tuple[int, int, int]], capacity: int) -> tuple[list[tup
     return out, containers
 
 
+def _fill(classes: list[tuple[int, int, int]], left: list[int], i: int, m: int, capacity: int) -> tuple[int, list[tuple[int, int]]]:
+    """Room left and (place of the class, number of items) of a container that begins with m of class i."""
+    free, used = capacity - m * classes[i][1], [(i, m)]
+    for j in range(i + 1, len(classes)):
+        if not free:
+            break
+        size = classes[j][1]
+        if left[j] and size <= free:
+            n = min(left[j], free // size)
+            used.append((j, n))
+            free -= n * size
+    return free, used
+
+
 def pack(sizes: DataFrame, profiles: DataFrame, steps: int = STEPS) -> DataFrame:
     """(profile, container_id, doc_id, piece, token_start, tokens); container ids count from 0 per profile."""
     spark = sizes.sparkSession
