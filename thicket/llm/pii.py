@@ -100,13 +100,17 @@ _ID_HINTS = tuple("ssn secur sozial steuer nir nino insurance pass ausweis ident
 BIRTH = re.compile(r"\b(?:born(?: on)?|date of birth|dob|birthday|geboren(?: am)?|geburtsdatum|née? le|fecha de nacimiento|nacid[oa] el)\W{1,3}(?P<v>\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{4})", re.I)
 
 # --- persons ----------------------------------------------------------------------------
-_W = r"[^\W\d_]+(?:['’‐‑-][^\W\d_]+)*"
+#: A letter, with the accents written after it.
+_L = r"[^\W\d_][\u0300-\u036f]*"
+_W = rf"(?:{_L})+(?:['’‐‑-](?:{_L})+)*"
 _TITLE = r"(?:mr|mrs|ms|miss|dr|prof|sir|madam|mme|mlle|m|monsieur|madame|herr|herrn|frau|sr|sra|srta|señor|señora|don|doña)"
 _INIT = r"[^\W\d_]\."
+#: A blank within a line.
+_B = r"[ \u00a0\u202f\t]"
 #: A name of two parts: title or initial with family name, family name first, or both names.
-NAME = rf"(?:{_TITLE}\.?\s(?:{_INIT}\s)?{_W}(?:\s(?-i:(?=[A-ZÀ-ÖØ-Þ])){_W})?|(?:{_INIT}\s?){{1,2}}{_W}|{_W},\s(?:{_INIT}|{_W})|{_W}\s(?:{_INIT}\s)?{_W})"
+NAME = rf"(?:{_TITLE}\.?{_B}(?:{_INIT}{_B})?{_W}(?:{_B}(?-i:(?=[A-ZÀ-ÖØ-Þ])){_W})?|(?:{_INIT}{_B}?){{1,2}}{_W}|{_W},{_B}(?:{_INIT}|{_W})|{_W}{_B}(?:{_INIT}{_B})?{_W})"
 #: The same, where a phrase follows: without the open end.
-NAME_BEFORE = rf"(?:{_TITLE}\.?\s(?:{_W}\s|{_INIT}\s)?{_W}|(?:{_INIT}\s?){{1,2}}{_W}|{_W},\s(?:{_INIT}|{_W})|{_W}\s(?:{_INIT}\s)?{_W})"
+NAME_BEFORE = rf"(?:{_TITLE}\.?{_B}(?:{_W}{_B}|{_INIT}{_B})?{_W}|(?:{_INIT}{_B}?){{1,2}}{_W}|{_W},{_B}(?:{_INIT}|{_W})|{_W}{_B}(?:{_INIT}{_B})?{_W})"
 #: Phrases before a name (what must stand after it, if anything).
 _LEADS = {
     "ask": (r"\b(?:please )?ask\s", r"(?=\s(?:about|for|to|if|whether)\b|[.,;!?\"\\]|\s*$)"),
@@ -182,9 +186,21 @@ _NEVER = frozenset(
 _DIGIT = re.compile(r"\d")
 
 
-def _named(v: str) -> bool:
-    words = [w for w in re.split(r"[\s,]+", v.lower()) if w]
-    return not any(w in _NEVER for w in words)
+_TITLED = re.compile(rf"{_TITLE}\.?$", re.I)
+
+
+def _name(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The name within a match: words that are never part of one are taken off both ends; what is left
+    must be two parts without any."""
+    words = [(m.start() + a, m.end() + a) for m in re.finditer(r"[^\s,]+", text[a:b])]
+    common = [text[x:y].lower() in _NEVER for x, y in words]
+    while words and common[-1]:
+        words.pop(), common.pop()
+    while words and common[0]:
+        words.pop(0), common.pop(0)
+    if len(words) < 2 or any(common) or _TITLED.match(text[words[-1][0] : words[-1][1]]):
+        return None
+    return words[0][0], words[-1][1]
 
 
 def _overlaps(spans: list, a: int, b: int) -> bool:
@@ -230,17 +246,17 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for cue, p in LEADS:
         if cue in low:
             for m in p.finditer(text):
-                if _named(m["v"]):
-                    take(*m.span("v"), "person")
+                if at := _name(text, *m.span("v")):
+                    take(*at, "person")
     for cue, p in TAILS:
         if cue in low:
             for m in p.finditer(text):
-                if _named(m["v"]):
-                    take(*m.span("v"), "person")
+                if at := _name(text, *m.span("v")):
+                    take(*at, "person")
     if any(t in text for t in TITLES):
         for m in TITLED.finditer(text):
-            if _named(m["v"]):
-                take(*m.span("v"), "person")
+            if at := _name(text, *m.span("v")):
+                take(*at, "person")
     spans.sort()
     return spans
 
