@@ -132,11 +132,14 @@ class Memory:
             raise ValueError(f"not a date: {date}")
         node = f"node_{date.replace('-', '')}_{stamp}"
         entry = self.spark.createDataFrame([(node, text, source, created_ts)], "node_id string, text string, source string, created_ts double")
-        self.store.upsert("daily_log_content", self.table("daily_log_content").unionByName(entry) if self.store.current("daily_log_content") is None else entry, ["node_id"])
+        if not self.store.current("daily_log_content"):
+            self.store.replace("daily_log_content", self.table("daily_log_content"))
+        self.store.upsert("daily_log_content", entry, ["node_id"])
         row = (node, f"log_{stamp}", "daily_log_entry", f"day_{date}", created_ts, "user", max(1, len(text) // 4), vector)
         new = self.spark.createDataFrame([row], "id string, lcm_id string, node_type string, branch_id string, timestamp double, role string, token_count long, embedding array<float>")
-        old = self.table("memory_nodes")
-        self.store.replace("memory_nodes", old.unionByName(new, allowMissingColumns=True))
+        if not self.store.current("memory_nodes"):
+            self.store.replace("memory_nodes", self.table("memory_nodes"))
+        self.store.append("memory_nodes", new)
         return node
 
     def poll(self, source: str, checkpoint: str, conversation_id: int | None = None):

@@ -213,6 +213,16 @@ SELECT 'parent_cycle' AS kind, n.id FROM up JOIN n ON up.s = n.k WHERE up.s = up
 UNION ALL SELECT 'correction_cycle', n.id FROM cu JOIN n ON cu.s = n.k WHERE cu.s = cu.c
 UNION ALL SELECT 'root_mismatch', n.id FROM ends JOIN n ON ends.s = n.k WHERE n.croot IS DISTINCT FROM ends.c""",
     "p6_found": f"WITH {_LIVE} SELECT ref_field, row_seq FROM missing",
+    "p6_orphan_report": f"""WITH RECURSIVE {_LIVE},
+raw AS (SELECT {_k('id')} AS k, {_k('parent_id')} AS parent, ingest_seq AS row_seq, "timestamp" AS ref_ts FROM memory_nodes WHERE {_k('id')} IS NOT NULL),
+tree AS (SELECT k, parent FROM raw QUALIFY row_number() OVER (PARTITION BY k ORDER BY row_seq) = 1),
+bad AS (SELECT DISTINCT raw.k FROM raw JOIN missing ON missing.ref_field = 'lcm_id' AND missing.row_seq = raw.row_seq),
+spoiled AS (SELECT k FROM bad UNION SELECT tree.k FROM tree JOIN spoiled ON tree.parent = spoiled.k),
+every AS (
+  SELECT ref_table, ref_field, 'direct' AS kind, ref_ts FROM missing
+  UNION ALL SELECT 'memory_nodes', 'parent_id', 'inherited', ref_ts FROM raw WHERE k IN (SELECT k FROM spoiled) AND k NOT IN (SELECT k FROM bad)
+  UNION ALL SELECT ref_table, ref_field, 'inherited', ref_ts FROM refs WHERE ref_table = 'memory_edges' AND k IN (SELECT k FROM spoiled) AND (ref_field, row_seq) NOT IN (SELECT (ref_field, row_seq) FROM missing))
+SELECT ref_table, ref_field, kind, coalesce(strftime(make_timestamp(CAST(floor(ref_ts) * 1000000 AS BIGINT)), '%Y-%m'), 'unknown') AS month, count(*) AS orphans FROM every GROUP BY 1, 2, 3, 4""",
     "p7_found": f"""SELECT 'messages.conversation_id' AS field, CAST(conversation_id AS VARCHAR) AS key_value FROM messages WHERE conversation_id IS NOT NULL
 GROUP BY 2 HAVING count(*) > 0.025 * (SELECT count(*) FROM messages)
 UNION ALL SELECT 'memory_nodes.branch_id', {_k('branch_id')} FROM memory_nodes WHERE {_k('branch_id')} IS NOT NULL

@@ -1,8 +1,9 @@
 """Tables of the memory on a file system without a table format.
 
-A table is a folder of snapshots and a small pointer to the current one. Writers build the next
-snapshot from the current one and move the pointer last, so readers see one or the other; a failed
-write leaves the pointer where it was. Older snapshots stay until ``vacuum``.
+A table is a folder of written parts and a small pointer that names those of the current state.
+Appending writes one part and adds its name, however large the table; replacing, upserting and deleting
+write one part that takes the place of all. The pointer is moved last, so readers see one state or the
+other, and a failed write leaves it where it was. Older parts stay until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -23,30 +24,45 @@ class Store:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         return path, path.getFileSystem(self._conf)
 
-    def current(self, name: str) -> str | None:
+    def current(self, name: str) -> list[str]:
+        """The parts of the current state; none if the table does not exist."""
         path, fs = self._path(f"{self.root}/{name}/CURRENT")
         if not fs.exists(path):
-            return None
-        with_lines = self.spark.read.text(f"{self.root}/{name}/CURRENT").first()
-        return with_lines[0] if with_lines else None
+            return []
+        return [r[0] for r in self.spark.read.text(f"{self.root}/{name}/CURRENT").collect() if r[0]]
 
     def read(self, name: str) -> DataFrame | None:
-        at = self.current(name)
-        return None if at is None else self.spark.read.parquet(f"{self.root}/{name}/{at}")
+        parts = self.current(name)
+        if not parts:
+            return None
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
     def replace(self, name: str, df: DataFrame) -> str:
-        """Writes a snapshot and makes it the current one."""
-        snapshot = f"s-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(f"{self.root}/{name}/{snapshot}")
-        new, fs = self._path(f"{self.root}/{name}/NEXT-{snapshot}")
+        """Writes a part that is the whole table from now on."""
+        part = self._write(name, df)
+        self._point(name, [part])
+        return part
+
+    def append(self, name: str, rows: DataFrame) -> str:
+        """Adds rows without touching those that are there."""
+        part = self._write(name, rows)
+        self._point(name, [*self.current(name), part])
+        return part
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        part = f"s-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.root}/{name}/{part}")
+        return part
+
+    def _point(self, name: str, parts: list[str]) -> None:
+        new, fs = self._path(f"{self.root}/{name}/NEXT-{uuid.uuid4().hex[:12]}")
         out = fs.create(new, True)
-        out.write(bytearray(snapshot.encode()))
+        out.write(bytearray("\n".join(parts).encode()))
         out.close()
         old, _ = self._path(f"{self.root}/{name}/CURRENT")
         if fs.exists(old):
             fs.delete(old, False)
         fs.rename(new, old)
-        return snapshot
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], order: Column | None = None) -> str:
         """Rows replace those with the same keys; of several new rows with one key the last by ``order`` counts."""
@@ -68,20 +84,16 @@ class Store:
         out = old.join(new, keys, "left").select(*[F.coalesce(f"_n_{c}", c).alias(c) if c in cols else F.col(c) for c in old.columns])
         return self.replace(name, out)
 
-    def append(self, name: str, rows: DataFrame) -> str:
-        old = self.read(name)
-        return self.replace(name, rows if old is None else old.unionByName(rows, allowMissingColumns=True))
-
     def delete(self, name: str, keys_to_drop: DataFrame, keys: list[str]) -> str:
         return self.replace(name, self.read(name).join(keys_to_drop, keys, "left_anti"))
 
     def vacuum(self, name: str) -> int:
-        """Removes all snapshots but the current one; returns how many."""
+        """Removes all parts that the current state does not name; returns how many."""
         keep, gone = self.current(name), 0
         folder, fs = self._path(f"{self.root}/{name}")
         for status in fs.listStatus(folder):
             leaf = status.getPath().getName()
-            if leaf.startswith("s-") and leaf != keep:
+            if leaf.startswith("s-") and leaf not in keep:
                 fs.delete(status.getPath(), True)
                 gone += 1
         return gone
