@@ -319,13 +319,19 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
 
 
 def redact(text: str | None, key: bytes) -> str | None:
-    if not text:
-        return text
+    return redact_spans(text, key)[0]
+
+
+def redact_spans(text: str | None, key: bytes) -> tuple[str | None, int]:
+    """The redacted text and the number of replaced spans."""
+    spans = find(text)
+    if not spans:
+        return text, 0
     out, at = [], 0
-    for a, b, kind in find(text):
+    for a, b, kind in spans:
         out += [text[at:a], placeholder(kind, text[a:b], key)]
         at = b
-    return "".join(out) + text[at:]
+    return "".join(out) + text[at:], len(spans)
 
 
 def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -350,7 +356,6 @@ def redact_column(df: DataFrame, text_col: str, key: bytes, out_col: str = "reda
 
     @F.pandas_udf("text string, spans int")
     def f(texts: pd.Series) -> pd.DataFrame:
-        new = [redact(t, key) for t in texts]
-        return pd.DataFrame({"text": new, "spans": [len(find(t)) for t in texts]})
+        return pd.DataFrame([redact_spans(t, key) for t in texts], columns=["text", "spans"])
 
     return df.withColumn("_r", f(F.col(text_col))).withColumn(out_col, F.col("_r.text")).withColumn("pii_spans", F.col("_r.spans")).drop("_r")
