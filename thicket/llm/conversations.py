@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.keys import key
+from thicket.session import parallelism
 
 #: The names clients give the four speakers.
 SPEAKERS = {
@@ -49,25 +50,20 @@ def visible(content: Column) -> Column:
     return F.coalesce(content.rlike(_VISIBLE), F.lit(False))
 
 
-def fold(events: DataFrame, version: str = "ingest_seq", deleted: Column | None = None, carry: list[str] = ()) -> DataFrame:
-    """One row per message: conversation_id, seq, who (code or null), seen, and the carried columns.
+def fold(events: DataFrame, version: str = "ingest_seq", deleted: Column | None = None) -> DataFrame:
+    """One row per message: conversation_id, seq, who (code or null), seen, and the version v of its last event.
 
-    Equal events are first counted as one, which needs no sort and cuts repeated deliveries
-    before the shuffle by message; what is left of a message are its real versions.
+    One hash aggregate: the state of a message is what its event with the highest version says, in
+    numbers only, so repeated deliveries and edits are folded before the shuffle as well as after it.
     """
-    who = F.create_map(*[F.lit(x) for s, i in CODES.items() for x in (s, i)])[speaker(F.col("role"))]
+    who = F.coalesce(F.create_map(*[F.lit(x) for s, i in CODES.items() for x in (s, i)])[speaker(F.col("role"))], F.lit(7))
     gone = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
     ident = F.coalesce(key("message_id"), F.concat(F.lit("\x00"), F.col(version).cast("string")))
-    slim = events.select(
-        F.xxhash64(ident).alias("h"), ident.alias("mid"), "conversation_id", F.col("seq").cast("long").alias("seq"), who.alias("who"),
-        visible(F.col("content")).alias("seen"), gone.alias("gone"), F.col(version).cast("long").alias("v"), *carry,
-    )
-    cols = ["mid", "conversation_id", "seq", "who", "seen", "gone", *carry]
-    once = slim.groupBy("h", *cols).agg(F.max("v").alias("v"))
-    last = once.groupBy("h", "mid").agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("versions"))
-    # most messages have one version; those with more keep the row of the last
-    final = once.join(last, ["h", "mid", "v"])
-    return final.where("NOT gone AND conversation_id IS NOT NULL")
+    code = who + F.when(visible(F.col("content")), 8).otherwise(0) + F.when(gone, 16).otherwise(0)
+    slim = events.select(ident.alias("mid"), F.col("conversation_id").cast("long").alias("c"), F.col("seq").cast("long").alias("s"), code.cast("int").alias("code"), F.col(version).cast("long").alias("v"))
+    last = slim.groupBy("mid").agg(F.max("v").alias("v"), F.max_by("c", "v").alias("conversation_id"), F.max_by("s", "v").alias("seq"), F.max_by("code", "v").alias("code"))
+    known = F.col("code").bitwiseAND(7)
+    return last.where("conversation_id IS NOT NULL AND code < 16").select("conversation_id", "seq", F.when(known < 7, known).alias("who"), (F.col("code") >= 8).alias("seen"), "v")
 
 
 def counters(turns: DataFrame) -> DataFrame:
@@ -109,26 +105,44 @@ REASONS = {
 
 def verdicts(messages: DataFrame, conversations: DataFrame, **options) -> DataFrame:
     """(conversation_id, n, lo, reasons) for every id of either table; reasons is empty for those to keep."""
-    per = counters(fold(messages, **options))
+    return verdicts_of(fold(messages, **options), messages, conversations)
+
+
+def verdicts_of(turns: DataFrame, messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The same from folded turns."""
+    per = counters(turns)
     listed = conversations.select("conversation_id").unionByName(messages.select("conversation_id")).where("conversation_id IS NOT NULL").distinct()
     why = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(e), F.lit(False)), name) for name, e in REASONS.items()]))
     return listed.join(per, "conversation_id", "left").select("conversation_id", F.coalesce("n", F.lit(0)).alias("n"), "lo", why.alias("reasons"))
 
 
-def transcript(messages: DataFrame, conversations: DataFrame, **options) -> DataFrame:
-    """(conversation_id, turn, speaker, content) of the conversations that stay; turns count from 1."""
-    verdict = verdicts(messages, conversations, **options)
-    kept = verdict.where(F.size("reasons") == 0).select("conversation_id", "lo")
-    turns = fold(messages, carry=["content"], **options)
+def transcript(messages: DataFrame, conversations: DataFrame, version: str = "ingest_seq", **options) -> DataFrame:
+    """(conversation_id, part, turn, speaker, content) of the conversations that stay; turns count from 1.
+
+    Everything is decided on rows without their text; the text then moves once, to the place of its
+    (conversation, part), where it meets the surviving turns. A part holds ``PART`` sequence numbers, so a
+    conversation of any length is spread.
+    """
+    spark = messages.sparkSession
+    # join and grouping reuse the placement by (conversation, part)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    turns = fold(messages, version=version, **options)
+    kept = verdicts_of(turns, messages, conversations).where(F.size("reasons") == 0).select("conversation_id", "lo")
     names = F.element_at(F.array(*[F.lit(s) for s in SPEAKERS]), F.col("who") + 1)
-    joined = turns.join(kept, "conversation_id")
-    return joined.select("conversation_id", (F.col("seq") - F.col("lo") + 1).alias("turn"), names.alias("speaker"), "content")
+    last = turns.join(kept, "conversation_id").select("conversation_id", _part(F.col("seq")).alias("part"), "v", (F.col("seq") - F.col("lo") + 1).alias("turn"), names.alias("speaker"))
+    text = messages.where("conversation_id IS NOT NULL AND seq IS NOT NULL").select(
+        "conversation_id", _part(F.col("seq").cast("long")).alias("part"), F.col(version).cast("long").alias("v"), "content"
+    )
+    n = parallelism(spark)
+    placed = text.repartition(n, "conversation_id", "part").join(last.repartition(n, "conversation_id", "part"), ["conversation_id", "part", "v"])
+    return placed.select("conversation_id", "part", "turn", "speaker", "content")
 
 
-def transcript_parts(turns: DataFrame, size: int = PART) -> DataFrame:
-    """Turns gathered in order into arrays of at most ``size``: (conversation_id, part, turns)."""
-    part = F.floor((F.col("turn") - 1) / size).alias("part")
-    item = F.struct("turn", "speaker", "content")
-    return turns.groupBy("conversation_id", part).agg(F.array_sort(F.collect_list(item)).alias("turns"))
+def _part(seq: Column) -> Column:
+    return F.floor(seq / PART)
 
 
+def transcript_parts(turns: DataFrame) -> DataFrame:
+    """Turns gathered in order into arrays of at most ``PART``: (conversation_id, part, turns)."""
+    item = F.struct("turn", "speaker", "content")
+    return turns.groupBy("conversation_id", "part").agg(F.array_sort(F.collect_list(item)).alias("turns"))
