@@ -48,6 +48,8 @@ BLOCK_ROWS = 10_000
 PARTS, WORDS = 16, 256
 #: What the approximate similarity may be too low by without a candidate being lost.
 SLACK = 0.3
+#: Queries searched together in a block.
+QUERY_ROWS = 2000
 #: Approximate similarities held in memory at once.
 CELLS = 1 << 21
 #: A vector that more than this share of the rows have is searched once for all of them.
@@ -143,21 +145,30 @@ def _route(model: Model, probes: int, blocks: np.ndarray):
             visit = np.zeros((len(x), n_groups), bool)
             np.put_along_axis(visit, model.group[near], True, axis=1)
             visit &= asked[:, None]
-            out_rows, out_block, stored = [np.arange(len(x))], [home_block], [np.ones(len(x), bool)]
+            rows_of, block_of, stored_of, probe_of = [np.arange(len(x))], [home_block], [np.ones(len(x), bool)], [np.full(len(x), b"", object)]
+            groups = model.group[near]
             for g in range(n_groups):
                 rows = np.flatnonzero(visit[:, g])
+                if not len(rows):
+                    continue
+                # the lists of this group that each query probes
+                mine = groups[rows] == g
+                cuts = np.cumsum(mine.sum(axis=1))[:-1]
+                lists = np.array([v.tobytes() for v in np.split(near[rows][mine], cuts)] + [None], object)[:-1]
                 for b in range(first[g], first[g + 1]):
-                    away = rows[home_block[rows] != b]
-                    out_rows.append(away)
-                    out_block.append(np.full(len(away), b))
-                    stored.append(np.zeros(len(away), bool))
-            r = np.concatenate(out_rows)
-            vec = np.array([v.tobytes() for v in x], dtype=object)
-            probe = np.array([v.tobytes() for v in near], dtype=object)
+                    here = home_block[rows] == b
+                    probe_of[0][rows[here]] = lists[here]
+                    away = rows[~here]
+                    rows_of.append(away)
+                    block_of.append(np.full(len(away), b))
+                    stored_of.append(np.zeros(len(away), bool))
+                    probe_of.append(lists[~here])
+            r = np.concatenate(rows_of)
+            vec = np.array([v.tobytes() for v in x] + [None], object)[:-1]
             ids = pdf["id"].to_numpy()
             yield pd.DataFrame({
-                "block": np.concatenate(out_block).astype(np.int32), "id": ids[r], "seq": seq[r], "list": home[r].astype(np.int32),
-                "stored": np.concatenate(stored), "asked": asked[r], "vec": vec[r], "probe": probe[r],
+                "block": np.concatenate(block_of).astype(np.int32), "id": ids[r], "seq": seq[r], "list": home[r].astype(np.int32),
+                "stored": np.concatenate(stored_of), "asked": asked[r], "vec": vec[r], "probe": np.concatenate(probe_of),
             })
 
     return f
@@ -173,22 +184,32 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
         queries = pdf[pdf["asked"]].drop_duplicates("id")
         if not len(stored) or not len(queries):
             return pd.DataFrame({"q": [], "id": [], "cosine": []}).astype({"q": object, "id": object, "cosine": float})
-        stored = stored.sort_values("list", kind="stable")
+        stored, queries = stored.sort_values("list", kind="stable"), queries.sort_values("list", kind="stable")
         ids, qids = stored["id"].to_numpy(), queries["id"].to_numpy()
         x = np.frombuffer(b"".join(stored["vec"]), np.float32).reshape(len(stored), -1)
         q = np.frombuffer(b"".join(queries["vec"]), np.float32).reshape(len(queries), -1)
-        probe = np.frombuffer(b"".join(queries["probe"]), np.uint16).reshape(len(queries), -1)
+        probe = queries["probe"].to_numpy()
         lists = stored["list"].to_numpy()
         codes = model.codes(x, lists)
         own, start = np.unique(lists, return_index=True)
         end = np.append(start[1:], len(lists))
+        keep = rerank * k
+        out = pd.concat([search(q, qids, probe, ids, x, codes, own, start, end, keep, a) for a in range(0, len(q), QUERY_ROWS)])
+        if both_ways:
+            out = pd.concat([out, out.rename(columns={"q": "id", "id": "q"})[["q", "id", "cosine"]]])
+            out = out.drop_duplicates(["q", "id"]).sort_values(["q", "cosine", "id"], ascending=[True, False, True], kind="stable")
+            out = out[out.groupby("q").cumcount() < k]
+        return out
+
+    def search(q, qids, probe, ids, x, codes, own, start, end, keep: int, at: int) -> pd.DataFrame:
+        """The neighbours of ``QUERY_ROWS`` queries from row ``at`` on."""
+        q, qids, probe = (v[at : at + QUERY_ROWS] for v in (q, qids, probe))
         # queries of each list
-        flat = probe.ravel().astype(np.int64)
-        who = np.repeat(np.arange(len(q)), probe.shape[1])
+        flat = np.frombuffer(b"".join(probe), np.uint16).astype(np.int64)
+        who = np.repeat(np.arange(len(q)), [len(v) // 2 for v in probe])
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], who[order]
         lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
-        keep = rerank * k
         found_q, found_x, found_s = [], [], []
         for li, c in enumerate(own):
             mine = who[lo[li] : hi[li]]
@@ -232,10 +253,6 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
         out = pd.DataFrame({"q": qids[fq], "id": ids[fx], "cosine": cos})
         out = out.sort_values(["q", "cosine", "id"], ascending=[True, False, True], kind="stable")
         out = out[out.groupby("q").cumcount() < k]
-        if both_ways:
-            out = pd.concat([out, out.rename(columns={"q": "id", "id": "q"})[["q", "id", "cosine"]]])
-            out = out.drop_duplicates(["q", "id"]).sort_values(["q", "cosine", "id"], ascending=[True, False, True], kind="stable")
-            out = out[out.groupby("q").cumcount() < k]
         return out
 
     return f

@@ -11,7 +11,7 @@ from thicket.session import Scratch, table
 #: The key of the pseudonyms; a deployment passes its own.
 PII_KEY = b"thicket-demo-key"
 #: Lists probed for pairs of at least 0.95, and for the ten nearest at any similarity.
-NEAR_PROBES, PROBES = 2, 96
+NEAR_PROBES, PROBES = 2, 64
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
