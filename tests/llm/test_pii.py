@@ -76,6 +76,13 @@ def test_very_long_texts_are_searched_whole_in_linear_time():
     assert "id_number" in kinds(t)
 
 
+def test_no_text_makes_the_search_slow():
+    for t in ("a'" * 100_000 + "@", "x at y dot " * 20_000, "Signed, " * 20_000, "rue " * 50_000 + "1 rue", "1 a " * 50_000 + " street", "0 12 34 " * 30_000, "-- a b " * 40_000, "x@y.zz " * 60_000):
+        start = time.time()
+        pii.find(t)
+        assert time.time() - start < 5, t[:20]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(2, 300), st.binary(min_size=1, max_size=8))
 def test_permutation_is_a_bijection(size, key):

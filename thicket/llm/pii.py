@@ -18,6 +18,7 @@ hot keys cost what they hold. Other columns are not touched.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import re
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ _AT = rf"(?:\s?[@＠]\s?|%40|\s?{_OPEN}(?:at|@|ät|arroba){_SHUT}\s?)"
 _DOT = rf"(?:\.|\s?{_OPEN}(?:dot|punkt|point|punto|\.){_SHUT}\s?|\s(?:dot|punkt|point|punto)\s)"
 _LOCAL = r"[\w.%+'-]*[\w+]"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
-EMAIL = re.compile(rf"(?<![\w.%+-])(?:mailto:)?{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
-EMAIL_WORDS = re.compile(rf"(?<![\w.%+-]){_LOCAL}\s+(?:at|arroba)\s+{_LABEL}(?:{_DOT}{_LABEL})*(?:\s?{_OPEN}(?:dot|punkt|point|punto){_SHUT}\s?|\s(?:dot|punkt|point|punto)\s){_LABEL}(?:{_DOT}{_LABEL})*", re.I)
+EMAIL = re.compile(rf"(?<![\w.%+'-])(?:mailto:)?{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
+EMAIL_WORDS = re.compile(rf"(?<![\w.%+'-]){_LOCAL}\s+(?:at|arroba)\s+{_LABEL}(?:{_DOT}{_LABEL})*(?:\s?{_OPEN}(?:dot|punkt|point|punto){_SHUT}\s?|\s(?:dot|punkt|point|punto)\s){_LABEL}(?:{_DOT}{_LABEL})*", re.I)
 
 # --- numbers given by an authority ------------------------------------------------------
 _H = r"[-‐‑–]"
@@ -203,10 +204,6 @@ def _name(text: str, a: int, b: int) -> tuple[int, int] | None:
     return words[0][0], words[-1][1]
 
 
-def _overlaps(spans: list, a: int, b: int) -> bool:
-    return any(a < y and x < b for x, y, _ in spans)
-
-
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal information in a text, in order, without overlaps."""
     if not text:
@@ -215,8 +212,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     low = text.lower()
 
     def take(a: int, b: int, kind: str) -> None:
-        if not _overlaps(spans, a, b):
-            spans.append((a, b, kind))
+        # spans are kept in order and apart, so only the neighbours of a new one can touch it
+        i = bisect.bisect(spans, (a,))
+        if (i == 0 or spans[i - 1][1] <= a) and (i == len(spans) or b <= spans[i][0]):
+            spans.insert(i, (a, b, kind))
 
     if "@" in text or "＠" in text or "%40" in text or "at)" in low or "at]" in low or "at}" in low or "at>" in low or "arroba" in low or "(ät" in low or "[ät" in low:
         for m in EMAIL.finditer(text):
@@ -257,7 +256,6 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         for m in TITLED.finditer(text):
             if at := _name(text, *m.span("v")):
                 take(*at, "person")
-    spans.sort()
     return spans
 
 
