@@ -84,3 +84,27 @@ def dag_edges(summaries: DataFrame, messages: DataFrame, nodes: DataFrame) -> Da
     m = messages.select(key("message_id").alias("k"), "conversation_id").where("k IS NOT NULL").distinct().join(latest.where("NOT is_summary"), "k")
     per = m.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("targets"), F.min("node").alias("least"), F.max("node").alias("greatest"))
     return s.join(per, "conversation_id").select("src", "conversation_id", "targets", "least", "greatest")
+
+
+def edges_within(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with both ends in the set (column k)."""
+    e = edges.withColumn("_s", key("src_id")).withColumn("_d", key("dst_id"))
+    return e.join(ids.select(F.col("k").alias("_s")), "_s", "left_semi").join(ids.select(F.col("k").alias("_d")), "_d", "left_semi").drop("_s", "_d")
+
+
+def edges_apart(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with no end in the set (column k): what stays when all edges that touch it go."""
+    e = edges.withColumn("_s", key("src_id")).withColumn("_d", key("dst_id"))
+    return e.join(ids.select(F.col("k").alias("_s")), "_s", "left_anti").join(ids.select(F.col("k").alias("_d")), "_d", "left_anti").drop("_s", "_d")
+
+
+def without_orphans(edges: DataFrame, nodes: DataFrame, types: list[str]) -> DataFrame:
+    """Edges without those of the given types that have an end which is no node."""
+    chosen = F.coalesce(F.col("edge_type").isin(types), F.lit(False))
+    return edges.where(~chosen).unionByName(edges_within(edges.where(chosen), _ids(nodes)))
+
+
+def reassign(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
+    """``nodes`` with the branch that ``assignment`` (ingest_seq, new_branch) gives them, else their own."""
+    out = nodes.join(assignment.select("ingest_seq", F.col("new_branch").alias("_b")), "ingest_seq", "left")
+    return out.withColumn("branch_id", F.coalesce("_b", "branch_id")).drop("_b")

@@ -231,12 +231,43 @@ def branch_last_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "branch_id", "full").select("branch_id", F.greatest(F.coalesce("t", F.lit(0.0)), F.coalesce("f", F.lit(0.0))).alias("last_ts"))
 
 
+def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(spark, sf_dir).where("node_type = 'tool_result'").select(key("id").alias("k")).where("k IS NOT NULL").distinct()
+
+
+def _per_type(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"), F.max("edge_seq").alias("last_seq"))
+
+
+def edges_within_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK14: edges between nodes that hold tool results, per type."""
+    return _per_type(integrity.edges_within(table(spark, sf_dir, "memory_edges"), _picked(spark, sf_dir)))
+
+
+def edges_apart_from_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK15: edges left per type when all that touch nodes with tool results go."""
+    return _per_type(integrity.edges_apart(table(spark, sf_dir, "memory_edges"), _picked(spark, sf_dir)))
+
+
+def edges_without_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK16: edges left per type when refining edges with a missing end go."""
+    return _per_type(integrity.without_orphans(table(spark, sf_dir, "memory_edges"), nodes(spark, sf_dir), ["refines"]))
+
+
+def reassigned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK13: nodes per branch after those of one branch with odd numbers moved to a child."""
+    n = nodes(spark, sf_dir)
+    moved = n.where("branch_id = 'conv_1' AND ingest_seq % 2 = 1").select("ingest_seq", F.lit("conv_1_b").alias("new_branch"))
+    return integrity.reassign(n.select("ingest_seq", "branch_id"), moved).groupBy("branch_id").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         keyword_idf, keyword_matches, keyword_score, daily_log_keyword, daily_log_latest, source_times, hybrid_recommendation, conversation_content, branch_lineage_content,
         temporal_edges, correction_chain_islands, latest_correction, recent_corrections, duplicate_map, dedupe_rewire, duplicate_stats, orphan_edge_counts, topology_check,
         relabelled_edges, last_edges, cross_agent_edges, dag_edges, feedback_usefulness, feedback_stats, retrieval_co_use, feedback_retention, branch_last_activity,
+        edges_within_set, edges_apart_from_set, edges_without_orphans, reassigned_nodes,
     )
 }
 
@@ -320,6 +351,15 @@ SELECT edge_seq, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.k = e.s AND n.p = e.d
 l AS (SELECT {Q.k('lcm_id')} AS k, node_type IN ('leaf_summary', 'condensed_summary') AS su, arg_max({_ID}, ingest_seq) AS id FROM memory_nodes WHERE node_type IN ('leaf_summary', 'condensed_summary', 'message') GROUP BY 1, 2),
 x AS (SELECT l.id AS src, conversation_id FROM s JOIN l ON s.k = l.k AND su), y AS (SELECT conversation_id, count(*) AS targets, min(l.id) AS least, max(l.id) AS greatest FROM m JOIN l ON m.k = l.k AND NOT su GROUP BY 1)
 SELECT src, x.conversation_id, targets, least, greatest FROM x JOIN y USING (conversation_id)""",
+    **{
+        name: f"""WITH p AS (SELECT DISTINCT {_ID} AS k FROM memory_nodes WHERE {pick}), e AS (SELECT edge_type, edge_seq, {Q.k('src_id')} IN (SELECT k FROM p) AS s, {Q.k('dst_id')} IN (SELECT k FROM p) AS d FROM memory_edges)
+SELECT edge_type, count(*) AS edges, max(edge_seq) AS last_seq FROM e WHERE {rule} GROUP BY 1"""
+        for name, pick, rule in (
+            ("edges_within_set", "node_type = 'tool_result'", "s AND d"), ("edges_apart_from_set", "node_type = 'tool_result'", "NOT s AND NOT d"),
+            ("edges_without_orphans", "true", "edge_type <> 'refines' OR (s AND d)"),
+        )
+    },
+    "reassigned_nodes": f"SELECT CASE WHEN {_B} = 'conv_1' AND ingest_seq % 2 = 1 THEN 'conv_1_b' ELSE {_B} END AS branch_id, count(*) AS nodes FROM memory_nodes GROUP BY 1",
     "feedback_usefulness": f"""WITH {_FB}, r AS (SELECT branch_id, CASE WHEN sig IS NOT NULL THEN greatest(0, least(1, sig)) WHEN corrected THEN -0.5 WHEN used THEN 1.0 ELSE 0 END AS r, CASE WHEN corrected THEN 1.0 ELSE 0 END AS c,
   row_number() OVER (PARTITION BY branch_id ORDER BY t DESC, seq DESC) - 1 AS j FROM fb)
 SELECT branch_id, count(*) AS n, round(sum(0.1 * pow(0.9, j) * r), 6) AS usefulness, round(sum(0.1 * pow(0.9, j) * c), 6) AS retrieval_error FROM r GROUP BY 1""",
