@@ -54,3 +54,15 @@ def test_backfill(memory):
     out = {r["conversation_id"]: r["status"] for r in memory.backfill([1, 1, -3, 10**9], resume=False).collect()}
     assert out == {1: "processed", 10**9: "skipped_empty"} and memory.store.read("backfilled_nodes").count() <= 200
     assert {r["status"] for r in memory.backfill([1], dry_run=True).collect()} == {"skipped_resume"}
+
+
+def test_jobs_and_edges(memory, spark):
+    first = memory.enqueue("split", "conv_1", '{"score": 0.5}', 1.0)
+    memory.enqueue("split", "conv_1", None, 2.0)
+    memory.enqueue("merge", None, None, 3.0)
+    assert [r["created_ts"] for r in memory.pending_jobs().collect()] == [1.0, 3.0]
+    memory.complete(first)
+    assert [r["job_type"] for r in memory.pending_jobs().collect()] == ["merge"]
+    new = spark.createDataFrame([("X", "y", "same_topic", 0.1, 1.0, 10**9), ("x ", "Y", "same_topic", 0.9, 2.0, 10**9 + 1)], "src_id string, dst_id string, edge_type string, weight double, created_ts double, edge_seq long")
+    memory.add_edges(new)
+    assert [r["weight"] for r in memory.edges().where("src = 'x'").collect()] == [0.9]

@@ -16,6 +16,8 @@ from thicket.streaming import poll as polling
 
 FEEDBACK = "seq long, query_id string, branch_id string, score double, used boolean, corrected boolean, expanded boolean, usefulness_signal double, timestamp double"
 
+JOBS = "id string, job_type string, target_id string, status string, payload_json string, created_ts double"
+
 
 class UnknownBranch(KeyError):
     """No branch of that id."""
@@ -118,6 +120,31 @@ class Memory:
         return orphans.live(self.table("memory_nodes"), "id", "timestamp", self.table("purged_records"), "memory_nodes")
 
     # --- writing --------------------------------------------------------------------------
+    def enqueue(self, job_type: str, target: str | None, payload: str | None, created_ts: float) -> str:
+        """A pending job; an equal one that is pending already is not added again."""
+        job = f"{job_type}:{target or ''}:{created_ts}"
+        new = self.spark.createDataFrame([(job, job_type, target, "pending", payload, created_ts)], JOBS)
+        old = self.store.read("maintenance_jobs")
+        if old is not None:
+            new = new.join(old.where("status = 'pending'").select("job_type", F.coalesce("target_id", F.lit("")).alias("_t")), (new["job_type"] == old["job_type"]) & (F.coalesce(new["target_id"], F.lit("")) == F.col("_t")), "left_anti")
+        self.store.append("maintenance_jobs", new)
+        return job
+
+    def pending_jobs(self, limit: int = 10) -> DataFrame:
+        return self.store.read("maintenance_jobs").where("status = 'pending'").orderBy("created_ts", "id").limit(limit)
+
+    def complete(self, job: str) -> None:
+        self.store.patch("maintenance_jobs", self.spark.createDataFrame([(job, "done")], "id string, status string"), ["id"])
+
+    def add_edges(self, edges: DataFrame) -> None:
+        """Edges (src_id, dst_id, edge_type, weight, created_ts, edge_seq); the last write of a triple counts."""
+        if not self.store.current("memory_edges"):
+            self.store.replace("memory_edges", self.table("memory_edges"))
+        self.store.append("memory_edges", edges)
+
+    def edges(self) -> DataFrame:
+        return integrity.last_write(self.table("memory_edges"))
+
     def record_feedback(self, rows: DataFrame) -> DataFrame:
         """Appends feedback within the limits of age and size; returns the usefulness this gives the branches."""
         self.store.append("retrieval_feedback", rows)
