@@ -184,3 +184,47 @@ def test_drift_pairs_are_bounded_and_gapped(spark):
     d = drift.density(p).first()
     assert d["eligible"] == sum(1 for i in range(60) for j in range(i + 48, 60)) and d["drifting"] == sum(1 for i in range(60) for j in range(i + 48, 60) if (i + j) % 2)
     assert pd.DataFrame(drift.edges(p).collect()).shape[0] == d["drifting"]
+
+
+def test_an_item_finds_its_branch_among_the_newest_128_not_only_the_last_ten():
+    rng = np.random.default_rng(7)
+    e = np.eye(16)
+    f = ingest.Fold(forget=True)
+    first = f.step(0, e[0], 0, "default", None, 1.0)[1]
+    f.step(1, e[0], 0, "default", first, 2.0)
+    f.step(2, e[0], 0, "default", first, 3.0)
+    for i in range(1, 15):  # fourteen branches touched later, smaller and apart
+        f.step(2 + i, 50 * i * e[i] + rng.normal(0, 0.01, 16), 1.0, "default", f"other_{i}", 3.0 + i)
+    assert first in f.newest.best(10, None, 20.0)
+    got = f.step(99, e[0], 0, "default", None, 20.0)
+    assert got[1] == first and got[2] == "attach"
+
+
+def test_several_branches_scored_at_once_are_scored_as_one_by_one():
+    rng, cfg = np.random.default_rng(8), Config()
+    a, b = ([ingest.Branch(rng2.normal(size=6)) for _ in range(4)] for rng2 in (np.random.default_rng(9), np.random.default_rng(9)))
+    for _ in range(5):
+        x, conflict = rng.normal(size=6), float(rng.random())
+        assert np.allclose(ingest.strangeness_of(a, x, conflict, cfg), [s.strangeness(x, conflict, cfg) for s in b])
+        assert all(np.allclose(list(p.ema.values()), list(q.ema.values())) for p, q in zip(a, b))
+
+
+def test_forgotten_branches_change_nothing():
+    rng = np.random.default_rng(10)
+    xs = [rng.normal(size=4) * 10.0 ** rng.integers(-1, 3) for _ in range(600)]
+    keep, drop = ingest.Fold(newest=12), ingest.Fold(newest=12, forget=True)
+    assert [keep.step(i, x, 1.0, "default", None, float(i)) for i, x in enumerate(xs)] == [drop.step(i, x, 1.0, "default", None, float(i)) for i, x in enumerate(xs)]
+    assert len(drop.branches) <= 12 < len(keep.branches)
+
+
+def test_free_allocation_takes_every_usable_node(spark):
+    import os
+
+    from thicket.plans import evolution
+    from thicket.plans.branches import DIM, nodes
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    usable = nodes(spark, folder).where(V.usable(F.col("embedding"), DIM)).select("ingest_seq")
+    assert evolution.free_allocation(spark, folder).count() == usable.count()

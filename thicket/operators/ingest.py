@@ -59,6 +59,7 @@ class Branch:
     def __init__(self, x: np.ndarray):
         self.mean, self.anchor, self.cov = x.copy(), x.copy(), np.zeros_like(x)
         self.n, self.drift = 1, 0.0
+        self.shape = self._spectrum(self.cov)
         self.ema = dict.fromkeys(("mu", "rank", "aniso", "trace"), 0.0)
 
     @staticmethod
@@ -105,29 +106,108 @@ def update_mode(action: str, branch_type: str, sim: float, conflict: float, forc
     return "attach"
 
 
+def _spectra(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Branch._spectrum of every row."""
+    up = np.maximum(v, 0)
+    p = up / (up.sum(axis=1, keepdims=True) + EPS)
+    p = np.where(p > EPS, p, 0.0)
+    total = v.sum(axis=1)
+    return np.exp(-(p * np.log(p + EPS)).sum(axis=1)), v.max(axis=1) / (total + EPS), total
+
+
+def strangeness_of(branches: list[Branch], x: np.ndarray, conflict: float, cfg: Config) -> np.ndarray:
+    """Branch.strangeness of several branches at once; the usual moves of each are updated."""
+    mean, cov = np.array([b.mean for b in branches]), np.array([b.cov for b in branches])
+    n = np.array([max(b.n, 1) for b in branches], float)[:, None]
+    moved = (n * mean + x) / (n + 1)
+    step = moved - mean
+    old, new = np.array([b.shape for b in branches]).T, _spectra((n * cov + (x - moved) ** 2) / (n + 1))
+    moves = np.stack([np.sqrt((step * step).sum(axis=1)), *(np.abs(b - a) for a, b in zip(old, new))], axis=1)
+    usual = np.array([list(b.ema.values()) for b in branches])
+    cos = mean @ x / ((np.linalg.norm(x) + EPS) * (np.sqrt((mean * mean).sum(axis=1)) + EPS))
+    weights = np.array([cfg.gamma_mu, cfg.gamma_rank, cfg.gamma_anisotropy, cfg.gamma_trace])
+    total = cfg.gamma_semantic * (1 - cos) + cfg.gamma_conflict * conflict + (moves / (usual + EPS)) @ weights
+    usual = np.where(usual <= 0, moves, (1 - cfg.ema_rho) * usual + cfg.ema_rho * moves)
+    for b, u in zip(branches, usual.tolist()):
+        b.ema = dict(zip(b.ema, u))
+    return total
+
+
+class Newest:
+    """The branches touched last, at most ``size`` of them, as rows of one matrix."""
+
+    def __init__(self, size: int):
+        self.size, self.names, self.rows = size, [], {}
+        self.mean, self.norm = None, np.zeros(size)
+        self.n, self.stamp, self.touched = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
+
+    def put(self, name: str, b: Branch, turn: int, now: float) -> str | None:
+        """Notes a branch as touched; returns the one that falls out for it."""
+        if self.mean is None:
+            self.mean = np.zeros((self.size, len(b.mean)))
+        row, gone = self.rows.get(name), None
+        if row is None:
+            if len(self.names) < self.size:
+                row = len(self.names)
+                self.names.append(name)
+            else:
+                row = int(np.argmin(self.touched))
+                gone, self.names[row] = self.names[row], name
+                del self.rows[gone]
+            self.rows[name] = row
+        self.mean[row], self.norm[row], self.n[row] = b.mean, np.sqrt(b.mean @ b.mean), b.n
+        self.stamp[row], self.touched[row] = now, turn
+        return gone
+
+    def best(self, k: int, active: str | None, now: float) -> list[str]:
+        """TOP3: the k best by candidate score, the active branch first; of equal ones the newest."""
+        m = len(self.names)
+        if not m:
+            return []
+        n, stamp = self.n[:m], self.stamp[:m]
+        # a branch of the fold has neither feedback nor a recomputed coherence: both are 0
+        score = 0.10 * np.log1p(n) + np.where(stamp > 0, 0.20 / (1 + np.maximum(now - stamp, 0) / 86400), 0.0)
+        a = self.rows.get(active)
+        if a is not None:
+            score = score + 0.55 * (self.mean[:m] @ self.mean[a]) / ((self.norm[:m] + EPS) * (self.norm[a] + EPS))
+            score[a] = np.inf
+        return [self.names[i] for i in np.lexsort((-self.touched[:m], -score))[:k]]
+
+
 FOLD_SCHEMA = "item long, branch_id string, action string, score double, sim double, update_mode string, prev_item long, root_item long, version long, anchor_drift double"
 
 
 class Fold:
-    """Items taken one after the other: allocation, update mode, correction chain, geometry."""
+    """Items taken one after the other: allocation, update mode, correction chain, geometry.
+
+    Candidates of a free item are the best ten of the newest 128 branches by candidate score (TOP3); the active
+    branch is the one that took the item before. With ``forget`` a branch beyond the newest 128 is dropped: no free
+    item can reach it any more, so the state is bounded and the result the same.
+    """
 
-    def __init__(self, cfg: Config = Config(), candidates: int = 10, prefix: str = "conv_"):
-        self.cfg, self.candidates, self.prefix = cfg, candidates, prefix
+    def __init__(self, cfg: Config = Config(), candidates: int = 10, prefix: str = "conv_", newest: int = 128, forget: bool = False):
+        self.cfg, self.candidates, self.prefix, self.forget = cfg, candidates, prefix, forget
         self.branches: dict[str, Branch] = {}
         self.last: dict[str, tuple[int, int, int]] = {}
-        self.recent: dict[str, None] = {}
+        self.newest = Newest(newest)
+        self.active: str | None = None
+        self.turn, self.now = 0, 0.0
         self.fresh = 0
 
-    def step(self, item: int, x: np.ndarray, conflict: float, branch_type: str, forced: str | None) -> tuple:
+    def step(self, item: int, x: np.ndarray, conflict: float, branch_type: str, forced: str | None, ts: float | None = None) -> tuple:
         sim, score, action, name = 0.0, 0.0, "fork", forced
+        if ts is not None and ts > self.now:  # the clock of the fold never runs back; NaN and null leave it
+            self.now = ts
         if forced is not None:
             if name in self.branches:
                 sim = self.branches[name].cosine(x)
                 score, action = self.branches[name].strangeness(x, conflict, self.cfg), "attach"
         else:
-            near = list(self.recent)[-self.candidates :]
+            near = self.newest.best(self.candidates, self.active, self.now)
             if near:
-                score, name = min((self.branches[b].strangeness(x, conflict, self.cfg), b) for b in near)
+                scores = strangeness_of([self.branches[b] for b in near], x, conflict, self.cfg)
+                i = int(np.argmin(scores))
+                score, name = float(scores[i]), near[i]
                 sim = self.branches[name].cosine(x)
                 action = "attach" if score < self.cfg.attach_below else "tension" if score < self.cfg.tension_below else "fork"
             if action == "fork":
@@ -142,8 +222,10 @@ class Fold:
             self.branches[name].add(x, self.cfg)
         else:
             self.branches[name] = Branch(x)
-        self.recent.pop(name, None)
-        self.recent[name] = None
+        self.turn, self.active = self.turn + 1, name
+        gone = self.newest.put(name, self.branches[name], self.turn, self.now)
+        if gone is not None and self.forget:
+            del self.branches[gone], self.last[gone]
         return item, name, action, score, sim, mode, prev, root if linked else None, version, self.branches[name].drift
 
 
@@ -151,14 +233,14 @@ def _folding(cfg: Config, by_branch: bool):
     """Batches in order (branch, item) or (item); the state is that of the current branch, or of all."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, current = Fold(cfg), None
+        fold, current = Fold(cfg, forget=not by_branch), None
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
                 forced = r.forced_branch if by_branch else None
                 if by_branch and forced != current:
                     fold, current = Fold(cfg), forced
-                rows.append(fold.step(r.item, np.asarray(r.x, float), float(r.conflict), r.branch_type, forced))
+                rows.append(fold.step(r.item, np.asarray(r.x, float), float(r.conflict), r.branch_type, forced, r.ts))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
             yield out.astype({"prev_item": "Int64", "root_item": "Int64"})
 
@@ -170,12 +252,13 @@ def forced_fold(items: DataFrame, cfg: Config = Config()) -> DataFrame:
 
     The rows of a branch stream through one task in batches; only the state of one branch is held.
     """
-    rows = items.where("forced_branch IS NOT NULL").repartition("forced_branch").sortWithinPartitions("forced_branch", "item")
+    rows = items.where("forced_branch IS NOT NULL").withColumn("ts", F.lit(None).cast("double")).repartition("forced_branch").sortWithinPartitions("forced_branch", "item")
     return rows.mapInPandas(_folding(cfg, True), FOLD_SCHEMA)
 
 
 def free_fold(items: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Items without branch allocated one after the other: serial, in one task, streamed in batches."""
+    """Items without branch (item, x, conflict, branch_type, ts) allocated one after the other: serial, in one task,
+    streamed in batches; the state is that of the newest 128 branches."""
     rows = items.withColumn("forced_branch", F.lit(None).cast("string")).repartition(1).sortWithinPartitions("item")
     return rows.mapInPandas(_folding(cfg, False), FOLD_SCHEMA)
 

@@ -57,9 +57,9 @@ def forced_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def free_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM5, SCO1-2: summaries allocated to branches one after the other (serial by nature)."""
-    n = nodes(spark, sf_dir).where(V.usable(F.col("embedding"), DIM)).where("node_type = 'condensed_summary'")
-    items = n.select(F.col("ingest_seq").alias("item"), V.doubles("embedding").alias("x"), F.coalesce("conflict_score", F.lit(0.0)).alias("conflict"), F.lit("default").alias("branch_type"))
+    """STM5, SCO1-2, TOP3: all usable nodes allocated to branches one after the other (serial by nature)."""
+    n = nodes(spark, sf_dir).where(V.usable(F.col("embedding"), DIM))
+    items = n.select(F.col("ingest_seq").alias("item"), V.doubles("embedding").alias("x"), F.coalesce("conflict_score", F.lit(0.0)).alias("conflict"), F.lit("default").alias("branch_type"), F.col("timestamp").alias("ts"))
     return ingest.free_fold(items)
 
 
