@@ -228,3 +228,16 @@ def test_free_allocation_takes_every_usable_node(spark):
         pytest.skip("no test tables")
     usable = nodes(spark, folder).where(V.usable(F.col("embedding"), DIM)).select("ingest_seq")
     assert evolution.free_allocation(spark, folder).count() == usable.count()
+
+
+def test_long_branches_are_split_by_all_their_vectors(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for b, n in (("a", 400), ("b", 90), ("same", 20), ("short", 5)):
+        x = rng.normal(size=(n, 3)) if b != "same" else np.ones((n, 3))
+        rows += [(b, 1000 * ord(b[0]) + i, v.tolist()) for i, v in enumerate(x)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(b, int(i), list(map(float, v))) for b, i, v in rows], "branch_id string, ingest_seq long, embedding array<float>")
+    want = {tuple(r) for r in ingest.split_branches(df, 3).collect()}
+    for most in (10, 100):
+        assert {tuple(r) for r in ingest.split_branches(df, 3, most=most).collect()} == want

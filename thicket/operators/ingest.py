@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.config import EPS, Config
 from thicket.functions import vectors as V
 from thicket.operators.lineage import ordered
+from thicket.session import Scratch, parallelism
 
 
 def running_mean(nodes: DataFrame, dim: int, rho: float = 0.05) -> DataFrame:
@@ -279,17 +281,104 @@ def two_means(x: np.ndarray, rounds: int = 20) -> np.ndarray:
     return labels
 
 
+def _lloyd_sums(centres: dict[str, tuple], before: dict[str, tuple], dim: int):
+    """Per task and branch of ``centres``: for each label its rows, their sum, and the row farthest from its centre;
+    and how many rows changed their label since ``before``."""
+
+    def near(x: np.ndarray, seq: np.ndarray, state: tuple) -> np.ndarray:
+        c, moved = state
+        if c is None:
+            return np.zeros(len(x), int)
+        labels = np.argmin(np.stack([((x - v) ** 2).sum(axis=1) for v in c], axis=1), axis=1)
+        if moved is not None:
+            labels[seq == moved[1]] = moved[0]
+        return labels
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[str, list] = {}
+        for batch in batches:
+            names = batch.column("branch_id").to_numpy(zero_copy_only=False)
+            seqs = batch.column("ingest_seq").to_numpy(zero_copy_only=False)
+            xs = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
+            for name in set(names.tolist()) & set(centres):
+                x, seq = xs[names == name], seqs[names == name]
+                labels = near(x, seq, centres[name])
+                t = acc.setdefault(name, [[0, 0], [np.zeros(dim), np.zeros(dim)], [(-1.0, 0, None)] * 2, 0])
+                t[3] += int((labels != near(x, seq, before[name])).sum())
+                for c in (0, 1):
+                    d = ((x - centres[name][0][c]) ** 2).sum(axis=1)
+                    i = np.lexsort((seq, -d))[0]  # of equally far ones the first
+                    t[0][c] += int((labels == c).sum())
+                    t[1][c] += x[labels == c].sum(axis=0)
+                    t[2][c] = max(t[2][c], (float(d[i]), -int(seq[i]), x[i].tolist()), key=lambda r: r[:2])
+        rows = [(b, c, n[c], s[c].tolist(), far[c][0], -far[c][1], far[c][2], changed) for b, (n, s, far, changed) in acc.items() for c in (0, 1)]
+        cols = list(zip(*rows)) or [[]] * len(_SUMS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(cols, _SUMS.values())], names=list(_SUMS))
+
+    return f
+
+
+_SUMS = {"branch_id": pa.string(), "label": pa.int32(), "n": pa.int64(), "total": pa.list_(pa.float64()), "far": pa.float64(), "far_seq": pa.int64(), "far_x": pa.list_(pa.float64()), "changed": pa.int64()}
+_SUMS_SCHEMA = "branch_id string, label int, n long, total array<double>, far double, far_seq long, far_x array<double>, changed long"
+
+
+def _long_centres(rows: DataFrame, dim: int, rounds: int = 20) -> list[tuple[str, list[float], list[float]]]:
+    """(branch_id, c0, c1) by the rounds of ``two_means`` over all rows, as sums per task; the driver holds only
+    the centres of the branches in ``rows`` (few: each is longer than what fits into one task)."""
+
+    def pass_over(centres: dict, before: dict) -> dict[str, list]:
+        out: dict[str, list] = {}
+        for r in rows.mapInArrow(_lloyd_sums(centres, before, dim), _SUMS_SCHEMA).collect():
+            t = out.setdefault(r["branch_id"], [[0, 0], np.zeros((2, dim)), [(-1.0, 0, None)] * 2, 0])
+            c = r["label"]
+            t[0][c] += r["n"]
+            t[1][c] += r["total"]
+            t[2][c] = max(t[2][c], (r["far"], -r["far_seq"], r["far_x"]), key=lambda v: v[:2])
+            t[3] += r["changed"] if c == 0 else 0
+        return out
+
+    none = (None, None)
+    first = {r["branch_id"]: np.array(r["f"]["x"], float) for r in rows.groupBy("branch_id").agg(F.min(F.struct("ingest_seq", F.col("embedding").alias("x"))).alias("f")).collect()}
+    state = {b: (np.stack([x, x]), None) for b, x in first.items()}
+    if not state:
+        return []
+    seen = pass_over(state, dict.fromkeys(state, none))
+    centres = {b: np.stack([first[b], seen[b][2][0][2]]) for b in state}
+    before: dict[str, tuple] = dict.fromkeys(state, none)
+    busy = set(state)
+    for _ in range(max(4, rounds)):
+        seen = pass_over({b: (centres[b], None) for b in busy}, {b: before[b] for b in busy})
+        for b, (n, total, far, changed) in seen.items():
+            moved = None
+            for c in (0, 1):
+                if not n[c]:  # an empty cluster takes the row farthest from the other centre
+                    _, seq, x = far[1 - c]
+                    moved = (c, -seq)
+                    # all rows had the other label; in the first round the labels before are all 0
+                    was = before[b]
+                    same = was[1] == moved and was[0] is not None and np.array_equal(was[0], centres[b])
+                    changed = 0 if same else 1
+                    n[c], n[1 - c] = 1, n[1 - c] - 1
+                    total[c], total[1 - c] = x, total[1 - c] - np.array(x)
+            if not changed:
+                busy.discard(b)
+                continue
+            before[b] = (centres[b], moved)
+            centres[b] = total / np.array(n, float)[:, None]
+        if not busy:
+            break
+    return [(b, c[0].tolist(), c[1].tolist()) for b, c in centres.items()]
+
+
 def split_branches(nodes: DataFrame, dim: int, least: int = 8, most: int = 200_000) -> DataFrame:
-    """(branch_id, ingest_seq, child) of branches to split: two children each by 2-means.
+    """(branch_id, ingest_seq, child) of branches to split: two children each by 2-means over all their vectors.
 
-    The vectors of one branch fit into one task up to ``most`` of them; the centres of a longer branch are found
-    on as many, evenly chosen, and all its nodes are then assigned to them.
+    The vectors of one branch fit into one task up to ``most`` of them; for longer branches every round
+    is a distributed sum per (branch, label), so no vector is left out at any size.
     """
     rows = nodes.where(V.usable(F.col("embedding"), dim)).select("branch_id", "ingest_seq", "embedding")
     size = rows.groupBy("branch_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     rows = rows.join(size, "branch_id")
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n"))
-    chosen = rows.where(F.pmod(F.xxhash64("ingest_seq"), F.lit(1 << 20)) < share * (1 << 20))
 
     def centres(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ingest_seq")
@@ -298,6 +387,10 @@ def split_branches(nodes: DataFrame, dim: int, least: int = 8, most: int = 200_0
         c = [x[labels == i].mean(axis=0).tolist() if (labels == i).any() else x[0].tolist() for i in (0, 1)]
         return pd.DataFrame({"branch_id": [g["branch_id"].iloc[0]], "c0": [c[0]], "c1": [c[1]]})
 
-    found = chosen.groupBy("branch_id").applyInPandas(centres, "branch_id string, c0 array<double>, c1 array<double>")
+    schema = "branch_id string, c0 array<double>, c1 array<double>"
+    found = rows.where(F.col("n") <= most).select("branch_id", "ingest_seq", "embedding").groupBy("branch_id").applyInPandas(centres, schema)
+    long = rows.where(F.col("n") > most).select("branch_id", "ingest_seq", "embedding")
+    long = Scratch(nodes.sparkSession, "split").save(long.repartition(parallelism(nodes.sparkSession)), "long")
+    found = found.unionByName(nodes.sparkSession.createDataFrame(_long_centres(long, dim), schema))
     far = lambda c: F.aggregate(F.zip_with(V.doubles("embedding"), F.col(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     return rows.join(found, "branch_id").select("branch_id", "ingest_seq", F.when(far("c1") < far("c0"), 1).otherwise(0).alias("child"))
