@@ -60,3 +60,20 @@ def test_numbering_dangling_repeats_and_empty(spark):
 def test_descendants(spark):
     p = spark.createDataFrame([(1, [1]), (2, [1, 2]), (3, [1, 2, 3])], "nid long, path array<long>")
     assert {tuple(r) for r in hierarchy.descendants(p).collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
+
+
+def test_descendants_of_whole_circles(spark):
+    rng = random.Random(4)
+    parent = {v: None if rng.random() < 0.05 else rng.randint(0, 59) for v in range(60)}
+    parent |= {100: 101, 101: 102, 102: 100, 103: 101, 104: 103, 105: 100, 200: 200, 201: 200}
+    want = set()
+    for v in parent:
+        x, hops, seen = parent[v], 1, {v}
+        while x is not None and x not in seen:
+            want.add((x, v, hops))
+            seen.add(x)
+            x, hops = parent[x], hops + 1
+    rows = spark.createDataFrame([(v, p, False) for v, p in parent.items()], "nid long, pid long, dangling boolean")
+    placed = hierarchy.contract(rows, with_paths=True).select("nid", "path", "on_cycle").withColumn("correction", F.lit(False))
+    got = [(r["ancestor"], r["nid"], r["distance"]) for r in hierarchy.descendants(placed).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

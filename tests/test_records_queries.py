@@ -68,3 +68,13 @@ def test_p6_kinds_and_inheritance(spark, folder):
 def test_p7_share_is_of_all_rows(spark, folder):
     d = folder(messages=[("m", 1, 1, 1.0, i) for i in range(30)] + [("m", 2, 1, 1.0, 100)] + [("m", None, 1, 1.0, 200 + i) for i in range(69)], nodes=[{"branch_id": b, "ingest_seq": i} for i, b in enumerate(["B", " b", "b"] + [None] * 100)])
     assert rows(records.p7_found(spark, d)) == {("messages.conversation_id", "1"), ("memory_nodes.branch_id", "b")}
+
+
+def test_p5_descendants_emits_rows_and_counts_whole_circles(spark, folder):
+    n = lambda i, s, p=None: {"id": i, "ingest_seq": s, "parent_id": p}
+    d = folder(nodes=[n("a", 1, "b"), n("b", 2, "c"), n("c", 3, "a"), n("x", 4, "b"), n("r", 5), n("s", 6, "r")])
+    below = {r for r in rows(records.p5_descendants(spark, d)) if r[0] == "parent"}
+    circle = {("parent", a, c, (p - q) % 3) for q, a in enumerate((3, 2, 1)) for p, c in enumerate((3, 2, 1)) if a != c}
+    assert below == circle | {("parent", 2, 4, 1), ("parent", 3, 4, 2), ("parent", 1, 4, 3), ("parent", 5, 6, 1)}
+    counts = {r["nid"]: r["descendants"] for r in records.p5_hierarchy(spark, d).where("link = 'parent'").collect()}
+    assert counts == {1: 3, 2: 3, 3: 3, 4: 0, 5: 1, 6: 0}

@@ -127,7 +127,29 @@ def _one_round(alive: DataFrame, with_paths: bool) -> DataFrame:
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """(ancestor, nid, distance): every node below every node, from the paths."""
+    """(ancestor, nid, distance): every node below every node, from the paths.
+
+    With on_cycle (and any columns that tell forests apart, such as correction) circles are whole: whoever is on a
+    circle or hangs below it is below every other member, at the hops along the links.
+    """
     far = F.size("path") - 1
-    out = paths.select("nid", far.alias("_n"), F.posexplode("path").alias("_i", "ancestor"))
-    return out.where(F.col("_i") < F.col("_n")).select("ancestor", "nid", (F.col("_n") - F.col("_i")).alias("distance"))
+    if "on_cycle" not in paths.columns:
+        out = paths.select("nid", far.alias("_n"), F.posexplode("path").alias("_i", "ancestor"))
+        return out.where(F.col("_i") < F.col("_n")).select("ancestor", "nid", (F.col("_n") - F.col("_i")).alias("distance"))
+    keys = [c for c in paths.columns if c not in ("nid", "path", "on_cycle")]
+    # the core comes first in the path of each node of its circle; the members follow in the order of their depth
+    core = F.element_at("path", 1)
+    members = paths.where("on_cycle").select(*keys, core.alias("_core"), F.col("nid").alias("_m"), far.alias("_q"))
+    circles = members.groupBy(*keys, "_core").agg(F.sort_array(F.collect_list(F.struct("_q", "_m"))).alias("_s"))
+    circles = circles.select(*keys, "_core", F.transform("_s", lambda m: m["_m"]).alias("_circle"))
+    t = paths.withColumn("_core", core).join(circles, [*keys, "_core"], "left").withColumn("_n", far)
+    plain = t.select(*keys, "nid", "_n", "_circle", F.posexplode("path").alias("_i", "ancestor")).where(F.col("_i") < F.col("_n"))
+    plain = plain.where(F.col("_circle").isNull() | ~F.array_contains(F.slice("_circle", F.col("_i") + 1, 1), F.col("ancestor")))
+    plain = plain.select(*keys, "ancestor", "nid", (F.col("_n") - F.col("_i")).alias("distance"))
+    # the path shares its first members with the circle up to the place where the node enters it
+    size = F.size("_circle")
+    shared = F.size(F.filter(F.zip_with(F.slice("path", 1, F.least(F.size("path"), size)), F.slice("_circle", 1, F.least(F.size("path"), size)), lambda p, m: p == m), lambda same: same))
+    around = t.where("_circle IS NOT NULL").withColumn("_p", shared - 1).select(*keys, "nid", "_n", "_p", size.alias("_l"), F.posexplode("_circle").alias("_q", "ancestor"))
+    hops = F.col("_n") - F.col("_p") + F.pmod(F.col("_p") - F.col("_q"), F.col("_l"))
+    around = around.where(F.col("ancestor") != F.col("nid")).select(*keys, "ancestor", "nid", hops.alias("distance"))
+    return plain.unionByName(around)

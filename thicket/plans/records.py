@@ -64,12 +64,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(ids.select("nid", "id"), "nid").select("kind", "id")
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Scratch(spark, "placed").save(_both_links(_numbered(spark, sf_dir), with_paths=True), "placed")
+
+
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth, root and number of descendants of every node along both kinds of links."""
-    nodes = _numbered(spark, sf_dir)
-    placed = Scratch(spark, "placed").save(_both_links(nodes, with_paths=True), "placed")
-    below = hierarchy.descendants(placed.select((F.col("nid") * 2 + F.col("correction").cast("int")).alias("nid"), "path", "correction"))
-    below = below.groupBy(F.col("ancestor").alias("nid"), (F.col("nid") % 2 == 1).alias("correction")).agg(F.count(F.lit(1)).alias("descendants"))
+    placed = _placed(spark, sf_dir)
+    below = hierarchy.descendants(placed.select("nid", "path", "correction", "on_cycle"))
+    below = below.groupBy(F.col("ancestor").alias("nid"), "correction").agg(F.count(F.lit(1)).alias("descendants"))
     out = placed.join(below, ["nid", "correction"], "left")
     return out.select(
         F.when(F.col("correction"), "correction").otherwise("parent").alias("link"), "nid", "root", "depth", "end", "on_cycle",
@@ -78,6 +81,12 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every node along both kinds of links: (link, ancestor, nid, distance)."""
+    below = hierarchy.descendants(_placed(spark, sf_dir).select("nid", "path", "correction", "on_cycle"))
+    return below.select(F.when(F.col("correction"), "correction").otherwise("parent").alias("link"), "ancestor", "nid", F.col("distance").cast("long").alias("distance"))
+
+
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "memory_edges")
     ends = edges.select("edge_seq", "created_ts", F.explode(F.map_from_arrays(F.array(F.lit("src_id"), F.lit("dst_id")), F.array("src_id", "dst_id"))).alias("ref_field", "raw"))
@@ -175,7 +184,7 @@ def p7_branch_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_deliveries, p5_found, p5_hierarchy, p6_found, p6_orphan_report, p7_found, p7_conversation_loads, p7_branch_loads)
+    for f in (p4_found, p4_deliveries, p5_found, p5_hierarchy, p5_descendants, p6_found, p6_orphan_report, p7_found, p7_conversation_loads, p7_branch_loads)
 }
 
 _K = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
