@@ -62,3 +62,11 @@ def test_held_out_accuracy(spark):
     a, t = graded["level"] >= 3.5, graded["y"] >= 3.5
     assert (a & t).sum() / a.sum() > 0.8 and (a & t).sum() / t.sum() > 0.8
     assert np.sqrt(((graded["level"] - graded["y"]) ** 2).mean()) < 0.55
+
+
+def test_long_prose_with_a_sign_of_code_stays(spark):
+    long = "the people of the town were glad to see that the old bridge had been built again after the flood of that year "
+    texts = [long + "(see note 8): `x`", long + "and so they said;", "[3] " + long, "return of " + long, long + "with max_size = 3 kept", "a_b = f(x);\nreturn the value;\n[job] state=done rows=5 took ten seconds"]
+    got = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(reading.prose(F.col("t")).alias("p")).collect()]
+    assert all(len(g) == 1 and "old bridge" in g[0] for g in got[:5]) and got[5] == []
+    assert "max_size" not in got[4][0] and "kept" in got[4][0]

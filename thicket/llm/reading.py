@@ -6,8 +6,8 @@ rank), and the coverage rank is the rank a reader must know up to. Coverage rank
 word length and sentence complexity are calibrated against labelled documents by a ridge
 regression whose normal equations are summed in SQL; the level is clipped to 1 ... 5.
 
-Only prose counts: fenced and inline code, lines that read like code or log output, headings' and list
-marks and speaker labels of chat exports are taken out first. A document with fewer words of prose than
+Only prose counts: fenced and inline code, lines with few words for their signs of code, headings' and list
+marks and speaker labels of chat exports are taken out first; of other lines only the tokens with such signs. A document with fewer words of prose than
 ``min_words`` has no level (band 0). The language is the one whose function words are most frequent in
 the text; where none occurs, the stated one, else English.
 
@@ -59,7 +59,25 @@ def prose(text: Column) -> Column:
     t = F.regexp_replace(t, r"`[^`\n]{0,200}`(?: = [\w.]+)?", " ")
     lines = F.split(t, "\n")
     lines = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*(?:#{1,6}\s|[-*+•]\s|\d+[.)]\s|>\s?)?(?:(?:user|assistant|system|tool)\s*:\s)?", ""))
-    return F.filter(lines, lambda x: (F.length(F.trim(x)) > 0) & ~x.rlike(r"[_={}\\|]|;\s*$|\):\s*$|^\s*(?:SELECT|assert|import|def|return)\b|^\["))
+    lines = F.filter(lines, lambda x: (F.length(F.trim(x)) > 0) & (_n_words(x) >= WORDS_PER_SIGN * _signs(x)))
+    # what is left is prose: only the tokens that are code go
+    return F.transform(lines, lambda x: F.regexp_replace(x, rf"^\[\S*|\S*{_CODE}\S*", " "))
+
+
+#: A line with fewer words than this for every sign of code is code.
+WORDS_PER_SIGN = 8
+_CODE = r"[_={}\\|]"
+
+
+def _signs(line: Column) -> Column:
+    """Signs of code in a line: marks, and a beginning or an end as statements and log lines have it."""
+    marks = F.size(F.regexp_extract_all(line, F.lit(_CODE), F.lit(0)))
+    start = line.rlike(r"^\s*(?:SELECT|assert|import|def|return)\b|^\[").cast("int")
+    return marks + start + line.rlike(r";\s*$|\):\s*$").cast("int")
+
+
+def _n_words(line: Column) -> Column:
+    return F.size(F.filter(words(line), lambda w: F.length(w) > 1))
 
 
 def words(line: Column) -> Column:
