@@ -87,6 +87,13 @@ def prefilter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("branch_id", _R("cheap").alias("cheap"), _R("total").alias("total"))
 
 
+def prefilter_cascade_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP2: the best by the cheap score, ranked by the exact one, with the limits of Config."""
+    cfg = Config()
+    ranked = retrieval.cascade(_located(spark, sf_dir), query_vector(spark, sf_dir), limit=cfg.prefilter_limit, top=cfg.result_limit)
+    return ranked.select("branch_id", _R("cheap").alias("cheap"), _R("total").alias("total"))
+
+
 def rank_with_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP4: relevance blended with recency, over all branches that may be retrieved."""
     keep = _located(spark, sf_dir).where(~F.col("state").isin(list(Config().excluded_states)))
@@ -200,7 +207,7 @@ def activity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        branch_stats, branch_centroids, role_diversity, smoothed_stats, _ranked("balanced"), _ranked("factual"), _ranked("exploratory"), prefilter_cascade, rank_with_recency,
+        branch_stats, branch_centroids, role_diversity, smoothed_stats, _ranked("balanced"), _ranked("factual"), _ranked("exploratory"), prefilter_cascade, prefilter_cascade_whole, rank_with_recency,
         allocation_candidates, collapsing_sidecar, split_score_rank, merge_pairs, geometry_stats, snapshot_export, branch_report, next_branch_id, keyset_page, activity_filter,
     )
 }
@@ -247,3 +254,4 @@ WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY coalesce(last_update
     "keyset_page": f"SELECT {_B} AS branch_id FROM branch_states WHERE {_B} > 'conv_2' ORDER BY 1 LIMIT 50",
     "activity_filter": f"SELECT {_B} AS branch_id, state, CASE WHEN last_update_ts IS NULL OR last_update_ts <= 0 THEN 'unknown' WHEN last_update_ts >= {AS_OF} - 1209600 THEN 'recent' ELSE 'stale' END AS activity FROM branch_states",
 }
+ORACLE["prefilter_cascade_whole"] = ORACLE["prefilter_cascade"].replace("LIMIT 64)", "LIMIT 256)").replace("LIMIT 32", "LIMIT 128")

@@ -30,6 +30,12 @@ def backfill_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backfill.stride_sample(m, "conversation_id", 20).select("conversation_id", "ingest_seq", "place")
 
 
+def backfill_sample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1, WIN9-10: messages a backfill takes, at most 200 of a conversation as in backfill_status."""
+    m = table(spark, sf_dir, "messages").where("conversation_id IS NOT NULL")
+    return backfill.stride_sample(m, "conversation_id", 200).select("conversation_id", "ingest_seq", "place")
+
+
 def summary_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC6: vectors of summary nodes blended with the centroid of their branch's messages, 0.7 to 0.3."""
     n = nodes(spark, sf_dir)
@@ -111,7 +117,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        backfill_status, backfill_sample, summary_nodes, table_totals, conversation_candidates, new_identifiers, update_mode_classify, content_lengths, branch_ages, daily_log_semantic, hybrid_search,
+        backfill_status, backfill_sample, backfill_sample_whole, summary_nodes, table_totals, conversation_candidates, new_identifiers, update_mode_classify, content_lengths, branch_ages, daily_log_semantic, hybrid_search,
     )
 }
 
@@ -147,3 +153,4 @@ SELECT branch_id, node_key, round(c, 6) AS sim FROM s ORDER BY round(s.c, 6) DES
 ORACLE["hybrid_search"] = f"""SELECT 'geometry' AS channel, branch_id AS target, total AS score FROM (SELECT * FROM ({branches.ORACLE['branch_rank_balanced']}) ORDER BY total DESC, branch_id LIMIT 5)
 UNION ALL SELECT 'keyword', 'conv_' || CAST(conversation_id AS VARCHAR), score FROM (SELECT * FROM ({messages.ORACLE['keyword_score']}) ORDER BY score DESC, phrase_messages DESC, covered DESC, conversation_id LIMIT 5)
 UNION ALL SELECT 'daily_log', node_key, 0.0 FROM (SELECT * FROM ({messages.ORACLE['daily_log_keyword']}) ORDER BY created_ts DESC, node_key LIMIT 5)"""
+ORACLE["backfill_sample_whole"] = ORACLE["backfill_sample"].replace("n <= 20 ", "n <= 200 ").replace("// 20 ", "// 200 ").replace("range(20)", "range(200)")

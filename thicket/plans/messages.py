@@ -31,14 +31,23 @@ def keyword_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("term", "df", _R("idf").alias("idf"))
 
 
-def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP6, STR3: the newest 300 matches of every term, with a text window around the first hit."""
+def _newest_matches(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
     m = keyword.matches(_messages(spark, sf_dir), TERMS, PHRASE)
     each = m.select("conversation_id", "message_id", "ingest_seq", "created_at", "content", "in_phrase", F.inline("hits"))
-    top = retrieval.top_per_group(each, ["term"], [F.col("created_at").desc_nulls_last(), F.col("ingest_seq")], 300)
+    top = each if most is None else retrieval.top_per_group(each, ["term"], [F.col("created_at").desc_nulls_last(), F.col("ingest_seq")], most)
     return top.select("term", "ingest_seq", "conversation_id", "pos", "in_phrase", keyword.snippet(F.col("content"), F.col("pos")).alias("snippet"))
 
 
+def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP6, STR3: the newest 300 matches of every term, with a text window around the first hit."""
+    return _newest_matches(spark, sf_dir, 300)
+
+
+def keyword_matches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP6, STR3: all matches of every term, with a text window around the first hit."""
+    return _newest_matches(spark, sf_dir, None)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _messages(spark, sf_dir)
     weights = keyword.document_weights(m, TERMS, _n_conversations(spark, sf_dir))
@@ -224,6 +233,12 @@ def feedback_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("branch_id").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("first_seq"))
 
 
+def feedback_retention_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK17-18: feedback that stays after the age and size limits of Config, per branch."""
+    kept = feedback.retained(_feedback(spark, sf_dir), 1706659200.0)
+    return kept.groupBy("branch_id").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("first_seq"))
+
+
 def branch_last_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG5: the later of the last node and the last feedback."""
     a = nodes(spark, sf_dir).where("branch_id IS NOT NULL").groupBy("branch_id").agg(F.max("timestamp").alias("t"))
@@ -264,9 +279,9 @@ def reassigned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        keyword_idf, keyword_matches, keyword_score, daily_log_keyword, daily_log_latest, source_times, hybrid_recommendation, conversation_content, branch_lineage_content,
+        keyword_idf, keyword_matches, keyword_matches_whole, keyword_score, daily_log_keyword, daily_log_latest, source_times, hybrid_recommendation, conversation_content, branch_lineage_content,
         temporal_edges, correction_chain_islands, latest_correction, recent_corrections, duplicate_map, dedupe_rewire, duplicate_stats, orphan_edge_counts, topology_check,
-        relabelled_edges, last_edges, cross_agent_edges, dag_edges, feedback_usefulness, feedback_stats, retrieval_co_use, feedback_retention, branch_last_activity,
+        relabelled_edges, last_edges, cross_agent_edges, dag_edges, feedback_usefulness, feedback_stats, retrieval_co_use, feedback_retention, feedback_retention_whole, branch_last_activity,
         edges_within_set, edges_apart_from_set, edges_without_orphans, reassigned_nodes,
     )
 }
@@ -373,3 +388,5 @@ SELECT a AS branch_a, b AS branch_b, shared, CAST(ut AS BIGINT) AS used_together
     "branch_last_activity": f"""WITH {_FB}, a AS (SELECT {_B} AS branch_id, max("timestamp") AS t FROM memory_nodes WHERE {_B} IS NOT NULL GROUP BY 1), b AS (SELECT branch_id, max(t) AS f FROM fb GROUP BY 1)
 SELECT branch_id, greatest(coalesce(a.t, 0), coalesce(f, 0)) AS last_ts FROM a FULL JOIN b USING (branch_id)""",
 }
+ORACLE["keyword_matches_whole"] = ORACLE["keyword_matches"].replace(" WHERE rn <= 300", "")
+ORACLE["feedback_retention_whole"] = ORACLE["feedback_retention"].replace("14 * 86400", "90 * 86400").replace("<= 3000", "<= 200000")
