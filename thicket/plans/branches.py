@@ -129,12 +129,8 @@ def split_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(F.broadcast(best), "branch_id", "left").select("branch_id", "split_score", F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
-def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCO3-4, SCO15, JOIN14-15: stable or dormant branches linked by topic edges, with their merge score.
-
-    Only pairs with an edge between their nodes are scored: without one the topic overlap is zero and
-    the score of unit vectors stays below any threshold in use, so all-against-all is not needed.
-    """
+def _merge_scores(spark: SparkSession, sf_dir: str, co: DataFrame | None) -> DataFrame:
+    """Merge scores of the pairs with an edge between their nodes or, given (branch_a, branch_b, co_use), used together."""
     cfg = Config()
     alias = nodes(spark, sf_dir).select("branch_id", key("id").alias("a")).where("a IS NOT NULL").distinct()
     alias = alias.unionByName(states(spark, sf_dir).select("branch_id", F.col("branch_id").alias("a"))).distinct()
@@ -146,12 +142,37 @@ def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("edge_type").isin("same_topic", "same_task", "same_user_fact", "derived_from", "summarizes", "refines", "semantic_neighbor").cast("long")).alias("topic_edges"),
         F.sum((F.col("edge_type") == "temporal_next").cast("long")).alias("temporal_edges"),
     )
+    if co is not None:
+        per = per.join(co, ["branch_a", "branch_b"], "full").fillna(0, ["topic_edges", "temporal_edges", "co_use"])
     b = _located(spark, sf_dir).where("state IN ('STABLE', 'DORMANT')").join(size, "branch_id")
     side = lambda x: b.select(F.col("branch_id").alias(f"branch_{x}"), F.col("mean_vec").alias(f"m{x}"), F.col("topic_drift_density").alias(f"t{x}"), F.col("anchor_drift").alias(f"d{x}"), F.col("aliases").alias(f"n{x}"))
     p = per.join(side("a"), "branch_a").join(side("b"), "branch_b")
     overlap = F.least(F.lit(1.0), (F.col("topic_edges") + 0.25 * F.col("temporal_edges")) / F.greatest(F.lit(1), F.least("na", "nb")))
     s = cfg.eta_cos * V.cosine(F.col("ma"), F.col("mb")) + cfg.eta_topic * overlap - cfg.eta_topic_drift * (F.col("ta") + F.col("tb")) / 2 + cfg.eta_drift * F.abs(F.col("da") - F.col("db"))
-    return p.select("branch_a", "branch_b", "topic_edges", "temporal_edges", _R(overlap).alias("topic_overlap"), _R(s).alias("merge_score"))
+    if co is not None:
+        s = s + cfg.eta_couse * F.col("co_use")
+    used = [_R("co_use").alias("co_use")] if co is not None else []
+    return p.select("branch_a", "branch_b", "topic_edges", "temporal_edges", _R(overlap).alias("topic_overlap"), *used, _R(s).alias("merge_score"))
+
+
+def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCO3-4, JOIN14-15: stable or dormant branches linked by topic edges, with their merge score but for co-use.
+
+    Only pairs with an edge between their nodes are scored; ``merge_pairs_co_use`` has the whole score.
+    """
+    return _merge_scores(spark, sf_dir, None)
+
+
+def merge_pairs_co_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCO3-4, SCO15, JOIN14-15, AGG7: merge score with co-use, of the pairs linked by edges or used together.
+
+    Other pairs have neither overlap nor co-use, and their score stays below any threshold in use.
+    """
+    from thicket.operators import feedback
+    from thicket.plans import messages
+
+    co = feedback.co_use(messages._feedback(spark, sf_dir)).select("branch_a", "branch_b", "co_use")
+    return _merge_scores(spark, sf_dir, co)
 
 
 def geometry_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         branch_stats, branch_centroids, role_diversity, smoothed_stats, _ranked("balanced"), _ranked("factual"), _ranked("exploratory"), prefilter_cascade, prefilter_cascade_whole, rank_with_recency,
-        allocation_candidates, collapsing_sidecar, split_score_rank, merge_pairs, geometry_stats, snapshot_export, branch_report, next_branch_id, keyset_page, activity_filter,
+        allocation_candidates, collapsing_sidecar, split_score_rank, merge_pairs, merge_pairs_co_use, geometry_stats, snapshot_export, branch_report, next_branch_id, keyset_page, activity_filter,
     )
 }
 
