@@ -108,3 +108,12 @@ def test_records_with_nulls_repeats_and_clashing_columns(spark):
     assert pii.records_with(df.limit(0), "message_id", "text").count() == 0
     out = pii.redact_column(df, "text", KEY).orderBy("kind").collect()
     assert [r["pii_spans"] for r in out] == [1, 1, 1, 0, 0] and out[3]["redacted"] is None and out[0]["redacted"] == out[1]["redacted"]
+
+
+def test_checks_before_a_pattern_are_not_narrower_than_it():
+    from thicket.llm import pii
+
+    kinds = lambda t: {k for _, _, k in pii.find(t)}
+    assert "id_number" in kinds("Pasaporte: X1A2B3C") and "id_number" in kinds("seguridad social: A12B3C45")
+    assert "email" in kinds("write to jane.doe ( at ) example.org now")
+    assert "address" in kinds("send it to 12 Baker St\nLondon")

@@ -95,7 +95,11 @@ _STREETS = (
 )
 #: A number of at least six digits, with or without signs between them, as every phone and most id numbers have.
 _LONG = re.compile(r"\d(?:\W{0,2}\d){5}")
-_ID_HINTS = tuple("ssn secur sozial steuer nir nino insurance pass ausweis identity card carte dni nie nif licen führer permis".split())
+_ID_HINTS = tuple("ssn secur sozial steuer nir nino insurance pass ausweis identity card carte dni nie nif licen führer permis pasaporte segur sécur".split())
+#: What the words above leave out of the patterns: other blanks, brackets and spellings.
+_AT_HINT = re.compile(r"(?:at|ät|arroba)\s?[)\]}>]")
+_AT_WORD = re.compile(r"\s(?:at|arroba)\s")
+_STREET_HINT = re.compile(r"\s(?:st|rd|ave|ln|ct|way|row|hill)(?!\w)|(?:weg|platz|gasse|rue|bp)\s|p\.?\s?o\.?\sbox")
 
 # --- dates of birth ---------------------------------------------------------------------
 BIRTH = re.compile(r"\b(?:born(?: on)?|date of birth|dob|birthday|geboren(?: am)?|geburtsdatum|née? le|fecha de nacimiento|nacid[oa] el)\W{1,3}(?P<v>\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{4})", re.I)
@@ -217,10 +221,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         if (i == 0 or spans[i - 1][1] <= a) and (i == len(spans) or b <= spans[i][0]):
             spans.insert(i, (a, b, kind))
 
-    if "@" in text or "＠" in text or "%40" in text or "at)" in low or "at]" in low or "at}" in low or "at>" in low or "arroba" in low or "(ät" in low or "[ät" in low:
+    if "@" in text or "＠" in text or "%40" in text or "at)" in low or "at]" in low or "at}" in low or "at>" in low or "arroba" in low or "(ät" in low or "[ät" in low or _AT_HINT.search(low):
         for m in EMAIL.finditer(text):
             take(*m.span(), "email")
-    if (" dot " in low or "dot)" in low or "dot]" in low or "punkt" in low or "punto" in low or "point" in low) and (" at " in low or "arroba" in low):
+    if ("dot" in low or "punkt" in low or "punto" in low or "point" in low) and _AT_WORD.search(low):
         for m in EMAIL_WORDS.finditer(text):
             take(*m.span(), "email")
     if _DIGIT.search(text):
@@ -229,7 +233,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         for p in IDS if hinted else IDS[:-1] if long else ():
             for m in p.finditer(text):
                 take(*(m.span("v") if "v" in p.groupindex else m.span()), "id_number")
-        if any(map(low.__contains__, _STREETS)):
+        if any(map(low.__contains__, _STREETS)) or _STREET_HINT.search(low):
             for p in ADDRESSES:
                 for m in p.finditer(text):
                     take(*m.span(), "address")
