@@ -113,7 +113,7 @@ def test_update_modes_of_the_scenario():
     b = np.array([0.11, 0.20, 0.30, 0.41, 0.02, 0.10, 0.18, 0.30])
     from dataclasses import replace
 
-    cfg = replace(Config(), refine_sim=0.90, contradict_conflict=0.40, supersede_sim=0.70, supersede_conflict=0.80)
+    cfg = replace(Config(), refine_sim=0.90, contradict_conflict=0.40, supersede_sim=0.70, supersede_conflict=0.80, supersede_types=("broad_history",))
     f = ingest.Fold(cfg)
     rows = [f.step(1, a, 0, "broad_history", None)]
     branch = rows[0][1]

@@ -35,8 +35,8 @@ def test_the_join_reuses_the_placement(spark):
     try:
         got = skew.per_key(df, "k", {"n": F.sum("w")}, {"n": F.sum("n")}, match=side)
         plan = got._jdf.queryExecution().executedPlan().toString()
-        # one placement of each side and the exchange that combines shards
-        assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("Exchange hashpartitioning") == 3, plan
+        # one placement of both sides and the exchange that combines shards
+        assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange hashpartitioning") == 2, plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 

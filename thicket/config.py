@@ -68,7 +68,7 @@ class Config:
     contradict_conflict: float = 0.25
     supersede_sim: float = 0.78
     supersede_conflict: float = 0.70
-    supersede_types: tuple[str, ...] = ("broad_history",)
+    supersede_types: tuple[str, ...] = ("identity", "user_fact", "user_preference", "preference")
     # pairs of drifting topics
     drift_sample: int = 192
     drift_edges: int = 256
@@ -80,6 +80,13 @@ class Config:
     # feedback
     feedback_lambda: float = 0.1
     couse_lookback: int = 5000
+    # weights by branch type: {type or "default": {group: {name: weight}}}; what is not given is the weight above
+    profiles: dict = field(default_factory=dict)
+    # health of a summary
+    omega_sem: float = 0.05
+    omega_loss: float = 0.05
+    omega_contradiction: float = 0.05
+    omega_expand: float = 0.0
     feedback_days: float = 90.0
     feedback_rows: int = 200_000
 

@@ -43,22 +43,37 @@ def statistics(feedback: DataFrame) -> DataFrame:
     )
 
 
-def co_use(feedback: DataFrame) -> DataFrame:
-    """Pairs of branches retrieved for one query: share of queries in which both were used.
+def co_use(feedback: DataFrame, lookback: int = Config().couse_lookback) -> DataFrame:
+    """(branch_a, branch_b, shared, queries, co_use) of the pairs of branches retrieved for one query.
 
-    A query holds few branches, so its pairs are few; their number per pair of branches is summed up
-    map-side.
+    Of the rows of both branches only the newest ``lookback`` count, by (timestamp, seq). co_use is the share of queries
+    that retrieved both among those that retrieved either, times 0.5 + 0.5 times the mean of how far both were used.
+
+    No branch has more than ``lookback`` rows after the first step, so what is held per branch is bounded; the
+    cut of a pair is looked up only where both together have more. A query pairs the branches it retrieved, which
+    are as many as a ranking returns at most; its rows are reduced to one for each branch first.
     """
-    per = feedback.groupBy("query_id", "branch_id").agg(F.max(F.coalesce("usefulness_signal", F.col("used").cast("double"))).alias("u"), F.max(F.col("used").cast("int")).alias("used"))
-    total = per.groupBy("branch_id").agg(F.count(F.lit(1)).alias("queries"))
-    a = per.select("query_id", F.col("branch_id").alias("branch_a"), F.col("u").alias("ua"), F.col("used").alias("xa"))
-    b = per.select("query_id", F.col("branch_id").alias("branch_b"), F.col("u").alias("ub"), F.col("used").alias("xb"))
-    pairs = a.join(b, "query_id").where("branch_a < branch_b")
-    both = pairs.groupBy("branch_a", "branch_b").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.col("xa") * F.col("xb")).alias("used_together"), F.sum(F.when((F.col("xa") == 1) & (F.col("xb") == 1), (F.col("ua") + F.col("ub")) / 2)).alias("q"))
-    out = both.join(total.select(F.col("branch_id").alias("branch_a"), F.col("queries").alias("na")), "branch_a").join(total.select(F.col("branch_id").alias("branch_b"), F.col("queries").alias("nb")), "branch_b")
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    quality = F.coalesce(F.col("q") / F.col("used_together"), F.lit(0.0))
-    return out.select("branch_a", "branch_b", "shared", "used_together", clamp(F.col("used_together") / union * (0.5 + 0.5 * quality)).alias("co_use"))
+    newest = Window.partitionBy("branch_id").orderBy(F.col("timestamp").desc(), F.col("seq").desc())
+    rows = feedback.select("query_id", "branch_id", "timestamp", "seq", F.coalesce(F.col("used").cast("int"), F.lit(0)).alias("used"))
+    rows = rows.where("branch_id IS NOT NULL AND query_id IS NOT NULL").withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= lookback)
+    at = F.struct(F.col("timestamp").alias("t"), F.col("seq").alias("s"))
+    per = rows.groupBy("query_id", "branch_id").agg(F.max(at).alias("last"), F.collect_list(F.struct(at.alias("at"), "used")).alias("hits"))
+    held = rows.groupBy("branch_id").agg(F.collect_list(at).alias("all"))
+    held = held.join(per.groupBy("branch_id").agg(F.collect_list("last").alias("lasts")), "branch_id")
+    side = lambda x: per.select("query_id", F.col("branch_id").alias(f"branch_{x}"), F.col("last").alias(f"last_{x}"), F.col("hits").alias(f"hits_{x}"))
+    both = side("a").join(side("b"), "query_id").where("branch_a < branch_b")
+    of = lambda x: held.select(F.col("branch_id").alias(f"branch_{x}"), F.col("all").alias(f"all_{x}"), F.col("lasts").alias(f"lasts_{x}"))
+    pairs = both.select("branch_a", "branch_b").distinct().join(of("a"), "branch_a").join(of("b"), "branch_b")
+    joint = F.sort_array(F.concat("all_a", "all_b"), asc=False)
+    pairs = pairs.withColumn("cut", F.when(F.size("all_a") + F.size("all_b") > lookback, F.element_at(joint, lookback)))
+    inside = lambda c: F.col("cut").isNull() | (c >= F.col("cut"))
+    count = lambda x: F.size(F.filter(f"lasts_{x}", inside))
+    pairs = pairs.select("branch_a", "branch_b", "cut", (count("a") + count("b")).alias("n"))
+    used = lambda x: F.array_max(F.transform(F.filter(f"hits_{x}", lambda h: inside(h["at"])), lambda h: h["used"]))
+    seen = both.join(pairs, ["branch_a", "branch_b"]).where(inside(F.col("last_a")) & inside(F.col("last_b")))
+    out = seen.groupBy("branch_a", "branch_b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.avg((used("a") + used("b")) / 2).alias("quality"))
+    queries = F.col("n") - F.col("shared")
+    return out.select("branch_a", "branch_b", "shared", queries.cast("long").alias("queries"), clamp(F.col("shared") / queries * (0.5 + 0.5 * F.col("quality"))).alias("co_use"))
 
 
 def retained(feedback: DataFrame, now: float, cfg: Config = Config()) -> DataFrame:

@@ -70,7 +70,24 @@ def regime(coh: Column, comp: Column, rank: Column, aniso: Column, cfg: Config =
     return F.when(((coh < 0.45) | (comp > 0.65)) & ~rigid, "UNSTABLE").when(rigid | (aniso > 0.70), "RIGID").otherwise("PRODUCTIVE")
 
 
-def summary_loss(summary: Column, mean: Column, var: Column, cfg: Config = Config()) -> Column:
-    """Loss of a summary against the vectors it stands for."""
-    spread = F.least(F.abs(F.ln(var + F.lit(EPS)) - F.ln(F.lit(2 * EPS))) / 10, F.lit(1.0))
-    return cfg.summary_beta1 * (1 - V.cosine(summary, mean)) + cfg.summary_beta2 * spread
+def plain_sums(rows: DataFrame, by: str, vec: str, dim: int) -> DataFrame:
+    """(by, n, mean_vec, spread): plain mean, and the mean of the squared deviations over all entries, as one aggregate."""
+    at = lambda i: F.col(vec)[i].cast("double")
+    s = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(at(i)) for i in range(dim)]).alias("_s"), F.sum(sum((at(i) * at(i) for i in range(dim)), F.lit(0.0))).alias("_q"))
+    s = s.withColumn("mean_vec", F.transform("_s", lambda x: x / (F.col("n") + F.lit(EPS))))
+    spread = (F.col("_q") - 2 * V.dot(F.col("_s"), F.col("mean_vec")) + F.col("n") * V.dot(F.col("mean_vec"), F.col("mean_vec"))) / (F.col("n") * dim)
+    return s.select(by, "n", "mean_vec", spread.alias("spread"))
+
+
+def summary_health(summary: Column, mean: Column, spread: Column, contradictions: Column | None = None, expansions: Column | None = None, cfg: Config = Config()) -> tuple[Column, Column]:
+    """(health, loss) of a summary against the vectors it stands for."""
+    far = F.least(F.abs(F.ln(F.greatest(spread, F.lit(EPS))) - F.ln(F.lit(2 * EPS))) / 10, F.lit(1.0))
+    cos = V.cosine(summary, mean)
+    loss = cfg.summary_beta1 * (1 - cos) + cfg.summary_beta2 * far
+    health = cfg.omega_sem * cos + cfg.omega_loss * loss
+    health = health + cfg.omega_contradiction * (contradictions if contradictions is not None else F.lit(0.0))
+    return health + cfg.omega_expand * (expansions if expansions is not None else F.lit(0.0)), loss
+
+
+def advice(health: Column) -> Column:
+    return F.when(health > 0.70, "healthy").when(health > 0.45, "refine").otherwise("split_or_prevent_condensation")

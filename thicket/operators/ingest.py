@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.config import EPS, Config
@@ -108,6 +108,20 @@ def update_mode(action: str, branch_type: str, sim: float, conflict: float, forc
     return "attach"
 
 
+def inferred_type(node_type: Column) -> Column:
+    """The type of a branch that a node begins (fixed values)."""
+    return F.when(node_type == "message", "broad_history").when(node_type == "tool_result", "project_task").otherwise("default")
+
+
+def mode_of(action: Column, branch_type: Column, sim: Column, conflict: Column, forced: Column, cfg: Config = Config()) -> Column:
+    """``update_mode`` as a column."""
+    replaces = F.coalesce(F.lower(F.trim(branch_type)).isin(list(cfg.supersede_types)), F.lit(False))
+    return (
+        F.when(action == "fork", "fork").when(replaces & (conflict >= cfg.supersede_conflict) & (sim >= cfg.supersede_sim), "supersede")
+        .when(conflict >= cfg.contradict_conflict, "contradict").when((sim >= cfg.refine_sim) | (forced & (conflict <= 0) & (sim >= 0.5)), "refine").otherwise("attach")
+    )
+
+
 def _spectra(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Branch._spectrum of every row."""
     up = np.maximum(v, 0)
@@ -191,6 +205,7 @@ class Fold:
         self.cfg, self.candidates, self.prefix, self.forget = cfg, candidates, prefix, forget
         self.branches: dict[str, Branch] = {}
         self.last: dict[str, tuple[int, int, int]] = {}
+        self.types: dict[str, str] = {}
         self.newest = Newest(newest)
         self.active: str | None = None
         self.turn, self.now = 0, 0.0
@@ -215,7 +230,8 @@ class Fold:
             if action == "fork":
                 self.fresh += 1
                 name = f"{self.prefix}{self.fresh}"
-        mode = update_mode(action, branch_type, sim, conflict, forced is not None, self.cfg)
+        # a branch keeps the type it began with
+        mode = update_mode(action, self.types.setdefault(name, branch_type), sim, conflict, forced is not None, self.cfg)
         before = self.last.get(name)
         linked = before is not None and mode in ("refine", "contradict", "supersede")
         prev, root, version = (before[0], before[1], before[2] + 1) if linked else (None, item, 1)
@@ -227,7 +243,7 @@ class Fold:
         self.turn, self.active = self.turn + 1, name
         gone = self.newest.put(name, self.branches[name], self.turn, self.now)
         if gone is not None and self.forget:
-            del self.branches[gone], self.last[gone]
+            del self.branches[gone], self.last[gone], self.types[gone]
         return item, name, action, score, sim, mode, prev, root if linked else None, version, self.branches[name].drift
 
 
@@ -392,5 +408,23 @@ def split_branches(nodes: DataFrame, dim: int, least: int = 8, most: int = 200_0
     long = rows.where(F.col("n") > most).select("branch_id", "ingest_seq", "embedding")
     long = Scratch(nodes.sparkSession, "split").save(long.repartition(parallelism(nodes.sparkSession)), "long")
     found = found.unionByName(nodes.sparkSession.createDataFrame(_long_centres(long, dim), schema))
+    # a child of a single vector is none: such a branch stays whole
     far = lambda c: F.aggregate(F.zip_with(V.doubles("embedding"), F.col(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return rows.join(found, "branch_id").select("branch_id", "ingest_seq", F.when(far("c1") < far("c0"), 1).otherwise(0).alias("child"))
+    out = rows.join(found, "branch_id").select("branch_id", "ingest_seq", F.when(far("c1") < far("c0"), 1).otherwise(0).alias("child"))
+    both = out.groupBy("branch_id").agg(F.count(F.lit(1)).alias("n"), F.sum("child").alias("m")).where("m >= 2 AND n - m >= 2").select("branch_id")
+    return out.join(both, "branch_id", "left_semi")
+
+
+def children(split: DataFrame, first: int) -> DataFrame:
+    """``split`` with the id of each child: numbers from ``first`` on, in the order of the branches and children (a short list)."""
+    names = split.select("branch_id", "child").distinct()
+    order = F.row_number().over(Window.orderBy("branch_id", "child"))
+    named = names.withColumn("child_id", F.concat(F.lit("conv_"), (order + F.lit(first - 1)).cast("string")))
+    return split.join(named, ["branch_id", "child"])
+
+
+def merge_edges(pairs: DataFrame) -> DataFrame:
+    """(src_id, dst_id, edge_type, weight): an edge of topic each way for every pair (branch_a, branch_b, merge_score)."""
+    weight = V.clamp(F.col("merge_score"), 0.05, 3.0).alias("weight")
+    ends = F.explode(F.array(*[F.struct(F.col(a).alias("src_id"), F.col(b).alias("dst_id")) for a, b in (("branch_a", "branch_b"), ("branch_b", "branch_a"))])).alias("e")
+    return pairs.select(ends, weight).select("e.src_id", "e.dst_id", F.lit("same_topic").alias("edge_type"), "weight")

@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.session import parallelism
@@ -70,11 +70,11 @@ def _task_labels(spark, tasks: int) -> list[int]:
 def plan_tasks(df: DataFrame, key: str, tasks: int | None = None, largest_share: float = 0.025) -> TaskPlan:
     """Heavy keys with their shards, and the task of every shard and bucket."""
     spark = df.sparkSession
-    tasks = tasks or parallelism(spark)
-    labels = _task_labels(spark, tasks)
-    n_buckets = tasks * BUCKETS_PER_TASK
     per = loads(df, key)
     total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    tasks = tasks or parallelism(spark, total)
+    labels = _task_labels(spark, tasks)
+    n_buckets = tasks * BUCKETS_PER_TASK
     limit = max(1.0, min(total / (tasks * FACTOR), total * largest_share))
     marked = per.withColumn("heavy", F.col("load") > limit)
     # bounded: fewer than total / limit heavy keys, and one row per bucket
@@ -142,18 +142,20 @@ def per_key(
     """One row per key. ``partial`` aggregates a shard, ``final`` combines the shards.
 
     ``match`` is the other side of the join; its columns may be used in ``partial`` and must
-    not clash with those of ``df``.
+    not clash with those of ``df``. Both sides go to the task of their shard in one placement, where the matching
+    rows come first in their shard and are handed to the rows behind them; several of one key pair with each.
     """
     plan = plan or plan_tasks(df, key)
-    # lets the join reuse the placement by task instead of shuffling both sides once more
-    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    big = spread(df, key, plan, replicate=False, row_hash=row_hash).repartition(plan.tasks, "_task")
-    if match is not None:
-        renamed = match.withColumnRenamed(match_key or key, "_mk")
-        small = spread(renamed, "_mk", plan, replicate=True).withColumnsRenamed({"_piece": "_mp", "_task": "_mt"})
-        small = small.repartition(plan.tasks, "_mt")
-        on = (F.col("_task") == F.col("_mt")) & (F.col(key) == F.col("_mk")) & (F.col("_piece") == F.col("_mp"))
-        big = big.join(small, on, "left").drop("_mk", "_mp", "_mt")
+    big = spread(df, key, plan, replicate=False, row_hash=row_hash)
+    if match is None:
+        big = big.repartition(plan.tasks, "_task")
+    else:
+        lookup = [c for c in match.columns if c != (match_key or key)]
+        small = spread(match.withColumnRenamed(match_key or key, key), key, plan, replicate=True)
+        small = small.withColumn("_side", F.lit(0)).withColumn("_m", F.struct(*lookup)).drop(*lookup)
+        both = big.withColumn("_side", F.lit(1)).unionByName(small, allowMissingColumns=True).repartition(plan.tasks, "_task")
+        shard_rows = Window.partitionBy("_task", key, "_piece").orderBy("_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        big = both.withColumn("_m", F.collect_list("_m").over(shard_rows)).where("_side = 1").drop("_side").select("*", F.explode_outer("_m").alias("_e")).select("*", "_e.*").drop("_m", "_e")
     shard = big.groupBy("_task", key, "_piece").agg(*[c.alias(n) for n, c in partial.items()])
     return shard.groupBy(key).agg(*[c.alias(n) for n, c in final.items()])
 

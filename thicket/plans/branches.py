@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.config import AS_OF, Config
@@ -73,7 +75,7 @@ def smoothed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(mode: str):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ranked = retrieval.cascade(_located(spark, sf_dir), query_vector(spark, sf_dir), mode, limit=1 << 30)
+        ranked = retrieval.ranking(_located(spark, sf_dir), query_vector(spark, sf_dir), mode)
         return ranked.select("branch_id", *[_R(c).alias(c) for c in ("sem", "trust", "react", "total")])
 
     f.__name__ = f"branch_rank_{mode}"
@@ -82,18 +84,36 @@ def _ranked(mode: str):
 
 
 def prefilter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP2: the best by the cheap score, ranked by the exact one."""
-    ranked = retrieval.cascade(_located(spark, sf_dir), query_vector(spark, sf_dir), limit=64, top=32)
-    return ranked.select("branch_id", _R("cheap").alias("cheap"), _R("total").alias("total"))
-
-
-def prefilter_cascade_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP2: the best by the cheap score, ranked by the exact one, with the limits of Config."""
     cfg = Config()
     ranked = retrieval.cascade(_located(spark, sf_dir), query_vector(spark, sf_dir), limit=cfg.prefilter_limit, top=cfg.result_limit)
     return ranked.select("branch_id", _R("cheap").alias("cheap"), _R("total").alias("total"))
 
 
+def prefilter_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP2, FLT7: the cascade among branches of the given states that were updated in a span of time, with recency in the
+    cheap score as in the exact one."""
+    ranked = retrieval.cascade(
+        _located(spark, sf_dir), query_vector(spark, sf_dir), limit=64, top=32, states=("ACTIVE", "STABLE", "DORMANT"),
+        after=AS_OF - 120 * 86400, before=AS_OF - 86400, boost=0.3, now=AS_OF,
+    )
+    return ranked.select("branch_id", _R("cheap").alias("cheap"), _R("final").alias("final"))
+
+
+#: Weights by branch type as a user might set them.
+PROFILES = {
+    "conversation": {"retrieval_kappa": {"coherence": 0.34, "ret_error": -0.2}, "split_zeta": {"anisotropy": 0.3}, "merge_eta": {"topic": 0.24, "co_use": 0.18}},
+    "daily_log": {"retrieval_kappa": {"comp_loss": -0.1}, "split_zeta": {"incoherence": 0.05, "topic_drift": 0.05}},
+    "default": {"split_zeta": {"ret_error": 0.1}, "merge_eta": {"cos": 0.2}},
+}
+
+
+def branch_rank_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCO20, SCO8: the best branches with weights by branch type."""
+    ranked = retrieval.ranking(_located(spark, sf_dir), query_vector(spark, sf_dir), cfg=replace(Config(), profiles=PROFILES))
+    return ranked.select("branch_id", *[_R(c).alias(c) for c in ("sem", "trust", "react", "total")])
+
+
 def rank_with_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP4: relevance blended with recency, over all branches that may be retrieved."""
     keep = _located(spark, sf_dir).where(~F.col("state").isin(list(Config().excluded_states)))
@@ -119,60 +139,73 @@ def collapsing_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy(F.col("total").desc(), "branch_id").limit(5).select("branch_id", _R("sem").alias("sem"), _R("total").alias("total"))
 
 
+def _split_score(cfg: Config):
+    c, w = F.col, lambda name, x: retrieval.weight(cfg, "split_zeta", name, x)
+    return (
+        w("incoherence", cfg.zeta_incoherence) * (1 - c("coherence")) + w("anisotropy", cfg.zeta_anisotropy) * c("anisotropy")
+        + w("comp_loss", cfg.zeta_compression) * c("compression_loss") + w("ret_error", cfg.zeta_error) * c("retrieval_error")
+        + F.abs(w("topic_drift", cfg.zeta_drift)) * c("topic_drift_density")
+    )
+
+
 def split_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCO5, TOP8: branches by split score with their rank and whether a cap of five takes them."""
     c, cfg = F.col, Config()
-    s = cfg.zeta_incoherence * (1 - c("coherence")) + cfg.zeta_anisotropy * c("anisotropy") + cfg.zeta_compression * c("compression_loss") + cfg.zeta_error * c("retrieval_error") + cfg.zeta_drift * c("topic_drift_density")
-    b = states(spark, sf_dir).where("node_count >= 8").withColumn("split_score", _R(s))
+    b = states(spark, sf_dir).where("node_count >= 8").withColumn("split_score", _R(_split_score(cfg)))
     # the rank of the few that count; the others are only compared with the fifth
     best = b.orderBy(c("split_score").desc(), "branch_id").limit(5).select("branch_id", F.lit(True).alias("taken"))
     return b.join(F.broadcast(best), "branch_id", "left").select("branch_id", "split_score", F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
-def _merge_scores(spark: SparkSession, sf_dir: str, co: DataFrame | None) -> DataFrame:
-    """Merge scores of the pairs with an edge between their nodes or, given (branch_a, branch_b, co_use), used together."""
-    cfg = Config()
-    alias = nodes(spark, sf_dir).select("branch_id", key("id").alias("a")).where("a IS NOT NULL").distinct()
-    alias = alias.unionByName(states(spark, sf_dir).select("branch_id", F.col("branch_id").alias("a"))).distinct()
-    size = alias.groupBy("branch_id").agg(F.count(F.lit(1)).alias("aliases"))
-    edges = table(spark, sf_dir, "memory_edges").select(key("src_id").alias("s"), key("dst_id").alias("d"), "edge_type").distinct()
-    of = lambda n, m: alias.select(F.col("branch_id").alias(n), F.col("a").alias(m))
-    linked = edges.join(of("sb", "s"), "s").join(of("db", "d"), "d").where("sb <> db")
-    per = linked.groupBy(F.least("sb", "db").alias("branch_a"), F.greatest("sb", "db").alias("branch_b")).agg(
-        F.sum(F.col("edge_type").isin("same_topic", "same_task", "same_user_fact", "derived_from", "summarizes", "refines", "semantic_neighbor").cast("long")).alias("topic_edges"),
-        F.sum((F.col("edge_type") == "temporal_next").cast("long")).alias("temporal_edges"),
-    )
-    if co is not None:
-        per = per.join(co, ["branch_a", "branch_b"], "full").fillna(0, ["topic_edges", "temporal_edges", "co_use"])
-    b = _located(spark, sf_dir).where("state IN ('STABLE', 'DORMANT')").join(size, "branch_id")
-    side = lambda x: b.select(F.col("branch_id").alias(f"branch_{x}"), F.col("mean_vec").alias(f"m{x}"), F.col("topic_drift_density").alias(f"t{x}"), F.col("anchor_drift").alias(f"d{x}"), F.col("aliases").alias(f"n{x}"))
-    p = per.join(side("a"), "branch_a").join(side("b"), "branch_b")
-    overlap = F.least(F.lit(1.0), (F.col("topic_edges") + 0.25 * F.col("temporal_edges")) / F.greatest(F.lit(1), F.least("na", "nb")))
-    s = cfg.eta_cos * V.cosine(F.col("ma"), F.col("mb")) + cfg.eta_topic * overlap - cfg.eta_topic_drift * (F.col("ta") + F.col("tb")) / 2 + cfg.eta_drift * F.abs(F.col("da") - F.col("db"))
-    if co is not None:
-        s = s + cfg.eta_couse * F.col("co_use")
-    used = [_R("co_use").alias("co_use")] if co is not None else []
-    return p.select("branch_a", "branch_b", "topic_edges", "temporal_edges", _R(overlap).alias("topic_overlap"), *used, _R(s).alias("merge_score"))
+def split_score_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCO20, SCO5: split scores with weights by branch type."""
+    b = states(spark, sf_dir).where("node_count >= 8")
+    return b.select("branch_id", "branch_type", _R(_split_score(replace(Config(), profiles=PROFILES))).alias("split_score"))
 
 
-def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCO3-4, JOIN14-15: stable or dormant branches linked by topic edges, with their merge score but for co-use.
+#: Edges that speak for a common topic.
+TOPIC_EDGES = ("same_topic", "same_task", "same_user_fact", "derived_from", "summarizes", "refines", "semantic_neighbor")
 
-    Only pairs with an edge between their nodes are scored; ``merge_pairs_co_use`` has the whole score.
-    """
-    return _merge_scores(spark, sf_dir, None)
 
+def branch_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(branch_id, a): every name an edge may give a branch: its own, its nodes' and their records', the latter
+    with the prefixes ``msg_`` and ``sn_`` as well."""
+    lcm = key("lcm_id")
+    prefixed = lambda p: F.when(~lcm.startswith(p), F.concat(F.lit(p), lcm))
+    n = nodes(spark, sf_dir).where("branch_id IS NOT NULL")
+    names = n.select("branch_id", F.explode(F.array_compact(F.array(key("id"), lcm, prefixed("msg_"), prefixed("sn_")))).alias("a"))
+    return names.unionByName(states(spark, sf_dir).where("branch_id IS NOT NULL").select("branch_id", F.col("branch_id").alias("a"))).distinct()
 
-def merge_pairs_co_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCO3-4, SCO15, JOIN14-15, AGG7: merge score with co-use, of the pairs linked by edges or used together.
+
+def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCO3-4, SCO15, JOIN14-15, JOIN19, AGG7: merge score of the stable or dormant branches that an edge links or a query retrieved together.
 
     Other pairs have neither overlap nor co-use, and their score stays below any threshold in use.
     """
     from thicket.operators import feedback
     from thicket.plans import messages
 
+    cfg = Config()
+    alias = branch_aliases(spark, sf_dir)
+    size = alias.groupBy("branch_id").agg(F.count(F.lit(1)).alias("aliases"))
+    edges = table(spark, sf_dir, "memory_edges").select(key("src_id").alias("s"), key("dst_id").alias("d"), "edge_type").distinct()
+    of = lambda n, m: alias.select(F.col("branch_id").alias(n), F.col("a").alias(m))
+    linked = edges.join(of("sb", "s"), "s").join(of("db", "d"), "d").where("sb <> db")
+    per = linked.groupBy(F.least("sb", "db").alias("branch_a"), F.greatest("sb", "db").alias("branch_b")).agg(
+        F.sum(F.col("edge_type").isin(*TOPIC_EDGES).cast("long")).alias("topic_edges"), F.sum((F.col("edge_type") == "temporal_next").cast("long")).alias("temporal_edges"),
+    )
     co = feedback.co_use(messages._feedback(spark, sf_dir)).select("branch_a", "branch_b", "co_use")
-    return _merge_scores(spark, sf_dir, co)
+    per = per.join(co, ["branch_a", "branch_b"], "full").fillna(0, ["topic_edges", "temporal_edges", "co_use"])
+    b = _located(spark, sf_dir).where("state IN ('STABLE', 'DORMANT')").join(size, "branch_id")
+    names = ("cos", "topic", "co_use", "topic_drift", "drift")
+    mine = [retrieval.weight(cfg, "merge_eta", n, x) for n, x in zip(names, (cfg.eta_cos, cfg.eta_topic, cfg.eta_couse, cfg.eta_topic_drift, cfg.eta_drift))]
+    cols = {"m": F.col("mean_vec"), "t": F.col("topic_drift_density"), "d": F.col("anchor_drift"), "n": F.col("aliases"), "w": F.array(*mine)}
+    side = lambda x: b.select(F.col("branch_id").alias(f"branch_{x}"), *[c.alias(f"{k}{x}") for k, c in cols.items()])
+    p = per.join(side("a"), "branch_a").join(side("b"), "branch_b")
+    overlap = F.least(F.lit(1.0), (F.col("topic_edges") + 0.25 * F.col("temporal_edges")) / F.greatest(F.lit(1), F.least("na", "nb")))
+    w = [(F.col("wa")[i] + F.col("wb")[i]) / 2 for i in range(len(names))]
+    s = w[0] * V.cosine(F.col("ma"), F.col("mb")) + w[1] * overlap + w[2] * F.col("co_use") - F.abs(w[3]) * (F.col("ta") + F.col("tb")) / 2 + w[4] * F.abs(F.col("da") - F.col("db"))
+    return p.select("branch_a", "branch_b", "topic_edges", "temporal_edges", _R(overlap).alias("topic_overlap"), _R("co_use").alias("co_use"), _R(s).alias("merge_score"))
 
 
 def geometry_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,8 +261,8 @@ def activity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        branch_stats, branch_centroids, role_diversity, smoothed_stats, _ranked("balanced"), _ranked("factual"), _ranked("exploratory"), prefilter_cascade, prefilter_cascade_whole, rank_with_recency,
-        allocation_candidates, collapsing_sidecar, split_score_rank, merge_pairs, merge_pairs_co_use, geometry_stats, snapshot_export, branch_report, next_branch_id, keyset_page, activity_filter,
+        branch_stats, branch_centroids, role_diversity, smoothed_stats, _ranked("balanced"), _ranked("factual"), _ranked("exploratory"), branch_rank_by_type, prefilter_cascade, prefilter_recent, rank_with_recency,
+        allocation_candidates, collapsing_sidecar, split_score_rank, split_score_by_type, merge_pairs, geometry_stats, snapshot_export, branch_report, next_branch_id, keyset_page, activity_filter,
     )
 }
 
@@ -247,8 +280,15 @@ SELECT *, CASE WHEN (coherence < 0.45 OR compression_loss > 0.65) AND eff_rank >
     "smoothed_stats": f"""WITH {Q.NODES} SELECT g.branch_id, n, {', '.join(f'round(0.95 * s.{c} + 0.05 * g.{c}, 6) AS {c}' for c in ('eff_rank', 'trace', 'anisotropy', 'coherence', 'compression_loss'))}
 FROM geo g JOIN (SELECT * REPLACE ({_B} AS branch_id) FROM branch_states) s ON g.branch_id = s.branch_id WHERE n >= 8""",
     **{f"branch_rank_{m}": _rank_sql(m) for m in ("balanced", "factual", "exploratory")},
-    "prefilter_cascade": f"""WITH {Q.scored('balanced')}, short AS (SELECT *, {_CHEAP} AS cheap FROM tot WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY cheap DESC, branch_id LIMIT 64)
-SELECT branch_id, round(cheap, 6) AS cheap, round(total, 6) AS total FROM short ORDER BY short.total DESC, branch_id LIMIT 32""",
+    "prefilter_cascade": f"""WITH {Q.scored('balanced')}, short AS (SELECT *, {_CHEAP} AS cheap FROM tot WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY cheap DESC, branch_id LIMIT 256)
+SELECT branch_id, round(cheap, 6) AS cheap, round(total, 6) AS total FROM short ORDER BY short.total DESC, branch_id LIMIT 128""",
+    "prefilter_recent": f"""WITH {Q.scored('balanced')}, ok AS (SELECT *, {_CHEAP} AS c0, {_AGE} AS rec FROM tot WHERE state IN ('ACTIVE', 'STABLE', 'DORMANT') AND last_update_ts BETWEEN {AS_OF - 120 * 86400} AND {AS_OF - 86400}),
+short AS (SELECT *, 0.7 * c0 + 0.3 * rec AS cheap FROM ok ORDER BY 0.7 * c0 + 0.3 * rec DESC, branch_id LIMIT 64),
+s AS (SELECT *, min(total) OVER () AS lo, max(total) OVER () AS hi FROM short),
+f AS (SELECT branch_id, cheap, 0.7 * CASE WHEN hi - lo <= 1e-12 THEN 1.0 ELSE (total - lo) / (hi - lo) END + 0.3 * rec AS final FROM s)
+SELECT branch_id, round(cheap, 6) AS cheap, round(final, 6) AS final FROM f ORDER BY f.final DESC, branch_id LIMIT 32""",
+    "branch_rank_by_type": f"""WITH {Q.scored('balanced', f"JOIN (SELECT {_B} AS branch_id, lower(trim(branch_type)) AS ty FROM branch_states) USING (branch_id)", "CASE ty WHEN 'conversation' THEN 0.34 ELSE 0.30 END * coherence + CASE ty WHEN 'daily_log' THEN -0.1 ELSE 0.20 END * compression_loss - 0.25 * topic_drift_density + CASE ty WHEN 'conversation' THEN -0.2 ELSE 0.25 END * retrieval_error")}
+SELECT branch_id, round(sem, 6) AS sem, round(trust, 6) AS trust, round(react, 6) AS react, round(total, 6) AS total FROM tot WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY tot.total DESC, branch_id LIMIT 128""",
     "rank_with_recency": f"""WITH {Q.scored('balanced')}, ok AS (SELECT *, min(total) OVER () AS lo, max(total) OVER () AS hi FROM tot WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING')),
 b AS (SELECT branch_id, CASE WHEN hi - lo <= 1e-12 THEN 1.0 ELSE (total - lo) / (hi - lo) END AS relevance, {_AGE} AS recency FROM ok)
 SELECT branch_id, round(relevance, 6) AS relevance, round(recency, 6) AS recency, round(0.7 * relevance + 0.3 * recency, 6) AS final FROM b""",
@@ -258,14 +298,22 @@ SELECT branch_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, branch_
     "collapsing_sidecar": f"WITH {Q.scored('balanced')} SELECT branch_id, round(sem, 6) AS sem, round(total, 6) AS total FROM tot WHERE state = 'COLLAPSING' AND node_count > 0 ORDER BY tot.total DESC, branch_id LIMIT 5",
     "split_score_rank": f"""WITH b AS (SELECT {_B} AS branch_id, round(0.15 * (1 - coherence) + 0.20 * anisotropy + 0.20 * compression_loss + 0.20 * retrieval_error + 0.25 * topic_drift_density, 6) AS split_score FROM branch_states WHERE node_count >= 8)
 SELECT *, row_number() OVER (ORDER BY split_score DESC, branch_id) <= 5 AS taken FROM b""",
-    "merge_pairs": f"""WITH {Q.NODES}, alias AS (SELECT {_B} AS b, {Q.k('id')} AS a FROM memory_nodes UNION SELECT {_B}, {_B} FROM branch_states), sizes AS (SELECT b, count(*) AS n FROM alias GROUP BY 1),
+    "split_score_by_type": f"""WITH b AS (SELECT *, lower(trim(branch_type)) AS ty FROM branch_states WHERE node_count >= 8)
+SELECT {_B} AS branch_id, branch_type, round(CASE ty WHEN 'daily_log' THEN 0.05 ELSE 0.15 END * (1 - coherence) + CASE ty WHEN 'conversation' THEN 0.3 ELSE 0.20 END * anisotropy + 0.20 * compression_loss
+  + CASE WHEN ty IN ('conversation', 'daily_log') THEN 0.20 ELSE 0.1 END * retrieval_error + CASE ty WHEN 'daily_log' THEN 0.05 ELSE 0.25 END * topic_drift_density, 6) AS split_score FROM b""",
+    "merge_pairs": f"""WITH {Q.NODES}, lc AS (SELECT {_B} AS b, {Q.k('id')} AS i, {Q.k('lcm_id')} AS l FROM memory_nodes),
+alias AS (SELECT b, i AS a FROM lc WHERE i IS NOT NULL UNION SELECT b, l FROM lc WHERE l IS NOT NULL UNION SELECT b, 'msg_' || l FROM lc WHERE NOT starts_with(l, 'msg_') UNION SELECT b, 'sn_' || l FROM lc WHERE NOT starts_with(l, 'sn_')
+  UNION SELECT {_B}, {_B} FROM branch_states),
+sizes AS (SELECT b, count(*) AS n FROM alias WHERE b IS NOT NULL GROUP BY 1),
 e AS (SELECT DISTINCT {Q.k('src_id')} AS s, {Q.k('dst_id')} AS d, edge_type AS t FROM memory_edges),
-per AS (SELECT least(x.b, y.b) AS a, greatest(x.b, y.b) AS b, count(*) FILTER (t IN ('same_topic', 'same_task', 'same_user_fact', 'derived_from', 'summarizes', 'refines', 'semantic_neighbor')) AS topic,
+linked AS (SELECT least(x.b, y.b) AS a, greatest(x.b, y.b) AS b, count(*) FILTER (t IN ({', '.join(f"'{t}'" for t in TOPIC_EDGES)})) AS topic,
   count(*) FILTER (t = 'temporal_next') AS temporal FROM e JOIN alias x ON e.s = x.a JOIN alias y ON e.d = y.a WHERE x.b <> y.b GROUP BY 1, 2),
+co AS (SELECT branch_a AS a, branch_b AS b, co FROM (%CO%)),
+per AS (SELECT a, b, coalesce(topic, 0) AS topic, coalesce(temporal, 0) AS temporal, coalesce(co, 0) AS co FROM linked FULL JOIN co USING (a, b)),
 st AS (SELECT {_B} AS b, topic_drift_density AS td, anchor_drift AS ad, sizes.n FROM branch_states JOIN sizes ON {_B} = sizes.b WHERE state IN ('STABLE', 'DORMANT')),
 c AS (SELECT per.a, per.b, sum(p.m * q.m) / ((sqrt(sum(p.m * p.m)) + 1e-9) * (sqrt(sum(q.m * q.m)) + 1e-9)) AS cos FROM per JOIN mu p ON p.branch_id = per.a JOIN mu q ON q.branch_id = per.b AND p.i = q.i GROUP BY 1, 2),
 o AS (SELECT per.*, x.td AS xt, y.td AS yt, x.ad AS xd, y.ad AS yd, least(1.0, (topic + 0.25 * temporal) / greatest(1, least(x.n, y.n))) AS ov, cos FROM per JOIN st x ON per.a = x.b JOIN st y ON per.b = y.b JOIN c ON c.a = per.a AND c.b = per.b)
-SELECT a AS branch_a, b AS branch_b, topic AS topic_edges, temporal AS temporal_edges, round(ov, 6) AS topic_overlap, round(0.15 * cos + 0.20 * ov - 0.20 * (xt + yt) / 2 + 0.15 * abs(xd - yd), 6) AS merge_score FROM o""",
+SELECT a AS branch_a, b AS branch_b, topic AS topic_edges, temporal AS temporal_edges, round(ov, 6) AS topic_overlap, round(co, 6) AS co_use, round(0.15 * cos + 0.20 * ov + 0.15 * co - 0.20 * (xt + yt) / 2 + 0.15 * abs(xd - yd), 6) AS merge_score FROM o""",
     "geometry_stats": f"""SELECT state, regime, count(*) AS branches, CAST(sum(node_count) AS BIGINT) AS nodes, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in ('eff_rank', 'coherence', 'role_diversity', 'compression_loss', 'usefulness', 'retrieval_error'))} FROM branch_states GROUP BY 1, 2""",
     "snapshot_export": f"""SELECT {_B} AS branch_id, branch_type, state, regime, eff_rank, trace, anisotropy, coherence, node_count, usefulness, coalesce(last_update_ts, 0) AS last_update_ts FROM branch_states
 WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY coalesce(last_update_ts, 0) DESC, 1 LIMIT 100""",
@@ -275,4 +323,4 @@ WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY coalesce(last_update
     "keyset_page": f"SELECT {_B} AS branch_id FROM branch_states WHERE {_B} > 'conv_2' ORDER BY 1 LIMIT 50",
     "activity_filter": f"SELECT {_B} AS branch_id, state, CASE WHEN last_update_ts IS NULL OR last_update_ts <= 0 THEN 'unknown' WHEN last_update_ts >= {AS_OF} - 1209600 THEN 'recent' ELSE 'stale' END AS activity FROM branch_states",
 }
-ORACLE["prefilter_cascade_whole"] = ORACLE["prefilter_cascade"].replace("LIMIT 64)", "LIMIT 256)").replace("LIMIT 32", "LIMIT 128")
+ORACLE["merge_pairs"] = ORACLE["merge_pairs"].replace("%CO%", Q.CO_USE)

@@ -10,8 +10,9 @@ from thicket.functions import vectors as V
 from thicket.functions.keys import key
 from thicket.operators import drift, geometry, ingest
 from thicket.plans import sqlkit as Q
-from thicket.plans.branches import DIM, nodes
-from thicket.session import table
+from thicket.plans import branches
+from thicket.plans.branches import DIM, nodes, states
+from thicket.session import Scratch, table
 
 _R = lambda c: F.round(c, 6)
 
@@ -47,19 +48,22 @@ def adiabatic_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir).where(V.usable(F.col("embedding"), DIM))
-    return n.select(F.col("ingest_seq").alias("item"), F.col("branch_id").alias("forced_branch"), V.doubles("embedding").alias("x"), F.coalesce("conflict_score", F.lit(0.0)).alias("conflict"), F.lit("broad_history").alias("branch_type"))
+    n = nodes(spark, sf_dir).where(V.usable(F.col("embedding"), DIM)).join(states(spark, sf_dir).select("branch_id", "branch_type"), "branch_id", "left")
+    return n.select(
+        F.col("ingest_seq").alias("item"), F.col("branch_id").alias("forced_branch"), V.doubles("embedding").alias("x"), F.coalesce("conflict_score", F.lit(0.0)).alias("conflict"),
+        F.coalesce(F.lower(F.trim("branch_type")), ingest.inferred_type(F.col("node_type"))).alias("branch_type"),
+    )
 
 
 def forced_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM5, SCO1, SCO14, GRF2: items of given branches folded in order, with their update mode and correction chain."""
+    """STM5, SCO1, SCO14, SCO16, GRF2: items of given branches folded in order, with their update mode and correction chain."""
     return ingest.forced_fold(_items(spark, sf_dir))
 
 
 def free_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM5, SCO1-2, TOP3: all usable nodes allocated to branches one after the other (serial by nature)."""
     n = nodes(spark, sf_dir).where(V.usable(F.col("embedding"), DIM))
-    items = n.select(F.col("ingest_seq").alias("item"), V.doubles("embedding").alias("x"), F.coalesce("conflict_score", F.lit(0.0)).alias("conflict"), F.lit("default").alias("branch_type"), F.col("timestamp").alias("ts"))
+    items = n.select(F.col("ingest_seq").alias("item"), V.doubles("embedding").alias("x"), F.coalesce("conflict_score", F.lit(0.0)).alias("conflict"), ingest.inferred_type(F.col("node_type")).alias("branch_type"), F.col("timestamp").alias("ts"))
     return ingest.free_fold(items)
 
 
@@ -70,14 +74,38 @@ def split_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VEC4, VEC10: every summary node against the messages of its branch."""
+    """VEC4, VEC10: every summary node against the nodes it was made from (its ``summarizes`` and ``derived_from`` edges)."""
+    vecs = nodes(spark, sf_dir).where(V.usable(F.col("embedding"), DIM))
+    first = vecs.where(key("id").isNotNull()).groupBy(key("id").alias("k")).agg(F.min(F.struct("ingest_seq", "branch_id", "node_type", F.col("embedding").alias("x"))).alias("r")).select("k", "r.*")
+    s = first.where(F.col("node_type").isin("leaf_summary", "condensed_summary")).select(F.col("k").alias("s"), "ingest_seq", "branch_id", V.doubles("x").alias("x"))
+    e = table(spark, sf_dir, "memory_edges").where(F.col("edge_type").isin("summarizes", "derived_from")).select(key("src_id").alias("s"), key("dst_id").alias("k")).distinct()
+    below = geometry.plain_sums(e.join(first.select("k", F.col("x").alias("y")), "k"), "s", "y", DIM)
+    j = s.join(below, "s", "left")
+    known = F.col("n").isNotNull()
+    health, loss = geometry.summary_health(F.col("x"), F.col("mean_vec"), F.col("spread"))
+    return j.select(
+        "ingest_seq", "branch_id", F.coalesce("n", F.lit(0)).alias("descendants"), F.when(known, _R(loss)).otherwise(0.0).alias("loss"),
+        F.when(known, _R(health)).otherwise(1.0).alias("health"), geometry.advice(F.when(known, health).otherwise(1.0)).alias("recommendation"),
+    )
+
+
+def executed_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF4: the five best merge jobs carried out: an edge of topic each way between the two branches, its weight the score within 0.05 ... 3."""
+    best = branches.merge_pairs(spark, sf_dir).orderBy(F.col("merge_score").desc(), "branch_a", "branch_b").limit(5)
+    return ingest.merge_edges(best)
+
+
+def executed_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF3: the ten best split jobs carried out: children with their nodes, the edge from the source, and their geometry."""
     n = nodes(spark, sf_dir)
-    base = geometry.branch_geometry(n.where("node_type = 'message'").select("branch_id", "importance_score", "embedding"), DIM)
-    base = base.select("branch_id", "mean_vec", (F.col("trace") / DIM).alias("spread"))
-    s = n.where(F.col("node_type").isin("leaf_summary", "condensed_summary") & V.usable(F.col("embedding"), DIM)).select("ingest_seq", "branch_id", V.doubles("embedding").alias("x"))
-    j = s.join(base, "branch_id")
-    loss = geometry.summary_loss(F.col("x"), F.col("mean_vec"), F.col("spread"))
-    return j.select("ingest_seq", "branch_id", _R(V.cosine(F.col("x"), F.col("mean_vec"))).alias("cos"), _R(loss).alias("loss"))
+    jobs = branches.split_score_rank(spark, sf_dir).orderBy(F.col("split_score").desc(), "branch_id").limit(10).select("branch_id")
+    first = int(branches.next_branch_id(spark, sf_dir).first()["next_id"].removeprefix("conv_"))
+    moved = Scratch(spark, "splits").save(ingest.children(ingest.split_branches(n.join(F.broadcast(jobs), "branch_id"), DIM), first), "moved")
+    rows = n.join(moved.select("ingest_seq", "child_id"), "ingest_seq")
+    geo = geometry.branch_geometry(rows.select(F.col("child_id").alias("branch_id"), "importance_score", "embedding"), DIM)
+    edge = moved.groupBy("branch_id", "child_id").agg(F.count(F.lit(1)).alias("nodes"), F.min("ingest_seq").alias("first_seq"))
+    out = edge.join(geo.select(F.col("branch_id").alias("child_id"), _R("coherence").alias("coherence"), _R("trace").alias("trace")), "child_id")
+    return out.select(F.col("branch_id").alias("src_id"), F.col("child_id").alias("dst_id"), F.lit("refines").alias("edge_type"), "nodes", "first_seq", "coherence", "trace")
 
 
 def embedded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +116,7 @@ def embedded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (topic_drift_density, topic_drift_edges, stratified_sample, adiabatic_mean, forced_ingest, free_allocation, split_children, summary_health, embedded_messages)
+    for f in (topic_drift_density, topic_drift_edges, stratified_sample, adiabatic_mean, forced_ingest, free_allocation, split_children, summary_health, executed_merges, executed_splits, embedded_messages)
 }
 
 _B = Q.k("branch_id")
@@ -111,10 +139,16 @@ SELECT b AS branch_id, count(*) AS edges, round(max(w), 6) AS heaviest, round(su
   WINDOW w AS (PARTITION BY n.branch_id ORDER BY coalesce(m."timestamp", 0), n.ingest_seq)),
 l AS (SELECT *, CASE WHEN k = 1 THEN 0 ELSE ln(1 - 0.05 / k) END AS f FROM r), c AS (SELECT *, sum(f) OVER (PARTITION BY b) - sum(f) OVER (PARTITION BY b ORDER BY k) AS after FROM l)
 SELECT b AS branch_id, any_value(n) AS n, CAST(i AS BIGINT) AS dim, round(sum(v * CASE WHEN k = 1 THEN 1 ELSE 0.05 / k END * exp(after)), 6) AS mean FROM c JOIN long USING (ingest_seq) GROUP BY 1, 3""",
-    "summary_health": f"""WITH {Q.NODES.replace('FROM memory_nodes WHERE len', "FROM memory_nodes WHERE node_type = 'message' AND len")},
-s AS (SELECT {_B} AS b, ingest_seq, CAST(embedding AS DOUBLE[]) AS x FROM memory_nodes WHERE node_type IN ('leaf_summary', 'condensed_summary') AND len(embedding) = 64
-  AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
-sl AS (SELECT b AS branch_id, ingest_seq, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM s),
-c AS (SELECT sl.branch_id, sl.ingest_seq, sum(v * m) / ((sqrt(sum(v * v)) + 1e-9) * (sqrt(sum(m * m)) + 1e-9)) AS cos FROM sl JOIN mu USING (branch_id, i) GROUP BY 1, 2)
-SELECT ingest_seq, branch_id, round(cos, 6) AS cos, round(0.6 * (1 - cos) + 0.4 * least(abs(ln(trace / 64 + 1e-9) - ln(2e-9)) / 10, 1), 6) AS loss FROM c JOIN geo USING (branch_id)""",
+    "summary_health": f"""WITH {Q.NODES}, first AS (SELECT {Q.k('m.id')} AS k, m.node_type, n.* FROM nodes n JOIN memory_nodes m USING (ingest_seq) WHERE {Q.k('m.id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {Q.k('m.id')} ORDER BY ingest_seq) = 1),
+e AS (SELECT DISTINCT {Q.k('src_id')} AS s, {Q.k('dst_id')} AS k FROM memory_edges WHERE edge_type IN ('summarizes', 'derived_from')),
+fl AS (SELECT k, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM first),
+dm AS (SELECT s, i, count(*) AS n, sum(v) / (count(*) + 1e-9) AS m FROM e JOIN fl USING (k) GROUP BY 1, 2),
+dv AS (SELECT s, any_value(n) AS n, avg((v - m) * (v - m)) AS spread FROM e JOIN fl USING (k) JOIN dm USING (s, i) GROUP BY 1),
+c AS (SELECT s, sum(v * m) / ((sqrt(sum(v * v)) + 1e-9) * (sqrt(sum(m * m)) + 1e-9)) AS cos FROM dm JOIN fl ON fl.k = dm.s AND fl.i = dm.i GROUP BY 1),
+h AS (SELECT f.ingest_seq, f.branch_id, coalesce(n, 0) AS descendants, CASE WHEN n IS NULL THEN 0 ELSE 0.6 * (1 - cos) + 0.4 * least(abs(ln(greatest(spread, 1e-9)) - ln(2e-9)) / 10, 1) END AS loss, cos FROM first f LEFT JOIN dv ON dv.s = f.k LEFT JOIN c ON c.s = f.k
+  WHERE f.node_type IN ('leaf_summary', 'condensed_summary')),
+g AS (SELECT *, CASE WHEN descendants = 0 THEN 1.0 ELSE 0.05 * cos + 0.05 * loss END AS health FROM h)
+SELECT ingest_seq, branch_id, descendants, round(loss, 6) AS loss, round(health, 6) AS health, CASE WHEN health > 0.70 THEN 'healthy' WHEN health > 0.45 THEN 'refine' ELSE 'split_or_prevent_condensation' END AS recommendation FROM g""",
+    "executed_merges": f"""WITH b AS (SELECT * FROM ({branches.ORACLE['merge_pairs']}) ORDER BY merge_score DESC, branch_a, branch_b LIMIT 5)
+SELECT branch_a AS src_id, branch_b AS dst_id, 'same_topic' AS edge_type, greatest(0.05, least(3.0, merge_score)) AS weight FROM b UNION ALL SELECT branch_b, branch_a, 'same_topic', greatest(0.05, least(3.0, merge_score)) FROM b""",
 }

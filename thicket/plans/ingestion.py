@@ -9,7 +9,7 @@ from thicket.config import AS_OF, Config
 from thicket.functions import times
 from thicket.functions import vectors as V
 from thicket.functions.keys import key
-from thicket.operators import backfill, geometry, retrieval
+from thicket.operators import backfill, geometry, ingest
 from thicket.plans import branches, messages
 from thicket.plans import sqlkit as Q
 from thicket.plans.branches import DIM, nodes, states
@@ -25,13 +25,7 @@ def backfill_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backfill_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1, WIN9-10: messages a backfill takes, at most 20 of a conversation, evenly spread in order."""
-    m = table(spark, sf_dir, "messages").where("conversation_id IS NOT NULL")
-    return backfill.stride_sample(m, "conversation_id", 20).select("conversation_id", "ingest_seq", "place")
-
-
-def backfill_sample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1, WIN9-10: messages a backfill takes, at most 200 of a conversation as in backfill_status."""
+    """SRC1, WIN9-10: messages a backfill takes, at most 200 of a conversation, evenly spread in order."""
     m = table(spark, sf_dir, "messages").where("conversation_id IS NOT NULL")
     return backfill.stride_sample(m, "conversation_id", 200).select("conversation_id", "ingest_seq", "place")
 
@@ -70,15 +64,19 @@ def new_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def update_mode_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCO14: what every node would do to its branch, from its similarity to the centroid and its conflict."""
+    """SCO14: what every node does to its branch, from the branch's type, its similarity to the centroid and its conflict.
+
+    Messages and tool results come with their branch named (forced); a node that began its branch stays a fork, and
+    a branch without a row has no type.
+    """
     cfg = Config()
-    n = nodes(spark, sf_dir).where(V.usable(F.col("embedding"), DIM)).select("ingest_seq", "branch_id", "importance_score", "conflict_score", "embedding")
+    n = nodes(spark, sf_dir).where(V.usable(F.col("embedding"), DIM)).select("ingest_seq", "branch_id", "importance_score", "conflict_score", "node_type", "update_mode", "embedding")
     mean = geometry.branch_geometry(n.select("branch_id", "importance_score", "embedding"), DIM).select("branch_id", "mean_vec")
-    sim, conflict = F.round(V.cosine(V.doubles("embedding"), F.col("mean_vec")), 6), F.coalesce("conflict_score", F.lit(0.0))
-    j = n.join(mean, "branch_id").withColumn("sim", sim)
-    s = F.col("sim")
-    mode = F.when((conflict >= cfg.supersede_conflict) & (s >= cfg.supersede_sim), "supersede").when(conflict >= cfg.contradict_conflict, "contradict").when((s >= cfg.refine_sim) | ((conflict <= 0) & (s >= 0.5)), "refine").otherwise("attach")
-    return j.groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("nodes"), _R(F.avg("sim")).alias("avg_sim"))
+    types = states(spark, sf_dir).select("branch_id", "branch_type")
+    j = n.join(mean.join(types, "branch_id", "left"), "branch_id").withColumn("sim", F.round(V.cosine(V.doubles("embedding"), F.col("mean_vec")), 6))
+    forced = F.col("node_type").isin("message", "tool_result")
+    mode = ingest.mode_of(F.coalesce(F.col("update_mode"), F.lit("attach")), F.col("branch_type"), F.col("sim"), F.coalesce("conflict_score", F.lit(0.0)), forced, cfg)
+    return j.groupBy(mode.alias("mode"), F.coalesce(F.lower(F.trim("branch_type")), F.lit("none")).alias("branch_type")).agg(F.count(F.lit(1)).alias("nodes"), _R(F.avg("sim")).alias("avg_sim"))
 
 
 def content_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +115,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        backfill_status, backfill_sample, backfill_sample_whole, summary_nodes, table_totals, conversation_candidates, new_identifiers, update_mode_classify, content_lengths, branch_ages, daily_log_semantic, hybrid_search,
+        backfill_status, backfill_sample, summary_nodes, table_totals, conversation_candidates, new_identifiers, update_mode_classify, content_lengths, branch_ages, daily_log_semantic, hybrid_search,
     )
 }
 
@@ -129,7 +127,7 @@ ORACLE = {
 SELECT c.conversation_id, CASE WHEN b.b IS NOT NULL THEN 'skipped_resume' WHEN n IS NULL THEN 'skipped_empty' ELSE 'processed' END AS status, coalesce(n, 0) AS messages,
   CASE WHEN b.b IS NULL THEN least(coalesce(n, 0), 200) ELSE 0 END AS taken FROM conversations c LEFT JOIN b ON b.b = 'conv_' || CAST(c.conversation_id AS VARCHAR) LEFT JOIN m USING (conversation_id)""",
     "backfill_sample": """WITH o AS (SELECT conversation_id, ingest_seq, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY conversation_id) AS n FROM messages WHERE conversation_id IS NOT NULL WINDOW w AS (PARTITION BY conversation_id ORDER BY coalesce(created_at, 0), ingest_seq)),
-p AS (SELECT DISTINCT conversation_id, CASE WHEN n <= 20 THEN j ELSE (j * n) // 20 END AS r, j FROM (SELECT DISTINCT conversation_id, n FROM o), range(20) AS g(j) WHERE j < n)
+p AS (SELECT DISTINCT conversation_id, CASE WHEN n <= 200 THEN j ELSE (j * n) // 200 END AS r, j FROM (SELECT DISTINCT conversation_id, n FROM o), range(200) AS g(j) WHERE j < n)
 SELECT conversation_id, ingest_seq, j AS place FROM o JOIN p USING (conversation_id, r)""",
     "summary_nodes": f"""WITH {Q.NODES.replace('FROM memory_nodes WHERE len', "FROM memory_nodes WHERE node_type = 'message' AND len")},
 s AS (SELECT ingest_seq, node_type, {_B} AS branch_id, CAST(embedding AS DOUBLE[]) AS x FROM memory_nodes WHERE node_type IN ('leaf_summary', 'condensed_summary') AND {_USABLE}),
@@ -141,8 +139,10 @@ UNION ALL SELECT 'branch_states', count(*), 0 FROM branch_states UNION ALL SELEC
 AND last_update_ts > 0 AND last_update_ts >= {AS_OF} - 90 * 86400 ORDER BY node_count DESC, 1 LIMIT 100""",
     "new_identifiers": f"""SELECT conversation_id, count(*) AS new_messages FROM (SELECT DISTINCT {Q.k('message_id')} AS k, conversation_id FROM messages) m
 ANTI JOIN (SELECT {Q.k('lcm_id')} AS k FROM memory_nodes WHERE node_type IN ('message', 'tool_result')) n USING (k) WHERE k IS NOT NULL AND conversation_id IS NOT NULL GROUP BY 1""",
-    "update_mode_classify": f"""WITH {Q.NODES}, s AS (SELECT c.ingest_seq, round(c.c, 6) AS sim, coalesce(m.conflict_score, 0) AS f FROM cosn c JOIN memory_nodes m USING (ingest_seq))
-SELECT CASE WHEN f >= 0.70 AND sim >= 0.78 THEN 'supersede' WHEN f >= 0.25 THEN 'contradict' WHEN sim >= 0.92 OR (f <= 0 AND sim >= 0.5) THEN 'refine' ELSE 'attach' END AS mode, count(*) AS nodes, round(avg(sim), 6) AS avg_sim FROM s GROUP BY 1""",
+    "update_mode_classify": f"""WITH {Q.NODES}, ty AS (SELECT {_B} AS branch_id, lower(trim(branch_type)) AS ty FROM branch_states),
+s AS (SELECT c.branch_id, round(c.c, 6) AS sim, coalesce(m.conflict_score, 0) AS f, m.node_type IN ('message', 'tool_result') AS forced, m.update_mode = 'fork' AS forked FROM cosn c JOIN memory_nodes m USING (ingest_seq))
+SELECT CASE WHEN forked THEN 'fork' WHEN ty IN ('identity', 'user_fact', 'user_preference', 'preference') AND f >= 0.70 AND sim >= 0.78 THEN 'supersede' WHEN f >= 0.25 THEN 'contradict'
+  WHEN sim >= 0.92 OR (forced AND f <= 0 AND sim >= 0.5) THEN 'refine' ELSE 'attach' END AS mode, coalesce(ty, 'none') AS branch_type, count(*) AS nodes, round(avg(sim), 6) AS avg_sim FROM s LEFT JOIN ty USING (branch_id) GROUP BY 1, 2""",
     "content_lengths": """SELECT CASE WHEN n = 0 THEN 'empty' WHEN n < 30 THEN 'short' WHEN n < 300 THEN 'middle' ELSE 'long' END AS size, count(*) AS messages, CAST(sum(n) AS BIGINT) AS signs FROM (SELECT length(regexp_replace(coalesce(content, ''), '^ +| +$', '', 'g')) AS n FROM messages) GROUP BY 1""",
     "branch_ages": f"""WITH a AS (SELECT {_B} AS branch_id, last_update_ts AS t, CAST(floor(({AS_OF} - last_update_ts) / 86400) AS BIGINT) AS d FROM branch_states)
 SELECT branch_id, CASE WHEN t IS NULL THEN 'unknown' WHEN d < 1 THEN 'today' WHEN d < 2 THEN '1 day ago' ELSE CAST(d AS VARCHAR) || ' days ago' END AS age, CASE WHEN t IS NULL OR t <= 0 THEN 'unknown' WHEN t >= {AS_OF} - 1209600 THEN 'recent' ELSE 'stale' END AS activity FROM a""",
@@ -153,4 +153,3 @@ SELECT branch_id, node_key, round(c, 6) AS sim FROM s ORDER BY round(s.c, 6) DES
 ORACLE["hybrid_search"] = f"""SELECT 'geometry' AS channel, branch_id AS target, total AS score FROM (SELECT * FROM ({branches.ORACLE['branch_rank_balanced']}) ORDER BY total DESC, branch_id LIMIT 5)
 UNION ALL SELECT 'keyword', 'conv_' || CAST(conversation_id AS VARCHAR), score FROM (SELECT * FROM ({messages.ORACLE['keyword_score']}) ORDER BY score DESC, phrase_messages DESC, covered DESC, conversation_id LIMIT 5)
 UNION ALL SELECT 'daily_log', node_key, 0.0 FROM (SELECT * FROM ({messages.ORACLE['daily_log_keyword']}) ORDER BY created_ts DESC, node_key LIMIT 5)"""
-ORACLE["backfill_sample_whole"] = ORACLE["backfill_sample"].replace("n <= 20 ", "n <= 200 ").replace("// 20 ", "// 200 ").replace("range(20)", "range(200)")

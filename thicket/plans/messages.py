@@ -39,8 +39,8 @@ def _newest_matches(spark: SparkSession, sf_dir: str, most: int | None) -> DataF
 
 
 def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP6, STR3: the newest 300 matches of every term, with a text window around the first hit."""
-    return _newest_matches(spark, sf_dir, 300)
+    """TOP6, STR3: the newest matches of every term, max(2000, 300 for each wanted conversation), with a text window around the first hit."""
+    return _newest_matches(spark, sf_dir, max(2000, 300 * 10))
 
 
 def keyword_matches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +107,10 @@ def hybrid_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PIP3, SRC7: the first ten messages of every conversation in order, cut to 250 signs."""
+    """PIP3, SRC7: the messages of every conversation in order, at most 100 (its limit of entries), with their whole text."""
     m = _messages(spark, sf_dir).where("seq IS NOT NULL")
-    top = retrieval.top_per_group(m, ["conversation_id"], [F.col("seq"), F.col("ingest_seq")], 10)
-    return top.select("conversation_id", "seq", "ingest_seq", "role", F.substring("content", 1, 250).alias("content"))
+    top = retrieval.top_per_group(m, ["conversation_id"], [F.col("seq"), F.col("ingest_seq")], 100)
+    return top.select("conversation_id", "seq", "ingest_seq", "role", "content")
 
 
 def branch_lineage_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,20 +220,10 @@ def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_co_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG7."""
     out = feedback.co_use(_feedback(spark, sf_dir))
-    return out.select("branch_a", "branch_b", "shared", "used_together", _R("co_use").alias("co_use"))
+    return out.select("branch_a", "branch_b", "shared", "queries", _R("co_use").alias("co_use"))
 
 
 def feedback_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK17-18: feedback that stays after age and size limits, per branch."""
-    from dataclasses import replace
-
-    from thicket.config import Config
-
-    kept = feedback.retained(_feedback(spark, sf_dir), 1706659200.0, replace(Config(), feedback_days=14.0, feedback_rows=3000))
-    return kept.groupBy("branch_id").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("first_seq"))
-
-
-def feedback_retention_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK17-18: feedback that stays after the age and size limits of Config, per branch."""
     kept = feedback.retained(_feedback(spark, sf_dir), 1706659200.0)
     return kept.groupBy("branch_id").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("first_seq"))
@@ -281,7 +271,7 @@ QUERIES = {
     for f in (
         keyword_idf, keyword_matches, keyword_matches_whole, keyword_score, daily_log_keyword, daily_log_latest, source_times, hybrid_recommendation, conversation_content, branch_lineage_content,
         temporal_edges, correction_chain_islands, latest_correction, recent_corrections, duplicate_map, dedupe_rewire, duplicate_stats, orphan_edge_counts, topology_check,
-        relabelled_edges, last_edges, cross_agent_edges, dag_edges, feedback_usefulness, feedback_stats, retrieval_co_use, feedback_retention, feedback_retention_whole, branch_last_activity,
+        relabelled_edges, last_edges, cross_agent_edges, dag_edges, feedback_usefulness, feedback_stats, retrieval_co_use, feedback_retention, branch_last_activity,
         edges_within_set, edges_apart_from_set, edges_without_orphans, reassigned_nodes,
     )
 }
@@ -293,8 +283,7 @@ _HITS = f"""hit AS (SELECT conversation_id, message_id, ingest_seq, created_at,
   FROM messages, {_T} WHERE conversation_id IS NOT NULL AND contains(lower(content), term)),
 df AS (SELECT term, ti, count(DISTINCT conversation_id) AS df FROM hit GROUP BY 1, 2),
 w AS (SELECT *, least(2.25, greatest(0.65, 1 + ln((1 + (SELECT greatest(count(*), 1) FROM conversations)) / (1 + greatest(df, 1))))) AS idf FROM df)"""
-_FB = """fb AS (SELECT event_id AS seq, event_id // 4 AS query_id, 'conv_' || CAST(user_id % 10 AS VARCHAR) AS branch_id, event_type IN ('click', 'purchase') AS used, event_type = 'error' AS corrected,
-  event_type = 'view' AS expanded, CASE WHEN event_type = 'signup' THEN least(1.0, value / 500) END AS sig, epoch_us(ts) / 1e6 AS t FROM events)"""
+_FB = Q.FEEDBACK
 _ORD = f"""o AS (SELECT {_B} AS b, id, ingest_seq, update_mode, lag(id) OVER w AS prev, row_number() OVER w AS rn FROM memory_nodes WHERE {_B} IS NOT NULL
   WINDOW w AS (PARTITION BY {_B} ORDER BY coalesce("timestamp", 0), ingest_seq))"""
 _DUP = f"""d AS (SELECT ingest_seq, {_ID} AS id, first_value({_ID}) OVER w AS keep_id, row_number() OVER w AS rn FROM memory_nodes WHERE node_type = 'message' AND {_B} IS NOT NULL AND {Q.k('lcm_id')} IS NOT NULL
@@ -305,7 +294,7 @@ _IDS = f"ids AS (SELECT DISTINCT {_ID} AS k FROM memory_nodes)"
 ORACLE = {
     "keyword_idf": f"WITH {_HITS} SELECT term, df, round(idf, 6) AS idf FROM w",
     "keyword_matches": rf"""WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY created_at DESC NULLS LAST, ingest_seq) AS rn FROM hit)
-SELECT term, ingest_seq, conversation_id, pos, in_phrase, trim(regexp_replace(substr(content, greatest(pos - 100, 1), 260), '\s+', ' ', 'g')) AS snippet FROM r WHERE rn <= 300""",
+SELECT term, ingest_seq, conversation_id, pos, in_phrase, trim(regexp_replace(substr(content, greatest(pos - 100, 1), 260), '\s+', ' ', 'g')) AS snippet FROM r WHERE rn <= 3000""",
     "keyword_score": f"""WITH {_HITS}, m AS (SELECT conversation_id, ingest_seq, any_value(created_at) AS created_at, any_value(in_phrase) AS p, count(*) AS c, max(pos) - min(pos) AS span FROM hit GROUP BY 1, 2),
 best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY p DESC, (c = {_N}) DESC, c DESC, span, coalesce(created_at, 0) DESC, ingest_seq) = 1),
 per AS (SELECT conversation_id, count(*) AS messages, count(*) FILTER (p) AS phrase_messages FROM m GROUP BY 1),
@@ -330,8 +319,8 @@ FROM (SELECT {_B} AS b, last_update_ts AS u FROM branch_states) x LEFT JOIN per
 b AS (SELECT coalesce(round(max(round(sem, 6)), 4), 0) AS s FROM top),
 m AS (SELECT count(*) AS n FROM messages WHERE conversation_id IS NOT NULL AND ({' OR '.join(f"contains(lower(content), '{t}')" for t in TERMS)}))
 SELECT n AS keyword_rows, s AS best_sem, CASE WHEN n = 0 AND s > 0.30 THEN 'geometry' WHEN s < 0.25 THEN 'keyword' WHEN n > 0 AND s > 0.30 THEN 'both' ELSE 'geometry' END AS recommendation FROM m, b""",
-    "conversation_content": """SELECT conversation_id, seq, ingest_seq, role, substr(content, 1, 250) AS content FROM messages WHERE conversation_id IS NOT NULL AND seq IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq, ingest_seq) <= 10""",
+    "conversation_content": """SELECT conversation_id, seq, ingest_seq, role, content FROM messages WHERE conversation_id IS NOT NULL AND seq IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq, ingest_seq) <= 100""",
     "branch_lineage_content": f"""WITH n AS (SELECT DISTINCT {_B} AS b, {Q.k('lcm_id')} AS k, node_type AS t FROM memory_nodes WHERE {_B} IS NOT NULL),
 r AS (SELECT b, t, conversation_id FROM n JOIN (SELECT DISTINCT {Q.k('message_id')} AS k, conversation_id FROM messages) USING (k) WHERE t IN ('message', 'tool_result')
   UNION ALL SELECT b, t, conversation_id FROM n JOIN (SELECT DISTINCT {Q.k('summary_id')} AS k, conversation_id FROM summaries) USING (k) WHERE t IN ('leaf_summary', 'condensed_summary'))
@@ -380,13 +369,9 @@ SELECT edge_type, count(*) AS edges, max(edge_seq) AS last_seq FROM e WHERE {rul
 SELECT branch_id, count(*) AS n, round(sum(0.1 * pow(0.9, j) * r), 6) AS usefulness, round(sum(0.1 * pow(0.9, j) * c), 6) AS retrieval_error FROM r GROUP BY 1""",
     "feedback_stats": f"""WITH {_FB} SELECT branch_id, count(*) AS n, round(avg(coalesce(sig, CASE WHEN used THEN 1.0 ELSE 0 END)), 6) AS use_rate, round(avg(CASE WHEN corrected THEN 1.0 ELSE 0 END), 6) AS correction_rate,
   round(avg(CASE WHEN expanded THEN 1.0 ELSE 0 END), 6) AS expansion_rate FROM fb GROUP BY 1""",
-    "retrieval_co_use": f"""WITH {_FB}, p AS (SELECT query_id, branch_id, max(coalesce(sig, CASE WHEN used THEN 1.0 ELSE 0 END)) AS u, max(CASE WHEN used THEN 1 ELSE 0 END) AS x FROM fb GROUP BY 1, 2),
-t AS (SELECT branch_id, count(*) AS n FROM p GROUP BY 1),
-j AS (SELECT a.branch_id AS a, b.branch_id AS b, count(*) AS shared, sum(a.x * b.x) AS ut, sum(CASE WHEN a.x = 1 AND b.x = 1 THEN (a.u + b.u) / 2 END) AS q FROM p a JOIN p b ON a.query_id = b.query_id AND a.branch_id < b.branch_id GROUP BY 1, 2)
-SELECT a AS branch_a, b AS branch_b, shared, CAST(ut AS BIGINT) AS used_together, round(greatest(0, least(1, ut / (x.n + y.n - shared) * (0.5 + 0.5 * coalesce(q / nullif(ut, 0), 0)))), 6) AS co_use FROM j JOIN t x ON x.branch_id = a JOIN t y ON y.branch_id = b""",
-    "feedback_retention": f"""WITH {_FB}, k AS (SELECT * FROM fb WHERE t >= 1706659200 - 14 * 86400 QUALIFY row_number() OVER (ORDER BY t DESC, seq DESC) <= 3000) SELECT branch_id, count(*) AS kept, min(seq) AS first_seq FROM k GROUP BY 1""",
+    "retrieval_co_use": f"SELECT branch_a, branch_b, shared, queries, round(co, 6) AS co_use FROM ({Q.CO_USE})",
+    "feedback_retention": f"""WITH {_FB}, k AS (SELECT * FROM fb WHERE t >= 1706659200 - 90 * 86400 QUALIFY row_number() OVER (ORDER BY t DESC, seq DESC) <= 200000) SELECT branch_id, count(*) AS kept, min(seq) AS first_seq FROM k GROUP BY 1""",
     "branch_last_activity": f"""WITH {_FB}, a AS (SELECT {_B} AS branch_id, max("timestamp") AS t FROM memory_nodes WHERE {_B} IS NOT NULL GROUP BY 1), b AS (SELECT branch_id, max(t) AS f FROM fb GROUP BY 1)
 SELECT branch_id, greatest(coalesce(a.t, 0), coalesce(f, 0)) AS last_ts FROM a FULL JOIN b USING (branch_id)""",
 }
-ORACLE["keyword_matches_whole"] = ORACLE["keyword_matches"].replace(" WHERE rn <= 300", "")
-ORACLE["feedback_retention_whole"] = ORACLE["feedback_retention"].replace("14 * 86400", "90 * 86400").replace("<= 3000", "<= 200000")
+ORACLE["keyword_matches_whole"] = ORACLE["keyword_matches"].replace(" WHERE rn <= 3000", "")

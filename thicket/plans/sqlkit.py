@@ -41,11 +41,24 @@ _F = {
 }
 
 #: Branches with their stated scalars and the centroid of their nodes, scored for the query.
-def scored(mode: str) -> str:
+def scored(mode: str, joined: str = "", trust: str = "0.30 * coherence + 0.20 * compression_loss - 0.25 * topic_drift_density + 0.25 * retrieval_error") -> str:
     r, s = _F[mode]
     return f"""{NODES}, {QUERY},
 semq AS (SELECT branch_id, sum(qv * m) / ((sqrt(sum(qv * qv)) + {EPS}) * (sqrt(sum(m * m)) + {EPS})) AS sem FROM mu JOIN q USING (i) GROUP BY 1),
 st AS (SELECT {k('branch_id')} AS branch_id, state, regime, coherence, compression_loss, topic_drift_density, retrieval_error, usefulness, reactivation_score, node_count, last_update_ts FROM branch_states),
-sc AS (SELECT *, 0.30 * coherence + 0.20 * compression_loss - 0.25 * topic_drift_density + 0.25 * retrieval_error AS trust, 0.5 * sem AS react,
-  greatest(0.25, least(1.5, ({r}) * ({s}))) AS factor FROM st JOIN semq USING (branch_id)),
+sc AS (SELECT *, {trust} AS trust, 0.5 * sem AS react,
+  greatest(0.25, least(1.5, ({r}) * ({s}))) AS factor FROM st JOIN semq USING (branch_id) {joined}),
 tot AS (SELECT *, (0.60 * sem + 0.25 * trust + 0.15 * react) * factor AS total FROM sc)"""
+
+
+#: Events read as feedback on branches.
+FEEDBACK = """fb AS (SELECT event_id AS seq, event_id // 4 AS query_id, 'conv_' || CAST(user_id % 10 AS VARCHAR) AS branch_id, event_type IN ('click', 'purchase') AS used, event_type = 'error' AS corrected,
+  event_type = 'view' AS expanded, CASE WHEN event_type = 'signup' THEN least(1.0, value / 500) END AS sig, epoch_us(ts) / 1e6 AS t FROM events)"""
+
+#: For every pair of branches the newest 5,000 rows of both; queries that retrieved both over those that retrieved either.
+CO_USE = f"""WITH {FEEDBACK}, names AS (SELECT DISTINCT branch_id FROM fb),
+pr AS (SELECT a.branch_id AS a, b.branch_id AS b FROM names a JOIN names b ON a.branch_id < b.branch_id),
+rows AS (SELECT pr.a, pr.b, fb.branch_id, query_id, used FROM pr JOIN fb ON fb.branch_id IN (pr.a, pr.b) QUALIFY row_number() OVER (PARTITION BY pr.a, pr.b ORDER BY t DESC, seq DESC) <= 5000),
+per AS (SELECT a, b, query_id, max(CASE WHEN used THEN 1 ELSE 0 END) FILTER (branch_id = a) AS ua, max(CASE WHEN used THEN 1 ELSE 0 END) FILTER (branch_id = b) AS ub FROM rows GROUP BY 1, 2, 3)
+SELECT a AS branch_a, b AS branch_b, count(*) FILTER (ua IS NOT NULL AND ub IS NOT NULL) AS shared, count(*) AS queries,
+  greatest(0, least(1, count(*) FILTER (ua IS NOT NULL AND ub IS NOT NULL) / count(*) * (0.5 + 0.5 * avg((ua + ub) / 2.0)))) AS co FROM per GROUP BY 1, 2 HAVING shared > 0"""

@@ -54,8 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a folder of this
-    process is used.
+    Only where the session names none and runs on a single machine (tests) a folder of this
+    process is used; on a cluster, whose executors would not share it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -63,6 +63,8 @@ def shared_folder(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="thicket-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -73,14 +75,19 @@ class Scratch:
 
     A table is written once to the shared folder and read back with its known schema,
     so a lost executor costs a read and never a recomputation of an iteration. Tables
-    are dropped when a later round replaces them, the rest when the process ends.
+    are dropped when a later round replaces them, the rest by ``release`` once the result is written, or when the
+    process ends.
     """
 
+    _open: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
-        atexit.register(self.close)
+        if not Scratch._open:
+            atexit.register(release)
+        Scratch._open.append(self)
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         self._count += 1
@@ -114,6 +121,12 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Tasks that run at once, at least the shuffle partitions set for the session."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def release(since: int = 0) -> None:
+    """Drops the scratch tables opened after the first ``since``: a long session calls it once results are written."""
+    while len(Scratch._open) > since:
+        Scratch._open.pop().close()
+
+
+def parallelism(spark: SparkSession, rows: int = 0, rows_per_task: int = 4_000_000) -> int:
+    """Tasks that run at once, at least the shuffle partitions set for the session, and more where ``rows`` need them."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
