@@ -56,3 +56,14 @@ def test_filters_never_miss_a_bucket():
     out = redelivery._screen(pdf)
     assert set(fp[:500]) <= set(out["fp"])
     assert len(set(out["fp"])) < 500 + 0.15 * 4500
+
+
+def test_what_is_verified_is_in_proportion_to_the_repeats(spark):
+    rows = [("b", f"m{i}", i, float(i * 1000), 1, "x") for i in range(20000)] + [("b", f"m{i}", 30000 + i, float(i * 9000), 1, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    gone = redelivery.repeats(df, [key("branch_id"), key("lcm_id")], "ingest_seq", "timestamp")
+    assert {r["seq"] for r in gone.collect()} == set(range(30000, 30200))
+    matched = gone._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().location().rootPaths().head().toString()
+    assert spark.read.parquet(matched).count() < 1000
+    # a bit map far too small lets more through and loses nothing
+    assert run(spark, rows[:2000] + rows[-50:], most_words=2) == brute(rows[:2000] + rows[-50:])

@@ -89,10 +89,12 @@ class Scratch:
             atexit.register(release)
         Scratch._open.append(self)
 
-    def save(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, label: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
+        """``by`` names the columns whose values part the table into folders (they come last in it)."""
         self._count += 1
         path = f"{self.root}/{label}-{self._count}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df = df.select(*[c for c in df.columns if c not in by], *by)
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
