@@ -20,14 +20,28 @@ def brute(parent):
     return out
 
 
-def check(spark, parent):
+def sizes(parent):
+    """Descendants of every node, itself included, by walking up from each."""
+    below = {v: {v} for v in parent}
+    for v in parent:
+        x, seen = parent[v], {v}
+        while x is not None and x not in seen:
+            below[x].add(v)
+            seen.add(x)
+            x = parent[x]
+    return {v: len(s) for v, s in below.items()}
+
+
+def check(spark, parent, finish=0):
     rows = [(v, p, False) for v, p in parent.items()]
-    got = hierarchy.contract(spark.createDataFrame(rows, "nid long, pid long, dangling boolean"), with_paths=True).collect()
-    want = brute(parent)
+    got = hierarchy.contract(spark.createDataFrame(rows, "nid long, pid long, dangling boolean"), with_paths=True, finish=finish).collect()
+    want, size = brute(parent), sizes(parent)
     assert len(got) == len(parent)
     for r in got:
         root, depth, end, cyc, path = want[r["nid"]]
-        assert (r["end"], r["on_cycle"]) == (end, cyc), (r, want[r["nid"]])
+        assert (r["end"], r["on_cycle"], r["size"]) == (end, cyc, size[r["nid"]]), (r, want[r["nid"]])
+        assert r["path"][-1] == r["nid"] and len(r["path"]) == r["depth"] + 1
+        assert all(parent[b] == a for a, b in zip(r["path"], r["path"][1:]))
         if end == "root":
             assert (r["root"], r["depth"], r["path"]) == (root, depth, path)
 
@@ -38,6 +52,8 @@ def test_random_forests_with_circles(spark):
     for v in range(400):
         parent[v] = None if rng.random() < 0.05 else rng.randint(max(0, v - 8), v - 1) if v and rng.random() < 0.95 else rng.randint(0, 399)
     check(spark, parent)
+    check(spark, parent, finish=150)
+    check(spark, parent, finish=10_000)
 
 
 def test_long_chain_star_and_circles(spark):
@@ -46,6 +62,25 @@ def test_long_chain_star_and_circles(spark):
     parent |= {2000: 2000, 2001: 2000, 2002: 2001, 3000: 3001, 3001: 3000}
     parent |= {4000 + i: 4000 if i else None for i in range(500)}
     check(spark, parent)
+    check(spark, parent, finish=10_000)
+
+
+def test_a_chain_and_a_star_of_100000(spark, monkeypatch):
+    n = 100_000
+    ids = spark.range(n).select("id")
+    chain = ids.select(F.col("id").alias("nid"), F.when(F.col("id") > 0, F.col("id") - 1).alias("pid"), F.lit(False).alias("dangling"))
+    star = ids.select((F.col("id") + n).alias("nid"), F.when(F.col("id") > 0, F.lit(n)).cast("long").alias("pid"), F.lit(False).alias("dangling"))
+    out = hierarchy.contract(chain.unionByName(star))
+    bad = out.where(
+        F.when(F.col("nid") < n, (F.col("depth") != F.col("nid")) | (F.col("root") != 0) | (F.col("size") != n - F.col("nid")))
+        .otherwise((F.col("root") != n) | (F.col("depth") != (F.col("nid") > n).cast("long")) | (F.col("size") != F.when(F.col("nid") == n, n).otherwise(1)))
+    )
+    assert out.count() == 2 * n and bad.count() == 0
+    # the joins by parent deal the star to several tasks
+    seen = []
+    real = hierarchy._split_join
+    monkeypatch.setattr(hierarchy, "_split_join", lambda *a: seen.append(a[-1]) or real(*a))
+    assert hierarchy.contract(star).where("root = 100000").count() == n and seen and all(h == [n] for h in seen)
 
 
 def test_numbering_dangling_repeats_and_empty(spark):

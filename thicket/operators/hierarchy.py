@@ -1,13 +1,14 @@
 """Parent-child links to full hierarchies by tree contraction.
 
 Each round rakes the leaves and splices nodes out of unary chains (those whose random priority
-is lower than that of a unary parent and of a unary child, so no two neighbours go at once).
-Every removal is recorded with the node it now hangs on, the hops between them and, where
+is lower than that of their parent and of their only child, so no two neighbours go at once).
+Every removal is recorded with the node it now hangs on, the hops between them, the nodes below it and, where
 paths are wanted, the nodes in between. What is left when nothing can be removed any more
 is a set of nodes that point at themselves: the cores of circles. The recorded removals are
-then reversed, latest first, and hand down root, depth, path and whether a node lies on a
+then reversed, latest first, and hand down root, depth, path, the number of descendants and whether a node lies on a
 circle. A forest of any depth ``d`` needs a number of rounds in the order of ``log d``, each over
-a fraction of the rows of the one before; every round is a written table.
+a fraction of the rows of the one before; every round is a written table. When few links are left, one task resolves
+them all, which gives the same result in fewer rounds.
 
 A node whose parent is null or has no row is a root (``end`` tells which: ``root`` or
 ``dangling``). A node naming itself is a circle of one. A node leading into a circle has no root;
@@ -18,6 +19,10 @@ input gives empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -45,85 +50,188 @@ def link_edges(nodes: DataFrame, link: str) -> DataFrame:
     return out.select("nid", "pid", (F.col("_k").isNotNull() & F.col("pid").isNull()).alias("dangling"))
 
 
-def contract(edges: DataFrame, with_paths: bool = False, max_rounds: int = 200) -> DataFrame:
-    """(nid, root, depth, end, on_cycle[, path]) from (nid, pid, dangling).
+#: Alive links that one task may resolve at the end: some MB.
+FINISH = 20_000
+#: A parent with at least so many children, and half a percent of all rows, is split in the joins.
+HOT = 50_000
+
+_KNOWN = "nid long, root long, depth long, end string, on_cycle boolean, size long, path array<long>"
+
 
-    path is the array of nids from the root (or the core of the circle) to the node.
+def contract(edges: DataFrame, with_paths: bool = False, max_rounds: int = 200, finish: int = FINISH) -> DataFrame:
+    """(nid, root, depth, end, on_cycle, size[, path]) from (nid, pid, dangling); numbers are not negative.
+
+    size counts the node and all its descendants; every node of a circle has the whole circle and what hangs below it.
+    path is the array of nids from the root (or the core of the circle) to the node; all paths of a chain of d nodes
+    are d * d / 2 numbers, so they are only made where asked for.
+
+    A link (c, p, w, x, acc) leads over w hops to p, past spliced nodes that have x nodes in and below them but not below
+    c; acc counts c and what was raked off it. A root has a link to a negative number of its own.
+    What a round rakes is added to its parent in the next round. At most ``finish`` links are resolved by one task.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "hierarchy")
+    long = lambda v: F.lit(v).cast("long")
     seg = F.array().cast("array<long>") if with_paths else F.lit(None).cast("array<long>")
-    roots = edges.where("pid IS NULL").select("nid", "dangling")
-    alive = scratch.save(
-        edges.where("pid IS NOT NULL").select(F.col("nid").alias("c"), F.col("pid").alias("p"), F.lit(1).cast("long").alias("w"), seg.alias("seg"), F.lit(0).alias("turn")),
-        "alive",
-    )
-    removed: list[DataFrame] = []
-    for _ in range(max_rounds):
-        seen = Observation()
-        busy = F.sum((F.col("act") != "core").cast("long")).alias("busy")
-        tagged = scratch.save(_one_round(alive, with_paths).observe(seen, busy), "round")
-        if not seen.get["busy"]:
-            cores = tagged  # empty, or only nodes that point at themselves
+    top = -1 - 2 * F.col("nid") - F.col("dangling").cast("long")
+    alive = edges.select(F.col("nid").alias("c"), F.coalesce("pid", top).alias("p"), F.col("pid").isNotNull().cast("long").alias("w"), long(0).alias("x"), long(1).alias("acc"), seg.alias("seg"))
+    alive = scratch.save(alive, "alive")
+    count = alive.count()
+    # at most 200 parents have half a percent of the rows; none ever gets more children than it had
+    heavy = heavy_keys(alive.where("p >= 0"), "p", 0.005).where(F.col("load") >= HOT)
+    hot = [r["key"] for r in heavy.select("key").collect()] if count >= HOT else []
+    path = lambda *a: F.array(*a) if with_paths else F.lit(None).cast("array<long>")
+    rounds: list[DataFrame] = []
+    pending = None  # (p, g) raked in the last round and not yet added
+    known = None
+
+    def settle(done: DataFrame) -> DataFrame:
+        """The finished rows of a round: roots without children, and cores of circles."""
+        end = F.when(F.col("act") == "core", "cycle").when(F.pmod("p", F.lit(2)) == 0, "dangling").otherwise("root")
+        circle = F.col("act") == "core"
+        size = F.col("acc") + F.when(circle, F.col("x")).otherwise(0)
+        return done.select(F.col("c").alias("nid"), F.when(~circle, F.col("c")).alias("root"), long(0).alias("depth"), end.alias("end"), circle.alias("on_cycle"), size.alias("size"), path("c").alias("path"))
+
+    for turn in range(max_rounds):
+        if rounds and count <= finish:
             break
-        removed.append(tagged.where("act IN ('rake', 'splice')"))
-        if len(removed) == 1:
+        seen = Observation()
+        left = F.sum((F.col("act") == "keep").cast("long")).alias("left")
+        tagged = scratch.save(_one_round(alive, pending, turn, hot, with_paths).observe(seen, left), "round")
+        known = scratch.append(settle(tagged.where("act IN ('top', 'core')")), "done")
+        if not rounds:
             scratch.drop(alive)
-        alive = tagged.where("act IN ('keep', 'core')").select("c", "p", "w", "seg", "turn")
+        rounds.append(tagged)
+        alive = tagged.where("act = 'keep'").select("c", "p", "w", "x", "acc", "seg")
+        pending = tagged.where("act = 'rake'").select("p", (F.col("acc") + F.col("x")).alias("g"))
+        count = seen.get["left"] or 0
+        if not count:
+            break
     else:
         raise RuntimeError("the contraction did not end")
-    path = lambda *a: F.array(*a) if with_paths else F.lit(None).cast("array<long>")
-    base = roots.select("nid", F.col("nid").alias("root"), F.lit(0).cast("long").alias("depth"),
-                        F.when(F.col("dangling"), "dangling").otherwise("root").alias("end"), F.lit(False).alias("on_cycle"), path("nid").alias("path"))
-    core = cores.select(F.col("c").alias("nid"), F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("depth"),
-                        F.lit("cycle").alias("end"), F.lit(True).alias("on_cycle"), path("c").alias("path"))
-    known = scratch.append(base.unionByName(core), "done")
-    for gone in reversed(removed):
+    if count:
+        last = _with_pending(alive, pending)
+        known = scratch.append(last.coalesce(1).mapInPandas(_finishing(with_paths), _KNOWN), "done")
+    for tagged in reversed(rounds):
+        raked = tagged.where("act = 'rake'").select("c", "p", "w", F.col("acc").alias("own"), long(None).alias("child"), "seg")
+        spliced = tagged.where("s_c IS NOT NULL").select(F.col("s_c").alias("c"), "p", F.col("s_w").alias("w"), F.col("s_own").alias("own"), F.when(F.col("act") != "rake", F.col("c")).alias("child"), F.col("s_seg").alias("seg"))
+        gone = raked.unionByName(spliced)
         up = known.select(F.col("nid").alias("p"), "root", "depth", "end", F.col("path").alias("_path"))
-        new = gone.join(up.hint("merge"), "p").select(
-            F.col("c").alias("nid"), "root", (F.col("depth") + F.col("w")).alias("depth"), "end",
+        new = _split_join(gone, up, "p", "inner", hot).select(
+            F.col("c").alias("nid"), "root", (F.col("depth") + F.col("w")).alias("depth"), "end", "own",
             (F.concat("_path", F.col("seg"), F.array("c")) if with_paths else F.lit(None).cast("array<long>")).alias("path"),
-            # a raked node asks a number nobody has
-            F.when(F.col("act") == "splice", F.col("child")).otherwise(-1 - F.col("c")).alias("child"),
+            # a node without child asks a number nobody has
+            F.coalesce("child", -1 - F.col("c")).alias("child"),
         )
-        # a spliced node lies on a circle if its only child does, which outlived that round and is known
-        # by now; a raked one never does
-        asked = new.join(known.select(F.col("nid").alias("child"), F.col("on_cycle").alias("_cc")).hint("merge"), "child", "left")
-        known = scratch.append(asked.withColumn("on_cycle", F.coalesce("_cc", F.lit(False))).select(base.columns), "done")
+        # a spliced node lies on a circle if its only child does, which outlived that round and is known by now
+        below = known.select(F.col("nid").alias("child"), F.col("on_cycle").alias("_cc"), F.col("size").alias("_cs"))
+        asked = new.join(below.hint("merge"), "child", "left")
+        size = F.when(F.coalesce("_cc", F.lit(False)), F.col("_cs")).otherwise(F.col("own") + F.coalesce("_cs", F.lit(0)))
+        out = asked.select("nid", "root", "depth", "end", F.coalesce("_cc", F.lit(False)).alias("on_cycle"), size.alias("size"), "path")
+        known = scratch.append(out, "done")
     return known if with_paths else known.drop("path")
 
 
-def _one_round(alive: DataFrame, with_paths: bool) -> DataFrame:
-    """Every alive link (c, p, w, seg) with what becomes of its node this round.
+def _split_join(left: DataFrame, right: DataFrame, on: str, how: str, hot: list[int]) -> DataFrame:
+    """A merge join in which the rows of a hot number on the left are dealt to 16 tasks."""
+    if not hot:
+        return left.join(right.hint("merge"), on, how)
+    is_hot = F.col(on).isin(hot)
+    lhs = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("c"), F.lit(16)).cast("int")).otherwise(F.lit(0)))
+    rhs = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(0)))))
+    return lhs.join(rhs.hint("merge"), [on, "_salt"], how).drop("_salt")
+
+
+def _with_pending(alive: DataFrame, pending: DataFrame | None) -> DataFrame:
+    """``alive`` with what was raked off each node added to it."""
+    if pending is None:
+        return alive
+    got = pending.where("p >= 0").groupBy("p").agg(F.sum("g").alias("g")).select(F.col("p").alias("c"), "g")
+    return alive.join(got.hint("merge"), "c", "left").select("c", "p", "w", "x", (F.col("acc") + F.coalesce("g", F.lit(0))).alias("acc"), "seg")
+
 
-    Joins are merge joins in every round: tables that shrink would otherwise be broadcast by the driver, a
-    new one and new generated code for each round.
+def _one_round(alive: DataFrame, pending: DataFrame | None, turn: int, hot: list[int], with_paths: bool) -> DataFrame:
+    """Every alive link with what becomes of its node this round (act) and, where it now leads past a spliced parent,
+    what is recorded of that one (s_c, s_w, s_own, s_seg).
 
-    act: rake (c is a leaf), splice (c leaves a chain), keep or core; kept links already lead past
-    a spliced parent.
+    A round is three exchanges: children counted by parent, the counts sent to their nodes, the spliced ones sent to
+    their children. Which of two neighbours in a chain goes is told by random priorities that every node can
+    work out for itself. Joins are merge joins in every round: tables that shrink would otherwise be broadcast by
+    the driver, a new one and new generated code for each round.
     """
-    rank = lambda c: F.xxhash64(F.col(c), F.col("turn"))
-    kids = alive.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("u"))
-    own = kids.select(F.col("p").alias("c"), "k", F.col("u").alias("child"))
-    # k: children of c, null for a leaf; child: the only one if k is 1
-    t = alive.join(own.hint("merge"), "c", "left")
-    # of the parent: its number of children; of the child: its number of children
-    up = t.groupBy("p").agg(F.max(F.coalesce("k", F.lit(0))).alias("k_child"))
-    below = up.select(F.col("p").alias("c"), "k_child")
-    above = kids.select("p", F.col("k").alias("kp"))
-    leaves = t.where("k IS NULL").select("c", "p", "w", "seg", "turn", F.lit(None).cast("long").alias("child"), F.lit("rake").alias("act"))
-    t = t.where("k IS NOT NULL").join(below.hint("merge"), "c", "left").join(above.hint("merge"), "p", "left")
-    loop = F.col("c") == F.col("p")
-    unary = (F.col("k") == 1) & (F.col("k_child") >= 1) & ~loop & (F.col("child") != F.col("c"))
-    wins = ((F.col("k_child") != 1) | (rank("c") < rank("child"))) & ((F.col("kp") != 1) | (rank("c") < rank("p")))
-    act = F.when(loop & (F.col("k") == 1), "core").when(unary & wins, "splice").otherwise("keep")
-    t = t.select("c", "p", "w", "seg", (F.col("turn") + 1).alias("turn"), "child", act.alias("act"))
-    gone = t.where("act = 'splice'").select(F.col("c").alias("p"), F.col("p").alias("_p"), F.col("w").alias("_w"), F.col("seg").alias("_seg"))
-    t = t.join(gone.hint("merge"), "p", "left")
+    rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))
+    links = alive.where("p >= 0").select("p", "c", F.lit(None).cast("long").alias("g"))
+    if pending is not None:
+        links = links.unionByName(pending.where("p >= 0").select("p", F.lit(None).cast("long").alias("c"), "g"))
+    kids = links.groupBy("p").agg(F.count("c").alias("k"), F.min("c").alias("u"), F.sum("g").alias("g"))
+    t = alive.join(kids.withColumnRenamed("p", "c").hint("merge"), "c", "left")
+    k, loop = F.coalesce("k", F.lit(0)), F.col("c") == F.col("p")
+    chain = (k == 1) & (F.col("p") >= 0) & ~loop & (F.col("u") != F.col("c"))
+    wins = (rank("c") < rank("p")) & (rank("c") < rank("u"))
+    act = F.when(loop & (k == 1), "core").when((k == 0) & (F.col("p") < 0), "top").when(k == 0, "rake").when(chain & wins, "splice").otherwise("keep")
+    t = t.select("c", "p", "w", "x", (F.col("acc") + F.coalesce("g", F.lit(0))).alias("acc"), "seg", act.alias("act"))
+    gone = t.where("act = 'splice'").select(F.col("c").alias("p"), F.col("p").alias("_p"), F.col("w").alias("_w"), F.col("x").alias("_x"), F.col("acc").alias("_acc"), F.col("seg").alias("_seg"))
+    t = _split_join(t.where("act <> 'splice'"), gone, "p", "left", hot)
     past = F.col("_p").isNotNull()
-    new_seg = F.when(past, F.concat("_seg", F.array("p"), "seg")).otherwise(F.col("seg")) if with_paths else F.col("seg")
-    inner = t.select("c", F.coalesce("_p", "p").alias("p"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), new_seg.alias("seg"), "turn", "child", "act")
-    return inner.unionByName(leaves)
+    none = F.lit(None).cast("array<long>")
+    own = F.col("_acc") + F.col("x") + F.when(F.col("act") == "rake", F.col("acc")).otherwise(0)
+    return t.select(
+        "c", F.coalesce("_p", "p").alias("p"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"),
+        (F.col("x") + F.when(past, F.col("_acc") + F.col("_x")).otherwise(0)).alias("x"), "acc",
+        (F.when(past, F.concat("_seg", F.array("p"), "seg")).otherwise(F.col("seg")) if with_paths else none).alias("seg"), "act",
+        F.when(past, F.col("p")).alias("s_c"), F.col("_w").alias("s_w"), F.when(past, own).alias("s_own"), F.col("_seg").alias("s_seg"),
+    )
+
+
+def _finishing(with_paths: bool):
+    """The last links, all in one task: what ``contract`` returns of their nodes."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches))
+        c, p, w, x, acc = (pdf[n].to_numpy(np.int64).tolist() for n in ("c", "p", "w", "x", "acc"))
+        seg = pdf["seg"].tolist() if with_paths else None
+        place = {v: i for i, v in enumerate(c)}
+        up = [place[v] if v >= 0 else -1 for v in p]
+        kids = [0] * len(c)
+        for u in up:
+            if u >= 0:
+                kids[u] += 1
+        size, order = list(acc), [i for i, n in enumerate(kids) if not n]
+        for i in order:  # grows while it is gone through: a node follows when its last child is done
+            u = up[i]
+            if u >= 0:
+                size[u] += size[i] + x[i]
+                kids[u] -= 1
+                if not kids[u]:
+                    order.append(u)
+        inside = set(order)
+        out: list = [None] * len(c)
+        for i in range(len(c)):  # what is left lies on circles
+            if i in inside or out[i] is not None:
+                continue
+            ring, j = [], i
+            while not ring or j != i:
+                ring.append(j)
+                j = up[j]
+            first = min(range(len(ring)), key=lambda n: c[ring[n]])
+            ring = ring[first:] + ring[:first]
+            total = sum(size[j] + x[j] for j in ring)
+            core, before, deep = ring[0], [c[ring[0]]], 0
+            out[core] = (c[core], None, 0, "cycle", True, total, before if with_paths else None)
+            for j in reversed(ring[1:]):
+                deep += w[j]
+                if with_paths:
+                    before = [*before, *seg[j], c[j]]
+                out[j] = (c[j], None, deep, "cycle", True, total, before if with_paths else None)
+        for i in reversed(order):
+            if up[i] < 0:
+                out[i] = (c[i], c[i], 0, "dangling" if p[i] % 2 == 0 else "root", False, size[i], [c[i]] if with_paths else None)
+            else:
+                a = out[up[i]]
+                out[i] = (c[i], a[1], a[2] + w[i], a[3], False, size[i], [*a[6], *seg[i], c[i]] if with_paths else None)
+        yield pd.DataFrame(out, columns=["nid", "root", "depth", "end", "on_cycle", "size", "path"]).astype({"root": "Int64"})
+
+    return f
 
 
 def descendants(paths: DataFrame) -> DataFrame:

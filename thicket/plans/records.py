@@ -42,7 +42,7 @@ def _both_links(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
         parts.append(e.select((F.col("nid") * 2 + bit).alias("nid"), (F.col("pid") * 2 + bit).alias("pid"), "dangling"))
     out = hierarchy.contract(parts[0].unionByName(parts[1]), with_paths)
     half = lambda c: F.expr(f"{c} div 2")
-    cols = [half("nid").alias("nid"), half("root").alias("root"), "depth", "end", "on_cycle"]
+    cols = [half("nid").alias("nid"), half("root").alias("root"), "depth", "end", "on_cycle", (F.col("size") - 1).alias("descendants")]
     if with_paths:
         cols.append(F.transform("path", lambda x: F.floor(x / 2)).alias("path"))
     return out.select((F.col("nid") % 2 == 1).alias("correction"), *cols)
@@ -69,15 +69,16 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path, depth, root and number of descendants of every node along both kinds of links."""
-    placed = _placed(spark, sf_dir)
-    below = hierarchy.descendants(placed.select("nid", "path", "correction", "on_cycle"))
-    below = below.groupBy(F.col("ancestor").alias("nid"), "correction").agg(F.count(F.lit(1)).alias("descendants"))
-    out = placed.join(below, ["nid", "correction"], "left")
-    return out.select(
-        F.when(F.col("correction"), "correction").otherwise("parent").alias("link"), "nid", "root", "depth", "end", "on_cycle",
-        F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))).alias("path"),
-        F.coalesce("descendants", F.lit(0)).alias("descendants"),
+    """Path, depth, root and number of descendants of every node along both kinds of links.
+
+    The descendants are counted in the contraction itself; depth and path of nodes of and below a circle are counted from
+    the core of the circle, whichever node that is, and so are not given.
+    """
+    placed = _both_links(_numbered(spark, sf_dir), with_paths=True)
+    open_ = F.col("end") != "cycle"
+    return placed.select(
+        F.when(F.col("correction"), "correction").otherwise("parent").alias("link"), "nid", "root", F.when(open_, F.col("depth")).alias("depth"), "end", "on_cycle",
+        F.when(open_, F.concat_ws("/", F.transform("path", lambda x: x.cast("string")))).alias("path"), "descendants",
     )
 
 
@@ -209,7 +210,21 @@ refs AS (
   FROM memory_nodes WHERE node_type IN ('message', 'tool_result', 'leaf_summary', 'condensed_summary')),
 missing AS (SELECT refs.* FROM refs ANTI JOIN live USING (t, k) WHERE k IS NOT NULL AND k NOT LIKE 'agent:%')"""
 
+_LINKS = """named AS (SELECT 'parent' AS link, k, ingest_seq AS nid, parent AS pk FROM n UNION ALL SELECT 'correction', k, ingest_seq, prev FROM n),
+e AS (SELECT named.link, named.nid, named.pk, q.ingest_seq AS pid FROM named LEFT JOIN n q ON named.pk = q.k),
+walk AS (SELECT link, nid, pid AS a, 1 AS hops, [nid] AS seen FROM e WHERE pid IS NOT NULL AND pid <> nid
+  UNION ALL SELECT walk.link, walk.nid, e.pid, hops + 1, list_append(seen, walk.a) FROM walk JOIN e ON e.link = walk.link AND e.nid = walk.a WHERE e.pid IS NOT NULL AND e.pid <> walk.a AND NOT list_contains(walk.seen, e.pid))"""
+
 ORACLE = {
+    "p5_descendants": f"{_NODES}, {_LINKS} SELECT link, a AS ancestor, nid, CAST(hops AS BIGINT) AS distance FROM walk",
+    "p5_hierarchy": f"""{_NODES}, {_LINKS},
+tree AS (SELECT link, nid, nid AS root, 0 AS depth, CASE WHEN pk IS NULL THEN 'root' ELSE 'dangling' END AS ends, CAST(nid AS VARCHAR) AS path FROM e WHERE pid IS NULL
+  UNION ALL SELECT e.link, e.nid, root, depth + 1, ends, path || '/' || CAST(e.nid AS VARCHAR) FROM tree JOIN e ON e.link = tree.link AND e.pid = tree.nid),
+reach AS (SELECT link, nid AS s, pid AS c FROM e WHERE pid IS NOT NULL UNION SELECT reach.link, reach.s, e.pid FROM reach JOIN e ON e.link = reach.link AND e.nid = reach.c WHERE e.pid IS NOT NULL),
+below AS (SELECT link, a AS nid, count(*) AS descendants FROM walk GROUP BY 1, 2),
+circles AS (SELECT link, s AS nid FROM reach WHERE s = c)
+SELECT e.link, e.nid, tree.root, CAST(tree.depth AS BIGINT) AS depth, coalesce(tree.ends, 'cycle') AS "end", circles.nid IS NOT NULL AS on_cycle, tree.path, coalesce(descendants, 0) AS descendants
+FROM e LEFT JOIN tree USING (link, nid) LEFT JOIN below USING (link, nid) LEFT JOIN circles USING (link, nid)""",
     "p4_found": f"""SELECT ingest_seq FROM memory_nodes WHERE node_type = 'message' AND {_k('branch_id')} IS NOT NULL AND {_k('lcm_id')} IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY {_k('branch_id')}, {_k('lcm_id')} ORDER BY ingest_seq) > 1""",
     "p4_deliveries": f"""SELECT b AS branch_id, count(*) AS messages, min(s) AS first_seq, max(s) AS last_seq FROM (
