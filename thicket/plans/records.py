@@ -72,12 +72,12 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth, root and number of descendants of every node along both kinds of links.
 
     The descendants are counted in the contraction itself; depth and path of nodes of and below a circle are counted from
-    the core of the circle, whichever node that is, and so are not given.
+    the core of the circle, whichever node that is, and so are not given (-1 and null, as is the root they lack: -1).
     """
     placed = _both_links(_numbered(spark, sf_dir), with_paths=True)
     open_ = F.col("end") != "cycle"
     return placed.select(
-        F.when(F.col("correction"), "correction").otherwise("parent").alias("link"), "nid", "root", F.when(open_, F.col("depth")).alias("depth"), "end", "on_cycle",
+        F.when(F.col("correction"), "correction").otherwise("parent").alias("link"), "nid", F.coalesce("root", F.lit(-1)).alias("root"), F.when(open_, F.col("depth")).otherwise(-1).alias("depth"), "end", "on_cycle",
         F.when(open_, F.concat_ws("/", F.transform("path", lambda x: x.cast("string")))).alias("path"), "descendants",
     )
 
@@ -223,7 +223,7 @@ tree AS (SELECT link, nid, nid AS root, 0 AS depth, CASE WHEN pk IS NULL THEN 'r
 reach AS (SELECT link, nid AS s, pid AS c FROM e WHERE pid IS NOT NULL UNION SELECT reach.link, reach.s, e.pid FROM reach JOIN e ON e.link = reach.link AND e.nid = reach.c WHERE e.pid IS NOT NULL),
 below AS (SELECT link, a AS nid, count(*) AS descendants FROM walk GROUP BY 1, 2),
 circles AS (SELECT link, s AS nid FROM reach WHERE s = c)
-SELECT e.link, e.nid, tree.root, CAST(tree.depth AS BIGINT) AS depth, coalesce(tree.ends, 'cycle') AS "end", circles.nid IS NOT NULL AS on_cycle, tree.path, coalesce(descendants, 0) AS descendants
+SELECT e.link, e.nid, coalesce(tree.root, -1) AS root, CAST(coalesce(tree.depth, -1) AS BIGINT) AS depth, coalesce(tree.ends, 'cycle') AS "end", circles.nid IS NOT NULL AS on_cycle, tree.path, coalesce(descendants, 0) AS descendants
 FROM e LEFT JOIN tree USING (link, nid) LEFT JOIN below USING (link, nid) LEFT JOIN circles USING (link, nid)""",
     "p4_found": f"""SELECT ingest_seq FROM memory_nodes WHERE node_type = 'message' AND {_k('branch_id')} IS NOT NULL AND {_k('lcm_id')} IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY {_k('branch_id')}, {_k('lcm_id')} ORDER BY ingest_seq) > 1""",
