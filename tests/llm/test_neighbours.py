@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,82 @@ def test_recall_against_brute_force(spark):
     assert (got.sort_values(["q", "place"]).groupby("q")["cosine"].diff().dropna() <= 1e-12).all()
 
 
+@pytest.mark.parametrize("cells, block_rows", [(10, 150), (15, 40), (40, 60)])
+def test_recall_with_fine_centroids_and_bounded_copies(spark, cells, block_rows):
+    x = clustered(3000)
+    _, top = exact(x, 10)
+    got = nb.neighbours(frame(spark, x), "id", "vec", "seq", probes=30, list_rows=50, block_rows=block_rows, cells=cells).toPandas()
+    sets = {q: set(g) for q, g in got.groupby("q")["id"]}
+    recall = np.mean([len(sets[f"n{i:05d}"] & {f"n{j:05d}" for j in top[i]}) / 10 for i in range(len(x))])
+    assert recall >= 0.9 and got.groupby("q").size().eq(10).all()
+
+
+def test_copies_of_a_query_do_not_grow_with_the_vectors():
+    x = clustered(4000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    m = nb.Model(x, 4096, 16, cells=16)
+    assert len(m.centroids) == 16 and len(m.fine) == 256
+    import pandas as pd
+
+    pdf = pd.DataFrame({"id": [str(i) for i in range(200)], "seq": range(200), "asked": True, "vec": list(x[:200])})
+    copies = []
+    for blocks in (1, 8, 64, 256):
+        out = next(nb._route(m, 12, nb.Layout(m, np.full(len(m.load), blocks)))(iter([pdf])))
+        assert out["stored"].sum() == 200
+        copies.append((~out["stored"]).sum() / 200)
+    assert max(copies) <= 12
+    # a list longer than a block lies in several, and all are visited
+    out = next(nb._route(m, 12, nb.Layout(m, np.full(len(m.load), 1024)))(iter([pdf])))
+    assert (~out["stored"]).sum() / 200 <= 4 * 12
+
+
+def test_more_close_vectors_than_any_short_list(spark):
+    rng = np.random.default_rng(6)
+    x = clustered(600)
+    x[:400] = x[0] + rng.normal(size=(400, 64)) * 0.02
+    near = nb.neighbours(frame(spark, x), "id", "vec", "seq", probes=2, min_cosine=0.95, rerank=1).toPandas()
+    s, top = exact(x.astype(float), 10)
+    for i in range(0, 400, 37):
+        assert set(near[near["q"] == f"n{i:05d}"]["id"]) == {f"n{j:05d}" for j in top[i]}
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_of_the_registered_queries_on_the_tables(spark):
+    from thicket.functions.keys import key
+    from thicket.llm import queries
+
+    n = spark.read.parquet(f"{SF}/memory_nodes.parquet").select(key("id").alias("id"), "ingest_seq", "embedding")
+    n = n.where("id IS NOT NULL").where(nb.usable(F.col("embedding"), 64)).toPandas().sort_values("ingest_seq")
+    asked = set(n[n["ingest_seq"] % 20 == 0]["id"])
+    first = n.drop_duplicates("id")
+    ids, x = first["id"].to_numpy(), nb._unit(first["embedding"])
+    rows = np.flatnonzero(first["id"].isin(asked).to_numpy())
+    got = {q: set(g) for q, g in queries.p3_neighbours(spark, SF).toPandas().groupby("q")["id"]}
+    hits, of, close, found = 0, 0, 0, 0
+    pairs = {tuple(r) for r in queries.p3_found(spark, SF).collect()}
+    for a in range(0, len(rows), 256):
+        part = rows[a : a + 256]
+        s = x[part] @ x.T
+        s[np.arange(len(part)), part] = -9
+        top = np.argpartition(-s, 10, axis=1)[:, :10]
+        for i, t, sims in zip(part, top, s):
+            worst = sims[t].min()
+            mine = [j for j in np.flatnonzero(sims >= worst - 1e-6) if ids[j] in got[ids[i]]]
+            hits, of = hits + min(10, len(mine)), of + 10
+            for j in t:
+                if sims[j] >= 0.9500001:
+                    back = x @ x[j]
+                    back[j] = -9
+                    if (back > sims[j] + 1e-7).sum() < 10 and (sims > sims[j] + 1e-7).sum() < 10 and (back >= sims[j] - 1e-7).sum() <= 10 and (sims >= sims[j] - 1e-7).sum() <= 10:
+                        close += 1
+                        found += tuple(sorted((ids[i], ids[j]))) in pairs
+    print("recall", hits / of, "pairs", found, close)
+    assert hits / of >= 0.9 and found / close >= 0.98
+
+
 def test_close_pairs_are_found_from_both_sides(spark):
     x = clustered(2000)
     rng = np.random.default_rng(5)

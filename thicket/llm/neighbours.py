@@ -9,14 +9,18 @@ The best candidates of the approximate order are reranked with the exact vectors
 same list, so nothing has to be fetched.
 
 Centroids and codewords are fitted on a bounded sample (``SAMPLE`` vectors chosen by a hash); every
-vector is indexed. Lists are put into groups of near lists, and groups with many vectors are
-cut into blocks of about ``BLOCK_ROWS``; a query travels once to each block of a group in which it
-probes a list. Memory of a task, what is broadcast (centroids and codewords) and the number of copies of
-a query are thus bounded whatever the number of vectors.
-
-``probes`` lists are probed for a query. With ``min_cosine`` only pairs at least that similar are kept,
-which changes nothing about the k nearest above it, and few probes suffice, since so near a vector lies
-in the same or an adjacent list; a pair found from one side counts for both. A vector that a large share of
+vector is indexed. The number of lists grows with the number of vectors: up to ``CELLS_FITTED`` cells have a
+centroid of their own, and where more lists are wanted each cell is cut by the nearest of R fine centroids of the
+residuals, so R times as many lists come from the same sample. Near cells are put into groups, and a group with
+more vectors than a block of about ``BLOCK_ROWS`` is cut into blocks along its fine lists. A query travels only to the
+blocks that hold a list it probes, so its copies are at most the lists it probes, and the memory of a task does not grow
+with the number of vectors. (Only a list that alone is longer than a block lies in several, all of which are visited:
+none of its vectors is left out.)
+
+``probes`` lists are probed for a query. With ``min_cosine`` only pairs at least that similar are kept, every
+candidate that the approximate similarity does not rule out is compared exactly, and few probes suffice, since so near
+a vector lies in the same or an adjacent list; a pair found from one side counts for both. Without it the best
+``rerank * k`` candidates by approximate similarity are compared exactly. A vector that a large share of
 the rows have exactly (a bounded number of such vectors exists) is searched once for all of them. The share of misses is measured in the tests against brute force.
 
 Vectors that are null, of another length, with a null or non-finite number, or all zero take no part. Several rows
@@ -36,13 +40,16 @@ from pyspark.sql import functions as F
 
 from thicket.functions.keys import key
 from thicket.operators.skew import heavy_keys
-from thicket.session import Scratch
+from thicket.session import Scratch, parallelism
 
 #: Vectors that centroids and codewords are fitted on at most.
 SAMPLE = 60_000
-#: Vectors a list should hold, and most lists (the sample has to hold enough vectors for each).
+#: Vectors a list should hold.
 LIST_ROWS = 400
-MAX_LISTS = 4096
+#: Cells with a centroid of their own at most: the sample holds about 30 vectors for each. More lists come from fine centroids.
+CELLS_FITTED = 2048
+#: Blocks that one task searches, one after the other.
+BLOCKS_PER_TASK = 4
 #: Vectors a block should hold at most.
 BLOCK_ROWS = 10_000
 PARTS, WORDS = 16, 256
@@ -91,19 +98,28 @@ def _nearest(x: np.ndarray, c: np.ndarray, spherical: bool) -> np.ndarray:
 
 
 class Model:
-    """Centroids, the group of each list, and the codewords of each part."""
+    """Centroids of cells, fine centroids of what is left, the group of each cell, and the codewords of each part.
 
-    def __init__(self, sample: np.ndarray, lists: int, groups: int, parts: int = PARTS, seed: int = 7):
+    A list is (cell, fine centroid), numbered cell * R + fine.
+    """
+
+    def __init__(self, sample: np.ndarray, lists: int, groups: int, parts: int = PARTS, seed: int = 7, cells: int = CELLS_FITTED):
         rng = np.random.default_rng(seed)
-        lists = max(1, min(lists, len(sample)))
+        wanted = max(1, lists)
+        lists = max(1, min(lists, cells, len(sample)))
         self.centroids = _kmeans(sample, lists, 8, rng, True)
         at = _nearest(sample, self.centroids, True)
         rest = sample - self.centroids[at]
         self.parts = parts
         d = sample.shape[1] // parts
         part = rest[:30_000]
+        fine = max(1, min(-(-wanted // lists) if wanted > lists else 1, len(part)))
+        self.fine = np.zeros((1, sample.shape[1]), np.float32) if fine == 1 else _kmeans(part, fine, 8, rng, False)
+        # half the square of each centre's length
+        self.half = ((self.centroids**2).sum(axis=1)[:, None] + (self.fine**2).sum(axis=1)[None, :]) / 2 + self.centroids @ self.fine.T
+        part = part - self.fine[_nearest(part, self.fine, False)]
         self.words = np.stack([_kmeans(np.ascontiguousarray(part[:, p * d : (p + 1) * d]), min(WORDS, len(part)), 6, rng, False) for p in range(parts)])
-        # near lists share a group; groups get about the same number of sampled vectors
+        # near cells share a group; groups get about the same number of sampled vectors
         seeds = _kmeans(self.centroids, max(1, min(groups, lists)), 8, rng, True)
         load = np.bincount(at, minlength=lists).astype(float)
         room = np.full(len(seeds), 1.15 * load.sum() / len(seeds) + load.max())
@@ -113,9 +129,37 @@ class Model:
             g = next((g for g in pref[c] if room[g] >= load[c]), pref[c][0])
             self.group[c] = g
             room[g] -= load[c]
+        self.load = np.bincount(self.group[at], minlength=len(seeds)).astype(float)
+
+    def centre(self, at: np.ndarray) -> np.ndarray:
+        """The centre of each list."""
+        return self.centroids[at // len(self.fine)] + self.fine[at % len(self.fine)]
+
+    def home(self, x: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """The list of each vector, given its similarities to the centroids."""
+        cell = np.argmax(sims, axis=1)
+        if len(self.fine) == 1:
+            return cell
+        return cell * len(self.fine) + _nearest(x - self.centroids[cell], self.fine, False)
+
+    def near(self, x: np.ndarray, sims: np.ndarray, probes: int) -> np.ndarray:
+        """(query, list): the ``probes`` lists whose centres are nearest, out of those of as many cells."""
+        k = min(probes, sims.shape[1])
+        cells = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        r = len(self.fine)
+        if r == 1:
+            return cells
+        out = []
+        for a in range(0, len(x), 1024):
+            c = cells[a : a + 1024]
+            s = np.take_along_axis(sims[a : a + 1024], c, axis=1)[:, :, None] + (x[a : a + 1024] @ self.fine.T)[:, None, :] - self.half[c]
+            s = s.reshape(len(c), -1)
+            best = np.argpartition(-s, min(probes, s.shape[1]) - 1, axis=1)[:, :probes]
+            out.append(np.take_along_axis(c, best // r, axis=1) * r + best % r)
+        return np.concatenate(out)
 
     def codes(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        rest = x - self.centroids[at]
+        rest = x - self.centre(at)
         d = x.shape[1] // self.parts
         return np.stack([_nearest(np.ascontiguousarray(rest[:, p * d : (p + 1) * d]), self.words[p], False) for p in range(self.parts)], axis=1).astype(np.uint8)
 
@@ -125,50 +169,61 @@ class Model:
         return np.stack([q[:, p * d : (p + 1) * d] @ self.words[p].T for p in range(self.parts)], axis=1)
 
 
-def _route(model: Model, probes: int, blocks: np.ndarray):
+class Layout:
+    """Where the lists of each group lie: ``wanted`` blocks, cut along the fine lists as far as there are any."""
+
+    def __init__(self, model: Model, wanted: np.ndarray):
+        self.fine = len(model.fine)
+        self.group = model.group
+        self.chunks = np.minimum(wanted, self.fine)
+        #: blocks that each chunk is dealt to by row number; 1 unless a single fine list is longer than a block
+        self.slices = -(-wanted // self.chunks)
+        self.first = np.concatenate([[0], np.cumsum(self.chunks * self.slices)])
+        self.total = int(self.first[-1])
+
+    def base(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First block of each list and the number of blocks it lies in."""
+        g = self.group[lists // self.fine]
+        chunk = (lists % self.fine) * self.chunks[g] // self.fine
+        return self.first[g] + chunk * self.slices[g], self.slices[g]
+
+
+def _route(model: Model, probes: int, layout: Layout):
     """Index rows for the home block of a vector, query rows for every other block it has to visit."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n_groups = len(blocks)
-        first = np.concatenate([[0], np.cumsum(blocks)])
         for pdf in batches:
             if not len(pdf):
                 continue
             x = _unit(pdf["vec"])
             sims = x @ model.centroids.T
-            k = min(probes, sims.shape[1])
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k].astype(np.uint16)
-            home = np.argmax(sims, axis=1)
+            home = model.home(x, sims)
             seq, asked = pdf["seq"].to_numpy(np.int64), pdf["asked"].to_numpy(bool)
-            home_group = model.group[home]
-            home_block = first[home_group] + seq % blocks[home_group]
-            visit = np.zeros((len(x), n_groups), bool)
-            np.put_along_axis(visit, model.group[near], True, axis=1)
-            visit &= asked[:, None]
-            rows_of, block_of, stored_of, probe_of = [np.arange(len(x))], [home_block], [np.ones(len(x), bool)], [np.full(len(x), b"", object)]
-            groups = model.group[near]
-            for g in range(n_groups):
-                rows = np.flatnonzero(visit[:, g])
-                if not len(rows):
-                    continue
-                # the lists of this group that each query probes
-                mine = groups[rows] == g
-                cuts = np.cumsum(mine.sum(axis=1))[:-1]
-                lists = np.array([v.tobytes() for v in np.split(near[rows][mine], cuts)] + [None], object)[:-1]
-                for b in range(first[g], first[g + 1]):
-                    here = home_block[rows] == b
-                    probe_of[0][rows[here]] = lists[here]
-                    away = rows[~here]
-                    rows_of.append(away)
-                    block_of.append(np.full(len(away), b))
-                    stored_of.append(np.zeros(len(away), bool))
-                    probe_of.append(lists[~here])
-            r = np.concatenate(rows_of)
+            base, n = layout.base(home)
+            home_block = base + seq % n
+            # every (query, block, list) that has to meet
+            who = np.flatnonzero(asked)
+            lists = model.near(x[who], sims[who], probes) if len(who) else np.zeros((0, 1), int)
+            rows, flat = np.repeat(who, lists.shape[1]), lists.ravel().astype(np.int64)
+            base, n = layout.base(flat)
+            each = np.repeat(np.arange(len(flat)), n)
+            block = base[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            rows, flat = rows[each], flat[each]
+            order = np.lexsort((flat, block, rows))
+            rows, block, flat = rows[order], block[order], flat[order].astype("<u4")
+            cut = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (block[1:] != block[:-1])]) if len(rows) else np.zeros(0, int)
+            ends, data = np.append(cut[1:], len(rows)), flat.tobytes()
+            lists_of = np.array([data[4 * a : 4 * b] for a, b in zip(cut, ends)] + [None], object)[:-1]
+            rows, block = rows[cut], block[cut]
+            here = block == home_block[rows]
+            own = np.full(len(x), b"", object)
+            own[rows[here]] = lists_of[here]
+            r = np.concatenate([np.arange(len(x)), rows[~here]])
             vec = np.array([v.tobytes() for v in x] + [None], object)[:-1]
             ids = pdf["id"].to_numpy()
             yield pd.DataFrame({
-                "block": np.concatenate(block_of).astype(np.int32), "id": ids[r], "seq": seq[r], "list": home[r].astype(np.int32),
-                "stored": np.concatenate(stored_of), "asked": asked[r], "vec": vec[r], "probe": np.concatenate(probe_of),
+                "block": np.concatenate([home_block, block[~here]]).astype(np.int32), "id": ids[r], "seq": seq[r], "list": home[r].astype(np.int32),
+                "stored": np.arange(len(r)) < len(x), "asked": asked[r], "vec": vec[r], "probe": np.concatenate([own, lists_of[~here]]),
             })
 
     return f
@@ -201,12 +256,27 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
             out = out[out.groupby("q").cumcount() < k]
         return out
 
+    def best_of(q, qids, ids, x, fq: np.ndarray, fx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs (query, vector) the k most similar of each query by the exact cosine, of equal ones the first id."""
+        other = qids[fq] != ids[fx]
+        fq, fx = fq[other], fx[other]
+        cos = np.concatenate([np.einsum("ij,ij->i", q[fq[i : i + 65536]].astype(np.float64), x[fx[i : i + 65536]].astype(np.float64)) for i in range(0, len(fq), 65536)] or [np.zeros(0)])
+        if min_cosine is not None:
+            ok = cos >= min_cosine
+            fq, fx, cos = fq[ok], fx[ok], cos[ok]
+        if not len(fq):
+            return fq, fx, cos
+        order = np.lexsort((ids[fx].astype(str), -cos, fq))
+        fq, fx, cos = fq[order], fx[order], cos[order]
+        top = np.arange(len(fq)) - np.searchsorted(fq, fq) < k
+        return fq[top], fx[top], cos[top]
+
     def search(q, qids, probe, ids, x, codes, own, start, end, keep: int, at: int) -> pd.DataFrame:
         """The neighbours of ``QUERY_ROWS`` queries from row ``at`` on."""
         q, qids, probe = (v[at : at + QUERY_ROWS] for v in (q, qids, probe))
         # queries of each list
-        flat = np.frombuffer(b"".join(probe), np.uint16).astype(np.int64)
-        who = np.repeat(np.arange(len(q)), [len(v) // 2 for v in probe])
+        flat = np.frombuffer(b"".join(probe), "<u4").astype(np.int64)
+        who = np.repeat(np.arange(len(q)), [len(v) // 4 for v in probe])
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], who[order]
         lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
@@ -218,17 +288,18 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
             for a in range(0, len(mine), chunk):
                 sub = mine[a : a + chunk]
                 table = model.tables(q[sub])
-                score = np.repeat((q[sub] @ model.centroids[c])[:, None], len(part), axis=1)
+                score = np.repeat((q[sub] @ model.centre(np.array([c]))[0])[:, None], len(part), axis=1)
                 for p in range(model.parts):
                     score += np.take(table[:, p], part[:, p], axis=1)
                 if min_cosine is not None:
-                    close = score >= min_cosine - slack
-                    # more than enough: the best, equal ones in the order of their ids
-                    for row in np.flatnonzero(close.sum(axis=1) > keep):
-                        close[row] = False
-                        close[row, np.argsort(-score[row], kind="stable")[:keep]] = True
-                    r, s = np.nonzero(close)
-                elif score.shape[1] > keep:
+                    # all that may be close enough are compared exactly, and the k best of the list stay
+                    r, s = np.nonzero(score >= min_cosine - slack)
+                    r, s, cos = best_of(q, qids, ids, x, sub[r], s + start[li])
+                    found_q.append(r)
+                    found_x.append(s)
+                    found_s.append(cos)
+                    continue
+                if score.shape[1] > keep:
                     s = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
                     r = np.repeat(np.arange(len(sub)), keep)
                     s = s.ravel()
@@ -244,13 +315,8 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
             fq, fx = fq[best], fx[best]
             nth = np.arange(len(fq)) - np.searchsorted(fq, fq)
             fq, fx = fq[nth < keep], fx[nth < keep]
-        other = qids[fq] != ids[fx]
-        fq, fx = fq[other], fx[other]
-        cos = np.concatenate([np.einsum("ij,ij->i", q[fq[i : i + 65536]].astype(np.float64), x[fx[i : i + 65536]].astype(np.float64)) for i in range(0, len(fq), 65536)] or [np.zeros(0)])
-        if min_cosine is not None:
-            ok = cos >= min_cosine
-            fq, fx, cos = fq[ok], fx[ok], cos[ok]
-        out = pd.DataFrame({"q": qids[fq], "id": ids[fx], "cosine": cos})
+            fq, fx, fs = best_of(q, qids, ids, x, fq, fx)
+        out = pd.DataFrame({"q": qids[fq], "id": ids[fx], "cosine": fs})
         out = out.sort_values(["q", "cosine", "id"], ascending=[True, False, True], kind="stable")
         out = out[out.groupby("q").cumcount() < k]
         return out
@@ -286,6 +352,7 @@ def neighbours(
     slack: float = SLACK,
     list_rows: int = LIST_ROWS,
     block_rows: int = BLOCK_ROWS,
+    cells: int = CELLS_FITTED,
 ) -> DataFrame:
     """(q, id, cosine, place): for every query its k most similar other vectors, place 1 the nearest.
 
@@ -303,18 +370,19 @@ def neighbours(
     easy = easy.select(F.col("id").alias("q"), F.explode(F.slice("ids", 1, k)).alias("id"), F.lit(1.0).alias("cosine")).distinct()
     good = marked.where(F.col("ids").isNull() | F.array_contains("seqs", F.col("seq"))).drop("ids", "seqs", "vh")
     count = good.count()
-    lists = int(min(MAX_LISTS, max(1, 2 ** round(np.log2(max(1, count / list_rows))))))
+    lists = int(max(1, 2 ** round(np.log2(max(1, count / list_rows)))))
     groups = max(1, -(-count // block_rows))
     share = min(1.0, 1.2 * sample / max(1, count))
     taken = good.where(F.pmod(F.xxhash64("id", "seq"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id", "vec").limit(sample)
     chosen = taken.toPandas().sort_values("id", kind="stable")
     if not len(chosen):
         return spark.createDataFrame([], "q string, id string, cosine double, place int")
-    model = Model(_unit(chosen["vec"]), lists, groups, parts)
-    load = np.bincount(model.group[_nearest(_unit(chosen["vec"]), model.centroids, True)], minlength=int(model.group.max()) + 1)
-    blocks = np.maximum(1, np.ceil(load / load.sum() * count / (1.5 * block_rows)).astype(int))
+    model = Model(_unit(chosen["vec"]), lists, groups, parts, cells=cells)
+    layout = Layout(model, np.maximum(1, np.ceil(model.load / model.load.sum() * count / (1.5 * block_rows)).astype(int)))
     schema = "block int, id string, seq long, list int, stored boolean, asked boolean, vec binary, probe binary"
-    routed = good.mapInPandas(_route(model, probes, blocks), schema)
+    routed = good.mapInPandas(_route(model, probes, layout), schema)
+    # as many tasks as the blocks need, so that none grows with the data
+    routed = routed.repartition(max(parallelism(spark), -(-layout.total // BLOCKS_PER_TASK)), "block")
     near = routed.groupBy("block").applyInPandas(_search(model, k, min_cosine, rerank, slack, min_cosine is not None and queries is None), "q string, id string, cosine double")
     # the lists of a query from all blocks, cut to k; a query has at most k rows from each block it visits
     near = near.unionByName(easy)
