@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.operators.skew import skew_join
+
 
 def bucketed_rank(df: DataFrame, group: list[str], order: list[str], buckets: int = 256, name: str = "rank") -> DataFrame:
     """``df`` with ``name``: 0 ... n-1 within each group. Rows equal in ``order`` are numbered in any order.
@@ -37,4 +39,12 @@ def tie_rank(df: DataFrame, group: list[str], count: str, name: str = "rank") ->
     """``df`` with ``name``: the number of rows of the group whose count is at least this one's."""
     per = df.groupBy(*group, count).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*group).orderBy(F.col(count).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(per.withColumn(name, F.sum("_n").over(upto)).drop("_n"), [*group, count])
+    of = F.xxhash64(*group, count).alias("_of")
+    # most keys have the lowest counts: fewer than 200 counts have half a percent of all keys each, and those are split
+    total = F.broadcast(per.agg(F.sum("_n").alias("_t")))
+    heavy = per.join(total).where(F.col("_n") > F.greatest(F.lit(1000), F.col("_t") / 200)).select(of.alias("key"))
+    ranks = per.withColumn(name, F.sum("_n").over(upto)).select(of, *[F.col(g).alias(f"_g{i}") for i, g in enumerate([*group, count])], name)
+    out = skew_join(df.withColumn("_of", of), ranks, "_of", "inner", heavy)
+    for i, g in enumerate([*group, count]):
+        out = out.where(F.col(g).eqNullSafe(F.col(f"_g{i}")))
+    return out.select(*df.columns, name)

@@ -55,7 +55,7 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     return per.join(F.broadcast(total)).where(F.col("load") > F.col("total") * F.lit(share)).drop("total")
 
 
-def _task_labels(spark, tasks: int) -> list[int]:
+def task_labels(spark, tasks: int) -> list[int]:
     """For each task a number whose hash partition of ``tasks`` is that task."""
     found: dict[int, int] = {}
     n = tasks * 16
@@ -73,7 +73,7 @@ def plan_tasks(df: DataFrame, key: str, tasks: int | None = None, largest_share:
     per = loads(df, key)
     total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     tasks = tasks or parallelism(spark, total)
-    labels = _task_labels(spark, tasks)
+    labels = task_labels(spark, tasks)
     n_buckets = tasks * BUCKETS_PER_TASK
     limit = max(1.0, min(total / (tasks * FACTOR), total * largest_share))
     marked = per.withColumn("heavy", F.col("load") > limit)
