@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.01"
 def test_prose_leaves_out_code_marks_and_labels(spark):
     text = "# Title here\nuser: The job is full.\n```\nx = 1\n```\n- a point `cfg.x` = 12.\nassert stats['a_b'] >= 3\n[geo] tool=x\r\nSELECT a FROM b;\n\n> quoted line"
     got = spark.createDataFrame([(text,)], "t string").select(reading.prose(F.col("t")).alias("p")).first()["p"]
-    assert [x.strip() for x in got] == ["Title here", "The job is full.", "a point  .".replace("  ", "  "), "quoted line"] or [x.strip() for x in got][0] == "Title here" and len(got) == 4
+    assert [" ".join(x.split()) for x in got] == ["Title here", "The job is full.", "a point .", "quoted line"]
 
 
 def test_language_by_function_words(spark):
@@ -64,6 +64,12 @@ def test_held_out_accuracy(spark):
     assert np.sqrt(((graded["level"] - graded["y"]) ** 2).mean()) < 0.55
 
 
+def test_long_inline_code_and_long_tokens(spark):
+    got = reading.prose_of("We ran `" + "x " * 500 + "` and it was fine. " + "a" * 200_000 + " " + "the words of the page go on and on for a while so that it is prose " * 3 + "b_" * 50_000)
+    assert len(got) == 1 and "x x" not in got[0] and "b_" not in got[0] and got[0].startswith("We ran")
+    assert reading.prose_of("Cafe\u0301 is open")[0] == "Café is open"
+
+
 def test_long_prose_with_a_sign_of_code_stays(spark):
     long = "the people of the town were glad to see that the old bridge had been built again after the flood of that year "
     texts = [long + "(see note 8): `x`", long + "and so they said;", "[3] " + long, "return of " + long, long + "with max_size = 3 kept", "a_b = f(x);\nreturn the value;\n[job] state=done rows=5 took ten seconds"]

@@ -4,7 +4,8 @@ For every document the smallest frequency-ranked vocabulary is found that covers
 words: words are counted over the whole corpus per language, ranked by frequency (ties share a
 rank), and the coverage rank is the rank a reader must know up to. Coverage ranks at several shares,
 word length and sentence complexity are calibrated against labelled documents by a ridge
-regression whose normal equations are summed in SQL; the level is clipped to 1 ... 5.
+regression whose normal equations are summed in SQL; the level is kept within 1 ... 5. Words a sentence, clauses a sentence and
+marks a word flatten for texts that run on (x / (x + typical)); nothing is cut off.
 
 Only prose counts: fenced and inline code, lines with few words for their signs of code, headings' and list
 marks and speaker labels of chat exports are taken out first; of other lines only the tokens with such signs. A document with fewer words of prose than
@@ -18,8 +19,14 @@ levels (null).
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.operators.ranking import tie_rank
@@ -52,113 +59,167 @@ CLAUSE_WORDS = (
 ).split()
 
 
-def prose(text: Column) -> Column:
-    """Lines of prose (array)."""
-    t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?s)```.*?(?:```|\z)", "\n")
-    t = F.regexp_replace(t, r"`[^`\n]{0,200}`(?: = [\w.]+)?", " ")
-    lines = F.split(t, "\n")
-    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*(?:#{1,6}\s|[-*+•]\s|\d+[.)]\s|>\s?)?(?:(?:user|assistant|system|tool)\s*:\s)?", ""))
-    lines = F.filter(lines, lambda x: (F.length(F.trim(x)) > 0) & (_n_words(x) >= WORDS_PER_SIGN * _signs(x)))
-    # what is left is prose: only the tokens that are code go
-    return F.transform(lines, lambda x: F.regexp_replace(x, rf"^\[\S*|\S*{_CODE}\S*", " "))
-
-
 #: A line with fewer words than this for every sign of code is code.
 WORDS_PER_SIGN = 8
-_CODE = r"[_={}\\|]"
+_CODE = "_={}\\|"
+_FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
+_INLINE = re.compile(r"`[^`\n]*`(?: = [\w.]+)?")
+_MARK = re.compile(r"\s*(?:#{1,6}\s|[-*+•]\s|\d+[.)]\s|>\s?)?(?:(?:user|assistant|system|tool)\s*:\s)?")
+_START = re.compile(r"\s*(?:SELECT|assert|import|def|return)\b|\[")
+_END = re.compile(r";\s*$|\):\s*$")
+_TOKEN = re.compile(r"\S+")
+#: Letters, and apostrophes and hyphens after the first; texts are composed first, so accents are part of letters.
+_WORD = re.compile(r"[^\W\d_]+(?:['’-]+[^\W\d_]+)*['’-]*")
+_SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|\n+")
+_FUNCTION = {lang: frozenset(s.split()) for lang, s in FUNCTION_WORDS.items()}
+_CLAUSE = frozenset(CLAUSE_WORDS)
+
+
+def prose_of(text: str) -> list[str]:
+    """The lines of prose of a text; every step is linear in its length."""
+    t = text.replace("\r\n", "\n").replace("\r", "\n")
+    if not unicodedata.is_normalized("NFC", t):
+        t = unicodedata.normalize("NFC", t)
+    if "`" in t:
+        t = _INLINE.sub(" ", _FENCE.sub("\n", t))
+    out = []
+    for line in t.split("\n"):
+        line = line[_MARK.match(line).end() :]
+        if not line or line.isspace():
+            continue
+        # marks of code, and a beginning or an end as statements and log lines have it
+        signs = sum(map(line.count, _CODE)) + (_START.match(line) is not None) + (_END.search(line[-200:]) is not None)
+        if signs:
+            if sum(len(w) > 1 for w in _WORD.findall(line)) < WORDS_PER_SIGN * signs:
+                continue
+            # what is left is prose: only the tokens that are code go
+            first = line[:1] == "["
+            line = _TOKEN.sub(lambda m: " " if any(c in m[0] for c in _CODE) or (first and not m.start()) else m[0], line)
+        out.append(line)
+    return out
 
 
-def _signs(line: Column) -> Column:
-    """Signs of code in a line: marks, and a beginning or an end as statements and log lines have it."""
-    marks = F.size(F.regexp_extract_all(line, F.lit(_CODE), F.lit(0)))
-    start = line.rlike(r"^\s*(?:SELECT|assert|import|def|return)\b|^\[").cast("int")
-    return marks + start + line.rlike(r";\s*$|\):\s*$").cast("int")
+def words_of(prose: str) -> list[str]:
+    return _WORD.findall(prose.lower())
 
 
-def _n_words(line: Column) -> Column:
-    return F.size(F.filter(words(line), lambda w: F.length(w) > 1))
+def language_of(counts: dict[str, int], stated: str | None) -> str:
+    """en, de, fr or es, by function words; else as stated, else en."""
+    hits = {lang: sum(counts.get(w, 0) for w in s) for lang, s in _FUNCTION.items()}
+    best = max(hits, key=hits.get)
+    if hits[best]:
+        return best
+    code = (stated or "").strip().lower()[:2]
+    return code if code in hits else "en"
 
 
-def words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(r"\p{L}[\p{L}\p{M}'’-]*"), F.lit(0))
+def prose(text: Column) -> Column:
+    """Lines of prose (array)."""
+    return F.pandas_udf(lambda s: s.fillna("").map(prose_of), "array<string>")(text)
 
 
-def _among(all_words: Column, listed: list[str]) -> Column:
-    return F.size(F.filter(all_words, lambda w: w.isin(listed)))
+def words(text: Column) -> Column:
+    """Words of a text (array)."""
+    return F.pandas_udf(lambda s: s.fillna("").map(words_of), "array<string>")(text)
 
 
 def language(all_words: Column, stated: Column) -> Column:
-    """en, de, fr or es, by function words."""
-    hits = [
-        F.struct(_among(all_words, s.split()).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang"))
-        for i, (lang, s) in enumerate(FUNCTION_WORDS.items())
-    ]
-    best = F.array_max(F.array(*hits))
-    code = F.substring(F.lower(F.trim(stated)), 1, 2)
-    return F.when(best["n"] > 0, best["lang"]).when(code.isin(list(FUNCTION_WORDS)), code).otherwise("en")
+    return F.pandas_udf(lambda w, s: pd.Series([language_of(Counter(a), b) for a, b in zip(w, s)], dtype=object), "string")(all_words, stated)
+
+
+_MEASURED = "rid long, doc_id long, lang string, n_words long, letters long, long_words long, clauses long, sentences long, marks long, words array<string>, counts array<int>"
+
+
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text is read once: its words are found and counted in one pass, and the measures follow from the counts."""
+    for pdf in batches:
+        rows = []
+        for rid, doc, text, stated in zip(pdf["rid"], pdf["doc_id"], pdf["text"], pdf["stated"]):
+            t = "\n".join(prose_of(text)) if isinstance(text, str) else ""
+            c = Counter(words_of(t))
+            size = {w: len(w) for w in c}
+            rows.append((
+                rid, doc, language_of(c, stated if isinstance(stated, str) else None), sum(c.values()), sum(size[w] * n for w, n in c.items()), sum(n for w, n in c.items() if size[w] >= 10),
+                sum(c[w] for w in _CLAUSE if w in c), max(1, len(_SENTENCE.findall(t))), sum(map(t.count, ",;:")), list(c), list(c.values()),
+            ))
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in _MEASURED.split(", ")]).astype({"doc_id": "Int64"})
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, words, n_words, letters, sentences, clauses, marks) of the prose of each document."""
-    lines = docs.select("doc_id", F.col("lang").alias("stated"), prose(F.coalesce("text", F.lit(""))).alias("lines"))
-    joined = F.array_join("lines", "\n")
-    base = lines.select("doc_id", "stated", joined.alias("prose"), words(joined).alias("words"))
-    ends = F.size(F.regexp_extract_all("prose", F.lit(r"[.!?…]+(?=\s|$)|\n+"), F.lit(0)))
-    return base.select(
-        "doc_id",
-        language(F.col("words"), F.col("stated")).alias("lang"),
-        "words",
-        F.size("words").alias("n_words"),
-        F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)).alias("letters"),
-        F.size(F.filter("words", lambda w: F.length(w) >= 10)).alias("long_words"),
-        _among(F.col("words"), CLAUSE_WORDS).alias("clauses"),
-        F.greatest(ends, F.lit(1)).alias("sentences"),
-        F.size(F.regexp_extract_all("prose", F.lit(r"[,;:]"), F.lit(0))).alias("marks"),
-    )
+    """One row per row of ``docs``: language, counts, and the distinct words of its prose with theirs."""
+    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("stated"))
+    return slim.mapInPandas(_measure, _MEASURED)
 
 
 def vocabulary(pairs: DataFrame) -> DataFrame:
-    """(lang, word, rank) over the whole corpus from (doc_id, lang, word, n)."""
+    """(lang, word, rank) over the whole corpus from (lang, word, n)."""
     counted = pairs.groupBy("lang", "word").agg(F.sum("n").alias("tf"))
     return tie_rank(counted, ["lang"], "tf").select("lang", "word", "rank")
 
 
+def _covered(head: dict[str, dict[str, int]], cover: tuple[float, ...]):
+    """Coverage ranks of each document from the ranks of its words: those in ``head``, the others in (more, more_n)."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for lang, ws, ns, more, more_n in zip(pdf["lang"], pdf["words"], pdf["counts"], pdf["more"], pdf["more_n"]):
+                known = head.get(lang, {})
+                got = [(known[w], n) for w, n in zip(ws, ns) if w in known]
+                if more is not None:
+                    got += zip(more, more_n)
+                if not got:
+                    out.append((*[None] * len(cover), None, 0))
+                    continue
+                r, n = np.array(got, np.int64).T
+                order = np.argsort(r, kind="stable")
+                r, n = r[order], n[order]
+                share = np.cumsum(n) / n.sum()
+                at = np.minimum(np.searchsorted(share, np.array(cover) - 1e-12), len(r) - 1)
+                out.append((*r[at].tolist(), float((np.log(r) * n).sum() / n.sum()), len(r)))
+            names = [*[f"cover_{int(c * 100)}" for c in cover], "mean_log_rank", "distinct_words"]
+            own = pdf.drop(columns=["rid", "words", "counts", "more", "more_n"]).astype({"doc_id": "Int64"}).reset_index(drop=True)
+            yield pd.concat([own, pd.DataFrame(out, columns=names).astype({n: "Int64" for n in names[:-2]} | {"mean_log_rank": float, "distinct_words": int})], axis=1)
+
+    return f
+
+
 def features(docs: DataFrame, cover: tuple[float, ...] = COVER, head: int = HEAD) -> DataFrame:
-    """One row per document: lang, n_words and the numeric features; coverage ranks are null without words."""
+    """One row per document: lang, n_words and the numeric features; coverage ranks are null without words.
+
+    Words of a language up to rank ``head`` are looked up in the memory of each task (at most ``head`` for each of four
+    languages); only the rarer ones travel to the vocabulary and back to their document.
+    """
     scratch = Scratch(docs.sparkSession, "reading")
     m = scratch.save(measured(docs), "measured")
-    pairs = m.select("doc_id", "lang", F.explode("words").alias("word")).groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    pairs = scratch.save(pairs, "pairs")
-    vocab = scratch.save(vocabulary(pairs), "vocabulary")
-    # at most HEAD words of each of the four languages; the words beyond are rare, so no key of the join is hot
-    top = F.broadcast(vocab.where(F.col("rank") <= head))
-    near = pairs.join(top, ["lang", "word"], "left")
-    far = near.where("rank IS NULL").drop("rank").join(vocab.where(F.col("rank") > head), ["lang", "word"])
-    ranked = near.where("rank IS NOT NULL").unionByName(far)
-    # the rows of one document are bounded by its text
-    order = Window.partitionBy("doc_id").orderBy("rank").rangeBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("doc_id")
-    upto = ranked.withColumn("share", F.sum("n").over(order) / F.sum("n").over(whole))
-    covers = [F.min(F.when(F.col("share") >= c - 1e-12, F.col("rank"))).alias(f"cover_{int(c * 100)}") for c in cover]
-    mean = (F.sum(F.log("rank") * F.col("n")) / F.sum("n")).alias("mean_log_rank")
-    per = upto.groupBy("doc_id").agg(*covers, mean, F.count(F.lit(1)).alias("distinct_words"))
-    slim = m.drop("words")
-    return slim.join(per, "doc_id", "left")
+    each = F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("e")
+    pairs = m.select("rid", "lang", each).select("rid", "lang", "e.word", "e.n")
+    vocab = scratch.save(vocabulary(pairs.drop("rid")), "vocabulary")
+    top = vocab.where(F.col("rank") <= head).toPandas()
+    known = {lang: dict(zip(g["word"], g["rank"].tolist())) for lang, g in top.groupby("lang")}
+    tail = vocab.where(F.col("rank") > head)
+    item = F.struct("rank", "n")
+    far = pairs.join(tail, ["lang", "word"]).groupBy("rid").agg(F.collect_list(item).alias("_f")).select("rid", F.col("_f.rank").alias("more"), F.col("_f.n").alias("more_n"))
+    none = F.lit(None).cast("array<long>")
+    # nothing to bring back where the heads hold every word
+    per = m.withColumns({"more": none, "more_n": none}) if tail.isEmpty() else m.join(far, "rid", "left")
+    own = _MEASURED.removeprefix("rid long, ").split(", words ")[0]
+    return per.mapInPandas(_covered(known, cover), f"{own}, " + ", ".join(f"cover_{int(c * 100)} long" for c in cover) + ", mean_log_rank double, distinct_words long")
 
 
 def columns(cover: tuple[float, ...] = COVER) -> dict[str, Column]:
     """The regressors by name, all finite for a document with words."""
     n = F.greatest(F.col("n_words"), F.lit(1))
-    per_sentence = F.least(F.col("n_words") / F.col("sentences"), F.lit(60.0))
+    # ratios without an end go through x / (x + typical), which flattens where texts run on and cuts nothing off
+    flat = lambda x, typical: x / (x + F.lit(float(typical)))
     out = {"one": F.lit(1.0), **{f"l{int(c * 100)}": F.log(F.coalesce(F.col(f"cover_{int(c * 100)}"), F.lit(1)).cast("double")) for c in cover}}
     out["mean"] = F.coalesce("mean_log_rank", F.lit(0.0))
     out["len"] = F.col("letters") / n
     out["long"] = F.col("long_words") / n
-    out["sent"] = F.log1p(per_sentence)
+    out["sent"] = flat(F.col("n_words") / F.col("sentences"), 20)
     out["clause"] = F.col("clauses") / n
-    out["clause_s"] = F.least(F.col("clauses") / F.col("sentences"), F.lit(6.0))
-    out["marks"] = F.least(F.col("marks") / n, F.lit(0.5))
+    out["clause_s"] = flat(F.col("clauses") / F.col("sentences"), 1)
+    out["marks"] = flat(F.col("marks") / n, 0.1)
     out["mean2"] = F.pow(F.coalesce("mean_log_rank", F.lit(0.0)), 2)
     out["len2"] = F.pow(F.col("letters") / n, 2)
     out["sent_mean"] = out["sent"] * out["mean"]
