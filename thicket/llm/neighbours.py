@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.keys import key
 from thicket.operators.skew import heavy_keys, task_labels
-from thicket.session import Scratch, parallelism
+from thicket.session import Scratch
 
 #: Vectors that centroids and codewords are fitted on at most.
 SAMPLE = 60_000
@@ -48,8 +48,6 @@ SAMPLE = 60_000
 LIST_ROWS = 400
 #: Cells with a centroid of their own at most: the sample holds about 30 vectors for each. More lists come from fine centroids.
 CELLS_FITTED = 2048
-#: Blocks that one task searches, one after the other.
-BLOCKS_PER_TASK = 4
 #: Vectors a block should hold at most.
 BLOCK_ROWS = 10_000
 PARTS, WORDS = 16, 256
@@ -381,10 +379,9 @@ def neighbours(
     layout = Layout(model, np.maximum(1, np.ceil(model.load / model.load.sum() * count / (1.5 * block_rows)).astype(int)))
     schema = "block int, id string, seq long, list int, stored boolean, asked boolean, vec binary, probe binary"
     routed = good.mapInPandas(_route(model, probes, layout), schema)
-    # as many tasks as the blocks need, so that none grows with the data, and as many blocks for each
-    tasks = max(min(layout.total, parallelism(spark)), -(-layout.total // BLOCKS_PER_TASK))
-    labels = F.array(*[F.lit(v) for v in task_labels(spark, tasks)])
-    routed = routed.withColumn("task", F.element_at(labels, F.expr(f"int(block * {tasks}L div {layout.total}) + 1"))).repartition(tasks, "task")
+    # a task for each block: none grows with the data, and no two blocks meet in one by chance
+    labels = F.array(*[F.lit(v) for v in task_labels(spark, layout.total)])
+    routed = routed.withColumn("task", F.element_at(labels, F.col("block") + 1)).repartition(layout.total, "task")
     near = routed.groupBy("task", "block").applyInPandas(_search(model, k, min_cosine, rerank, slack, min_cosine is not None and queries is None), "q string, id string, cosine double")
     # the lists of a query from all blocks, cut to k; a query has at most k rows from each block it visits
     near = near.unionByName(easy)
