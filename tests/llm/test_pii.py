@@ -117,3 +117,52 @@ def test_checks_before_a_pattern_are_not_narrower_than_it():
     assert "id_number" in kinds("Pasaporte: X1A2B3C") and "id_number" in kinds("seguridad social: A12B3C45")
     assert "email" in kinds("write to jane.doe ( at ) example.org now")
     assert "address" in kinds("send it to 12 Baker St\nLondon")
+
+
+def test_names_by_structure():
+    for t, name in (("My colleague Jane Porter called", "Jane Porter"), ("I spoke to Robert Lang yesterday", "Robert Lang"), ("written by Alan Whitmore", "Alan Whitmore"), ("Contact: Maria Gonzalez Ruiz", "Maria Gonzalez Ruiz"), ("Hi John Smith", "John Smith"),
+                    ("Meine Kollegin Anna Schmidt kommt", "Anna Schmidt"), ("mi jefe Luis Ortega Vidal", "Luis Ortega Vidal"), ("ma voisine Élodie Marchand", "Élodie Marchand"), ("Jane O'Neil said so", "Jane O'Neil"), ("approved by J. R. Holt.", "J. R. Holt")):
+        assert [t[a:b] for a, b, k in pii.find(t) if k == "person"] == [name], t
+    for t in ("thanks to Apache Spark", "Silver Kite is the new default profile", "before the first call Harbor Compass is the new one", "The office in Harrow Mills has a slow line", "Meine Kollegin Die Suche", "spoke to The Team about it", "To: all"):
+        assert "person" not in kinds(t), t
+
+
+def test_pseudonyms_are_valid_numbers_of_their_format():
+    import re
+
+    flat = lambda s: re.sub(r"[^0-9A-Z]", "", re.search(r"\[[A-Z_]+ ([^\]]*)", s)[1])
+    seen = set()
+    for i in range(300):
+        ssn = flat(pii.redact(f"SSN {(i * 7) % 600 + 1:03d}-{i % 99 + 1:02d}-{i * 31 % 9999 + 1:04d}", KEY))
+        assert ssn[:3] not in ("000", "666") and ssn[0] != "9" and ssn[3:5] != "00" and ssn[5:] != "0000"
+        nino = pii._canonical_id(f"AB{i * 37:06d}{'ABCD'[i % 4]}", KEY)
+        assert nino[:2] in pii._NINO and nino[8] in "ABCD"
+        tel = flat(pii.redact(f"tel +1 {212 + i} 555 0{i:03d}", KEY))
+        assert tel[0] == "1" and tel[1] > "1" and tel[4] > "1"
+        seen |= {ssn, nino, tel}
+    assert len(seen) == 900
+    assert pii._canonical_id("QQ123456C", KEY)[:2] == "QQ" and pii._canonical_id("DL123412345", KEY)[:2] == "DL"
+    dni = pii._canonical_id("12345678Z", KEY)
+    assert pii._DNI[int(dni[:8]) % 23] == dni[8] and dni != "12345678Z"
+    body = "264126839711049"[:13]
+    nir = pii._canonical_id(f"{body}{pii._nir_check(body):02d}", KEY)
+    assert int(nir[13:]) == pii._nir_check(nir[:13]) and "01" <= nir[3:5] <= "12" and nir[0] == "2"
+
+
+def test_spellings_of_a_number_share_its_pseudonym():
+    digits = lambda t: "".join(c for c in pii.redact(t, KEY) if c.isdigit())
+    assert digits("+44 7193 482019") == digits("+44 (0)7193 482019").replace("440", "44", 1) == digits("0044 7193 482019")[2:]
+    assert digits("+351 912 345 678") == digits("00351 912 345 678")[2:] and digits("+351 912 345 678").startswith("351")
+    assert digits("+44 7193 482019") != digits("+49 7193 482019")
+
+
+def test_accounts_and_cards_are_whole_and_keep_their_checks():
+    out = pii.redact("pay DE89 3704 0044 0532 0130 00 or 4111 1111 1111 1111 now", KEY)
+    iban, card = out.split("[IBAN ")[1].split("]")[0].replace(" ", ""), out.split("[CARD ")[1].split("]")[0].replace(" ", "")
+    assert iban[:2] == "DE" and pii._iban_rest(iban) == 1 and "3704" not in iban and len(iban) == 22
+    assert card[:6] == "411111" and pii._luhn(card) == 0 and card != "4111111111111111"
+    assert kinds("DE88 3704 0044 0532 0130 00") != {"iban"} and "card" not in kinds("4111 1111 1111 1112")
+
+
+def test_keyed_names_do_not_collide():
+    assert len({feistel.token(f"person {i}", KEY) for i in range(300_000)}) == 300_000 and len(feistel.token("x", KEY)) == 24

@@ -69,6 +69,6 @@ def permute_date(day: dt.date, key: bytes) -> dt.date:
     return dt.date.fromordinal(FIRST_DAY + permute(at, n, key, "date"))
 
 
-def token(text: str, key: bytes, size: int = 8) -> str:
-    """A keyed name for a value that has no numeric format."""
-    return hashlib.blake2b(text.encode(), key=key, digest_size=size // 2).hexdigest()
+def token(text: str, key: bytes, bits: int = 96) -> str:
+    """A keyed name for a value that has no numeric format; of 10^10 values no two are likely to share one."""
+    return hashlib.blake2b(text.encode(), key=key, digest_size=bits // 8).hexdigest()

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from thicket.llm import conversations, mixing, neighbours, packing, pii, reading, tokens
 from thicket.session import Scratch, table
 
-#: The key of the pseudonyms; a deployment passes its own.
-PII_KEY = b"thicket-demo-key"
+#: The session setting that holds the key of the pseudonyms, and the key of sessions that set none (tests).
+PII_KEY, PII_TEST_KEY = "spark.thicket.pii.key", "thicket-test-key"
 #: Lists probed for pairs of at least 0.95, and for the ten nearest at any similarity.
 NEAR_PROBES, PROBES = 2, 64
 
@@ -21,11 +21,15 @@ def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str,
     ]
 
 
+def _pii_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(PII_KEY, PII_TEST_KEY).encode()
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of either table and the kinds of personal data in their text."""
+    """Records of either table and the kinds of personal data in their text, from the pseudonymised spans."""
     out = None
     for name, df, key_col, text_col in _texts(spark, sf_dir):
-        part = pii.records_with(df, key_col, text_col).select(F.lit(name).alias("source_table"), "record_key", "kind")
+        part = pii.records_with(df, key_col, text_col, _pii_key(spark)).select(F.lit(name).alias("source_table"), "record_key", "kind")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -35,12 +39,22 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, df, key_col, text_col in _texts(spark, sf_dir):
         slim = df.select(F.col(key_col).alias("record_key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-        part = pii.redact_column(slim, "text", PII_KEY, "redacted").where("pii_spans > 0")
+        part = pii.redact_column(slim, "text", _pii_key(spark), "redacted").where("pii_spans > 0")
         part = part.select(F.lit(name).alias("source_table"), "record_key", "redacted", "pii_spans")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that several records hold, by their pseudonym: kind, records and spans of each."""
+    out = None
+    for name, df, key_col, text_col in _texts(spark, sf_dir):
+        part = pii.values(df, key_col, text_col, _pii_key(spark)).select(F.lit(name).alias("t"), "record_key", "kind", "pseudonym", "spans")
+        out = part if out is None else out.unionByName(part)
+    per = out.groupBy("kind", "pseudonym", "t", "record_key").agg(F.max("spans").alias("spans")).groupBy("kind", "pseudonym")
+    return per.agg(F.count(F.lit(1)).alias("records"), F.sum("spans").alias("spans")).where("records > 1")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations to drop."""
     v = conversations.verdicts(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
@@ -138,7 +152,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_redacted, p2_found, p2_transcripts, p2_reasons, p3_found, p3_neighbours, p8_containers, p8_report,
+        p1_found, p1_redacted, p1_links, p2_found, p2_transcripts, p2_reasons, p3_found, p3_neighbours, p8_containers, p8_report,
         p9_mixture, p9_shares, p9_temperature, p10_found, p10_levels, p10_profile,
     )
 }
