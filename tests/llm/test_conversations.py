@@ -60,3 +60,24 @@ def test_empty_tables(spark):
 def test_null_message_ids_are_messages_of_their_own(spark):
     rows = [(None, 1, 1, "user", "x", 1, 0), (None, 1, 2, "assistant", "x", 2, 0)]
     assert dropped(spark, rows) == {}
+
+
+def test_deletions_are_events(spark):
+    rows = [("m1", 1, 1, "user", "hi", 1), ("m2", 1, 2, "assistant", "yes", 2), ("m3", 1, 3, "user", "more", 3), ("m3", 1, 3, "user", "more, edited", 4), ("m4", 2, 1, "user", "x", 5), ("m5", 2, 2, "assistant", "y", 6)]
+    m = spark.createDataFrame(rows, "message_id string, conversation_id long, seq long, role string, content string, ingest_seq long")
+    ids = spark.createDataFrame([(1,), (2,)], "conversation_id long")
+    run = lambda **o: sorted((r["conversation_id"], r["turn"], r["speaker"], r["content"]) for r in c.transcript(m, ids, **o).collect())
+    # the last user turn has no answer until it is deleted
+    assert run() == [(2, 1, "user", "x"), (2, 2, "assistant", "y")]
+    gone = run(deleted=m["message_id"] == "m3")
+    assert gone == [(1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (2, 1, "user", "x"), (2, 2, "assistant", "y")]
+    assert [r[0] for r in run(deleted=m["message_id"].isin("m3", "m5"))] == [1, 1]
+
+
+def test_no_setting_of_the_session_is_changed(spark):
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    m = spark.createDataFrame([("m1", 1, 1, "user", "hi", 1), ("m2", 1, 2, "assistant", "yes", 2)], "message_id string, conversation_id long, seq long, role string, content string, ingest_seq long")
+    t = c.transcript(m, spark.createDataFrame([(1,)], "conversation_id long"))
+    plan = c.transcript_parts(t)._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(name) == before and t.count() == 2 and "REPARTITION_BY_COL" in plan

@@ -120,3 +120,43 @@ def test_token_counts(spark):
     n = [r["n"] for r in df.select(tokens.count_tokens(df["t"]).alias("n")).collect()]
     enc = tokens.encoding()
     assert n == [len(enc.encode_ordinary("hello world")), 0, 0, len(enc.encode_ordinary("größe " * 5000))] and isinstance(pd.Series(n).sum().item(), int)
+
+
+def test_pure_harmonic_fills_each_class_on_its_own(spark):
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 260) for _ in range(800)]
+    df = spark.createDataFrame([(i, n, 0) for i, n in enumerate(sizes)], "doc_id long, tokens long, number long")
+    prof = spark.createDataFrame(PROFILES, "profile string, capacity_tokens int")
+    pdf = packing.pack(df, prof, pure=True).toPandas()
+    check(pdf, sizes)
+    for (p, _), g in pdf.groupby(["profile", "container_id"]):
+        k = (dict(PROFILES)[p] // g["tokens"]).unique()
+        assert len(k) == 1 and len(g) <= k[0]
+    plain, mixed = ({r["profile"]: r["unused_share"] for r in packing.report(packing.pack(df, prof, pure=x), prof).collect()} for x in (True, False))
+    assert all(mixed[p] < plain[p] for p in mixed)
+
+
+def test_temperature_moves_between_entropy_and_repetition():
+    S = mixing.Source
+    make = lambda repeats: [S("a", 0.5, repeats, 900, 9), S("b", 0.5, repeats, 90, 9), S("c", 0.0001, repeats, 10, 9)]
+    free, a, size = mixing.tempered(make(100))
+    want = mixing.entropy([0.5 / 1.0001, 0.5 / 1.0001, 0.0001 / 1.0001])
+    assert size == 1000 and abs(mixing.entropy([s.weight for s in free]) - want) < 1e-6 and 0 < a < 1
+    tight, b, _ = mixing.tempered(make(2))
+    assert a < b <= 1 and all(s.budget <= 2 * s.tokens * (1 + 1e-9) for s in tight)
+    assert abs(max(s.budget / s.tokens for s in tight) - 2) < 1e-6  # the limit is met, not more
+    once, c, _ = mixing.tempered(make(1))
+    assert abs(c - 1) < 1e-6 and all(abs(s.budget - s.tokens) < 1e-3 for s in once)
+
+
+def test_tempered_mixture_as_blocks(spark):
+    rng = random.Random(3)
+    docs = [("a", rng.randint(1, 30)) for _ in range(900)] + [("b", rng.randint(1, 30)) for _ in range(60)]
+    d = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(docs)], "doc_id long, source string, tokens long")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    out = mixing.mix(d, t, solver=mixing.tempered).toPandas()
+    uses = out.groupby(["source", "doc_id"]).size()
+    assert uses["a"].max() == 1 and 2 <= uses["b"].max() <= 3
+    got = {r["source"]: r["actual_share"] for r in mixing.shares(mixing.mix(d, t, solver=mixing.tempered), d, t).collect()}
+    own = sum(n for s, n in docs if s == "b") / sum(n for _, n in docs)
+    assert own < got["b"] < 0.5

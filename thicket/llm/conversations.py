@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.keys import key
-from thicket.session import parallelism
 
 #: The names clients give the four speakers.
 SPEAKERS = {
@@ -123,19 +122,19 @@ def transcript(messages: DataFrame, conversations: DataFrame, version: str = "in
     (conversation, part), where it meets the surviving turns. A part holds ``PART`` sequence numbers, so a
     conversation of any length is spread.
     """
-    spark = messages.sparkSession
-    # join and grouping reuse the placement by (conversation, part)
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     turns = fold(messages, version=version, **options)
     kept = verdicts_of(turns, messages, conversations).where(F.size("reasons") == 0).select("conversation_id", "lo")
     names = F.element_at(F.array(*[F.lit(s) for s in SPEAKERS]), F.col("who") + 1)
     last = turns.join(kept, "conversation_id").select("conversation_id", _part(F.col("seq")).alias("part"), "v", (F.col("seq") - F.col("lo") + 1).alias("turn"), names.alias("speaker"))
     text = messages.where("conversation_id IS NOT NULL AND seq IS NOT NULL").select(
-        "conversation_id", _part(F.col("seq").cast("long")).alias("part"), F.col(version).cast("long").alias("v"), "content"
+        F.col("conversation_id").cast("long").alias("conversation_id"), _part(F.col("seq").cast("long")).alias("part"), F.col(version).cast("long").alias("v"),
+        F.struct(F.col("content").alias("content")).alias("t"), F.lit(None).cast("struct<turn:bigint,speaker:string>").alias("w"),
     )
-    n = parallelism(spark)
-    placed = text.repartition(n, "conversation_id", "part").join(last.repartition(n, "conversation_id", "part"), ["conversation_id", "part", "v"])
-    return placed.select("conversation_id", "part", "turn", "speaker", "content")
+    named = last.select("conversation_id", "part", "v", F.lit(None).cast("struct<content:string>").alias("t"), F.struct("turn", "speaker").alias("w"))
+    # both sides in one placement by (conversation, part), which the grouping by version and any later one by part reuse
+    both = text.unionByName(named).repartition("conversation_id", "part").groupBy("conversation_id", "part", "v")
+    met = both.agg(F.first("t", ignorenulls=True).alias("t"), F.first("w", ignorenulls=True).alias("w")).where("t IS NOT NULL AND w IS NOT NULL")
+    return met.select("conversation_id", "part", "w.turn", "w.speaker", "t.content")
 
 
 def _part(seq: Column) -> Column:

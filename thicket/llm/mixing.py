@@ -4,7 +4,8 @@ Temperature mixing: the weights are the normalised geometric path between the ta
 sources' own token shares, ``target^(1-a) * own^a``; the exponent is bisected to the least one at which
 no source has to repeat more often than allowed for the wanted size (``a = 0`` is the targets
 themselves; without a wanted size the largest one is taken for which the targets can be met exactly).
-``entropy_exponent`` is the plain form, ``own^a`` bisected to a target entropy.
+``tempered`` is the plain form: the normalised powers ``own^a``, with the exponent bisected to the entropy of the targets,
+and from there on towards ``own`` itself as far as the limits of repetition ask for at the wanted size.
 
 The weights are realised as block permutations within a token budget: a source is used as whole
 blocks (each document once, in an order of its own keyed by the block), and the last block is cut where the budget
@@ -30,6 +31,8 @@ from thicket.session import Scratch
 
 #: Documents that a bucket of the order should hold.
 BUCKET_DOCS = 2000
+#: Buckets of a source at most; beyond, buckets hold more documents.
+MOST_BUCKETS = 100_000
 
 
 @dataclass
@@ -87,6 +90,27 @@ def solve(sources: list[Source], size: float | None = None, steps: int = 60) ->
     return sources, hi, size
 
 
+def tempered(sources: list[Source], size: float | None = None, steps: int = 60) -> tuple[list[Source], float, float]:
+    """Sources with weight and budget by plain temperature, the exponent and the size in tokens (all tokens once if not given)."""
+    if not sources:
+        return [], 0.0, 0.0
+    own = _normal([float(s.tokens) for s in sources])
+    limit = [float(s.tokens) * s.repeats for s in sources]
+    size = float(sum(s.tokens for s in sources)) if size is None else min(float(size), sum(limit))
+    weights = lambda a: _normal([p**a for p in own])
+    fits = lambda a: all(w * size <= c * (1 + 1e-12) for w, c in zip(weights(a), limit))
+    a = entropy_exponent(own, entropy(_normal([s.target for s in sources])))
+    if not fits(a) and fits(1.0):
+        lo, hi = a, 1.0  # either side of the two may be the larger
+        for _ in range(steps):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if fits(mid) else (mid, hi)
+        a = hi
+    for s, w, c in zip(sources, weights(a), limit):
+        s.weight, s.budget = w, min(w * size, c)
+    return sources, a, size
+
+
 def measured(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[Source]]:
     """Documents of the listed sources with tokens (doc_id, source, tokens), and the sources (a short list)."""
     t = targets.select(key("source").alias("source"), "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("repeats"))
@@ -109,19 +133,19 @@ def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[keep][["source", "doc_id", "tokens", "block", "place", "blocks"]]
 
 
-def mix(docs: DataFrame, targets: DataFrame, size: float | None = None, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, size: float | None = None, seed: int = 42, solver=solve) -> DataFrame:
     """(source, doc_id, use, tokens, position): one row for every use of a document.
 
     ``position`` in 0 ... 1 orders the mixture so that every stretch of it has the wanted shares.
     """
     spark = docs.sparkSession
     listed, sources = measured(docs, targets)
-    sources, _, _ = solve(sources, size)
+    sources, _, _ = solver(sources, size)
     rows = []
     for s in sources:
         blocks = s.budget / s.tokens
         whole = min(int(blocks + 1e-9), s.repeats)
-        rows.append((s.source, whole, max(0.0, s.budget - whole * s.tokens), max(blocks, 1e-12), max(1, s.docs // BUCKET_DOCS)))
+        rows.append((s.source, whole, max(0.0, s.budget - whole * s.tokens), max(blocks, 1e-12), max(1, min(s.docs // BUCKET_DOCS, MOST_BUCKETS))))
     scheme = "source string, whole int, rest double, blocks double, buckets int"
     plan = F.broadcast(spark.createDataFrame(rows, scheme))
     # each document of each block has a place in that block's order; the last block is the cut one

@@ -8,6 +8,8 @@ fixed numbers of items of smaller classes. A pattern (how many of each class) is
 containers as the counts allow, so the whole plan follows from one histogram of bounded length, and
 is shorter than twice the number of classes.
 
+``pure`` is the plain form: each class fills containers of its own with its fixed count, whatever room that leaves.
+
 An item's container then follows from its class and its number within the class alone; every
 worker fills containers independently of all others.
 
@@ -26,6 +28,8 @@ from thicket.session import Scratch
 
 #: Steps into which the capacity is divided at most.
 STEPS = 512
+#: Items that one task numbers at most, about.
+BUCKET_ITEMS = 500_000
 
 
 def pieces(sizes: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -90,22 +94,33 @@ def _fill(classes: list[tuple[int, int, int]], left: list[int], i: int, m: int,
     return free, used
 
 
-def pack(sizes: DataFrame, profiles: DataFrame, steps: int = STEPS) -> DataFrame:
+def plan_pure(histogram: list[tuple[int, int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The plain harmonic plan, as ``plan`` returns it: class k (whose sizes are above capacity / (k + 1) and at most
+    capacity / k) fills containers with k items each. The classes are numbered by k."""
+    out, containers = [], 0
+    for k, _, n in sorted(histogram):
+        out.append((k, 0, n, k, containers))
+        containers += -(-n // k)
+    return out, containers
+
+
+def pack(sizes: DataFrame, profiles: DataFrame, steps: int = STEPS, pure: bool = False) -> DataFrame:
     """(profile, container_id, doc_id, piece, token_start, tokens); container ids count from 0 per profile."""
     spark = sizes.sparkSession
-    items = pieces(sizes, profiles).withColumn("_c", size_class(steps)).withColumn("class", F.col("_c.step") * F.lit(1 << 32) + F.col("_c.k")).drop("_c")
+    cls = F.expr("capacity div tokens") if pure else F.col("_c.step") * F.lit(1 << 32) + F.col("_c.k")
+    items = pieces(sizes, profiles).withColumn("_c", size_class(steps)).withColumn("class", cls).drop("_c")
     items = Scratch(spark, "packing").save(items, "items")
-    # bounded: at most two classes for each step of each capacity
+    # bounded: at most two classes for each step of each capacity, or twice the root of the capacity
     counted = items.groupBy("profile", "capacity", "class").agg(F.max("tokens").alias("largest"), F.count(F.lit(1)).alias("n")).collect()
     slots = []
     for profile, capacity in sorted({(r["profile"], r["capacity"]) for r in counted}, key=str):
         hist = [(r["class"], r["largest"], r["n"]) for r in counted if (r["profile"], r["capacity"]) == (profile, capacity)]
         by_class: dict[int, list] = {}
-        for cls, lo, _, m, base in plan(hist, capacity)[0]:
+        for cls, lo, _, m, base in (plan_pure if pure else plan)(hist, capacity)[0]:
             by_class.setdefault(cls, []).append((lo, m, base))
         slots += [(profile, cls, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for cls, v in by_class.items()]
     alloc = spark.createDataFrame(slots, "profile string, class long, lo array<long>, m array<long>, base array<long>")
-    numbered = bucketed_rank(items, ["profile", "class"], ["doc_id", "piece"], name="number")
+    numbered = bucketed_rank(items, ["profile", "class"], ["doc_id", "piece"], buckets=max(256, sum(r["n"] for r in counted) // BUCKET_ITEMS), name="number")
     found = numbered.join(F.broadcast(alloc), ["profile", "class"])
     # the last range that begins at or before the number
     k = F.size(F.filter("lo", lambda x: x <= F.col("number")))

@@ -191,9 +191,11 @@ _TAILS = {
 }
 LEADS = [(k.lower(), re.compile(f"{lead}(?P<v>{NAME}){after}", re.I | re.M)) for k, (lead, after) in _LEADS.items()]
 TAILS = [(k.lower(), re.compile(rf"(?<![\w'’.-])(?P<v>{NAME_BEFORE}){tail}", re.I)) for k, tail in _TAILS.items()]
-#: Two to four capital parts, as names are written within a sentence.
+#: A capital part, as names are written within a sentence, and a row of them; at most four make a name.
 _CAP = r"[A-ZÀ-ÖØ-Þ](?:(?:[^\W\d_]|[\u0300-\u036f])+|(?=['’]))(?:['’-][A-ZÀ-ÖØ-Þ](?:[^\W\d_]|[\u0300-\u036f])+)*"
-FULL = rf"(?:{_CAP}|[A-Z]\.){_B}(?:(?:{_CAP}|[A-Z]\.){_B}){{0,2}}{_CAP}"
+PART = re.compile(rf"(?<![\w'’.-])(?:{_CAP}|[A-Z]\.)")
+CHAIN = re.compile(rf"(?<![\w'’.-])(?:{_CAP}|[A-Z]\.)(?:{_B}(?:{_CAP}|[A-Z]\.))+")
+MOST_PARTS = 4
 _ROLES = (
     "colleague|manager|boss|supervisor|client|customer|friend|neighbou?r|wife|husband|partner|brother|sister|mother|father|son|daughter|uncle|aunt|cousin|doctor|nurse|lawyer|attorney|teacher|professor|"
     "engineer|developer|author|director|owner|tenant|patient|employee|intern|contractor|landlord|secretary|accountant|witness|candidate|applicant|assistant|"
@@ -206,16 +208,9 @@ _MADE = r"(?:written|signed|approved|reviewed|sent|prepared|reported|created|edi
 _GREET = r"(?:Hi|Hello|Hey|Dear|Hallo|Liebe|Lieber|Bonjour|Salut|Cher|Chère|Hola|Estimad[oa]|Querid[oa]),?"
 _LABELS = r"(?:contact|full name|name|author|patient|client|customer|attn|attention|from|to|cc|owner|assignee|employee|kontakt|ansprechpartner(?:in)?|kunde|autor|contacto|nombre|cliente|nom|auteur)\s?[:=]"
 _SAYS = r"(?:said|says|replied|emailed|phoned|texted|told\s(?:me|us|him|her|them)|wrote\s(?:to|me|us)|called\s(?:me|us|to|about|back|yesterday|today|this|last)|called\b(?=[.,;!?]|\s*$))"
-#: General structure: what comes before or after a name written with capitals.
-STRUCTURE = [
-    re.compile(rf"\b(?i:{_ROLES}),?\s(?P<v>{FULL})"),
-    re.compile(rf"\b(?i:{_CONTACT}|{_MADE})\s(?P<v>{FULL})"),
-    re.compile(rf"(?<![\w'’-])(?:{_GREET})\s(?P<v>{FULL})"),
-    re.compile(rf"(?<![\w'’-])(?i:{_LABELS})\s?(?P<v>{FULL})"),
-    re.compile(rf"(?<![\w'’.-])(?P<v>{FULL})\s{_SAYS}"),
-]
-#: Two capital words in a row, without which none of these can match.
-_TWO_CAPS = re.compile(rf"(?:{_CAP}|[A-Z]\.){_B}{_CAP}")
+#: General structure: what comes before or after a row of capital parts. No match is longer than 48 signs.
+BEFORE = re.compile(rf"(?:\b(?i:{_ROLES}),?\s|\b(?i:{_CONTACT}|{_MADE})\s|(?<![\w'’-])(?:{_GREET})\s|(?<![\w'’-])(?i:{_LABELS})\s?)$")
+AFTER = re.compile(rf"\s{_SAYS}")
 TITLED = re.compile(rf"(?<![\w'’.-])(?P<v>(?:Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Herr|Herrn|Frau|Sr|Sra|Srta)\.?\s(?:[^\W\d_]\.\s)?{_W}(?: (?=[A-ZÀ-ÖØ-Þ]){_W})?)")
 TITLES = ("Mr", "Ms", "Mrs", "Dr", "Prof", "Mme", "Mlle", "Herr", "Frau", "Sr")
 #: Words that are never part of a name (articles, pronouns, conjunctions of the four languages).
@@ -303,11 +298,17 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             for m in p.finditer(text):
                 if at := _name(text, *m.span("v")):
                     take(*at, "person")
-    if _TWO_CAPS.search(text):
-        for p in STRUCTURE:
-            for m in p.finditer(text):
-                if (at := _name(text, *m.span("v"))) and at[0] == m.start("v"):
+    for m in CHAIN.finditer(text):
+        parts = [p.span() for p in PART.finditer(text, *m.span())]
+        for i, (start, _) in enumerate(parts[:-1]):
+            if BEFORE.search(text, max(0, start - 48), start):
+                at = _name(text, start, parts[min(i + MOST_PARTS, len(parts)) - 1][1])
+                if at and at[0] == start:
                     take(*at, "person")
+                    break
+        else:
+            if AFTER.match(text, m.end()) and (at := _name(text, parts[max(0, len(parts) - MOST_PARTS)][0], m.end())):
+                take(*at, "person")
     if any(t in text for t in TITLES):
         for m in TITLED.finditer(text):
             if at := _name(text, *m.span("v")):
