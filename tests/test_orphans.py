@@ -29,3 +29,31 @@ def test_cascade_reaches_any_depth_and_ends_on_circles(spark):
     want = {f"n{i}": (i - 3 if i < 10 else i - 10) for i in range(3, 70)} | {"b": 0, "a": 1, "d": 2}
     assert got == want
     assert orphans.cascade(rec, bad.limit(0)).count() == 0
+
+
+def test_fixpoint_along_several_keys_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    keys = [f"k{i}" for i in range(120)]
+    up = {n: {k: rng.choice(keys) for k in keys if rng.random() < 0.5} for n in ("a", "b", "c")}
+    begin = {"k3", "k77", "outside"}
+    up["c"]["k5"] = "outside"
+    bad = set(begin)
+    while True:
+        more = {k for n in up for k, p in up[n].items() if p in bad} - bad
+        if not more:
+            break
+        bad |= more
+    frame = lambda d: spark.createDataFrame(list(d.items()), "key string, parent string")
+    got = {r["key"]: r["via"] for r in orphans.fixpoint(spark.createDataFrame([(k,) for k in begin], "key string"), {n: frame(d) for n, d in up.items()}).collect()}
+    assert set(got) == bad and {k for k, v in got.items() if v == "direct"} == begin
+    assert orphans.fixpoint(spark.createDataFrame([], "key string"), {"a": frame(up["a"])}).count() == 0
+
+
+def test_a_parent_of_most_records_is_split(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "HOT", 100)
+    rows = [("root", None), ("hub", "root")] + [(f"c{i}", "hub") for i in range(2000)] + [(f"d{i}", f"c{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, parent string")
+    got = {r["key"]: r["levels"] for r in orphans.cascade(df, spark.createDataFrame([("root",)], "key string")).collect()}
+    assert len(got) == 2052 and got["root"] == 0 and got["hub"] == 1 and got["c5"] == 2 and got["d7"] == 3

@@ -102,7 +102,9 @@ class Memory:
         k = node_id.strip().lower()
         n = self.nodes().select(key("id").alias("id"), key("correction_root_id").alias("root"), "branch_id", "correction_kind", "correction_version", "timestamp", "ingest_seq")
         root = n.where(F.col("id") == k).select(F.coalesce("root", "id").alias("r")).limit(1)
-        chain = n.join(F.broadcast(root), (n["id"] == root["r"]) | (n["root"] == root["r"])).drop("r")
+        found = root.collect()  # one row at most
+        r = F.lit(found[0]["r"] if found else None)
+        chain = n.where((F.col("id") == r) | (F.col("root") == r))
         return chain.orderBy(F.col("correction_version").desc(), F.col("timestamp").desc(), F.col("ingest_seq").desc()).limit(chain_limit)
 
     def content(self, branch_id: str, max_entries: int = 100, max_chars: int = 250) -> DataFrame:
@@ -127,7 +129,7 @@ class Memory:
         old = self.store.read("maintenance_jobs")
         if old is not None:
             new = new.join(old.where("status = 'pending'").select("job_type", F.coalesce("target_id", F.lit("")).alias("_t")), (new["job_type"] == old["job_type"]) & (F.coalesce(new["target_id"], F.lit("")) == F.col("_t")), "left_anti")
-        self.store.append("maintenance_jobs", new)
+        self.store.upsert("maintenance_jobs", new.join(old.select("id"), "id", "left_anti") if old is not None else new, ["id"])
         return job
 
     def pending_jobs(self, limit: int = 10) -> DataFrame:
@@ -139,7 +141,7 @@ class Memory:
     def add_edges(self, edges: DataFrame) -> None:
         """Edges (src_id, dst_id, edge_type, weight, created_ts, edge_seq); the last write of a triple counts."""
         if not self.store.current("memory_edges"):
-            self.store.replace("memory_edges", self.table("memory_edges"))
+            self.store.replace("memory_edges", self.table("memory_edges"), ["edge_seq"])
         self.store.append("memory_edges", edges)
 
     def edges(self) -> DataFrame:
@@ -160,12 +162,12 @@ class Memory:
         node = f"node_{date.replace('-', '')}_{stamp}"
         entry = self.spark.createDataFrame([(node, text, source, created_ts)], "node_id string, text string, source string, created_ts double")
         if not self.store.current("daily_log_content"):
-            self.store.replace("daily_log_content", self.table("daily_log_content"))
+            self.store.replace("daily_log_content", self.table("daily_log_content"), ["node_id"])
         self.store.upsert("daily_log_content", entry, ["node_id"])
         row = (node, f"log_{stamp}", "daily_log_entry", f"day_{date}", created_ts, "user", max(1, len(text) // 4), vector)
         new = self.spark.createDataFrame([row], "id string, lcm_id string, node_type string, branch_id string, timestamp double, role string, token_count long, embedding array<float>")
         if not self.store.current("memory_nodes"):
-            self.store.replace("memory_nodes", self.table("memory_nodes"))
+            self.store.replace("memory_nodes", self.table("memory_nodes"), ["id"])
         self.store.append("memory_nodes", new)
         return node
 

@@ -163,18 +163,21 @@ def per_key(
 def skew_join(left: DataFrame, right: DataFrame, on: str, how: str, heavy: DataFrame, shards: int = 16, row_hash: Column | None = None) -> DataFrame:
     """An equi-join on one column in which the keys of ``heavy`` (a bounded table with a column
     ``key``) are split over ``shards`` on the left and replicated on the right."""
-    h = F.broadcast(heavy.select(F.col("key").alias("_h")).distinct())
+    h = F.broadcast(heavy.select(F.col("key").alias("_hot_key")).distinct())
     row_hash = F.monotonically_increasing_id() if row_hash is None else row_hash
-    salt = F.when(F.col("_h").isNotNull(), F.pmod(row_hash, F.lit(shards)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(F.col("_h").isNotNull(), F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.lit(0)))
-    lhs = left.join(h, F.col(on) == F.col("_h"), "left").withColumn("_salt", salt).drop("_h")
-    rhs = right.join(h, F.col(on) == F.col("_h"), "left").withColumn("_salt", F.explode(copies)).drop("_h")
+    salt = F.when(F.col("_hot_key").isNotNull(), F.pmod(row_hash, F.lit(shards)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.lit(0)))
+    lhs = left.join(h, F.col(on) == F.col("_hot_key"), "left").withColumn("_salt", salt).drop("_hot_key")
+    rhs = right.join(h, F.col(on) == F.col("_hot_key"), "left").withColumn("_salt", F.explode(copies)).drop("_hot_key")
     return lhs.join(rhs, [on, "_salt"], how).drop("_salt")
 
 
 def dominant(df: DataFrame, key: str, share: float = 0.025) -> DataFrame:
-    """Keys above ``share`` of all rows, null keys counted in the total."""
-    plan = plan_tasks(df, key, largest_share=share)
-    return plan.heavy.where(F.col("load") > F.lit(plan.total) * F.lit(share))
-
+    """(key, load): keys above ``share`` of all rows, null keys counted in the total.
 
+    The rows of every key are counted as any result per key is: in the tasks their shards are packed into, and
+    combined from the shards.
+    """
+    plan = plan_tasks(df, key, largest_share=share)
+    counted = per_key(df, key, partial={"n": F.count(F.lit(1))}, final={"load": F.sum("n")}, plan=plan)
+    return counted.where(F.col("load") > F.lit(plan.total) * F.lit(share)).select(F.col(key).cast("string").alias("key"), "load")

@@ -117,8 +117,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References without a record."""
-    return orphans.direct(_references(spark, sf_dir), _records(spark, sf_dir)).select("ref_field", "row_seq")
+    """References without a record: what the cascade finds at its first level, the direct orphans."""
+    return _all_orphans(spark, sf_dir).where("kind = 'direct'").select("ref_field", "row_seq")
 
 
 def _all_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +143,35 @@ def _all_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct.unionByName(below).unionByName(touched)
 
 
+def p6_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and edges that are orphans, directly or by inheritance along every foreign key, per table and key they inherited by.
+
+    Direct orphans are nodes whose lcm_id has no record, purged nodes that are still there, and messages without listed
+    conversation. Nodes inherit from their parent, from the version before and from their message; edges from both ends.
+    """
+    t = lambda name: table(spark, sf_dir, name)
+    scratch = Scratch(spark, "graph")
+    raw = t("memory_nodes").select(key("id").alias("id"), key("parent_id").alias("parent"), key("correction_prev_id").alias("prev"), key("lcm_id").alias("lcm"), "node_type", F.col("ingest_seq").alias("seq"))
+    first = raw.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("seq", "parent", "prev", "lcm", "node_type")).alias("r")).select("id", "r.*")
+    first = scratch.save(first, "nodes")
+    node, message = (lambda c, p=p: F.concat(F.lit(p), c) for p in ("n:", "m:"))
+    hit = orphans.direct(_references(spark, sf_dir).where("ref_field = 'lcm_id'"), _records(spark, sf_dir)).select(F.col("row_seq").alias("seq"))
+    gone = first.select(F.col("id").alias("key")).join(orphans.live(t("memory_nodes"), "id", "timestamp", t("purged_records"), "memory_nodes"), "key", "left_anti")
+    stray = t("messages").select(key("message_id").alias("key"), "conversation_id").where("key IS NOT NULL").join(t("conversations").select("conversation_id"), "conversation_id", "left_anti")
+    begin = raw.join(hit, "seq", "left_semi").where("id IS NOT NULL").select(node(F.col("id")).alias("key")).unionByName(gone.select(node(F.col("key")).alias("key"))).unionByName(stray.select(message(F.col("key")).alias("key")))
+    up = lambda c, to: first.where(F.col(c).isNotNull()).select(node(F.col("id")).alias("key"), to(F.col(c)).alias("parent"))
+    links = {
+        "parent_id": up("parent", node), "correction_prev_id": up("prev", node),
+        "lcm_id": first.where("lcm IS NOT NULL AND node_type IN ('message', 'tool_result')").select(node(F.col("id")).alias("key"), message(F.col("lcm")).alias("parent")),
+    }
+    known = scratch.save(orphans.fixpoint(begin, links), "known")
+    name = F.when(F.col("key").startswith("n:"), "memory_nodes").otherwise("messages")
+    records = known.select(name.alias("ref_table"), F.when(F.col("via") == "direct", "direct").otherwise("inherited").alias("kind"))
+    e = t("memory_edges").select("edge_seq", F.explode(F.array(node(key("src_id")), node(key("dst_id")))).alias("key"))
+    edges = e.join(known, "key", "left_semi").select("edge_seq").distinct().select(F.lit("memory_edges").alias("ref_table"), F.lit("inherited").alias("kind"))
+    return records.unionByName(edges).groupBy("ref_table", "kind").agg(F.count(F.lit(1)).alias("orphans"))
+
+
 def p6_orphan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct and inherited orphans per table, field and month."""
     return orphans.report(_all_orphans(spark, sf_dir), F.col("ref_ts"))
@@ -185,7 +214,7 @@ def p7_branch_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_deliveries, p5_found, p5_hierarchy, p5_descendants, p6_found, p6_orphan_report, p7_found, p7_conversation_loads, p7_branch_loads)
+    for f in (p4_found, p4_deliveries, p5_found, p5_hierarchy, p5_descendants, p6_found, p6_orphan_report, p6_cascade, p7_found, p7_conversation_loads, p7_branch_loads)
 }
 
 _K = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
@@ -247,6 +276,19 @@ every AS (
   UNION ALL SELECT 'memory_nodes', 'parent_id', 'inherited', ref_ts FROM raw WHERE k IN (SELECT k FROM spoiled) AND k NOT IN (SELECT k FROM bad)
   UNION ALL SELECT ref_table, ref_field, 'inherited', ref_ts FROM refs WHERE ref_table = 'memory_edges' AND k IN (SELECT k FROM spoiled) AND (ref_field, row_seq) NOT IN (SELECT (ref_field, row_seq) FROM missing))
 SELECT ref_table, ref_field, kind, coalesce(strftime(make_timestamp(CAST(floor(ref_ts) * 1000000 AS BIGINT)), '%Y-%m'), 'unknown') AS month, count(*) AS orphans FROM every GROUP BY 1, 2, 3, 4""",
+    "p6_cascade": f"""WITH RECURSIVE {_LIVE},
+first AS (SELECT {_k('id')} AS id, {_k('parent_id')} AS parent, {_k('correction_prev_id')} AS prev, {_k('lcm_id')} AS lcm, node_type FROM memory_nodes WHERE {_k('id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_k('id')} ORDER BY ingest_seq) = 1),
+stray AS (SELECT DISTINCT {_k('message_id')} AS k FROM messages ANTI JOIN conversations USING (conversation_id) WHERE conversation_id IS NOT NULL AND {_k('message_id')} IS NOT NULL),
+strayed AS (SELECT * FROM stray UNION SELECT {_k('message_id')} FROM messages WHERE conversation_id IS NULL AND {_k('message_id')} IS NOT NULL),
+begin AS (SELECT DISTINCT 'n:' || {_k('id')} AS k FROM memory_nodes JOIN missing ON missing.ref_field = 'lcm_id' AND row_seq = ingest_seq WHERE {_k('id')} IS NOT NULL
+  UNION SELECT 'n:' || id FROM first WHERE id NOT IN (SELECT k FROM live WHERE t = 'memory_nodes' AND k IS NOT NULL AND k NOT IN (SELECT {_k('branch_id')} FROM branch_states WHERE {_k('branch_id')} IS NOT NULL))
+  UNION SELECT 'm:' || k FROM strayed),
+up AS (SELECT 'n:' || id AS k, 'n:' || parent AS p FROM first WHERE parent IS NOT NULL UNION ALL SELECT 'n:' || id, 'n:' || prev FROM first WHERE prev IS NOT NULL
+  UNION ALL SELECT 'n:' || id, 'm:' || lcm FROM first WHERE lcm IS NOT NULL AND node_type IN ('message', 'tool_result')),
+spoiled AS (SELECT k FROM begin UNION SELECT up.k FROM up JOIN spoiled ON up.p = spoiled.k),
+every AS (SELECT CASE WHEN k LIKE 'n:%' THEN 'memory_nodes' ELSE 'messages' END AS ref_table, CASE WHEN k IN (SELECT k FROM begin) THEN 'direct' ELSE 'inherited' END AS kind FROM spoiled
+  UNION ALL SELECT 'memory_edges', 'inherited' FROM memory_edges WHERE 'n:' || {_k('src_id')} IN (SELECT k FROM spoiled) OR 'n:' || {_k('dst_id')} IN (SELECT k FROM spoiled))
+SELECT ref_table, kind, count(*) AS orphans FROM every GROUP BY 1, 2""",
     "p7_found": f"""SELECT 'messages.conversation_id' AS field, CAST(conversation_id AS VARCHAR) AS key_value FROM messages WHERE conversation_id IS NOT NULL
 GROUP BY 2 HAVING count(*) > 0.025 * (SELECT count(*) FROM messages)
 UNION ALL SELECT 'memory_nodes.branch_id', {_k('branch_id')} FROM memory_nodes WHERE {_k('branch_id')} IS NOT NULL

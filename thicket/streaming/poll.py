@@ -1,7 +1,8 @@
 """New messages polled into the memory, exactly once.
 
 A file stream of message rows is deduplicated against what is stored: within the batch by the lowest
-arrival number, and against all history by an anti-join on the identifiers. The checkpoint takes the
+arrival number, and against history by an anti-join with the stored messages of the same buckets of the key (the table is
+kept in buckets by it), of which only the key is read. The checkpoint takes the
 place of a cursor; a batch that is replayed after a failure finds its rows stored already and adds none.
 Rows without message id go to a dead-letter table and do not stop the stream.
 """
@@ -37,9 +38,12 @@ def poll(spark: SparkSession, source: str, store: Store, checkpoint: str, conver
 
     def take(batch: DataFrame, batch_id: int) -> None:
         bad = batch.where(key("message_id").isNull())
-        new = fresh_rows(batch, store.read("messages")).withColumn("branch_id", F.concat(F.lit("conv_"), F.col("conversation_id").cast("string")))
+        new = fresh_rows(batch, store.near("messages", batch.select(key("message_id").alias("message_key")), ["message_key"])).withColumn("branch_id", F.concat(F.lit("conv_"), F.col("conversation_id").cast("string")))
         counts = batch.agg(F.count(F.lit(1)).alias("polled"), F.max("ingest_seq").alias("last_seq")).first()
-        store.append("messages", new)
+        if store.current("messages"):
+            store.append("messages", new)
+        else:
+            store.replace("messages", new, ["message_key"])
         store.upsert("dead_letter", bad.withColumn("batch_id", F.lit(batch_id)), ["ingest_seq"])
         row = [(batch_id, counts["polled"], counts["last_seq"])]
         store.upsert("polls", batch.sparkSession.createDataFrame(row, "batch_id long, polled long, last_seq long"), ["batch_id"])
@@ -48,6 +52,14 @@ def poll(spark: SparkSession, source: str, store: Store, checkpoint: str, conver
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def lag(spark: SparkSession, source: str, store: Store) -> int:
+    """Rows of the source that no poll has taken yet, by arrival number."""
+    done = store.read("polls")
+    last = done.agg(F.max("last_seq")).first()[0] if done is not None else None
+    newest = spark.read.schema(MESSAGES).parquet(source).agg(F.max("ingest_seq")).first()[0]
+    return max(0, (newest or 0) - (last or 0))
+
+
 def activity_windows(stream: DataFrame, minutes: int = 60, lateness: str = "2 hours") -> DataFrame:
     """Messages and tokens per conversation and window of source time; rows later than ``lateness`` are left out.
 
