@@ -66,3 +66,19 @@ def test_jobs_and_edges(memory, spark):
     new = spark.createDataFrame([("X", "y", "same_topic", 0.1, 1.0, 10**9), ("x ", "Y", "same_topic", 0.9, 2.0, 10**9 + 1)], "src_id string, dst_id string, edge_type string, weight double, created_ts double, edge_seq long")
     memory.add_edges(new)
     assert [r["weight"] for r in memory.edges().where("src = 'x'").collect()] == [0.9]
+
+
+def test_state_model_and_cursor(memory):
+    from thicket.functions import embed
+
+    assert memory.get_state("x") is None
+    memory.set_state("x", "1")
+    memory.set_state("x", "2")
+    assert memory.get_state("x") == "2"
+    memory.use_model({"backend": "hashing", "dim": 64})
+    with pytest.raises(embed.OtherModel):
+        memory.use_model({"backend": "hashing", "dim": 32})
+    n = memory.branches().count()
+    first = memory.next_branches(n - 1)
+    again = memory.next_branches(3)
+    assert len(set(first)) == n - 1 and len(again) == 3 and again[0] not in first and again[1:] == first[:2]

@@ -241,3 +241,59 @@ def test_long_branches_are_split_by_all_their_vectors(spark):
     want = {tuple(r) for r in ingest.split_branches(df, 3).collect()}
     for most in (10, 100):
         assert {tuple(r) for r in ingest.split_branches(df, 3, most=most).collect()} == want
+
+
+def test_settings_from_file_and_environment(tmp_path):
+    from thicket import config
+
+    f = tmp_path / "c.json"
+    f.write_text('{"refine_sim": 0.8, "mode_state": {"balanced": {"DORMANT": 0.5}}, "excluded_states": ["X"]}')
+    c = config.load(str(f), '{"refine_sim": 0.7}')
+    assert c.refine_sim == 0.7 and c.mode_state["balanced"]["DORMANT"] == 0.5 and c.mode_state["balanced"]["FORMING"] == 0.90 and c.excluded_states == ("X",)
+    assert config.load(str(tmp_path / "none.json"), " ") == Config() and config.load(None, "not json") == Config()
+    with pytest.raises(KeyError):
+        config.load(None, '{"nothing": 1}')
+
+
+def test_signatures_of_models():
+    a = embed.guard(None, {"backend": "GGUF", "model_path": "/m/x.gguf", "dim": "64"})
+    assert embed.guard(a, {"backend": "llama-cpp", "model_name": "/other/x.gguf", "model_path": "/m/x.gguf", "dim": 64}) == a
+    with pytest.raises(embed.OtherModel):
+        embed.guard(a, {"backend": "http", "dim": 64})
+    assert embed.guard(a, {"backend": "http", "dim": "x"}, allow=True) != a
+    assert embed.dimension(embed.hashing_provider(24)) == 24
+
+
+def test_all_limits_of_time():
+    day = 86400.0
+    assert times.bounds(100 * day, within_days=3) == (97 * day, None) and times.bounds(100 * day, max_age_days=2, within_days=3)[0] == 98 * day
+    assert times.bounds(0.0, date_from="2024-01-02", date_to="2024-01-02") == (1704153600.0, 1704153600.0 + day - 0.001)
+    assert times.bounds(0.0, date_to="2024-01-02T01:00:00Z")[1] == 1704157200.0 and times.bounds(1e9, max_age_days=-1, min_age_days=-1) == (None, None)
+    assert times.bounds(0.0, after="1700000000000", before="soon") == (1.7e9, None)
+
+
+def test_snippets_warnings_and_encodings(spark):
+    from thicket.functions import codec
+
+    df = spark.createDataFrame([("a  b\n\u00a0c",), ("x" * 39 + " " + "y" * 300,), (None,)], "t string")
+    assert [r[0] for r in df.select(keyword.one_line(F.col("t"), 41)).collect()] == ["a b c", "x" * 39 + "...", ""]
+    assert spark.range(1).select(keyword.warnings(F.lit("a"), F.lit(None).cast("string"), F.lit("b"), F.lit("a"))).first()[0] == "a; b"
+    rows = spark.createDataFrame([("[1.5, -2]",), ("not json",), (None,), ("",)], "t string").select(codec.vector_of(F.col("t")).alias("v"), codec.payload(F.col("t"), "k long")["k"].alias("k")).collect()
+    assert [r["v"] for r in rows] == [[1.5, -2.0], [], [], []] and all(r["k"] is None for r in rows)
+
+
+def test_branches_that_collapse_are_ranked_apart(spark):
+    rows = [("a", "COLLAPSING", 5, [1.0, 0.0]), ("b", "COLLAPSING", 5, [0.0, 1.0]), ("c", "COLLAPSING", 0, [1.0, 0.0]), ("d", "STABLE", 9, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "branch_id string, state string, node_count long, mean_vec array<double>").withColumns({c: F.lit(0.5) for c in ("coherence", "compression_loss", "topic_drift_density", "retrieval_error")})
+    df = df.withColumns({"regime": F.lit("RIGID"), "branch_type": F.lit("x")})
+    got = retrieval.score(df.where("state = 'COLLAPSING' AND node_count > 0"), [1.0, 0.0]).orderBy(F.col("total").desc()).collect()
+    assert [r["branch_id"] for r in got] == ["a", "b"] and retrieval.ranking(df, [1.0, 0.0]).count() == 1
+
+
+def test_links_to_removed_copies_are_led_to_the_ones_that_stay(spark):
+    from thicket.operators import integrity
+
+    rows = [(1, "a", None, None, None), (2, "b", None, None, None), (3, "c", "b", "b", "b"), (4, "d", "a", None, "c")]
+    n = spark.createDataFrame(rows, "ingest_seq long, id string, parent_id string, correction_prev_id string, correction_root_id string")
+    dup = spark.createDataFrame([(2, "b", "a")], "ingest_seq long, id string, keep_id string")
+    assert [tuple(r) for r in integrity.rewire(n, dup).collect()] == [(3, "c", "a", "a", "a")]

@@ -5,7 +5,9 @@ The numbers are fixed values: results are only comparable if they agree.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 EPS = 1e-9
 
@@ -48,6 +50,11 @@ class Config:
     zeta_compression: float = 0.20
     zeta_error: float = 0.20
     zeta_drift: float = 0.25
+    split_threshold: float = 0.55
+    split_hysteresis: int = 3
+    split_min_nodes: int = 6
+    split_enqueues: int = 5
+    merge_threshold: float = 0.55
     eta_cos: float = 0.15
     eta_topic: float = 0.20
     eta_couse: float = 0.15
@@ -91,5 +98,30 @@ class Config:
     feedback_rows: int = 200_000
 
 
+def load(path: str | None = None, environment: str | None = None) -> Config:
+    """The defaults with what a JSON file and a JSON text of the environment set; nested objects are merged, the latter wins.
+
+    A missing or unreadable file and blank text set nothing; unknown names are an error.
+    """
+    merged: dict = {}
+    for text in (Path(path).read_text() if path and Path(path).is_file() else None, environment):
+        try:
+            found = json.loads(text) if text and text.strip() else {}
+        except ValueError:
+            found = {}
+        merged = _merged(merged, found if isinstance(found, dict) else {})
+    base = asdict(Config())
+    if unknown := set(merged) - set(base):
+        raise KeyError(f"no such setting: {', '.join(sorted(unknown))}")
+    return Config(**{k: tuple(v) if isinstance(v, list) else v for k, v in _merged(base, merged).items()})
+
+
+def _merged(base: dict, changes: dict) -> dict:
+    out = dict(base)
+    for k, v in changes.items():
+        out[k] = _merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
 #: The moment that stands for "now" in the queries.
 AS_OF = 1775001600.0  # 2026-04-01T00:00:00Z

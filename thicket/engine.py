@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.config import AS_OF, Config
-from thicket.functions import times
+from thicket.functions import embed, times
 from thicket.functions import vectors as V
 from thicket.functions.keys import key
 from thicket.operators import backfill, feedback, geometry, integrity, keyword, lineage, orphans, redelivery, retrieval
@@ -138,6 +138,31 @@ class Memory:
     def complete(self, job: str) -> None:
         self.store.patch("maintenance_jobs", self.spark.createDataFrame([(job, "done")], "id string, status string"), ["id"])
 
+    def set_state(self, name: str, value: str, table: str = "maintenance_state") -> None:
+        """One value of upkeep under a name, such as a cursor or a mean."""
+        self.store.upsert(table, self.spark.createDataFrame([(name, value)], "name string, value string"), ["name"])
+
+    def get_state(self, name: str, table: str = "maintenance_state") -> str | None:
+        one = self.spark.createDataFrame([(name,)], "name string")
+        near = self.store.near(table, one, ["name"])
+        row = near.where(F.col("name") == name).first() if near is not None else None
+        return row["value"] if row else None
+
+    def use_model(self, signature: dict, allow: bool = False) -> None:
+        """Notes the model that vectors are made with; another one than before is refused unless allowed."""
+        self.set_state("embedding_signature", embed.guard(self.get_state("embedding_signature"), signature, allow))
+
+    def next_branches(self, count: int) -> list[str]:
+        """The next branches in the order of their ids for a cycle of upkeep; at the end it begins again."""
+        after = self.get_state("branch_cursor") or ""
+        ids = self.branches().select("branch_id").where("branch_id IS NOT NULL")
+        take = lambda df, n: [r["branch_id"] for r in df.orderBy("branch_id").limit(n).collect()]
+        out = take(ids.where(F.col("branch_id") > after), count)
+        if len(out) < count:
+            out += [b for b in take(ids, count - len(out)) if b not in out]
+        self.set_state("branch_cursor", out[-1] if out else "")
+        return out
+
     def add_edges(self, edges: DataFrame) -> None:
         """Edges (src_id, dst_id, edge_type, weight, created_ts, edge_seq); the last write of a triple counts."""
         if not self.store.current("memory_edges"):

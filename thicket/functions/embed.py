@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -14,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_CHARS = 1000
-
 Provider = Callable[[list[str]], np.ndarray]
 
 
@@ -67,3 +66,36 @@ def embed(text: Column | str, dim: int, provider: Callable[[], Provider] | None
             yield pd.Series([None if null else v.astype(np.float32) for null, v in zip(s.isna(), (v for part in parts for v in part))])
 
     return f(F.col(text) if isinstance(text, str) else text)
+
+
+def dimension(provider: Provider) -> int:
+    """The length of the vectors of a provider, from one text."""
+    return int(np.asarray(provider(["dimension"])).shape[1])
+
+
+def signature(sig: dict) -> dict:
+    """What identifies a model, in one form: names of equal backends agree, a local model is known by its file name."""
+    backend = str(sig.get("backend") or "").strip().lower().replace("-", "_")
+    backend = "llama_cpp" if backend in ("gguf", "llama") else backend
+    path = sig.get("model_path")
+    path = os.path.abspath(os.path.expanduser(str(path))) if path else None
+    name = str(sig.get("model_name") or "").strip()
+    if backend == "llama_cpp":
+        name = os.path.basename(name or path or "")
+    try:
+        dim = int(sig.get("dim") or 0)
+    except (TypeError, ValueError):
+        dim = 0
+    return {"backend": backend, "model_name": name, "model_path": path, "url": str(sig.get("url") or "").strip() or None, "dim": dim}
+
+
+class OtherModel(ValueError):
+    """The stored vectors are of another model."""
+
+
+def guard(stored: str | None, now: dict, allow: bool = False) -> str:
+    """The signature to store beside vectors, as JSON; another one than the stored is refused unless ``allow``."""
+    text = json.dumps(signature(now), sort_keys=True)
+    if stored and not allow and json.dumps(signature(json.loads(stored)), sort_keys=True) != text:
+        raise OtherModel(f"stored {stored}, now {text}")
+    return text

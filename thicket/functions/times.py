@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +26,34 @@ def in_bounds(ts: Column, after: float | None = None, before: float | None = Non
     return ok
 
 
-def bounds(now: float, min_age_days: float | None = None, max_age_days: float | None = None, after: float | None = None, before: float | None = None) -> tuple[float | None, float | None]:
-    """The intersection of relative and absolute limits."""
-    lows = [x for x in (after, None if max_age_days is None else now - max_age_days * 86400) if x is not None]
-    highs = [x for x in (before, None if min_age_days is None else now - min_age_days * 86400) if x is not None]
+def _seconds(text: str | float | None) -> float | None:
+    """``epoch`` of one value on the driver."""
+    if text is None or isinstance(text, (int, float)):
+        return text
+    try:
+        number = float(text)
+        return number / 1000 if abs(number) > 1e11 else number
+    except ValueError:
+        pass
+    try:
+        at = dt.datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
+        return (at if at.tzinfo else at.replace(tzinfo=dt.UTC)).timestamp()
+    except ValueError:
+        return None
+
+
+def bounds(
+    now: float, min_age_days: float | None = None, max_age_days: float | None = None, after: str | float | None = None, before: str | float | None = None,
+    within_days: float | None = None, date_from: str | float | None = None, date_to: str | float | None = None,
+) -> tuple[float | None, float | None]:
+    """The intersection of relative and absolute limits. ``within_days`` stands in for a missing ``max_age_days``, negative ages
+    and unreadable times are no limit, and a bare date in ``date_to`` means the whole day."""
+    oldest = max_age_days if max_age_days is not None else within_days
+    last = _seconds(date_to)
+    if last is not None and isinstance(date_to, str) and len(date_to.strip()) == 10:
+        last += 86400 - 0.001
+    lows = [x for x in (_seconds(after), _seconds(date_from), None if oldest is None or oldest < 0 else now - oldest * 86400) if x is not None]
+    highs = [x for x in (_seconds(before), last, None if min_age_days is None or min_age_days < 0 else now - min_age_days * 86400) if x is not None]
     return max(lows) if lows else None, min(highs) if highs else None
 
 

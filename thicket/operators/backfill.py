@@ -33,3 +33,19 @@ def stride_sample(messages: DataFrame, group: str, size: int) -> DataFrame:
     hit = (F.col("n") <= size) | ((j < size) & (F.floor(j * F.col("n") / size) == r))
     place = F.when(F.col("n") <= size, r).otherwise(j)
     return o.join(n, "branch_id").where(hit).select(F.col("_g").alias(group), "ingest_seq", place.alias("place"))
+
+
+def ends_and_stride(messages: DataFrame, group: str, size: int) -> DataFrame:
+    """At most ``size`` messages of each group: the first, the last, and those at places floor(j n / size) for the j between;
+    all of a group that has no more."""
+    rows = messages.select(F.col(group).cast("string").alias("branch_id"), F.col(group).alias("_g"), F.col("ingest_seq").cast("string").alias("id"), F.col("created_at").alias("timestamp"), "ingest_seq")
+    n = rows.where("branch_id IS NOT NULL").groupBy("branch_id").agg(F.count(F.lit(1)).alias("n"))
+    r, keep = F.col("rank") - 1, max(2, size)
+    step = F.col("n") / F.lit(float(keep))
+    # the place is taken if one of the numbers around r / step leads to it
+    near = [F.floor(r / step) + d for d in (0, 1)]
+    taken = F.lit(False)
+    for j in near:
+        taken = taken | ((j >= 1) & (j <= keep - 2) & (F.floor(j * step) == r))
+    hit = (F.col("n") <= size) | (r == 0) | (r == F.col("n") - 1) | taken
+    return ordered(rows).join(n, "branch_id").where(hit).select(F.col("_g").alias(group), "ingest_seq")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.keys import key
+from thicket.operators import lineage
 
 
 def _ids(nodes: DataFrame) -> DataFrame:
@@ -71,6 +72,25 @@ def rewire(nodes: DataFrame, duplicates: DataFrame) -> DataFrame:
     return n.where(changed).select("ingest_seq", "id", *[F.coalesce(f"_{c}", c).alias(c) for c in links])
 
 
+def cleaned_edges(edges: DataFrame, nodes: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """(src_id, dst_id, edge_type, weight): the edges after removed copies are gone from ``nodes``.
+
+    Edges that touch a removed id (one that no remaining row has) go; temporal edges and those of corrections are built anew
+    from what remains.
+    """
+    rest = nodes.join(duplicates.select("ingest_seq"), "ingest_seq", "left_anti")
+    gone = duplicates.select(F.col("id").alias("k")).distinct().join(_ids(rest), "k", "left_anti")
+    kept = edges_apart(edges.where(~F.col("edge_type").isin("temporal_next", "refines", "contradicts", "supersedes")), gone)
+    kept = kept.select(key("src_id").alias("src_id"), key("dst_id").alias("dst_id"), "edge_type", "weight")
+    one = F.lit(1.0).alias("weight")
+    order = lineage.temporal_edges(rest).select(key("src_id").alias("src_id"), key("dst_id").alias("dst_id"), F.lit("temporal_next").alias("edge_type"), one)
+    chains = lineage.correction_chains(rest.where("node_type = 'message'")).where("prev_id IS NOT NULL").join(rest.select("ingest_seq", "conflict_score"), "ingest_seq")
+    kinds = F.create_map(*[F.lit(x) for x in ("refine", "refines", "contradict", "contradicts", "supersede", "supersedes")])
+    weight = F.when(F.col("kind") == "refine", 1.0).otherwise(F.greatest(F.lit(0.01), F.coalesce("conflict_score", F.lit(0.0))))
+    fixed = chains.select(key("id").alias("src_id"), key("prev_id").alias("dst_id"), kinds[F.col("kind")].alias("edge_type"), weight.alias("weight"))
+    return kept.unionByName(order).unionByName(fixed)
+
+
 def dag_edges(summaries: DataFrame, messages: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per leaf summary: the latest message nodes of its conversation (their number and ends).
 

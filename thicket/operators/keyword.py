@@ -41,6 +41,18 @@ def snippet(content: Column, pos: Column, width: int = 260, before: int = 100) -
     return F.trim(F.regexp_replace(cut, r"\s+", " "))
 
 
+def one_line(text: Column, most: int = 240) -> Column:
+    """White space collapsed, and an ellipsis in place of what is longer than ``most`` signs (40 at least); null is empty."""
+    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+", " "))
+    most = max(40, most)
+    return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.rtrim(F.substring(clean, 1, most - 1)), F.lit("...")))
+
+
+def warnings(*texts: Column) -> Column:
+    """Warnings joined in order, each once; empty if there is none."""
+    return F.array_join(F.array_distinct(F.array_compact(F.array(*texts))), "; ")
+
+
 def evidence(found: DataFrame, terms: list[str], seq: str = "ingest_seq") -> DataFrame:
     """Per conversation: counts, coverage, and the best message by (phrase, all terms, coverage, least span, newest)."""
     n = len(terms)

@@ -62,12 +62,12 @@ def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_log_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN1-6: log entries with a term, joined to their node and branch, the newest 50."""
+    """JOIN1-6: log entries with a term of the query, joined to their node and branch, the newest 50."""
     logs = table(spark, sf_dir, "daily_log_content").select(key("node_id").alias("node_key"), "text", "source", "created_ts")
-    hit = logs.where(F.contains(F.lower("text"), F.lit("search")))
+    hit = logs.where(F.exists(F.array(*[F.lit(t) for t in TERMS]), lambda t: F.contains(F.lower("text"), t)))
     n = nodes(spark, sf_dir).select("branch_id", key("id").alias("node_key")).distinct()
     out = n.join(hit, "node_key").orderBy(F.col("created_ts").desc(), "node_key").limit(50)
-    return out.select("branch_id", "node_key", "source", "created_ts", F.substring("text", 1, 250).alias("text"))
+    return out.select("branch_id", "node_key", "source", "created_ts", "text")
 
 
 def daily_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,8 +305,8 @@ s AS (SELECT conversation_id, messages, phrase_messages, covered, 2 * si AS part
   + 0.75 * ln(1 + least(messages, 40)) - 2.5 * (1 - c / {_N}) - least(2.0, ln(1 + messages / 200.0)) AS rest FROM per JOIN best USING (conversation_id) JOIN cov USING (conversation_id))
 SELECT conversation_id, messages, phrase_messages, covered, round(part_terms, 6) AS part_terms, round(part_near, 6) AS part_near, round(part_terms + part_near + rest, 6) AS score FROM s
 ORDER BY round(s.part_terms + s.part_near + rest, 6) DESC, phrase_messages DESC, covered DESC, conversation_id LIMIT 100""",
-    "daily_log_keyword": f"""SELECT branch_id, node_key, source, created_ts, substr(text, 1, 250) AS text FROM (SELECT DISTINCT {_B} AS branch_id, {_ID} AS node_key FROM memory_nodes)
-JOIN (SELECT {Q.k('node_id')} AS node_key, text, source, created_ts FROM daily_log_content WHERE contains(lower(text), 'search')) USING (node_key) ORDER BY created_ts DESC, node_key LIMIT 50""",
+    "daily_log_keyword": f"""SELECT branch_id, node_key, source, created_ts, text FROM (SELECT DISTINCT {_B} AS branch_id, {_ID} AS node_key FROM memory_nodes)
+JOIN (SELECT {Q.k('node_id')} AS node_key, text, source, created_ts FROM daily_log_content WHERE {' OR '.join(f"contains(lower(text), '{t}')" for t in TERMS)}) USING (node_key) ORDER BY created_ts DESC, node_key LIMIT 50""",
     "daily_log_latest": f"""SELECT branch_id, count(*) AS entries, min(created_ts) AS first_ts, max(created_ts) AS last_ts, arg_max(node_key, (created_ts, node_key)) AS last_node
 FROM (SELECT DISTINCT {_B} AS branch_id, {_ID} AS node_key FROM memory_nodes) JOIN (SELECT {Q.k('node_id')} AS node_key, created_ts FROM daily_log_content) USING (node_key) GROUP BY 1""",
     "source_times": f"""WITH n AS (SELECT DISTINCT {_B} AS b, {Q.k('lcm_id')} AS mk, {_ID} AS nk, node_type FROM memory_nodes), t AS (
