@@ -297,3 +297,27 @@ def test_links_to_removed_copies_are_led_to_the_ones_that_stay(spark):
     n = spark.createDataFrame(rows, "ingest_seq long, id string, parent_id string, correction_prev_id string, correction_root_id string")
     dup = spark.createDataFrame([(2, "b", "a")], "ingest_seq long, id string, keep_id string")
     assert [tuple(r) for r in integrity.rewire(n, dup).collect()] == [(3, "c", "a", "a", "a")]
+
+
+@pytest.mark.parametrize("slice_items", [7, 60, 100_000])
+def test_forced_fold_in_slices_is_the_fold_item_by_item(spark, slice_items):
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(400):
+        b = rng.choice(["a", "b", "c", None], p=[0.6, 0.3, 0.05, 0.05])
+        x = np.ones(5) if rng.random() < 0.2 else rng.normal(size=5) + 2 * (i % 3 == 0)
+        rows.append((i * 3, b, x.tolist(), float(rng.choice([0.0, 0.1, 0.5, 0.9])), "preference" if b == "b" else "default"))
+    shuffled = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame([(i, None if b is None else str(b), x, c, t) for i, b, x, c, t in shuffled], "item long, forced_branch string, x array<double>, conflict double, branch_type string")
+    got = {r["item"]: tuple(r) for r in ingest.forced_fold(df, slice_items=slice_items).collect()}
+    folds, n = {}, 0
+    for i, b, x, c, t in rows:
+        if b is None:
+            assert i not in got
+            continue
+        want = folds.setdefault(b, ingest.Fold()).step(i, np.array(x), c, t, str(b))
+        n += 1
+        have = got[i]
+        assert have[:3] == want[:3] and have[5:9] == want[5:9], (have, want)
+        assert have[3] == pytest.approx(want[3], rel=1e-6, abs=1e-9) and have[4] == pytest.approx(want[4], abs=1e-9) and have[9] == pytest.approx(want[9], abs=1e-9)
+    assert len(got) == n

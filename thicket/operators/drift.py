@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.config import Config
+from thicket.config import EPS, Config
 from thicket.functions import vectors as V
 from thicket.operators.lineage import ordered
 from thicket.operators.retrieval import top_per_group
@@ -49,6 +51,27 @@ def pairs(sampled: DataFrame, cfg: Config = Config()) -> DataFrame:
     return both.select("branch_id", F.col("idb").alias("newer"), F.col("ida").alias("older"), V.cosine(F.col("va"), F.col("vb")).alias("sim"))
 
 
+def found(sampled: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(branch_id, eligible, drifting, edges): the same pairs counted, and the most opposite ones, from one product of the at most
+    ``drift_sample`` vectors of each branch with themselves; only these travel, never a pair."""
+    ok = sampled.where(
+        F.col("role").isin(list(cfg.drift_roles)) & (F.col("token_count") >= cfg.drift_min_tokens) & (F.col("chars") >= cfg.drift_min_chars) & F.col("embedding").isNotNull()
+    ).select("branch_id", "id", "place", "embedding")
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
+        n = np.sqrt((x * x).sum(axis=1)) + EPS
+        sims, place, ids = (x @ x.T) / np.outer(n, n), pdf["place"].to_numpy(), pdf["id"].to_numpy()
+        far = place[:, None] - place[None, :] >= cfg.drift_gap  # row newer, column older
+        new, old = np.nonzero(far & (sims < cfg.drift_sim))
+        best = sorted(zip(sims[new, old].tolist(), ids[new], ids[old]))[: cfg.drift_edges]
+        edges_ = [{"newer": a, "older": b, "sim": s} for s, a, b in best]
+        return pd.DataFrame({"branch_id": [pdf["branch_id"].iloc[0]], "eligible": [int(far.sum())], "drifting": [len(new)], "edges": [edges_]})
+
+    out = ok.groupBy("branch_id").applyInPandas(f, "branch_id string, eligible long, drifting long, edges array<struct<newer:string,older:string,sim:double>>")
+    return out.where("eligible > 0")
+
+
 def density(pairs_: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Per branch: eligible pairs, drifting ones, and their share."""
     drifting = F.sum((F.col("sim") < cfg.drift_sim).cast("long"))

@@ -8,6 +8,7 @@ such: it is serial by nature.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,10 @@ def _log_gamma_ratio(k, rho: float):
     return small + F.when(k > 32, tail).otherwise(0.0)
 
 
+#: A move below this is rounding and counts as none.
+LEAST_MOVE = 1e-12
+
+
 class Branch:
     """State of one branch in the fold."""
 
@@ -84,6 +89,7 @@ class Branch:
         weights = {"mu": cfg.gamma_mu, "rank": cfg.gamma_rank, "aniso": cfg.gamma_anisotropy, "trace": cfg.gamma_trace}
         total = cfg.gamma_semantic * (1 - self.cosine(x)) + cfg.gamma_conflict * conflict
         for k, d in moves.items():
+            d = d if d > LEAST_MOVE else 0.0
             total += weights[k] * d / (self.ema[k] + EPS)
             self.ema[k] = d if self.ema[k] <= 0 else (1 - cfg.ema_rho) * self.ema[k] + cfg.ema_rho * d
         return total
@@ -139,6 +145,7 @@ def strangeness_of(branches: list[Branch], x: np.ndarray, conflict: float, cfg:
     step = moved - mean
     old, new = np.array([b.shape for b in branches]).T, _spectra((n * cov + (x - moved) ** 2) / (n + 1))
     moves = np.stack([np.sqrt((step * step).sum(axis=1)), *(np.abs(b - a) for a, b in zip(old, new))], axis=1)
+    moves = np.where(moves > LEAST_MOVE, moves, 0.0)
     usual = np.array([list(b.ema.values()) for b in branches])
     cos = mean @ x / ((np.linalg.norm(x) + EPS) * (np.sqrt((mean * mean).sum(axis=1)) + EPS))
     weights = np.array([cfg.gamma_mu, cfg.gamma_rank, cfg.gamma_anisotropy, cfg.gamma_trace])
@@ -247,38 +254,227 @@ class Fold:
         return item, name, action, score, sim, mode, prev, root if linked else None, version, self.branches[name].drift
 
 
-def _folding(cfg: Config, by_branch: bool):
-    """Batches in order (branch, item) or (item); the state is that of the current branch, or of all."""
+def _folding(cfg: Config):
+    """Batches in order of the items; the state is that of all branches."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, current = Fold(cfg, forget=not by_branch), None
+        fold = Fold(cfg, forget=True)
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                forced = r.forced_branch if by_branch else None
-                if by_branch and forced != current:
-                    fold, current = Fold(cfg), forced
-                rows.append(fold.step(r.item, np.asarray(r.x, float), float(r.conflict), r.branch_type, forced, r.ts))
+            rows = [fold.step(r.item, np.asarray(r.x, float), float(r.conflict), r.branch_type, None, r.ts) for r in pdf.itertuples()]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
             yield out.astype({"prev_item": "Int64", "root_item": "Int64"})
 
     return f
 
 
-def forced_fold(items: DataFrame, cfg: Config = Config()) -> DataFrame:
+#: Item numbers that one slice of a branch spans, so that a branch of any length is folded in parallel.
+SLICE_ITEMS = 20_000
+
+
+def _shrink(k: np.ndarray, rho: float) -> np.ndarray:
+    """The product of (1 - rho / i) over i = 2 ... k; 1 for k below 2."""
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    k = np.maximum(k, 1).astype(float)
+    return np.exp(lg(k + 1 - rho) - math.lgamma(2 - rho) - lg(k + 1))
+
+
+class Slice:
+    """The items of one slice of a branch in order, and what of the running mean and the anchor does not need the slices before.
+
+    The mean before item k is p(k-1) times the sum of c_j = w_j x_j / p_j over the items before, w_1 = 1 and w_j = rho / j;
+    the mean that item k leads to is m_k = ((k-1) mean + x_k) / k, and the anchor moves towards m_k by a fixed share.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, cfg: Config):
+        self.pdf = pdf.sort_values("item", kind="stable")
+        self.x = np.stack(self.pdf["x"].to_numpy()).astype(float)
+        self.k = int(pdf["start"].iloc[0]) + 1 + np.arange(len(pdf))
+        self.before = _shrink(self.k - 1, cfg.ema_rho)[:, None]
+        weight = np.where(self.k == 1, 1.0, cfg.ema_rho / self.k) / _shrink(self.k, cfg.ema_rho)
+        self.c = weight[:, None] * self.x
+        self.sums = np.cumsum(self.c, axis=0) - self.c
+        self.share = (self.k[:, None] - 1) / self.k[:, None]
+        self.cfg = cfg
+
+    def towards(self, carried: np.ndarray) -> np.ndarray:
+        """m_k of every item, given the sum over the slices before."""
+        return self.share * self.before * (carried + self.sums) + self.x / self.k[:, None]
+
+    def anchors(self, m: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """The anchor before every item and after the last."""
+        out = np.empty((len(m) + 1, m.shape[1]))
+        out[0] = anchor
+        stay = 1 - self.cfg.anchor_rho
+        at = 0
+        if self.k[0] == 1:
+            out[1], at = self.x[0], 1
+        for a in range(at, len(m), 256):
+            part = m[a : a + 256]
+            power = stay ** np.arange(1, len(part) + 1)[:, None]
+            out[a + 1 : a + 1 + len(part)] = power * (out[a] + np.cumsum(self.cfg.anchor_rho * part / power, axis=0))
+        return out
+
+
+def _slice_sums(cfg: Config):
+    """What a slice adds: its sum c, and the anchor after it as u + v * (sum before it) + a * (anchor before it)."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = Slice(pdf, cfg)
+        zero = np.zeros(s.x.shape[1])
+        stay = 1 - cfg.anchor_rho
+        u = s.anchors(s.towards(zero), zero)[-1]
+        # the same of the part that goes with the sum before: one number, since it scales that sum
+        lead = (s.share * s.before)[:, 0]
+        power = stay ** (s.k[-1] - s.k)
+        v = float((cfg.anchor_rho * lead * power)[s.k > 1].sum())
+        a = 0.0 if s.k[0] == 1 else stay ** len(s.k)
+        return pd.DataFrame({"forced_branch": [pdf["forced_branch"].iloc[0]], "slice": [int(pdf["slice"].iloc[0])], "c": [s.c.sum(axis=0)], "u": [u], "v": [v], "a": [float(a)]})
+
+    return f
+
+
+def _carry_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per slice of one branch: the sum over the slices before it, and the anchor before it. One row a slice."""
+    pdf = pdf.sort_values("slice")
+    carried, anchor, out = None, None, []
+    for r in pdf.itertuples():
+        c, u = np.asarray(r.c), np.asarray(r.u)
+        carried = np.zeros_like(c) if carried is None else carried
+        anchor = np.zeros_like(u) if anchor is None else anchor
+        out.append((r.forced_branch, r.slice, carried, anchor))
+        anchor = u + r.v * carried + r.a * anchor
+        carried = carried + c
+    return pd.DataFrame(out, columns=["forced_branch", "slice", "carried", "anchor"])
+
+
+_MOVES = ("mu", "rank", "aniso", "trace")
+_MOVED = "forced_branch string, slice long, item long, k long, sim double, conflict double, drift double, mode string, linked boolean, " + ", ".join(f"{m} double" for m in _MOVES)
+
+
+def _slice_moves(cfg: Config):
+    """Similarity, update mode, moves and drift of every item of a slice."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = Slice(pdf, cfg)
+        p, first = s.pdf, s.k == 1
+        mean = s.before * (np.asarray(pdf["carried"].iloc[0]) + s.sums)
+        m = s.towards(np.asarray(pdf["carried"].iloc[0]))
+        length = lambda v: np.sqrt((v * v).sum(axis=1))
+        sim = np.where(first, 0.0, (s.x * mean).sum(axis=1) / ((length(s.x) + EPS) * (length(mean) + EPS)))
+        new = _spectra((s.x - m) ** 2 / s.k[:, None])
+        old = Branch._spectrum(np.zeros(s.x.shape[1]))
+        moves = np.stack([length(m - mean), *(np.abs(b - a) for a, b in zip(old, new))], axis=1)
+        moves = np.where((moves > LEAST_MOVE) & ~first[:, None], moves, 0.0)
+        anchors = s.anchors(m, np.asarray(pdf["anchor"].iloc[0]))
+        drift = np.where(first, 0.0, length(anchors[1:] - anchors[:-1]))
+        conflict = p["conflict"].to_numpy(float)
+        mode = [update_mode("fork" if one else "attach", t, float(z), float(c), True, cfg) for one, t, z, c in zip(first, p["branch_type"], sim, conflict)]
+        out = pd.DataFrame({"forced_branch": p["forced_branch"].to_numpy(), "slice": p["slice"].to_numpy(), "item": p["item"].to_numpy(), "k": s.k, "sim": sim, "conflict": conflict, "drift": drift, "mode": mode})
+        out["linked"] = out["mode"].isin(["refine", "contradict", "supersede"])
+        return out.assign(**{n: moves[:, i] for i, n in enumerate(_MOVES)})
+
+    return f
+
+
+def _usual(d: np.ndarray, begin: np.ndarray, rho: float) -> np.ndarray:
+    """The slow mean of each kind of move before every item and after the last; the first positive move begins it."""
+    out = np.empty((len(d) + 1, d.shape[1]))
+    for i in range(d.shape[1]):
+        e, col = begin[i], d[:, i]
+        at = 0
+        if e <= 0:
+            positive = np.flatnonzero(col > 0)
+            at = int(positive[0]) + 1 if len(positive) else len(col)
+            out[:at, i] = 0.0
+            e = col[at - 1] if len(positive) else 0.0
+        out[at, i] = e
+        for a in range(at, len(col), 256):
+            part = col[a : a + 256]
+            power = (1 - rho) ** np.arange(1, len(part) + 1)
+            out[a + 1 : a + 1 + len(part), i] = power * (out[a, i] + np.cumsum(rho * part / power))
+    return out
+
+
+def _slice_ends(cfg: Config):
+    """What a slice hands on: the slow means from none and as a share of those before, its last item and the last chain begun in it."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("k")
+        d = p[list(_MOVES)].to_numpy(float)
+        fresh = _usual(d, np.zeros(4), cfg.ema_rho)[-1]
+        power = (1 - cfg.ema_rho) ** np.arange(len(d) - 1, -1, -1)[:, None]
+        begun = p[~p["linked"]]
+        row = (p["forced_branch"].iloc[0], int(p["slice"].iloc[0]), fresh, (cfg.ema_rho * power * d).sum(axis=0), float((1 - cfg.ema_rho) ** len(d)), int(p["item"].iloc[-1]), int(begun["item"].iloc[-1]) if len(begun) else None, int(begun["k"].iloc[-1]) if len(begun) else None)
+        return pd.DataFrame([row], columns=["forced_branch", "slice", "fresh", "added", "share", "last", "root", "root_k"]).astype({"root": "Int64", "root_k": "Int64"})
+
+    return f
+
+
+def _carry_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per slice of one branch: the slow means, the item and the chain before it."""
+    usual, last, root, root_k, out = np.zeros(4), None, None, None, []
+    for r in pdf.sort_values("slice").itertuples():
+        out.append((r.forced_branch, r.slice, usual, last, root, root_k))
+        usual = np.where(usual > 0, np.asarray(r.added) + r.share * usual, np.asarray(r.fresh))
+        last = r.last
+        if not pd.isna(r.root):
+            root, root_k = int(r.root), int(r.root_k)
+    return pd.DataFrame(out, columns=["forced_branch", "slice", "usual", "last", "root", "root_k"]).astype({c: "Int64" for c in ("last", "root", "root_k")})
+
+
+def _slice_result(cfg: Config):
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("k")
+        d = p[list(_MOVES)].to_numpy(float)
+        usual = _usual(d, np.asarray(p["usual"].iloc[0], float), cfg.ema_rho)[:-1]
+        weights = np.array([cfg.gamma_mu, cfg.gamma_rank, cfg.gamma_anisotropy, cfg.gamma_trace])
+        k, item, linked = p["k"].to_numpy(np.int64), p["item"].to_numpy(np.int64), p["linked"].to_numpy(bool)
+        score = cfg.gamma_semantic * (1 - p["sim"].to_numpy()) + cfg.gamma_conflict * p["conflict"].to_numpy() + (d / (usual + EPS)) @ weights
+        # place of the item that began the chain: the last one not linked, here or in a slice before
+        at = np.maximum.accumulate(np.where(linked, -1, np.arange(len(k))))
+        early = at < 0
+        root = np.where(early, p["root"].fillna(-1).iloc[0], item[np.maximum(at, 0)])
+        root_k = np.where(early, p["root_k"].fillna(-1).iloc[0], k[np.maximum(at, 0)])
+        prev = np.concatenate([[p["last"].fillna(-1).iloc[0]], item[:-1]])
+        first = k == 1
+        keep = lambda v: pd.array(v.astype(np.int64), "Int64").copy()
+        out = pd.DataFrame({"item": item, "branch_id": p["forced_branch"].to_numpy(), "action": np.where(first, "fork", "attach"), "score": np.where(first, 0.0, score), "sim": p["sim"].to_numpy(), "update_mode": p["mode"].to_numpy()})
+        out["prev_item"], out["root_item"] = keep(prev), keep(root)
+        out.loc[~linked, ["prev_item", "root_item"]] = pd.NA
+        out["version"], out["anchor_drift"] = np.where(linked, k - root_k + 1, 1), p["drift"].to_numpy()
+        return out
+
+    return f
+
+
+def forced_fold(items: DataFrame, cfg: Config = Config(), slice_items: int = SLICE_ITEMS) -> DataFrame:
     """Items of given branches (item, forced_branch, x, conflict, branch_type), each branch in order of its items.
 
-    The rows of a branch stream through one task in batches; only the state of one branch is held.
+    What ``Fold`` does item by item is here in closed form: running mean and anchor are linear in the items, the slow means
+    of the moves in the moves, and a chain goes back to the last item that began one. A branch is cut into slices of item
+    numbers; each slice is worked out on its own, and a row for each slice hands on what the next one needs.
     """
-    rows = items.where("forced_branch IS NOT NULL").withColumn("ts", F.lit(None).cast("double")).repartition("forced_branch").sortWithinPartitions("forced_branch", "item")
-    return rows.mapInPandas(_folding(cfg, True), FOLD_SCHEMA)
+    scratch = Scratch(items.sparkSession, "forced")
+    by = ["forced_branch", "slice"]
+    rows = items.where("forced_branch IS NOT NULL").withColumn("slice", F.expr(f"item div {slice_items}"))
+    rows = scratch.save(rows.select(*by, "item", "x", "conflict", "branch_type"), "rows")
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("forced_branch").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = rows.join(starts, by)
+    arrays = "array<double>"
+    sums = placed.groupBy(*by).applyInPandas(_slice_sums(cfg), f"forced_branch string, slice long, c {arrays}, u {arrays}, v double, a double")
+    carried = scratch.save(sums.groupBy("forced_branch").applyInPandas(_carry_sums, f"forced_branch string, slice long, carried {arrays}, anchor {arrays}"), "carried")
+    moves = scratch.save(placed.join(carried, by).groupBy(*by).applyInPandas(_slice_moves(cfg), _MOVED), "moves")
+    ends = moves.groupBy(*by).applyInPandas(_slice_ends(cfg), f"forced_branch string, slice long, fresh {arrays}, added {arrays}, share double, last long, root long, root_k long")
+    handed = scratch.save(ends.groupBy("forced_branch").applyInPandas(_carry_ends, f"forced_branch string, slice long, usual {arrays}, last long, root long, root_k long"), "handed")
+    return moves.join(handed, by).groupBy(*by).applyInPandas(_slice_result(cfg), FOLD_SCHEMA)
 
 
 def free_fold(items: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Items without branch (item, x, conflict, branch_type, ts) allocated one after the other: serial, in one task,
     streamed in batches; the state is that of the newest 128 branches."""
-    rows = items.withColumn("forced_branch", F.lit(None).cast("string")).repartition(1).sortWithinPartitions("item")
-    return rows.mapInPandas(_folding(cfg, False), FOLD_SCHEMA)
+    return items.repartition(1).sortWithinPartitions("item").mapInPandas(_folding(cfg), FOLD_SCHEMA)
 
 
 def two_means(x: np.ndarray, rounds: int = 20) -> np.ndarray:

@@ -26,13 +26,14 @@ def _drift_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_drift_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC8, JOIN16, WIN8: share of opposite pairs among eligible ones in the sample of each branch."""
-    d = drift.density(drift.pairs(drift.sample(_drift_nodes(spark, sf_dir), 192)))
-    return d.select("branch_id", "eligible", "drifting", _R("density").alias("density"))
+    d = drift.found(drift.sample(_drift_nodes(spark, sf_dir), 192))
+    return d.select("branch_id", "eligible", "drifting", _R(F.col("drifting") / F.col("eligible")).alias("density"))
 
 
 def topic_drift_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP9: the most opposite pairs of each branch as weighted edges."""
-    e = drift.edges(drift.pairs(drift.sample(_drift_nodes(spark, sf_dir), 192)))
+    e = drift.found(drift.sample(_drift_nodes(spark, sf_dir), 192)).select("branch_id", F.explode("edges").alias("e"))
+    e = e.select("branch_id", V.clamp(0.5 * (1 - F.col("e.sim"))).alias("weight"))
     return e.groupBy("branch_id").agg(F.count(F.lit(1)).alias("edges"), _R(F.max("weight")).alias("heaviest"), _R(F.sum("weight")).alias("weight"))
 
 
@@ -57,7 +58,11 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forced_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM5, SCO1, SCO14, SCO16, GRF2: items of given branches folded in order, with their update mode and correction chain."""
-    return ingest.forced_fold(_items(spark, sf_dir))
+    out = ingest.forced_fold(_items(spark, sf_dir))
+    return out.select(
+        "item", "branch_id", "action", F.round(F.log1p("score"), 5).alias("log_score"), _R("sim").alias("sim"), "update_mode",
+        F.coalesce("prev_item", F.lit(-1)).alias("prev_item"), F.coalesce("root_item", F.lit(-1)).alias("root_item"), "version", _R("anchor_drift").alias("anchor_drift"),
+    )
 
 
 def free_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +144,25 @@ SELECT b AS branch_id, count(*) AS edges, round(max(w), 6) AS heaviest, round(su
   WINDOW w AS (PARTITION BY n.branch_id ORDER BY coalesce(m."timestamp", 0), n.ingest_seq)),
 l AS (SELECT *, CASE WHEN k = 1 THEN 0 ELSE ln(1 - 0.05 / k) END AS f FROM r), c AS (SELECT *, sum(f) OVER (PARTITION BY b) - sum(f) OVER (PARTITION BY b ORDER BY k) AS after FROM l)
 SELECT b AS branch_id, any_value(n) AS n, CAST(i AS BIGINT) AS dim, round(sum(v * CASE WHEN k = 1 THEN 1 ELSE 0.05 / k END * exp(after)), 6) AS mean FROM c JOIN long USING (ingest_seq) GROUP BY 1, 3""",
+    "forced_ingest": f"""WITH {Q.NODES}, ty AS (SELECT {_B} AS branch_id, lower(trim(branch_type)) AS ty FROM branch_states),
+r AS (SELECT n.branch_id AS b, n.ingest_seq AS item, coalesce(m.conflict_score, 0) AS f, row_number() OVER w AS k, coalesce(ty, CASE m.node_type WHEN 'message' THEN 'broad_history' WHEN 'tool_result' THEN 'project_task' ELSE 'default' END) AS ty
+  FROM nodes n JOIN memory_nodes m USING (ingest_seq) LEFT JOIN ty ON ty.branch_id = n.branch_id WHERE n.branch_id IS NOT NULL WINDOW w AS (PARTITION BY n.branch_id ORDER BY n.ingest_seq)),
+p AS (SELECT *, exp(sum(CASE WHEN k = 1 THEN 0 ELSE ln(1 - 0.05 / k) END) OVER (PARTITION BY b ORDER BY k)) AS p FROM r),
+c AS (SELECT p.*, i, v, sum(CASE WHEN k = 1 THEN 1 ELSE 0.05 / k END * v / p) OVER (PARTITION BY b, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, lag(p) OVER (PARTITION BY b, i ORDER BY k) AS p0 FROM p JOIN long ON long.ingest_seq = p.item),
+m AS (SELECT *, coalesce(p0 * s, 0) AS mean, ((k - 1) * coalesce(p0 * s, 0) + v) / k AS m FROM c),
+an AS (SELECT *, lag(CASE WHEN k = 1 THEN v ELSE NULL END) OVER (PARTITION BY b, i ORDER BY k) AS x, pow(0.99, k - 2) * sum(CASE WHEN k = 1 THEN v ELSE 0.01 * m / pow(0.99, k - 1) END) OVER (PARTITION BY b, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM m),
+d AS (SELECT b, item, any_value(k) AS k, any_value(f) AS f, any_value(ty) AS ty, sum(v * mean) / ((sqrt(sum(v * v)) + 1e-9) * (sqrt(sum(mean * mean)) + 1e-9)) AS sim, sqrt(sum((m - mean) * (m - mean))) AS mu,
+  sum((v - m) * (v - m) / k) AS trace, max((v - m) * (v - m) / k) AS mx, 0.01 * sqrt(sum((m - anchor) * (m - anchor))) AS drift FROM an GROUP BY 1, 2),
+rk AS (SELECT an.item, exp(-sum(CASE WHEN q > 1e-9 THEN q * ln(q + 1e-9) ELSE 0 END)) AS er FROM (SELECT an.item, (v - m) * (v - m) / an.k / (trace + 1e-9) AS q FROM an JOIN d USING (item)) an GROUP BY 1),
+z AS (SELECT d.*, CASE WHEN k > 1 AND mu > 1e-12 THEN mu ELSE 0 END AS d1, CASE WHEN k > 1 AND abs(er - 1) > 1e-12 THEN abs(er - 1) ELSE 0 END AS d2, CASE WHEN k > 1 AND mx / (trace + 1e-9) > 1e-12 THEN mx / (trace + 1e-9) ELSE 0 END AS d3,
+  CASE WHEN k > 1 AND trace > 1e-12 THEN trace ELSE 0 END AS d4 FROM d JOIN rk USING (item)),
+g AS (SELECT *, {', '.join(f'min(CASE WHEN d{j} > 0 THEN k END) OVER (PARTITION BY b) AS f{j}' for j in (1, 2, 3, 4))} FROM z),
+e AS (SELECT *, {', '.join(f'coalesce(pow(0.95, k - 1) * sum(CASE WHEN k = f{j} THEN d{j} WHEN k > f{j} THEN 0.05 * d{j} ELSE 0 END / pow(0.95, k)) OVER (PARTITION BY b ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e{j}' for j in (1, 2, 3, 4))} FROM g),
+sc AS (SELECT *, CASE WHEN k = 1 THEN 0 ELSE sim END AS si, CASE WHEN k = 1 THEN 0 ELSE 0.15 * (1 - sim) + 0.20 * f + 0.15 * d1 / (e1 + 1e-9) + 0.10 * d2 / (e2 + 1e-9) + 0.15 * d3 / (e3 + 1e-9) + 0.10 * d4 / (e4 + 1e-9) END AS score,
+  CASE WHEN k = 1 THEN 'fork' WHEN ty IN ('identity', 'user_fact', 'user_preference', 'preference') AND f >= 0.70 AND sim >= 0.78 THEN 'supersede' WHEN f >= 0.25 THEN 'contradict' WHEN sim >= 0.92 OR (f <= 0 AND sim >= 0.5) THEN 'refine' ELSE 'attach' END AS mode FROM e),
+ch AS (SELECT *, mode IN ('refine', 'contradict', 'supersede') AS linked, lag(item) OVER (PARTITION BY b ORDER BY k) AS prev, max(CASE WHEN mode NOT IN ('refine', 'contradict', 'supersede') THEN k END) OVER (PARTITION BY b ORDER BY k) AS rk FROM sc)
+SELECT ch.item, ch.b AS branch_id, CASE WHEN ch.k = 1 THEN 'fork' ELSE 'attach' END AS action, round(ln(1 + score), 5) AS log_score, round(si, 6) AS sim, mode AS update_mode, CASE WHEN linked THEN ch.prev ELSE -1 END AS prev_item,
+  CASE WHEN linked THEN t.item ELSE -1 END AS root_item, CASE WHEN linked THEN ch.k - rk + 1 ELSE 1 END AS version, round(CASE WHEN ch.k = 1 THEN 0 ELSE drift END, 6) AS anchor_drift FROM ch JOIN r t ON t.b = ch.b AND t.k = ch.rk""",
     "summary_health": f"""WITH {Q.NODES}, first AS (SELECT {Q.k('m.id')} AS k, m.node_type, n.* FROM nodes n JOIN memory_nodes m USING (ingest_seq) WHERE {Q.k('m.id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {Q.k('m.id')} ORDER BY ingest_seq) = 1),
 e AS (SELECT DISTINCT {Q.k('src_id')} AS s, {Q.k('dst_id')} AS k FROM memory_edges WHERE edge_type IN ('summarizes', 'derived_from')),
 fl AS (SELECT k, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM first),
