@@ -70,7 +70,9 @@ _END = re.compile(r";\s*$|\):\s*$")
 _TOKEN = re.compile(r"\S+")
 #: Letters, and apostrophes and hyphens after the first; texts are composed first, so accents are part of letters.
 _WORD = re.compile(r"[^\W\d_]+(?:['’-]+[^\W\d_]+)*['’-]*")
-_SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|\n+")
+_END_MARKS = ".!?…"
+_SENTENCE = re.compile(r"[.!?…](?=\s|\Z)")
+_ODD_BLANK = re.compile(r"[^\S \n]")
 _FUNCTION = {lang: frozenset(s.split()) for lang, s in FUNCTION_WORDS.items()}
 _CLAUSE = frozenset(CLAUSE_WORDS)
 
@@ -103,6 +105,15 @@ def words_of(prose: str) -> list[str]:
     return _WORD.findall(prose.lower())
 
 
+def sentences_of(prose: str) -> int:
+    """Ends of sentences (marks before a blank or the end) and of lines; lines are apart by one break."""
+    if _ODD_BLANK.search(prose):
+        marks = len(_SENTENCE.findall(prose))
+    else:
+        marks = sum(prose.count(m + " ") + prose.count(m + "\n") for m in _END_MARKS) + prose.endswith(tuple(_END_MARKS))
+    return marks + prose.count("\n")
+
+
 def language_of(counts: dict[str, int], stated: str | None) -> str:
     """en, de, fr or es, by function words; else as stated, else en."""
     hits = {lang: sum(counts.get(w, 0) for w in s) for lang, s in _FUNCTION.items()}
@@ -140,7 +151,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size = {w: len(w) for w in c}
             rows.append((
                 rid, doc, language_of(c, stated if isinstance(stated, str) else None), sum(c.values()), sum(size[w] * n for w, n in c.items()), sum(n for w, n in c.items() if size[w] >= 10),
-                sum(c[w] for w in _CLAUSE if w in c), max(1, len(_SENTENCE.findall(t))), sum(map(t.count, ",;:")), list(c), list(c.values()),
+                sum(c[w] for w in _CLAUSE if w in c), max(1, sentences_of(t)), sum(map(t.count, ",;:")), list(c), list(c.values()),
             ))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _MEASURED.split(", ")]).astype({"doc_id": "Int64"})
 
@@ -160,26 +171,40 @@ def vocabulary(pairs: DataFrame) -> DataFrame:
 def _covered(head: dict[str, dict[str, int]], cover: tuple[float, ...]):
     """Coverage ranks of each document from the ranks of its words: those in ``head``, the others in (more, more_n)."""
 
+    names = [*[f"cover_{int(c * 100)}" for c in cover], "mean_log_rank", "distinct_words"]
+
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for lang, ws, ns, more, more_n in zip(pdf["lang"], pdf["words"], pdf["counts"], pdf["more"], pdf["more_n"]):
-                known = head.get(lang, {})
-                got = [(known[w], n) for w, n in zip(ws, ns) if w in known]
-                if more is not None:
-                    got += zip(more, more_n)
-                if not got:
-                    out.append((*[None] * len(cover), None, 0))
-                    continue
-                r, n = np.array(got, np.int64).T
-                order = np.argsort(r, kind="stable")
-                r, n = r[order], n[order]
-                share = np.cumsum(n) / n.sum()
-                at = np.minimum(np.searchsorted(share, np.array(cover) - 1e-12), len(r) - 1)
-                out.append((*r[at].tolist(), float((np.log(r) * n).sum() / n.sum()), len(r)))
-            names = [*[f"cover_{int(c * 100)}" for c in cover], "mean_log_rank", "distinct_words"]
+            size = len(pdf)
+            rank: list[int] = []
+            for lang, ws in zip(pdf["lang"], pdf["words"]):
+                get = head.get(lang, {}).get
+                rank += [get(w, 0) for w in ws]
+            each = lambda lists: np.concatenate([np.zeros(0, np.int64), *(np.asarray(v, np.int64) for v in lists)])
+            doc = np.repeat(np.arange(size), pdf["words"].map(len).to_numpy(int))
+            n, r = each(pdf["counts"]), np.array(rank, np.int64)
+            more = pdf["more"].notna().to_numpy()
+            if more.any():
+                found = pdf[more]
+                doc, r, n = np.concatenate([doc, np.repeat(np.flatnonzero(more), found["more"].map(len))]), np.concatenate([r, each(found["more"])]), np.concatenate([n, each(found["more_n"])])
+            known = r > 0
+            doc, r, n = doc[known], r[known], n[known]
+            order = np.lexsort((r, doc))
+            doc, r, n = doc[order], r[order], n[order]
+            out = pd.DataFrame({c: pd.array([pd.NA] * size, "Int64") for c in names[:-2]} | {"mean_log_rank": np.full(size, np.nan), "distinct_words": np.zeros(size, int)})
+            if len(doc):
+                start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                at, held = doc[start], np.diff(np.r_[start, len(doc)])
+                total = np.add.reduceat(n, start)
+                upto = np.cumsum(n)
+                share = (upto - np.repeat(upto[start] - n[start], held)) / np.repeat(total, held)
+                for c, name in zip(cover, names):
+                    below = np.add.reduceat((share < c - 1e-12).astype(int), start)
+                    out.loc[at, name] = r[start + np.minimum(below, held - 1)]
+                out.loc[at, "mean_log_rank"] = np.add.reduceat(np.log(r) * n, start) / total
+                out.loc[at, "distinct_words"] = held
             own = pdf.drop(columns=["rid", "words", "counts", "more", "more_n"]).astype({"doc_id": "Int64"}).reset_index(drop=True)
-            yield pd.concat([own, pd.DataFrame(out, columns=names).astype({n: "Int64" for n in names[:-2]} | {"mean_log_rank": float, "distinct_words": int})], axis=1)
+            yield pd.concat([own, out], axis=1)
 
     return f
 
