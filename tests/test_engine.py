@@ -46,7 +46,11 @@ def test_writing(memory, spark):
     with pytest.raises(ValueError):
         memory.add_log_entry("x", "31.03.2026", 0.0, [0.5] * 64)
     rows = spark.createDataFrame([(1, "q", "conv_1", 0.5, True, False, False, None, engine.AS_OF - 5)], engine.FEEDBACK)
-    assert memory.record_feedback(rows).first()["usefulness"] == pytest.approx(0.1)
+    stored = memory.branches().where("branch_id = 'conv_1'").first()["usefulness"]
+    assert memory.record_feedback(rows).first()["usefulness"] == pytest.approx(0.1 + 0.9 * stored)
+    # the next one goes on from there
+    assert memory.record_feedback(rows, " Implicit ").first()["usefulness"] == pytest.approx(0.1 + 0.9 * (0.1 + 0.9 * stored))
+    assert {r["feedback_source"] for r in memory.store.read("retrieval_feedback").collect()} == {"explicit", "implicit"}
     assert memory.maintain().count() == memory.branches().count()
 
 

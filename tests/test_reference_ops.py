@@ -299,8 +299,8 @@ def test_links_to_removed_copies_are_led_to_the_ones_that_stay(spark):
     assert [tuple(r) for r in integrity.rewire(n, dup).collect()] == [(3, "c", "a", "a", "a")]
 
 
-@pytest.mark.parametrize("slice_items", [7, 60, 100_000])
-def test_forced_fold_in_slices_is_the_fold_item_by_item(spark, slice_items):
+@pytest.mark.parametrize("slice_items, short", [(7, 0), (60, 0), (100_000, 0), (60, 100), (60, 10_000)])
+def test_forced_fold_in_slices_is_the_fold_item_by_item(spark, slice_items, short):
     rng = np.random.default_rng(21)
     rows = []
     for i in range(400):
@@ -309,7 +309,7 @@ def test_forced_fold_in_slices_is_the_fold_item_by_item(spark, slice_items):
         rows.append((i * 3, b, x.tolist(), float(rng.choice([0.0, 0.1, 0.5, 0.9])), "preference" if b == "b" else "default"))
     shuffled = [rows[i] for i in rng.permutation(len(rows))]
     df = spark.createDataFrame([(i, None if b is None else str(b), x, c, t) for i, b, x, c, t in shuffled], "item long, forced_branch string, x array<double>, conflict double, branch_type string")
-    got = {r["item"]: tuple(r) for r in ingest.forced_fold(df, slice_items=slice_items).collect()}
+    got = {r["item"]: tuple(r) for r in ingest.forced_fold(df, slice_items=slice_items, short=short).collect()}
     folds, n = {}, 0
     for i, b, x, c, t in rows:
         if b is None:
@@ -321,3 +321,40 @@ def test_forced_fold_in_slices_is_the_fold_item_by_item(spark, slice_items):
         assert have[:3] == want[:3] and have[5:9] == want[5:9], (have, want)
         assert have[3] == pytest.approx(want[3], rel=1e-6, abs=1e-9) and have[4] == pytest.approx(want[4], abs=1e-9) and have[9] == pytest.approx(want[9], abs=1e-9)
     assert len(got) == n
+
+
+def test_http_provider_with_a_service_that_fails_at_first():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    calls = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            calls.append(texts)
+            self.send_response(503 if len(calls) == 1 else 400 if texts == ["bad"] else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": [{"embedding": [len(t), 1.0]} for t in texts]} if len(calls) < 3 else {"embeddings": [[len(t), 2.0] for t in texts]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        f = embed.http_provider(f"http://127.0.0.1:{server.server_port}/embeddings", wait=0.01)
+        assert f(["ab", "c"]).tolist() == [[2.0, 1.0], [1.0, 1.0]] and len(calls) == 2
+        assert f(["xyz"]).tolist() == [[3.0, 2.0]] and embed.dimension(f) == 2
+        n = len(calls)
+        with pytest.raises(Exception):
+            f(["bad"])
+        assert len(calls) == n + 1
+    finally:
+        server.shutdown()
+
+
+def test_states_that_a_request_names():
+    assert retrieval.state_list(" active, Stable,ACTIVE ") == ["ACTIVE", "STABLE"] and retrieval.state_list("ALL") is None and retrieval.state_list(["*"], "working") == ["FORMING", "ACTIVE", "REACTIVATING"]
+    assert retrieval.state_list(None, " Settled") == ["STABLE"] and retrieval.state_list(None, "none") is None

@@ -128,3 +128,12 @@ def test_lag(spark, tmp_path):
     assert poll.lag(spark, src, store) == 7
     poll.poll(spark, src, store, str(tmp_path / "cp")).awaitTermination()
     assert poll.lag(spark, src, store) == 0
+
+
+def test_backup_and_restore(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "a"))
+    s.upsert("t", spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), ["k"])
+    assert s.backup("t", str(tmp_path / "b")) == 2 and s.backup("none", str(tmp_path / "b")) == 0
+    s.delete("t", spark.createDataFrame([(1,)], "k long"), ["k"])
+    s.restore("t", str(tmp_path / "b"))
+    assert s.read("t").count() == 2

@@ -50,7 +50,7 @@ class Config:
     zeta_compression: float = 0.20
     zeta_error: float = 0.20
     zeta_drift: float = 0.25
-    split_threshold: float = 0.55
+    split_threshold: float = 0.075
     split_hysteresis: int = 3
     split_min_nodes: int = 6
     split_enqueues: int = 5

@@ -10,7 +10,7 @@ from thicket.functions import embed, times
 from thicket.functions import vectors as V
 from thicket.functions.keys import key
 from thicket.operators import backfill, feedback, geometry, integrity, keyword, lineage, orphans, redelivery, retrieval
-from thicket.session import ship
+from thicket.session import Scratch, ship
 from thicket.sources.store import Store
 from thicket.streaming import poll as polling
 
@@ -172,12 +172,37 @@ class Memory:
     def edges(self) -> DataFrame:
         return integrity.last_write(self.table("memory_edges"))
 
-    def record_feedback(self, rows: DataFrame) -> DataFrame:
-        """Appends feedback within the limits of age and size; returns the usefulness this gives the branches."""
-        self.store.append("retrieval_feedback", rows)
-        kept = feedback.retained(self.store.read("retrieval_feedback"), self.now, self.cfg)
-        self.store.replace("retrieval_feedback", kept)
-        return feedback.usefulness(self.store.read("retrieval_feedback"), cfg=self.cfg)
+    def record_feedback(self, rows: DataFrame, source: str = "explicit") -> DataFrame:
+        """Appends feedback within the limits of age and size; the branches' usefulness and error go on from their stored values.
+
+        Signals are kept within 0 ... 1. Returns (branch_id, n, usefulness, retrieval_error) of the branches in ``rows``.
+        """
+        rows = rows.withColumn("usefulness_signal", F.when(F.col("usefulness_signal").isNotNull(), V.clamp(F.col("usefulness_signal"))))
+        self.store.append("retrieval_feedback", rows.withColumn("feedback_source", F.lit(source.strip().lower())))
+        self.store.replace("retrieval_feedback", feedback.retained(self.store.read("retrieval_feedback"), self.now, self.cfg))
+        new = feedback.usefulness(rows.withColumn("branch_id", key("branch_id")), cfg=self.cfg)
+        old = self.branches().select("branch_id", *[F.coalesce(c, F.lit(0.0)).alias(f"_{c}") for c in ("usefulness", "retrieval_error")])
+        left = F.pow(F.lit(1 - self.cfg.feedback_lambda), F.col("n"))
+        out = new.join(old, "branch_id", "left").select("branch_id", "n", *[(F.col(c) + left * F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in ("usefulness", "retrieval_error")])
+        if not self.store.current("branch_states"):
+            self.store.replace("branch_states", self.branches(), ["branch_id"])
+        out = Scratch(self.spark, "feedback").save(out)
+        self.store.patch("branch_states", out.drop("n"), ["branch_id"])
+        return out
+
+    def cross_agent(self, branch_id: str | None = None, limit: int = 200) -> DataFrame:
+        """Links shared across agents, the heaviest first; of one branch if given."""
+        e = self.edges().where("edge_type = 'cross_agent_shared'")
+        if branch_id is not None:
+            b = branch_id.strip().lower()
+            e = e.where((F.col("src") == b) | (F.col("dst") == b))
+        return e.orderBy(F.col("weight").desc(), "src", "dst").limit(limit)
+
+    def put_node(self, node: DataFrame) -> None:
+        """Nodes that replace those with the same id."""
+        if not self.store.current("memory_nodes"):
+            self.store.replace("memory_nodes", self.table("memory_nodes"), ["id"])
+        self.store.upsert("memory_nodes", node, ["id"])
 
     def add_log_entry(self, text: str, date: str, created_ts: float, vector: list[float], source: str = "manual_log") -> str:
         """One entry of a day's log as text and as node of the branch of that day."""

@@ -6,6 +6,8 @@ import hashlib
 import json
 import os
 import re
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,14 +40,22 @@ def hashing_provider(dim: int) -> Provider:
     return f
 
 
-def http_provider(url: str, headers: dict[str, str] | None = None, timeout: float = 30.0) -> Provider:
-    """One request per batch to a service that answers with ``data[].embedding`` or ``embeddings[]``."""
+def http_provider(url: str, headers: dict[str, str] | None = None, timeout: float = 30.0, tries: int = 3, wait: float = 0.5) -> Provider:
+    """One request per batch to a service that answers with ``data[].embedding`` or ``embeddings[]``; made again, each time after
+    twice the wait, where the service fails or does not answer."""
 
     def f(texts: list[str]) -> np.ndarray:
         body = json.dumps({"input": texts}).encode()
         request = urllib.request.Request(url, body, {"Content-Type": "application/json", **(headers or {})})
-        with urllib.request.urlopen(request, timeout=timeout) as r:
-            answer = json.load(r)
+        for n in range(tries):
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as r:
+                    answer = json.load(r)
+                break
+            except urllib.error.URLError as e:
+                if n + 1 == tries or getattr(e, "code", 500) < 500:  # an answer that refuses will refuse again
+                    raise
+                time.sleep(wait * 2**n)
         return np.array([d["embedding"] for d in answer["data"]] if "data" in answer else answer["embeddings"], float)
 
     return f

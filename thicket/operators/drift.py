@@ -17,7 +17,8 @@ def evenly(rank: Column, total: Column, target: int) -> Column:
     """True for ``target`` evenly spaced places of 0 ... total-1, both ends included; all if there are no more.
 
     Place r is taken if some j has floor(j (total-1) / (target-1)) = r, that is if the least such j,
-    ceil(r (target-1) / (total-1)), leads back to r.
+    ceil(r (target-1) / (total-1)), leads back to r. The step is above 1 wherever places are left out, so no two j meet and none
+    has to be filled up.
     """
     if target < 2:
         return rank < target

@@ -447,16 +447,89 @@ def _slice_result(cfg: Config):
     return f
 
 
-def forced_fold(items: DataFrame, cfg: Config = Config(), slice_items: int = SLICE_ITEMS) -> DataFrame:
+def _side_by_side(cfg: Config):
+    """The fold of many short branches at once: step k takes the k-th item of every branch that has one."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        # the longest branches first, so that those still going on are the first ones
+        n = pdf.groupby("forced_branch")["item"].transform("size")
+        p = pdf.assign(_n=n).sort_values(["_n", "forced_branch", "item"], ascending=[False, True, True], kind="stable")
+        k = p.groupby("forced_branch", sort=False).cumcount().to_numpy()
+        order = np.argsort(k, kind="stable")
+        p, k = p.iloc[order], k[order]
+        x = np.stack(p["x"].to_numpy()).astype(float)
+        conflict, item, types = p["conflict"].to_numpy(float), p["item"].to_numpy(np.int64), p["branch_type"].to_numpy()
+        steps = np.append(np.searchsorted(k, np.arange(k[-1] + 1)), len(k))
+        length = lambda v: np.sqrt((v * v).sum(axis=1))
+        old = Branch._spectrum(np.zeros(x.shape[1]))
+        weights = np.array([cfg.gamma_mu, cfg.gamma_rank, cfg.gamma_anisotropy, cfg.gamma_trace])
+        width = steps[1]
+        mean, anchor, usual = x[:width].copy(), x[:width].copy(), np.zeros((width, 4))
+        last, root, version = item[:width].copy(), item[:width].copy(), np.ones(width, np.int64)
+        score, sim, drift = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        prev_of, root_of, version_of = np.full(len(x), -1), np.full(len(x), -1), np.ones(len(x), np.int64)
+        mode = np.full(len(x), "fork", object)
+        for s in range(1, len(steps) - 1):
+            a, b = steps[s], steps[s + 1]
+            m, now = b - a, x[a:b]
+            was = mean[:m]
+            z = (now * was).sum(axis=1) / ((length(now) + EPS) * (length(was) + EPS))
+            moved = (s * was + now) / (s + 1)
+            new = _spectra((now - moved) ** 2 / (s + 1))
+            d = np.stack([length(moved - was), *(np.abs(v - o) for v, o in zip(new, old))], axis=1)
+            d = np.where(d > LEAST_MOVE, d, 0.0)
+            score[a:b] = cfg.gamma_semantic * (1 - z) + cfg.gamma_conflict * conflict[a:b] + (d / (usual[:m] + EPS)) @ weights
+            usual[:m] = np.where(usual[:m] <= 0, d, (1 - cfg.ema_rho) * usual[:m] + cfg.ema_rho * d)
+            mean[:m] = (1 - cfg.ema_rho) * was + cfg.ema_rho * moved
+            step = cfg.anchor_rho * (moved - anchor[:m])
+            anchor[:m] += step
+            sim[a:b], drift[a:b] = z, length(step)
+            names = [update_mode("attach", t, float(u), float(c), True, cfg) for t, u, c in zip(types[a:b], z, conflict[a:b])]
+            mode[a:b] = names
+            linked = np.isin(names, ["refine", "contradict", "supersede"])
+            prev_of[a:b], root_of[a:b] = np.where(linked, last[:m], -1), np.where(linked, root[:m], -1)
+            version[:m] = np.where(linked, version[:m] + 1, 1)
+            root[:m] = np.where(linked, root[:m], item[a:b])
+            last[:m], version_of[a:b] = item[a:b], version[:m]
+        out = pd.DataFrame({"item": item, "branch_id": p["forced_branch"].to_numpy(), "action": np.where(k == 0, "fork", "attach"), "score": score, "sim": sim, "update_mode": mode})
+        for name, v in (("prev_item", prev_of), ("root_item", root_of)):
+            out[name] = pd.array(v, "Int64")
+            out.loc[v < 0, name] = pd.NA
+        out["version"], out["anchor_drift"] = version_of, drift
+        return out
+
+    return f
+
+
+#: A branch with more items than this is cut into slices; shorter ones are folded side by side, about so many items in a task.
+SHORT, TOGETHER = 2000, 50_000
+
+
+def forced_fold(items: DataFrame, cfg: Config = Config(), slice_items: int = SLICE_ITEMS, short: int = SHORT) -> DataFrame:
     """Items of given branches (item, forced_branch, x, conflict, branch_type), each branch in order of its items.
 
     What ``Fold`` does item by item is here in closed form: running mean and anchor are linear in the items, the slow means
-    of the moves in the moves, and a chain goes back to the last item that began one. A branch is cut into slices of item
-    numbers; each slice is worked out on its own, and a row for each slice hands on what the next one needs.
+    of the moves in the moves, and a chain goes back to the last item that began one. A long branch is cut into slices of item
+    numbers; each slice is worked out on its own, and a row for each slice hands on what the next one needs. Short branches,
+    which would be as many small slices, go through the same steps side by side.
     """
     scratch = Scratch(items.sparkSession, "forced")
+    items = items.where("forced_branch IS NOT NULL")
+    sizes = scratch.save(items.groupBy("forced_branch").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    few = items.join(sizes.where(F.col("n") <= short).select("forced_branch"), "forced_branch", "left_semi")
+    light = sizes.where(F.col("n") <= short).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    bucket = F.pmod(F.xxhash64("forced_branch"), F.lit(max(1, -(-light // TOGETHER))))
+    out = few.select("forced_branch", "item", "x", "conflict", "branch_type", bucket.alias("bucket")).groupBy("bucket").applyInPandas(_side_by_side(cfg), FOLD_SCHEMA)
+    long = sizes.where(F.col("n") > short).select("forced_branch")
+    if long.isEmpty():
+        return out
+    return out.unionByName(_sliced_fold(items.join(long, "forced_branch", "left_semi"), cfg, slice_items, scratch))
+
+
+def _sliced_fold(items: DataFrame, cfg: Config, slice_items: int, scratch: Scratch) -> DataFrame:
+    """The fold of long branches, slice by slice."""
     by = ["forced_branch", "slice"]
-    rows = items.where("forced_branch IS NOT NULL").withColumn("slice", F.expr(f"item div {slice_items}"))
+    rows = items.withColumn("slice", F.expr(f"item div {slice_items}"))
     rows = scratch.save(rows.select(*by, "item", "x", "conflict", "branch_type"), "rows")
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("forced_branch").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,7 +1,7 @@
 """Order within branches: what follows what, chains of corrections, latest versions.
 
 A branch may hold a third of all nodes, so its order is never sorted in one task. Each branch is cut into
-slices of time; a slice is sorted on its own, and the slices of a branch are tied together by one small
+slices of time (rows without time into slices of their sequence numbers); a slice is sorted on its own, and the slices of a branch are tied together by one small
 row each (its last node, its number of rows and of chain starts).
 """
 
@@ -10,22 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86400.0
+HOUR = 3600.0
+#: Sequence numbers that a slice of rows without time spans.
+UNTIMED = 200_000
 
 
-def ordered(nodes: DataFrame, start: Column | None = None, width: float = DAY) -> DataFrame:
+def _slice(ts: Column, width: float) -> Column:
+    """A number for each slice that grows with (ts, ingest_seq): slices of time, those without time cut by sequence."""
+    at = F.greatest(F.least(F.floor(ts / width), F.lit(1 << 40)), F.lit(-(1 << 40)))
+    last = (1 << 20) - 1
+    return at * F.lit(1 << 20) + F.when(ts == 0, F.least(F.floor(F.col("ingest_seq") / UNTIMED), F.lit(last - 1))).otherwise(F.lit(last))
+
+
+def ordered(nodes: DataFrame, start: Column | None = None, width: float = HOUR) -> DataFrame:
     """``nodes`` (branch_id, id, timestamp, ingest_seq, ...) with prev_id, rank (from 1) and, where ``start``
     says which rows begin a chain, the number of chains begun so far.
 
     Order is (timestamp, ingest_seq); a null time sorts first. Nodes without branch are left out.
     """
     ts = F.coalesce("timestamp", F.lit(0.0))
-    rows = nodes.where("branch_id IS NOT NULL").withColumn("_slice", F.floor(ts / width))
+    rows = nodes.where("branch_id IS NOT NULL").withColumn("_slice", _slice(ts, width))
     own = Window.partitionBy("branch_id", "_slice").orderBy(ts, "ingest_seq")
     mark = F.lit(0) if start is None else start.cast("int")
     rows = rows.withColumn("_prev", F.lag("id").over(own)).withColumn("_rank", F.row_number().over(own))
     last = F.max(F.struct(ts.alias("t"), "ingest_seq", "id")).alias("last")
-    ends = nodes.where("branch_id IS NOT NULL").withColumn("_slice", F.floor(ts / width)).groupBy("branch_id", "_slice").agg(last, F.count(F.lit(1)).alias("n"))
+    ends = nodes.where("branch_id IS NOT NULL").withColumn("_slice", _slice(ts, width)).groupBy("branch_id", "_slice").agg(last, F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("branch_id").orderBy("_slice")
     upto = before.rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("branch_id", "_slice", F.lag("last.id").over(before).alias("_first_prev"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_offset"))

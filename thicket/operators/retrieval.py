@@ -67,6 +67,18 @@ def cheap_score() -> Column:
     return 0.45 * history + 0.35 * health + 0.12 * c("usefulness") + 0.05 * (1 - c("compression_loss")) + 0.03 * F.log1p(c("node_count").cast("double"))
 
 
+#: The states of each group (fixed values).
+STATE_GROUPS = {"working": ("FORMING", "ACTIVE", "REACTIVATING"), "settled": ("STABLE",), "dormant": ("STABLE",)}
+
+
+def state_list(state: str | list[str] | None = None, group: str | None = None) -> list[str] | None:
+    """The states that a text or list names, each once and in capitals, else those of the group; null for all (ALL, *)."""
+    named = [s.strip().upper() for s in (state.split(",") if isinstance(state, str) else state or []) if s and s.strip()]
+    if any(s in ("ALL", "*") for s in named):
+        named = []
+    return list(dict.fromkeys(named)) or list(STATE_GROUPS.get(str(group or "").strip().lower(), ())) or None
+
+
 def eligible(
     branches: DataFrame, cfg: Config = Config(), states: tuple[str, ...] | None = None, after: float | None = None, before: float | None = None,
     ids: DataFrame | None = None, ts_col: str = "last_update_ts",

@@ -64,13 +64,13 @@ def role_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smoothed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A maintenance step on branches with at least eight vectors: stated scalars moved towards the recomputed ones."""
+    """WIN13: a maintenance step on branches with at least eight vectors: stated scalars moved towards the recomputed ones, which begin where there are none."""
     g = geometry.branch_geometry(_vectors(spark, sf_dir), DIM).where("n >= 8")
     names = ("eff_rank", "trace", "anisotropy", "coherence", "compression_loss")
     new = g.select("branch_id", "n", *[F.col(c).alias(f"new_{c}") for c in names])
     rho = Config().ema_rho
     out = states(spark, sf_dir).join(new, "branch_id")
-    return out.select("branch_id", "n", *[_R((1 - rho) * F.col(c) + rho * F.col(f"new_{c}")).alias(c) for c in names])
+    return out.select("branch_id", "n", *[_R(geometry.smoothed(F.col(c), F.col(f"new_{c}"), rho)).alias(c) for c in names])
 
 
 def _ranked(mode: str):
@@ -216,11 +216,39 @@ def geometry_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The scalars of a branch that a snapshot holds, beside its last update.
+SCALARS = (
+    "branch_id", "branch_type", "state", "regime", "eff_rank", "trace", "anisotropy", "anchor_drift", "coherence", "compression_loss", "node_count", "role_diversity", "topic_drift_density",
+    "retrieval_error", "usefulness", "reactivation_score", "split_counter", "merge_counter",
+)
+
+
+def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG8: how many branches are in each state and regime, wait for a split or a merge, their means, and links across agents."""
+    b = states(spark, sf_dir).select(F.coalesce("state", F.lit("FORMING")).alias("state"), F.coalesce("regime", F.lit("PRODUCTIVE")).alias("regime"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("coherence", "compression_loss", "node_count")])
+    per = lambda name: b.groupBy(F.concat(F.lit(f"{name}:"), F.col(name)).alias("measure")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    n = lambda state: F.sum((F.col("state") == state).cast("double"))
+    whole = {"pending_split": n("SPLIT_PENDING"), "pending_merge": n("MERGE_CANDIDATE"), "mean_coherence": _R(F.avg("coherence")), "mean_compression_loss": _R(F.avg("compression_loss")), "total_nodes": F.sum("node_count").cast("double")}
+    one = b.agg(*[c.alias(k) for k, c in whole.items()]).select(F.explode(F.create_map(*[x for k in whole for x in (F.lit(k), F.col(k))])).alias("measure", "value"))
+    e = table(spark, sf_dir, "memory_edges").where("edge_type = 'cross_agent_shared'").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("cross_agent_edges").alias("measure"), "value")
+    return per("state").unionByName(per("regime")).unionByName(one).unionByName(e)
+
+
+def state_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT5-6: branches in the states that a list or a group names, per request."""
+    b = states(spark, sf_dir)
+    out = None
+    for request, (state, group) in {"list": (" active, Stable,ACTIVE ", None), "all": ("ALL", None), "working": (None, "working"), "settled": (None, "settled"), "dormant": (None, "dormant")}.items():
+        wanted = retrieval.state_list(state, group)
+        part = (b.where(F.col("state").isin(wanted)) if wanted else b).select(F.lit(request).alias("request"), "branch_id", "state")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("request", "state").agg(F.count(F.lit(1)).alias("branches"))
+
+
 def snapshot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK25, FLT1: the scalars of the 100 branches updated last, without excluded states."""
+    """SNK25, FLT1: all scalars of the 100 branches updated last, without excluded states."""
     b = states(spark, sf_dir).where("state NOT IN ('COLLAPSING', 'SPLIT_PENDING')")
-    cols = ["branch_id", "branch_type", "state", "regime", "eff_rank", "trace", "anisotropy", "coherence", "node_count", "usefulness"]
-    b = b.select(*cols, F.coalesce("last_update_ts", F.lit(0.0)).alias("last_update_ts"))
+    b = b.select(*SCALARS, F.coalesce("last_update_ts", F.lit(0.0)).alias("last_update_ts"))
     return b.orderBy(F.col("last_update_ts").desc(), "branch_id").limit(100)
 
 
@@ -262,7 +290,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         branch_stats, branch_centroids, role_diversity, smoothed_stats, _ranked("balanced"), _ranked("factual"), _ranked("exploratory"), branch_rank_by_type, prefilter_cascade, prefilter_recent, rank_with_recency,
-        allocation_candidates, collapsing_sidecar, split_score_rank, split_score_by_type, merge_pairs, geometry_stats, snapshot_export, branch_report, next_branch_id, keyset_page, activity_filter,
+        allocation_candidates, collapsing_sidecar, split_score_rank, split_score_by_type, merge_pairs, geometry_stats, health_report, state_groups, snapshot_export, branch_report, next_branch_id, keyset_page, activity_filter,
     )
 }
 
@@ -277,7 +305,7 @@ ORACLE = {
 SELECT *, CASE WHEN (coherence < 0.45 OR compression_loss > 0.65) AND eff_rank >= 16.5 THEN 'UNSTABLE' WHEN eff_rank < 16.5 OR anisotropy > 0.70 THEN 'RIGID' ELSE 'PRODUCTIVE' END AS regime FROM r""",
     "branch_centroids": f"WITH {Q.NODES} SELECT branch_id, CAST(i AS BIGINT) AS dim, round(m, 6) AS mean, round(c, 6) AS variance FROM mu JOIN var USING (branch_id, i)",
     "role_diversity": f"SELECT {_B} AS branch_id, count(*) AS rows, round(count(DISTINCT coalesce(role, 'unknown')) / count(*), 6) AS role_diversity FROM memory_nodes GROUP BY 1",
-    "smoothed_stats": f"""WITH {Q.NODES} SELECT g.branch_id, n, {', '.join(f'round(0.95 * s.{c} + 0.05 * g.{c}, 6) AS {c}' for c in ('eff_rank', 'trace', 'anisotropy', 'coherence', 'compression_loss'))}
+    "smoothed_stats": f"""WITH {Q.NODES} SELECT g.branch_id, n, {', '.join(f'round(CASE WHEN s.{c} <= 0 THEN g.{c} ELSE 0.95 * s.{c} + 0.05 * g.{c} END, 6) AS {c}' for c in ('eff_rank', 'trace', 'anisotropy', 'coherence', 'compression_loss'))}
 FROM geo g JOIN (SELECT * REPLACE ({_B} AS branch_id) FROM branch_states) s ON g.branch_id = s.branch_id WHERE n >= 8""",
     **{f"branch_rank_{m}": _rank_sql(m) for m in ("balanced", "factual", "exploratory")},
     "prefilter_cascade": f"""WITH {Q.scored('balanced')}, short AS (SELECT *, {_CHEAP} AS cheap FROM tot WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY cheap DESC, branch_id LIMIT 256)
@@ -315,7 +343,14 @@ c AS (SELECT per.a, per.b, sum(p.m * q.m) / ((sqrt(sum(p.m * p.m)) + 1e-9) * (sq
 o AS (SELECT per.*, x.td AS xt, y.td AS yt, x.ad AS xd, y.ad AS yd, least(1.0, (topic + 0.25 * temporal) / greatest(1, least(x.n, y.n))) AS ov, cos FROM per JOIN st x ON per.a = x.b JOIN st y ON per.b = y.b JOIN c ON c.a = per.a AND c.b = per.b)
 SELECT a AS branch_a, b AS branch_b, topic AS topic_edges, temporal AS temporal_edges, round(ov, 6) AS topic_overlap, round(co, 6) AS co_use, round(0.15 * cos + 0.20 * ov + 0.15 * co - 0.20 * (xt + yt) / 2 + 0.15 * abs(xd - yd), 6) AS merge_score FROM o""",
     "geometry_stats": f"""SELECT state, regime, count(*) AS branches, CAST(sum(node_count) AS BIGINT) AS nodes, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in ('eff_rank', 'coherence', 'role_diversity', 'compression_loss', 'usefulness', 'retrieval_error'))} FROM branch_states GROUP BY 1, 2""",
-    "snapshot_export": f"""SELECT {_B} AS branch_id, branch_type, state, regime, eff_rank, trace, anisotropy, coherence, node_count, usefulness, coalesce(last_update_ts, 0) AS last_update_ts FROM branch_states
+    "health_report": """WITH b AS (SELECT coalesce(state, 'FORMING') AS state, coalesce(regime, 'PRODUCTIVE') AS regime, coalesce(coherence, 0) AS co, coalesce(compression_loss, 0) AS cl, coalesce(node_count, 0) AS n FROM branch_states)
+SELECT 'state:' || state AS measure, CAST(count(*) AS DOUBLE) AS value FROM b GROUP BY state UNION ALL SELECT 'regime:' || regime, CAST(count(*) AS DOUBLE) FROM b GROUP BY regime
+UNION ALL SELECT 'pending_split', CAST(count(*) FILTER (state = 'SPLIT_PENDING') AS DOUBLE) FROM b UNION ALL SELECT 'pending_merge', CAST(count(*) FILTER (state = 'MERGE_CANDIDATE') AS DOUBLE) FROM b
+UNION ALL SELECT 'mean_coherence', round(avg(co), 6) FROM b UNION ALL SELECT 'mean_compression_loss', round(avg(cl), 6) FROM b UNION ALL SELECT 'total_nodes', CAST(sum(n) AS DOUBLE) FROM b
+UNION ALL SELECT 'cross_agent_edges', CAST(count(*) AS DOUBLE) FROM memory_edges WHERE edge_type = 'cross_agent_shared'""",
+    "state_groups": """WITH g AS (SELECT * FROM (VALUES ('list', 'ACTIVE'), ('list', 'STABLE'), ('working', 'ACTIVE'), ('working', 'FORMING'), ('working', 'REACTIVATING'), ('settled', 'STABLE'), ('dormant', 'STABLE')) AS v(request, state))
+SELECT request, state, count(*) AS branches FROM branch_states JOIN g USING (state) GROUP BY 1, 2 UNION ALL SELECT 'all', state, count(*) FROM branch_states GROUP BY 2""",
+    "snapshot_export": f"""SELECT {_B} AS branch_id, {', '.join(SCALARS[1:])}, coalesce(last_update_ts, 0) AS last_update_ts FROM branch_states
 WHERE state NOT IN ('COLLAPSING', 'SPLIT_PENDING') ORDER BY coalesce(last_update_ts, 0) DESC, 1 LIMIT 100""",
     "branch_report": f"""SELECT {_B} AS branch_id, count(*) AS nodes, count(*) FILTER (len(embedding) > 0) AS embedded, {_count("coalesce(role, 'unknown')", ('user', 'assistant', 'unknown'), 'role')}, {_count('update_mode', ('attach', 'refine', 'contradict', 'supersede', 'fork'), 'mode')},
 {_count('correction_kind', ('refine', 'contradict', 'supersede'), 'kind')}, count(correction_prev_id) AS linked, max(correction_version) AS last_version, max("timestamp") AS last_ts FROM memory_nodes WHERE {_B} IS NOT NULL GROUP BY 1""",

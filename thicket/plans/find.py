@@ -18,8 +18,7 @@ _R = lambda c: F.round(c, 6)
 
 #: Branches shown with their content, entries shown of all, and the least of each.
 SHOWN, ENTRIES, LEAST = 20, 100, 3
-#: States of the group ``working`` (fixed values).
-WORKING = ("ACTIVE", "TENSIONED", "REACTIVATING", "FORMING", "SPLIT_PENDING", "MERGE_CANDIDATE")
+WORKING = retrieval.STATE_GROUPS["working"]
 
 
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

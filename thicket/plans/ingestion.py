@@ -9,7 +9,7 @@ from thicket.config import AS_OF, Config
 from thicket.functions import times
 from thicket.functions import vectors as V
 from thicket.functions.keys import key
-from thicket.operators import backfill, geometry, ingest
+from thicket.operators import backfill, geometry, ingest, retrieval
 from thicket.plans import branches, messages
 from thicket.plans import sqlkit as Q
 from thicket.plans.branches import DIM, nodes, states
@@ -39,6 +39,19 @@ def summary_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(mean, "branch_id").select("ingest_seq", "node_type", _R(V.norm(blended)).alias("norm"), _R(V.total(blended)).alias("total"))
 
 
+def conversation_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC6: geometry of every conversation from the vectors of its messages, at most 200 of them, each with weight one; the
+    count is that of all its messages."""
+    m = table(spark, sf_dir, "messages").where("conversation_id IS NOT NULL")
+    total = m.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"))
+    picked = backfill.stride_sample(m, "conversation_id", 200).select("ingest_seq")
+    keys = m.join(picked, "ingest_seq", "left_semi").select("conversation_id", key("message_id").alias("k")).where("k IS NOT NULL").distinct()
+    n = nodes(spark, sf_dir).where(F.col("node_type").isin("message", "tool_result") & V.usable(F.col("embedding"), DIM))
+    first = n.groupBy(key("lcm_id").alias("k")).agg(F.min(F.struct("ingest_seq", "embedding")).alias("r")).select("k", "r.embedding")
+    g = geometry.branch_geometry(keys.join(first, "k").select("conversation_id", F.lit(1.0).alias("importance_score"), "embedding"), DIM, by="conversation_id")
+    return g.join(total, "conversation_id").select("conversation_id", "messages", "n", F.lit("ACTIVE").alias("state"), F.lit("conversation").alias("branch_type"), *[_R(c).alias(c) for c in ("eff_rank", "trace", "coherence")])
+
+
 def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG13, SRC14: rows of every table, with the last arrival number where there is one."""
     out = None
@@ -52,7 +65,7 @@ def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT5, FLT11: conversation and day branches in working states that were active lately, the largest 100."""
     b = states(spark, sf_dir).where(F.col("branch_id").startswith("conv_") | F.col("branch_id").startswith("day_"))
-    b = b.where(F.col("state").isin("ACTIVE", "TENSIONED", "FORMING", "STABLE")).withColumn("activity", times.activity(F.col("last_update_ts"), AS_OF, 90.0))
+    b = b.where(F.col("state").isin(retrieval.state_list(group="working"))).withColumn("activity", times.activity(F.col("last_update_ts"), AS_OF, 90.0))
     return b.where("activity = 'recent'").orderBy(F.col("node_count").desc(), "branch_id").limit(100).select("branch_id", "state", "node_count")
 
 
@@ -115,7 +128,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        backfill_status, backfill_sample, summary_nodes, table_totals, conversation_candidates, new_identifiers, update_mode_classify, content_lengths, branch_ages, daily_log_semantic, hybrid_search,
+        backfill_status, backfill_sample, summary_nodes, conversation_geometry, table_totals, conversation_candidates, new_identifiers, update_mode_classify, content_lengths, branch_ages, daily_log_semantic, hybrid_search,
     )
 }
 
@@ -133,9 +146,16 @@ SELECT conversation_id, ingest_seq, j AS place FROM o JOIN p USING (conversation
 s AS (SELECT ingest_seq, node_type, {_B} AS branch_id, CAST(embedding AS DOUBLE[]) AS x FROM memory_nodes WHERE node_type IN ('leaf_summary', 'condensed_summary') AND {_USABLE}),
 l AS (SELECT ingest_seq, node_type, branch_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM s)
 SELECT ingest_seq, any_value(node_type) AS node_type, round(sqrt(sum((0.7 * v + 0.3 * m) * (0.7 * v + 0.3 * m))), 6) AS norm, round(sum(0.7 * v + 0.3 * m), 6) AS total FROM l JOIN mu USING (branch_id, i) GROUP BY 1""",
+    "conversation_geometry": f"""WITH o AS (SELECT conversation_id AS c, {Q.k('message_id')} AS k, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY conversation_id) AS n FROM messages WHERE conversation_id IS NOT NULL WINDOW w AS (PARTITION BY conversation_id ORDER BY coalesce(created_at, 0), ingest_seq)),
+total AS (SELECT DISTINCT c, n AS messages FROM o), p AS (SELECT DISTINCT c, (j * n) // 200 AS r FROM (SELECT DISTINCT c, n FROM o WHERE n > 200), range(200) AS g(j)),
+keys AS (SELECT DISTINCT o.c, k FROM o LEFT JOIN p ON p.c = o.c AND p.r = o.r WHERE (n <= 200 OR p.r IS NOT NULL) AND k IS NOT NULL),
+fn AS (SELECT {Q.k('lcm_id')} AS k, embedding, ingest_seq FROM memory_nodes WHERE node_type IN ('message', 'tool_result') AND {_USABLE} QUALIFY row_number() OVER (PARTITION BY {Q.k('lcm_id')} ORDER BY ingest_seq) = 1),
+cn AS (SELECT CAST(c AS VARCHAR) AS branch_id, row_number() OVER (ORDER BY c, k) AS ingest_seq, NULL AS role, 1.0 AS importance_score, embedding FROM keys JOIN fn USING (k)),
+{Q.NODES.replace('FROM memory_nodes WHERE len', 'FROM cn WHERE len')}
+SELECT c AS conversation_id, messages, n, 'ACTIVE' AS state, 'conversation' AS branch_type, round(eff_rank, 6) AS eff_rank, round(trace, 6) AS trace, round(coherence, 6) AS coherence FROM geo JOIN total ON CAST(c AS VARCHAR) = branch_id""",
     "table_totals": """SELECT 'memory_nodes' AS name, count(*) AS rows, CAST(max(ingest_seq) AS BIGINT) AS last_seq FROM memory_nodes UNION ALL SELECT 'memory_edges', count(*), max(edge_seq) FROM memory_edges UNION ALL SELECT 'messages', count(*), max(ingest_seq) FROM messages
 UNION ALL SELECT 'branch_states', count(*), 0 FROM branch_states UNION ALL SELECT 'summaries', count(*), 0 FROM summaries UNION ALL SELECT 'daily_log_content', count(*), 0 FROM daily_log_content""",
-    "conversation_candidates": f"""SELECT {_B} AS branch_id, state, node_count FROM branch_states WHERE ({_B} LIKE 'conv\\_%' ESCAPE '\\' OR {_B} LIKE 'day\\_%' ESCAPE '\\') AND state IN ('ACTIVE', 'TENSIONED', 'FORMING', 'STABLE')
+    "conversation_candidates": f"""SELECT {_B} AS branch_id, state, node_count FROM branch_states WHERE ({_B} LIKE 'conv\\_%' ESCAPE '\\' OR {_B} LIKE 'day\\_%' ESCAPE '\\') AND state IN ('FORMING', 'ACTIVE', 'REACTIVATING')
 AND last_update_ts > 0 AND last_update_ts >= {AS_OF} - 90 * 86400 ORDER BY node_count DESC, 1 LIMIT 100""",
     "new_identifiers": f"""SELECT conversation_id, count(*) AS new_messages FROM (SELECT DISTINCT {Q.k('message_id')} AS k, conversation_id FROM messages) m
 ANTI JOIN (SELECT {Q.k('lcm_id')} AS k FROM memory_nodes WHERE node_type IN ('message', 'tool_result')) n USING (k) WHERE k IS NOT NULL AND conversation_id IS NOT NULL GROUP BY 1""",

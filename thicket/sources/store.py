@@ -159,6 +159,20 @@ class Store:
     def delete(self, name: str, keys_to_drop: DataFrame, keys: list[str]) -> None:
         self._touch(name, keys_to_drop, keys, lambda old: keys_to_drop.limit(0) if old is None else old.join(keys_to_drop.select(*keys), keys, "left_anti"))
 
+    def backup(self, name: str, target: str) -> int:
+        """The current state as a table of another store, and its rows."""
+        now = self.read(name)
+        if now is None:
+            return 0
+        other = Store(self.spark, target, self.buckets)
+        other.replace(name, now, self._state(name)[1])
+        return other.read(name).count()
+
+    def restore(self, name: str, source: str) -> None:
+        """The state that was backed up becomes the current one; the one before stays until ``vacuum``."""
+        old = Store(self.spark, source, self.buckets)
+        self.replace(name, old.read(name), old._state(name)[1])
+
     def vacuum(self, name: str) -> int:
         """Removes all parts that the current state does not name, and older pointers; returns how many parts."""
         number, _, folders = self._state(name)
