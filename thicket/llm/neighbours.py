@@ -178,6 +178,8 @@ class Layout:
         self.slices = -(-wanted // self.chunks)
         self.first = np.concatenate([[0], np.cumsum(self.chunks * self.slices)])
         self.total = int(self.first[-1])
+        #: a number for each block whose hash leads to a task of its own
+        self.labels = np.arange(self.total)
 
     def base(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First block of each list and the number of blocks it lies in."""
@@ -219,8 +221,9 @@ def _route(model: Model, probes: int, layout: Layout):
             r = np.concatenate([np.arange(len(x)), rows[~here]])
             vec = np.array([v.tobytes() for v in x] + [None], object)[:-1]
             ids = pdf["id"].to_numpy()
+            at = np.concatenate([home_block, block[~here]])
             yield pd.DataFrame({
-                "block": np.concatenate([home_block, block[~here]]).astype(np.int32), "id": ids[r], "seq": seq[r], "list": home[r].astype(np.int32),
+                "task": layout.labels[at].astype(np.int32), "block": at.astype(np.int32), "id": ids[r], "seq": seq[r], "list": home[r].astype(np.int32),
                 "stored": np.arange(len(r)) < len(x), "asked": asked[r], "vec": vec[r], "probe": np.concatenate([own, lists_of[~here]]),
             })
 
@@ -377,11 +380,11 @@ def neighbours(
         return spark.createDataFrame([], "q string, id string, cosine double, place int")
     model = Model(_unit(chosen["vec"]), lists, groups, parts, cells=cells)
     layout = Layout(model, np.maximum(1, np.ceil(model.load / model.load.sum() * count / (1.5 * block_rows)).astype(int)))
-    schema = "block int, id string, seq long, list int, stored boolean, asked boolean, vec binary, probe binary"
+    layout.labels = np.array(task_labels(spark, layout.total))
+    schema = "task int, block int, id string, seq long, list int, stored boolean, asked boolean, vec binary, probe binary"
     routed = good.mapInPandas(_route(model, probes, layout), schema)
     # a task for each block: none grows with the data, and no two blocks meet in one by chance
-    labels = F.array(*[F.lit(v) for v in task_labels(spark, layout.total)])
-    routed = routed.withColumn("task", F.element_at(labels, F.col("block") + 1)).repartition(layout.total, "task")
+    routed = routed.repartition(layout.total, "task")
     near = routed.groupBy("task", "block").applyInPandas(_search(model, k, min_cosine, rerank, slack, min_cosine is not None and queries is None), "q string, id string, cosine double")
     # the lists of a query from all blocks, cut to k; a query has at most k rows from each block it visits
     near = near.unionByName(easy)
