@@ -282,6 +282,8 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
         flat, who = flat[order], who[order]
         lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
         found_q, found_x, found_s = [], [], []
+        # the best approximate similarities of each query so far, and the least of them
+        best, bar = np.full((len(q), 0 if min_cosine is not None else keep), -np.inf, np.float32), np.full(len(q), -np.inf, np.float32)
         for li, c in enumerate(own):
             mine = who[lo[li] : hi[li]]
             part = codes[start[li] : end[li]]
@@ -300,20 +302,24 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
                     found_x.append(s)
                     found_s.append(cos)
                     continue
-                if score.shape[1] > keep:
-                    s = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                    r = np.repeat(np.arange(len(sub)), keep)
-                    s = s.ravel()
-                else:
-                    r, s = (v.ravel() for v in np.indices(score.shape))
+                # only what is among the best so far can be among the best of all lists
+                hit = score > bar[sub][:, None]
+                r, s = np.nonzero(hit)
+                if not len(r):
+                    continue
+                most = min(int(hit.sum(axis=1).max()), score.shape[1])
+                fresh = np.partition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most :]
+                both = np.concatenate([best[sub], fresh], axis=1)
+                best[sub] = np.partition(both, both.shape[1] - keep, axis=1)[:, both.shape[1] - keep :]
+                bar[sub] = best[sub].min(axis=1)
                 found_q.append(sub[r])
                 found_x.append(s + start[li])
                 found_s.append(score[r, s])
         fq, fx, fs = (np.concatenate(v) if v else np.zeros(0, int) for v in (found_q, found_x, found_s))
         if min_cosine is None and len(fq):
             # the best of all lists by approximate similarity
-            best = np.lexsort((-fs, fq))
-            fq, fx = fq[best], fx[best]
+            order = np.lexsort((-fs, fq))
+            fq, fx = fq[order], fx[order]
             nth = np.arange(len(fq)) - np.searchsorted(fq, fq)
             fq, fx = fq[nth < keep], fx[nth < keep]
             fq, fx, fs = best_of(q, qids, ids, x, fq, fx)
