@@ -516,11 +516,11 @@ def forced_fold(items: DataFrame, cfg: Config = Config(), slice_items: int = SLI
     scratch = Scratch(items.sparkSession, "forced")
     items = items.where("forced_branch IS NOT NULL")
     sizes = scratch.save(items.groupBy("forced_branch").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    few = items.join(sizes.where(F.col("n") <= short).select("forced_branch"), "forced_branch", "left_semi")
+    long = sizes.where(F.col("n") > short).select("forced_branch")  # at most one for every ``short`` rows
+    few = items.join(long, "forced_branch", "left_anti")
     light = sizes.where(F.col("n") <= short).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     bucket = F.pmod(F.xxhash64("forced_branch"), F.lit(max(1, -(-light // TOGETHER))))
     out = few.select("forced_branch", "item", "x", "conflict", "branch_type", bucket.alias("bucket")).groupBy("bucket").applyInPandas(_side_by_side(cfg), FOLD_SCHEMA)
-    long = sizes.where(F.col("n") > short).select("forced_branch")
     if long.isEmpty():
         return out
     return out.unionByName(_sliced_fold(items.join(long, "forced_branch", "left_semi"), cfg, slice_items, scratch))

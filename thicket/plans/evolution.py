@@ -51,7 +51,7 @@ def adiabatic_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir).where(V.usable(F.col("embedding"), DIM)).join(states(spark, sf_dir).select("branch_id", "branch_type"), "branch_id", "left")
     return n.select(
-        F.col("ingest_seq").alias("item"), F.col("branch_id").alias("forced_branch"), V.doubles("embedding").alias("x"), F.coalesce("conflict_score", F.lit(0.0)).alias("conflict"),
+        F.col("ingest_seq").alias("item"), F.col("branch_id").alias("forced_branch"), F.col("embedding").alias("x"), F.coalesce("conflict_score", F.lit(0.0)).alias("conflict"),
         F.coalesce(F.lower(F.trim("branch_type")), ingest.inferred_type(F.col("node_type"))).alias("branch_type"),
     )
 
