@@ -240,7 +240,9 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
         queries = pdf[pdf["asked"]].drop_duplicates("id")
         if not len(stored) or not len(queries):
             return pd.DataFrame({"q": [], "id": [], "cosine": []}).astype({"q": object, "id": object, "cosine": float})
-        stored, queries = stored.sort_values("list", kind="stable"), queries.sort_values("list", kind="stable")
+        # places of the ids in their order, by which ties are broken
+        stored, queries = stored.assign(place=np.arange(len(stored))).sort_values("list", kind="stable"), queries.sort_values("list", kind="stable")
+        place = stored["place"].to_numpy()
         ids, qids = stored["id"].to_numpy(), queries["id"].to_numpy()
         x = np.frombuffer(b"".join(stored["vec"]), np.float32).reshape(len(stored), -1)
         q = np.frombuffer(b"".join(queries["vec"]), np.float32).reshape(len(queries), -1)
@@ -250,14 +252,14 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
         own, start = np.unique(lists, return_index=True)
         end = np.append(start[1:], len(lists))
         keep = rerank * k
-        out = pd.concat([search(q, qids, probe, ids, x, codes, own, start, end, keep, a) for a in range(0, len(q), QUERY_ROWS)])
+        out = pd.concat([search(q, qids, probe, ids, place, x, codes, own, start, end, keep, a) for a in range(0, len(q), QUERY_ROWS)])
         if both_ways:
             out = pd.concat([out, out.rename(columns={"q": "id", "id": "q"})[["q", "id", "cosine"]]])
             out = out.drop_duplicates(["q", "id"]).sort_values(["q", "cosine", "id"], ascending=[True, False, True], kind="stable")
             out = out[out.groupby("q").cumcount() < k]
         return out
 
-    def best_of(q, qids, ids, x, fq: np.ndarray, fx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def best_of(q, qids, ids, place, x, fq: np.ndarray, fx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the pairs (query, vector) the k most similar of each query by the exact cosine, of equal ones the first id."""
         other = qids[fq] != ids[fx]
         fq, fx = fq[other], fx[other]
@@ -267,12 +269,15 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
             fq, fx, cos = fq[ok], fx[ok], cos[ok]
         if not len(fq):
             return fq, fx, cos
-        order = np.lexsort((ids[fx].astype(str), -cos, fq))
+        return first_k(place, fq, fx, cos)
+
+    def first_k(place, fq: np.ndarray, fx: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((place[fx], -cos, fq))
         fq, fx, cos = fq[order], fx[order], cos[order]
         top = np.arange(len(fq)) - np.searchsorted(fq, fq) < k
         return fq[top], fx[top], cos[top]
 
-    def search(q, qids, probe, ids, x, codes, own, start, end, keep: int, at: int) -> pd.DataFrame:
+    def search(q, qids, probe, ids, place, x, codes, own, start, end, keep: int, at: int) -> pd.DataFrame:
         """The neighbours of ``QUERY_ROWS`` queries from row ``at`` on."""
         q, qids, probe = (v[at : at + QUERY_ROWS] for v in (q, qids, probe))
         # queries of each list
@@ -281,6 +286,7 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], who[order]
         lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+        tables = model.tables(q)
         found_q, found_x, found_s = [], [], []
         # the best approximate similarities of each query so far, and the least of them
         best, bar = np.full((len(q), 0 if min_cosine is not None else keep), -np.inf, np.float32), np.full(len(q), -np.inf, np.float32)
@@ -290,14 +296,14 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
             chunk = max(1, min(2048, CELLS // len(part)))
             for a in range(0, len(mine), chunk):
                 sub = mine[a : a + chunk]
-                table = model.tables(q[sub])
+                table = tables[sub]
                 score = np.repeat((q[sub] @ model.centre(np.array([c]))[0])[:, None], len(part), axis=1)
                 for p in range(model.parts):
                     score += np.take(table[:, p], part[:, p], axis=1)
                 if min_cosine is not None:
                     # all that may be close enough are compared exactly, and the k best of the list stay
                     r, s = np.nonzero(score >= min_cosine - slack)
-                    r, s, cos = best_of(q, qids, ids, x, sub[r], s + start[li])
+                    r, s, cos = best_of(q, qids, ids, place, x, sub[r], s + start[li])
                     found_q.append(r)
                     found_x.append(s)
                     found_s.append(cos)
@@ -322,11 +328,10 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
             fq, fx = fq[order], fx[order]
             nth = np.arange(len(fq)) - np.searchsorted(fq, fq)
             fq, fx = fq[nth < keep], fx[nth < keep]
-            fq, fx, fs = best_of(q, qids, ids, x, fq, fx)
-        out = pd.DataFrame({"q": qids[fq], "id": ids[fx], "cosine": fs})
-        out = out.sort_values(["q", "cosine", "id"], ascending=[True, False, True], kind="stable")
-        out = out[out.groupby("q").cumcount() < k]
-        return out
+            fq, fx, fs = best_of(q, qids, ids, place, x, fq, fx)
+        elif len(fq):
+            fq, fx, fs = first_k(place, fq, fx, fs)
+        return pd.DataFrame({"q": qids[fq], "id": ids[fx], "cosine": fs})
 
     return f
 

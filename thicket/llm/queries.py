@@ -47,13 +47,13 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that several records hold, by their pseudonym: kind, records and spans of each."""
+    """Every value by its pseudonym, with the records of both tables that hold it and its spans there."""
     out = None
     for name, df, key_col, text_col in _texts(spark, sf_dir):
         part = pii.values(df, key_col, text_col, _pii_key(spark)).select(F.lit(name).alias("t"), "record_key", "kind", "pseudonym", "spans")
         out = part if out is None else out.unionByName(part)
     per = out.groupBy("kind", "pseudonym", "t", "record_key").agg(F.max("spans").alias("spans")).groupBy("kind", "pseudonym")
-    return per.agg(F.count(F.lit(1)).alias("records"), F.sum("spans").alias("spans")).where("records > 1")
+    return per.agg(F.count(F.lit(1)).alias("records"), F.sum("spans").alias("spans"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
