@@ -119,9 +119,59 @@ def conversation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select("branch_id", "state", F.lit("none").alias("reason")).unionByName(rest.select("branch_id", "state", F.lit("active_recent_empty_used_working_group").alias("reason")))
 
 
+def conversation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7, PIP3: the summaries of every conversation, the deepest first, at most 100 (its limit of entries), with their whole text."""
+    s = table(spark, sf_dir, "summaries").where("conversation_id IS NOT NULL")
+    top = retrieval.top_per_group(s, ["conversation_id"], [F.col("depth").desc_nulls_last(), F.col("created_at").desc_nulls_last(), F.col("summary_id")], ENTRIES)
+    return top.select("conversation_id", "summary_id", "depth", "content")
+
+
+def branch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC8, PIP3: the newest records behind every branch with their text, at most 100 of each."""
+    n = nodes(spark, sf_dir).where("branch_id IS NOT NULL").select("branch_id", key("lcm_id").alias("k"), F.col("node_type").contains("summary").alias("su")).where("k IS NOT NULL").distinct()
+    m = table(spark, sf_dir, "messages").groupBy(key("message_id").alias("k")).agg(F.max(F.struct("ingest_seq", "created_at", "content")).alias("r")).select("k", F.lit(False).alias("su"), F.col("r.created_at").alias("ts"), F.col("r.content").alias("text"))
+    s = table(spark, sf_dir, "summaries").select(key("summary_id").alias("k"), F.lit(True).alias("su"), F.col("created_at").alias("ts"), F.col("content").alias("text"))
+    # only keys and times are ranked; the texts join those that are shown
+    every = m.unionByName(s)
+    top = retrieval.top_per_group(n.join(every.select("k", "su", "ts"), ["k", "su"]), ["branch_id"], [F.col("ts").desc_nulls_last(), "k"], ENTRIES)
+    return top.join(every.select("k", "su", "text"), ["k", "su"]).select("branch_id", F.col("k").alias("record_key"), "ts", "text")
+
+
+def keyword_best_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP10: of every conversation the match that holds the phrase, else all terms, else the newest, with its surroundings."""
+    m = keyword.matches(messages._messages(spark, sf_dir), messages.TERMS, messages.PHRASE)
+    rank = F.struct(F.col("in_phrase").cast("int").alias("p"), (F.size("hits") == len(messages.TERMS)).cast("int").alias("a"), F.coalesce("created_at", F.lit(0.0)).alias("t"), "ingest_seq")
+    best = m.groupBy("conversation_id").agg(F.max_by(F.struct("ingest_seq", "content", F.array_min(F.transform("hits", lambda h: h["pos"])).alias("pos")), rank).alias("b"))
+    return best.select("conversation_id", F.col("b.ingest_seq").alias("ingest_seq"), keyword.snippet(F.col("b.content"), F.col("b.pos")).alias("snippet"))
+
+
+def daily_log_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN6: the newest 50 log entries for each term of the query."""
+    logs = table(spark, sf_dir, "daily_log_content").select(key("node_id").alias("node_key"), "text", "created_ts").where("node_key IS NOT NULL AND text IS NOT NULL")
+    hits = logs.select("node_key", "created_ts", F.explode(F.filter(F.array(*[F.lit(t) for t in messages.TERMS]), lambda t: F.contains(F.lower("text"), t))).alias("term"))
+    return retrieval.top_per_group(hits, ["term"], [F.col("created_ts").desc_nulls_last(), F.col("node_key")], 50).select("term", "node_key", "created_ts")
+
+
+def last_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN4, FLT16: the last node of every branch and the number of its nodes."""
+    n = nodes(spark, sf_dir).where("branch_id IS NOT NULL")
+    last = F.max(F.struct(F.coalesce("timestamp", F.lit(0.0)).alias("t"), "ingest_seq", key("id").alias("id")))
+    return n.groupBy("branch_id").agg(last.alias("l"), F.count(F.lit(1)).alias("nodes")).select("branch_id", F.col("l.id").alias("last_id"), F.col("l.ingest_seq").alias("last_seq"), "nodes")
+
+
+def dag_parent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4: condensed summaries linked to the summary nodes one level below in their conversation, as their number and ends."""
+    s = table(spark, sf_dir, "summaries").select(key("summary_id").alias("k"), "conversation_id", "depth").where("k IS NOT NULL AND conversation_id IS NOT NULL")
+    n = nodes(spark, sf_dir).where(F.col("node_type").isin("leaf_summary", "condensed_summary"))
+    latest = n.groupBy(key("lcm_id").alias("k")).agg(F.max(F.struct("ingest_seq", key("id").alias("id"))).alias("m")).select("k", F.col("m.id").alias("node"))
+    known = s.join(latest, "k")
+    below = known.groupBy("conversation_id", (F.col("depth") + 1).alias("depth")).agg(F.count(F.lit(1)).alias("targets"), F.min("node").alias("least"), F.max("node").alias("greatest"))
+    return known.where("depth > 0").join(below, ["conversation_id", "depth"]).select(F.col("node").alias("src"), "conversation_id", "targets", "least", "greatest")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (source_scan, backfill_ends_and_stride, log_snippets, keyword_match_set, branch_source_ids, keyword_with_rank, text_search, content_fair_split, conversation_fallback)
+    for f in (source_scan, backfill_ends_and_stride, log_snippets, keyword_match_set, branch_source_ids, keyword_with_rank, text_search, content_fair_split, conversation_fallback, conversation_summaries, branch_texts, keyword_best_snippet, daily_log_terms, last_nodes, dag_parent_edges)
 }
 
 _B = Q.k("branch_id")
@@ -132,6 +182,20 @@ ts AS (SELECT branch_id, sum(qv * m) / ((sqrt(sum(qv * qv)) + 1e-9) * (sqrt(sum(
 tt AS (SELECT sc.branch_id, sc.state, sc.node_count, s, (0.60 * s + 0.25 * trust + 0.15 * 0.5 * s) * factor AS total FROM sc JOIN ts ON ts.branch_id = sc.branch_id)"""
 
 ORACLE = {
+    "conversation_summaries": f"""SELECT conversation_id, summary_id, depth, content FROM summaries WHERE conversation_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY depth DESC NULLS LAST, created_at DESC NULLS LAST, summary_id) <= {ENTRIES}""",
+    "branch_texts": f"""WITH n AS (SELECT DISTINCT {_B} AS b, {Q.k('lcm_id')} AS k, contains(node_type, 'summary') AS su FROM memory_nodes WHERE {_B} IS NOT NULL),
+e AS (SELECT {Q.k('message_id')} AS k, false AS su, arg_max(struct_pack(t := created_at), ingest_seq).t AS ts, arg_max(struct_pack(c := content), ingest_seq).c AS text FROM messages GROUP BY 1 UNION ALL SELECT {Q.k('summary_id')}, true, created_at, content FROM summaries)
+SELECT b AS branch_id, k AS record_key, ts, text FROM n JOIN e USING (k, su) QUALIFY row_number() OVER (PARTITION BY b ORDER BY ts DESC NULLS LAST, k) <= {ENTRIES}""",
+    "keyword_best_snippet": rf"""WITH {messages._HITS}, m AS (SELECT conversation_id, ingest_seq, any_value(content) AS content, any_value(created_at) AS t, any_value(in_phrase) AS p, count(*) AS c, min(pos) AS pos FROM hit GROUP BY 1, 2),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY p DESC, (c = {messages._N}) DESC, coalesce(t, 0) DESC, ingest_seq DESC) = 1)
+SELECT conversation_id, ingest_seq, trim(regexp_replace(substr(content, greatest(pos - 100, 1), 260), '\s+', ' ', 'g')) AS snippet FROM b""",
+    "daily_log_terms": f"""SELECT term, node_key, created_ts FROM (SELECT {Q.k('node_id')} AS node_key, text, created_ts FROM daily_log_content), {messages._T} WHERE node_key IS NOT NULL AND contains(lower(text), term)
+QUALIFY row_number() OVER (PARTITION BY term ORDER BY created_ts DESC NULLS LAST, node_key) <= 50""",
+    "last_nodes": f"""SELECT {_B} AS branch_id, arg_max({Q.k('id')}, (coalesce("timestamp", 0), ingest_seq)) AS last_id, arg_max(ingest_seq, (coalesce("timestamp", 0), ingest_seq)) AS last_seq, count(*) AS nodes FROM memory_nodes WHERE {_B} IS NOT NULL GROUP BY 1""",
+    "dag_parent_edges": f"""WITH l AS (SELECT {Q.k('lcm_id')} AS k, arg_max({Q.k('id')}, ingest_seq) AS node FROM memory_nodes WHERE node_type IN ('leaf_summary', 'condensed_summary') GROUP BY 1),
+s AS (SELECT node, conversation_id AS c, depth AS d FROM summaries JOIN l ON l.k = {Q.k('summary_id')} WHERE conversation_id IS NOT NULL), b AS (SELECT c, d + 1 AS d, count(*) AS targets, min(node) AS least, max(node) AS greatest FROM s GROUP BY 1, 2)
+SELECT node AS src, c AS conversation_id, targets, least, greatest FROM s JOIN b USING (c, d) WHERE d > 0""",
     "source_scan": """SELECT kind, conversation_id, count(*) AS records, count(text) AS texts, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS signs, CAST(max(place) AS VARCHAR) AS last_place FROM (
   SELECT 'message' AS kind, coalesce(conversation_id, -1) AS conversation_id, seq AS place, content AS text FROM messages UNION ALL SELECT 'summary', coalesce(conversation_id, -1), depth, content FROM summaries) GROUP BY 1, 2""",
     "backfill_ends_and_stride": """WITH o AS (SELECT conversation_id, ingest_seq, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY conversation_id) AS n FROM messages WHERE conversation_id IS NOT NULL WINDOW w AS (PARTITION BY conversation_id ORDER BY coalesce(created_at, 0), ingest_seq)),

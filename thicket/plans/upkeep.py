@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.config import Config
-from thicket.functions import codec
+from thicket.functions import codec, times
 from thicket.functions import vectors as V
 from thicket.functions.keys import key
 from thicket.operators import integrity
 from thicket.plans import branches, messages
 from thicket.plans import sqlkit as Q
 from thicket.plans.branches import DIM, nodes, states
-from thicket.session import table
+from thicket.session import Scratch, table
+from thicket.sources.store import Store
+from thicket.streaming import poll
 
 _R = lambda c: F.round(c, 6)
 
@@ -107,9 +109,52 @@ def branch_types_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "memory_nodes").groupBy("node_type", ingest.inferred_type(F.col("node_type")).alias("branch_type")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def stored_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1-3, SNK7-8, SNK20: branches written to a store, some patched, one added, some deleted, the rest counted per state."""
+    store = Store(spark, Scratch(spark, "store").root, buckets=8)
+    b = states(spark, sf_dir).select("branch_id", "state", "usefulness", "node_count").where("branch_id IS NOT NULL")
+    store.replace("branches", b, ["branch_id"])
+    store.patch("branches", b.where("state = 'STABLE'").select("branch_id", F.lit(0.25).alias("usefulness")), ["branch_id"])
+    new = spark.createDataFrame([("conv_new", "FORMING", 0.5, 1), ("conv_1", "ACTIVE", 0.75, 2)], "branch_id string, state string, usefulness double, node_count long")
+    store.upsert("branches", new, ["branch_id"])
+    store.delete("branches", b.where("branch_id LIKE 'day%'").select("branch_id"), ["branch_id"])
+    return store.read("branches").groupBy("state").agg(F.count(F.lit(1)).alias("branches"), F.sum("node_count").alias("nodes"), _R(F.avg("usefulness")).alias("avg_usefulness"))
+
+
+def polled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3, STM1, STM3-4, SNK19, SNK24: a stream over all messages taken into a store exactly once, with what could not be taken."""
+    scratch = Scratch(spark, "polled").root
+    store = Store(spark, f"{scratch}/store", buckets=8)
+    poll.poll(spark, f"{sf_dir}/messages.parque[t]", store, f"{scratch}/checkpoint").awaitTermination()
+    bad, polls = store.read("dead_letter"), store.read("polls")
+    out = store.read("messages").agg(F.count(F.lit(1)).alias("value")).select(F.lit("stored").alias("measure"), "value")
+    dead = bad.agg(F.count(F.lit(1)).alias("value")).select(F.lit("dead_letters").alias("measure"), "value")
+    seen = polls.agg(F.sum("polled").alias("polled"), F.max("last_seq").alias("last_seq")).select(F.explode(F.create_map(F.lit("polled"), F.col("polled"), F.lit("last_seq"), F.col("last_seq"))).alias("measure", "value"))
+    return out.unionByName(dead).unionByName(seen)
+
+
+def activity_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM2: messages and tokens of every conversation per hour of source time, as the stream of windows gives them."""
+    return poll.activity_windows(table(spark, sf_dir, "messages").where("created_at IS NOT NULL")).fillna(0, ["tokens"])
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC6: usable vectors per kind of node, and how many have length one after normalisation."""
+    v = table(spark, sf_dir, "memory_nodes").where(V.usable(F.col("embedding"), DIM)).select("node_type", V.unit(V.doubles("embedding")).alias("u"))
+    return v.groupBy("node_type").agg(F.count(F.lit(1)).alias("vectors"), F.sum((F.abs(V.norm(F.col("u")) - 1) < 1e-9).cast("long")).alias("unit"))
+
+
+def coerced_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC12, DAT1, FLT8: times given as text in seconds and in milliseconds read back, and how many lie within bounds."""
+    m = table(spark, sf_dir, "messages").where("created_at IS NOT NULL").select(F.floor("created_at").cast("long").alias("s"))
+    read = m.select("s", times.epoch(F.col("s").cast("string")).alias("a"), times.epoch((F.col("s") * 1000).cast("string")).alias("b"), times.epoch(F.concat(F.lit("x"), F.col("s").cast("string"))).alias("c"))
+    inside = times.in_bounds(F.col("a"), 1764547200.0, 1767225600.0)
+    return read.agg(F.count(F.lit(1)).alias("times"), F.sum((F.col("a") == F.col("s")).cast("long")).alias("seconds"), F.sum((F.col("b") == F.col("s")).cast("long")).alias("millis"), F.count("c").alias("unreadable_read"), F.sum(inside.cast("long")).alias("inside"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (branch_defaults, split_observations, split_trace_summary, merge_decay, cleaned_edges, vector_round_trip, event_payloads, branch_types_of_nodes)
+    for f in (branch_defaults, split_observations, split_trace_summary, merge_decay, cleaned_edges, vector_round_trip, event_payloads, branch_types_of_nodes, stored_branches, polled_messages, activity_by_hour, unit_vectors, coerced_times)
 }
 
 _B, _ID = Q.k("branch_id"), Q.k("id")
@@ -126,6 +171,14 @@ o AS (SELECT branch_id, state, node_count, real_nodes, split_score, gate_nodes,
   CASE WHEN gate_nodes AND gate_score AND NOT gate_hysteresis THEN 'hysteresis_not_met' END, CASE WHEN r <= {Config().split_enqueues} THEN 'eligible_enqueued_rank:' || CAST(r AS VARCHAR) WHEN should_split THEN 'eligible_throttled' END) AS reason FROM m)"""
 
 ORACLE = {
+    "stored_branches": f"""WITH b AS (SELECT {_B} AS b, state, CASE WHEN state = 'STABLE' THEN 0.25 ELSE usefulness END AS u, node_count AS n FROM branch_states WHERE {_B} IS NOT NULL),
+r AS (SELECT * FROM b WHERE b NOT IN ('conv_1', 'conv_new') AND b NOT LIKE 'day%' UNION ALL SELECT 'conv_new', 'FORMING', 0.5, 1 UNION ALL SELECT 'conv_1', 'ACTIVE', 0.75, 2)
+SELECT state, count(*) AS branches, CAST(sum(n) AS BIGINT) AS nodes, round(avg(u), 6) AS avg_usefulness FROM r GROUP BY 1""",
+    "polled_messages": f"""SELECT 'stored' AS measure, count(DISTINCT {Q.k('message_id')}) AS value FROM messages UNION ALL SELECT 'dead_letters', count(*) FILTER ({Q.k('message_id')} IS NULL) FROM messages
+UNION ALL SELECT 'polled', count(*) FROM messages UNION ALL SELECT 'last_seq', max(ingest_seq) FROM messages""",
+    "activity_by_hour": "SELECT CAST(floor(created_at / 3600) AS BIGINT) * 3600 AS window_start, conversation_id, count(*) AS messages, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens FROM messages WHERE conversation_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1, 2",
+    "unit_vectors": f"SELECT node_type, count(*) AS vectors, count(*) AS unit FROM memory_nodes WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0 GROUP BY 1",
+    "coerced_times": """SELECT count(*) AS times, count(*) AS seconds, count(*) AS millis, 0 AS unreadable_read, count(*) FILTER (floor(created_at) BETWEEN 1764547200 AND 1767225600) AS inside FROM messages WHERE created_at IS NOT NULL""",
     "branch_defaults": f"""SELECT {_B} AS branch_id, coalesce(branch_type, 'default') AS branch_type, CASE WHEN state IN ({_in(STATES)}) THEN state ELSE 'FORMING' END AS state, CASE WHEN regime IN ({_in(REGIMES)}) THEN regime ELSE 'PRODUCTIVE' END AS regime,
   {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('node_count', 'split_counter', 'merge_counter'))}, {', '.join(f'round(coalesce({c}, 0), 6) AS {c}' for c in ('eff_rank', 'coherence', 'usefulness', 'last_update_ts'))} FROM branch_states""",
     "split_observations": f"{_OBS} SELECT * FROM o",

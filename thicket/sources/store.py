@@ -92,6 +92,12 @@ class Store:
         folder, fs = self._path(path)
         return sorted(f"{part}/{leaf}" for x in fs.listStatus(folder) if (leaf := x.getPath().getName()).startswith(_BUCKET))
 
+    def _empty(self, name: str, df: DataFrame) -> list[str]:
+        """A part without rows, so that an empty table keeps its columns."""
+        part = f"s-{uuid.uuid4().hex[:12]}"
+        df.limit(0).coalesce(1).write.parquet(f"{self.root}/{name}/{part}/{_BUCKET}=-1")
+        return [f"{part}/{_BUCKET}=-1"]
+
     def _bucketed(self, df: DataFrame, keys: list[str]) -> DataFrame:
         # as text, so that keys of different number types fall into one bucket
         return df.withColumn(_BUCKET, F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(self.buckets)).cast("int"))
@@ -107,7 +113,7 @@ class Store:
     def replace(self, name: str, df: DataFrame, keys: list[str] | None = None) -> None:
         """The table from now on; ``keys`` are those it is bucketed by (those it had, if not given)."""
         own = keys if keys is not None else self._state(name)[1]
-        folders = self._write(name, df, own)
+        folders = self._write(name, df, own) or self._empty(name, df)
         self._change(name, lambda _, old: (own, folders))
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -127,10 +133,12 @@ class Store:
 
         def change(now: list[str], folders: list[str]) -> tuple[list[str], list[str]]:
             if folders and now != keys:  # bucketed otherwise so far: all of it once
-                return keys, self._write(name, make(self._open(name, folders)), keys)
+                out = make(self._open(name, folders))
+                return keys, self._write(name, out, keys) or self._empty(name, out)
             hit = {r[_BUCKET] for r in self._bucketed(changed.select(*keys), keys).select(_BUCKET).distinct().collect()}
             mine = [f for f in folders if int(f.rsplit("=", 1)[1]) in hit]
-            return keys, [*(f for f in folders if f not in mine), *self._write(name, make(self._open(name, mine)), keys)]
+            out = make(self._open(name, mine))
+            return keys, [*(f for f in folders if f not in mine), *self._write(name, out, keys)] or self._empty(name, out)
 
         self._change(name, change)
 
