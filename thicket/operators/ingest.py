@@ -519,8 +519,10 @@ def forced_fold(items: DataFrame, cfg: Config = Config(), slice_items: int = SLI
     long = sizes.where(F.col("n") > short).select("forced_branch")  # at most one for every ``short`` rows
     few = items.join(long, "forced_branch", "left_anti")
     light = sizes.where(F.col("n") <= short).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    bucket = F.pmod(F.xxhash64("forced_branch"), F.lit(max(1, -(-light // TOGETHER))))
-    out = few.select("forced_branch", "item", "x", "conflict", "branch_type", bucket.alias("bucket")).groupBy("bucket").applyInPandas(_side_by_side(cfg), FOLD_SCHEMA)
+    buckets = max(1, -(-light // TOGETHER))
+    bucket = F.pmod(F.xxhash64("forced_branch"), F.lit(buckets))
+    few = few.select("forced_branch", "item", "x", "conflict", "branch_type", bucket.alias("bucket"))
+    out = few.repartition(parallelism(items.sparkSession, buckets, 1), "bucket").groupBy("bucket").applyInPandas(_side_by_side(cfg), FOLD_SCHEMA)
     if long.isEmpty():
         return out
     return out.unionByName(_sliced_fold(items.join(long, "forced_branch", "left_semi"), cfg, slice_items, scratch))
