@@ -56,7 +56,7 @@ SLACK = 0.3
 #: Queries searched together in a block.
 QUERY_ROWS = 2000
 #: Approximate similarities held in memory at once.
-CELLS = 1 << 21
+CELLS = 1 << 19
 #: A vector that more than this share of the rows have is searched once for all of them.
 HOT_SHARE = 0.005
 #: Candidates reranked for each wanted neighbour.
