@@ -318,12 +318,16 @@ def _search(model: Model, k: int, min_cosine: float | None, rerank: int, slack:
                 both = np.concatenate([best[sub], fresh], axis=1)
                 best[sub] = np.partition(both, both.shape[1] - keep, axis=1)[:, both.shape[1] - keep :]
                 bar[sub] = best[sub].min(axis=1)
-                found_q.append(sub[r])
-                found_x.append(s + start[li])
-                found_s.append(score[r, s])
+                value = score[r, s]
+                among = value >= bar[sub[r]]
+                found_q.append(sub[r[among]])
+                found_x.append(s[among] + start[li])
+                found_s.append(value[among])
         fq, fx, fs = (np.concatenate(v) if v else np.zeros(0, int) for v in (found_q, found_x, found_s))
         if min_cosine is None and len(fq):
             # the best of all lists by approximate similarity
+            among = fs >= bar[fq]
+            fq, fx, fs = fq[among], fx[among], fs[among]
             order = np.lexsort((-fs, fq))
             fq, fx = fq[order], fx[order]
             nth = np.arange(len(fq)) - np.searchsorted(fq, fq)
